@@ -1,0 +1,5 @@
+"""Nothing streams here: curation decisions need whole catalogues.
+
+The sources are batch tables; the package exists so that a stream-backed
+source has a place to go when one is asked for.
+"""
