@@ -25,8 +25,6 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from stridelake.operators.scratch import Scratch
-
 MAX_CELLS = 1 << 28
 RANGE = 1 << 22  # cells that one task sums at a time
 FLUSH = 4_000_000  # windows that a task holds
@@ -191,7 +189,7 @@ def _hot_owners(shared, size: int):
 
 
 def _starts(shared, owners, size: int, buckets: int):
-    """Pass 2.  Rows ``(bucket, block, id, tkey, at)``: packed windows for a bucket, or decided starts of one document."""
+    """Pass 2.  Rows ``(bucket, block)``: packed windows for a hash range; under -1 - g, starts decided here for group g."""
     shift = np.uint64(64 - buckets.bit_length() + 1)
 
     def flush(held):
@@ -211,13 +209,13 @@ def _starts(shared, owners, size: int, buckets: int):
                 f = first[a:b]
                 yield k, _pack(h1[f], h2[f], np.diff(ends[a : b + 1]).astype(np.uint32), local.astype(np.uint32), pos[lo:hi], ids[used], tkeys[used])
 
-    def batch(blocks=(), decided=()):
-        blocks = list(blocks)
-        n, m = len(blocks), len(decided)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([x[0] for x in blocks] + [None] * m, pa.int32()), pa.array([x[1] for x in blocks] + [None] * m, pa.binary()), pa.array([None] * n + [x[0] for x in decided], pa.int64()), pa.array([None] * n + [x[1] for x in decided], pa.int64()), pa.array([None] * n + [x[2] for x in decided], pa.list_(pa.int32()))],
-            names=["bucket", "block", "id", "tkey", "at"],
-        )
+    def batch(held, decided):
+        rows = list(flush(held)) if held[1] else []
+        if decided:
+            n = [len(x[2]) for x in decided]
+            i, t = (np.repeat(np.array([x[k] for x in decided], np.int64), n) for k in range(2))
+            rows += [(-1 - g, raw) for g, raw in _by_document(i, t, np.concatenate([x[2] for x in decided]), buckets)]
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.binary())], names=["bucket", "block"])
 
     def run(batches):
         est, (known, low) = shared.value, owners.value
@@ -241,37 +239,69 @@ def _starts(shared, owners, size: int, buckets: int):
                     held[2].append(tk)
                     n += len(at)
                 if n > FLUSH // 2:
-                    yield batch(flush(held), decided)
+                    yield batch(held, decided)
                     held, n, decided = ([], [], []), 0, []
         if n or decided:
-            yield batch(flush(held) if n else (), decided)
+            yield batch(held, decided)
+
+    return run
+
+
+def _by_document(i: np.ndarray, t: np.ndarray, p: np.ndarray, groups: int):
+    """Starts as ``(group, packed)``, one for each group of documents that has any."""
+    order = np.lexsort((p, t, i))
+    i, t, p = i[order], t[order], p[order].astype(np.uint32)
+    g = (_mix(i.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+    for k in np.unique(g).tolist():
+        at = np.flatnonzero(g == k)
+        a, b = i[at], t[at]
+        first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        n = np.diff(np.r_[first, len(at)]).astype(np.uint32)
+        yield k, _pack(np.diff(a[first], prepend=0), b[first], n, p[at])
+
+
+def _removed(groups: int):
+    """Of one hash range: starts of windows that a smaller id has, packed for the groups of documents."""
+
+    def run(key, group):
+        (bucket,) = key
+        if bucket.as_py() < 0:
+            raw = group.column("block").combine_chunks()
+            return pa.table({"g": pa.array(np.full(len(raw), -1 - bucket.as_py(), np.int32)), "starts": raw})
+        blocks = [_unpack(x.as_py(), np.uint64, np.uint32, np.uint32, np.uint32, np.uint32, np.int64, np.int64) for x in group.column("block")]
+        h1, h2 = (np.concatenate([b[k] for b in blocks]) for k in range(2))
+        low = np.concatenate([np.minimum.reduceat(b[5][b[3]], np.r_[0, np.cumsum(b[2][:-1], dtype=np.int64)]) for b in blocks])
+        order = np.lexsort((h2, h1))
+        a, c = h1[order], h2[order]
+        first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (c[1:] != c[:-1])])
+        owner = np.empty(len(h1), np.int64)
+        owner[order] = np.repeat(np.minimum.reduceat(low[order], first), np.diff(np.r_[first, len(h1)]))
+        at, found = 0, ([], [], [])
+        for b in blocks:
+            mine = np.repeat(owner[at : at + len(b[0])], b[2])
+            at += len(b[0])
+            gone = b[5][b[3]] > mine
+            found[0].append(b[5][b[3][gone]])
+            found[1].append(b[6][b[3][gone]])
+            found[2].append(b[4][gone])
+        rows = list(_by_document(*map(np.concatenate, found), groups))
+        return pa.table({"g": pa.array([r[0] for r in rows], pa.int32()), "starts": pa.array([r[1] for r in rows], pa.binary())})
 
     return run
 
 
-def _removed(key, group):
-    """Of one hash range: starts of windows that a smaller id has, as a list for each document."""
-    blocks = [_unpack(x.as_py(), np.uint64, np.uint32, np.uint32, np.uint32, np.uint32, np.int64, np.int64) for x in group.column("block")]
-    h1, h2 = (np.concatenate([b[k] for b in blocks]) for k in range(2))
-    low = np.concatenate([np.minimum.reduceat(b[5][b[3]], np.r_[0, np.cumsum(b[2][:-1], dtype=np.int64)]) for b in blocks])
-    order = np.lexsort((h2, h1))
-    a, b_ = h1[order], h2[order]
-    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b_[1:] != b_[:-1])])
-    least = np.minimum.reduceat(low[order], first)
-    owner = np.empty(len(h1), np.int64)
-    owner[order] = np.repeat(least, np.diff(np.r_[first, len(h1)]))
-    at, ids, tkeys, starts = 0, [], [], []
-    for b in blocks:
-        mine = np.repeat(owner[at : at + len(b[0])], b[2])
-        at += len(b[0])
-        gone = b[5][b[3]] > mine
-        ids.append(b[5][b[3][gone]])
-        tkeys.append(b[6][b[3][gone]])
-        starts.append(b[4][gone])
-    i, t, p = np.concatenate(ids), np.concatenate(tkeys), np.concatenate(starts).astype(np.int32)
+def _merged(group: pa.Table) -> pa.Table:
+    """One group's starts, a row for each document."""
+    i, t, p = [], [], []
+    for raw in group.column("starts"):
+        a, b, n, starts = _unpack(raw.as_py(), np.int64, np.int64, np.uint32, np.uint32)
+        i.append(np.repeat(np.cumsum(a), n))
+        t.append(np.repeat(b, n))
+        p.append(starts)
+    i, t, p = np.concatenate(i), np.concatenate(t), np.concatenate(p).astype(np.int32)
     order = np.lexsort((p, t, i))
     i, t, p = i[order], t[order], p[order]
-    first = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (t[1:] != t[:-1])]) if len(i) else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (t[1:] != t[:-1])])
     return pa.table({"id": i[first], "tkey": t[first], "at": pa.ListArray.from_arrays(pa.array(np.r_[first, len(i)].astype(np.int32)), pa.array(p))})
 
 
@@ -299,7 +329,6 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     empty table gives an empty result.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "repeats")
     kind = dict(docs.dtypes)[key]
     base = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(int(LAST))).alias("id"), F.xxhash64(text).alias("tkey"), F.col(text).alias("text"))
     chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
@@ -319,12 +348,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
         order = np.argsort(known)
         known, low = np.asarray(known)[order], rows.column("low").to_numpy()[order]
     owners = spark.sparkContext.broadcast((known, low))
-    want = max(int(spark.conf.get("spark.sql.shuffle.partitions")), est.entries // 1_000_000)
-    buckets = 1 << max(0, (want - 1).bit_length())
-    found = scratch.keep(base.mapInArrow(_starts(shared, owners, size, buckets), "bucket int, block binary, id bigint, tkey bigint, at array<int>"), "windows")
-    gone = found.where("bucket is not null").select("bucket", "block").groupBy("bucket").applyInArrow(_removed, "id bigint, tkey bigint, at array<int>")
-    gone = gone.union(found.where("id is not null").select("id", "tkey", "at"))
-    gone = gone.groupBy("id", "tkey").agg(F.flatten(F.collect_list("at")).alias("at"))
+    buckets = 1 << max(4, (est.entries // 300_000).bit_length())
+    blocks = base.mapInArrow(_starts(shared, owners, size, buckets), "bucket int, block binary")
+    packed = blocks.groupBy("bucket").applyInArrow(_removed(buckets), "g int, starts binary")
+    gone = packed.groupBy("g").applyInArrow(_merged, "id bigint, tkey bigint, at array<int>")
 
     def run(batches):
         for b in batches:
