@@ -8,6 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once a row however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def clip(intervals: Column, duration: Column) -> Column:
     """Intervals cut to [0, duration]; what is empty after the cut goes."""
     cut = F.transform(intervals, lambda i: i.withField("start", F.greatest(i["start"], F.lit(0.0))).withField("end", F.least(i["end"], duration)))
@@ -44,18 +49,24 @@ def segments(actions: Column, duration: Column) -> Column:
 
     A category is active in a segment when one of its intervals holds the midpoint.
     """
-    marks = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), duration), F.transform(actions, lambda a: a["start"]), F.transform(actions, lambda a: a["end"]))))
-    pairs = F.transform(F.sequence(F.lit(1), F.size(marks) - 1), lambda k: F.struct(F.get(marks, k - 1).alias("start"), F.get(marks, k).alias("end")))
-    inside = lambda p: F.filter(actions, lambda a: (a["start"] <= (p["start"] + p["end"]) / 2) & ((p["start"] + p["end"]) / 2 < a["end"]))
-    with_active = F.transform(pairs, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), F.array_sort(F.array_distinct(F.transform(inside(p), lambda a: a["category"]))).alias("active")))
-    return F.when((duration > 0) & (F.size(marks) > 1), with_active).otherwise(F.array().cast("array<struct<start:double,end:double,active:array<string>>>"))
+    empty = F.array().cast("array<struct<start:double,end:double,active:array<string>>>")
+
+    def cut(x):
+        acts, marks = x["a"], x["m"]
+        pairs = F.transform(F.sequence(F.lit(1), F.size(marks) - 1), lambda k: F.struct(F.get(marks, k - 1).alias("start"), F.get(marks, k).alias("end")))
+        inside = lambda p: F.filter(acts, lambda a: (a["start"] <= (p["start"] + p["end"]) / 2) & ((p["start"] + p["end"]) / 2 < a["end"]))
+        with_active = F.transform(pairs, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), F.array_sort(F.array_distinct(F.transform(inside(p), lambda a: a["category"]))).alias("active")))
+        return F.when((duration > 0) & (F.size(marks) > 1), with_active).otherwise(empty)
+
+    marks = lambda acts: F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), duration), F.transform(acts, lambda a: a["start"]), F.transform(acts, lambda a: a["end"]))))
+    return let(actions, lambda acts: let(F.struct(acts.alias("a"), marks(acts).alias("m")), cut))
 
 
 def allocated(segs: Column, unlabeled: str = "unknown") -> Column:
     """``map<category, seconds>``: each segment's length shared equally by its active categories."""
-    cats = F.array_distinct(F.flatten(F.transform(segs, lambda s: F.when(F.size(s["active"]) > 0, s["active"]).otherwise(F.array(F.lit(unlabeled))))))
+    cats = lambda segs: F.array_distinct(F.flatten(F.transform(segs, lambda s: F.when(F.size(s["active"]) > 0, s["active"]).otherwise(F.array(F.lit(unlabeled))))))
     share = lambda s, c: F.when(F.array_contains(s["active"], c), (s["end"] - s["start"]) / F.size(s["active"])).when((F.size(s["active"]) == 0) & (c == unlabeled), s["end"] - s["start"]).otherwise(F.lit(0.0))
-    return F.map_from_entries(F.transform(F.array_sort(cats), lambda c: F.struct(c, F.aggregate(segs, F.lit(0.0), lambda t, s: t + share(s, c)))))
+    return let(segs, lambda segs: F.map_from_entries(F.transform(F.array_sort(cats(segs)), lambda c: F.struct(c, F.aggregate(segs, F.lit(0.0), lambda t, s: t + share(s, c))))))
 
 
 def fill_unlabeled(alloc: Column, policy: str, fallback: Column, unlabeled: str = "unknown") -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 
 def normalize_label(c: Column) -> Column:
@@ -13,7 +13,7 @@ def normalize_label(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_label_unicode(s: pd.Series) -> pd.Series:
     """NFKC, casefold, outer spaces off, inner spaces collapsed; for labels beyond ASCII."""
     return s.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFKC", x).casefold().split()))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from stridelake.functions import vectors
 from stridelake.operators.graph import connected_components
@@ -16,7 +16,7 @@ def near_hash(values: Column, tolerance: float = 1e-4) -> Column:
     return F.sha1(F.to_json(F.transform(values, lambda v: F.rint(v.cast("double") / tolerance).cast("bigint"))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def exact_hash(values: pd.Series) -> pd.Series:
     """SHA-1 of shape, type and bytes of an array of doubles; null for null."""
     import hashlib

@@ -97,11 +97,14 @@ class _State:
                 if broken:
                     return code
         for c, add in sorted(r["alloc"].items()):
-            if add <= 0 or c not in b.categories:
+            if c not in b.categories:
                 continue
-            over = self._over("category", c, _limits(b.categories[c], b.max_sec, b.max_count), add, b.tolerance, self.order != "global_first")
-            mixed = b.allow_mixed and (c != r["primary"] or r["dominance"] < b.dominance) and _limits(b.categories[c], b.max_sec, b.max_count)[0] > 0
-            if over and not mixed:
+            # an exception for mixed actions holds for seconds only; counts are those of primary categories
+            mixed = b.allow_mixed and (c != r["primary"] or r["dominance"] < b.dominance)
+            sec, n = _limits(b.categories[c], b.max_sec, b.max_count)
+            limit = (math.inf if mixed else sec, n if c == r["primary"] else math.inf)
+            over = self._over("category", c, limit, add, b.tolerance, self.order != "global_first")
+            if over:
                 return over
         if self.order != "global_first":
             limit = b.sources.get(r["source"], b.source)
@@ -117,10 +120,12 @@ class _State:
     def accept(self, r: dict) -> None:
         self.sec += r["duration"]
         self.n += 1
-        for kind, name, add in [("source", r["source"], r["duration"]), ("subject", f"{r['source']}/{r['subject']}", r["duration"]), *(("category", c, v) for c, v in r["alloc"].items() if v > 0)]:
+        parts = [("source", r["source"], r["duration"], 1), ("subject", f"{r['source']}/{r['subject']}", r["duration"], 1)]
+        parts += [("category", c, v, int(c == r["primary"])) for c, v in r["alloc"].items()]
+        for kind, name, add, n in parts:
             u = self.used.setdefault((kind, name), [0.0, 0])
             u[0] += add
-            u[1] += 1
+            u[1] += n
 
 
 def select_once(rows: list[dict], budget: Budget, order: str, base_sec: float, base_count: float) -> tuple[dict, _State]:
@@ -169,7 +174,7 @@ def apply_quota(df: DataFrame, budget: Budget, order: str = "category_first", ke
         out = select(rows, budget, order)
         return pd.DataFrame([(k, *v) for k, v in out.items()], columns=["id", "quota_selected", "quota_pass", "quota_reason"])
 
-    return narrow.groupBy(F.lit(1)).applyInPandas(run, f"id {kind}, quota_selected boolean, quota_pass string, quota_reason string").withColumnRenamed("id", key)
+    return narrow.withColumn("__all", F.lit(True)).groupBy("__all").applyInPandas(run, f"id {kind}, quota_selected boolean, quota_pass string, quota_reason string").withColumnRenamed("id", key)
 
 
 def quota_report(selected: DataFrame, alloc: str, duration: str, source: str) -> DataFrame:

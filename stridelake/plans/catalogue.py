@@ -1,6 +1,467 @@
-"""The query catalogue: plans over the driver's tables and the same results as SQL."""
+"""The query catalogue: plans over the driver's tables and the same results as SQL.
+
+The tables stand in for a motion catalogue: documents for motions (source, language as subject,
+hundredths of a second as characters), labels for annotations, events for frames and action
+intervals of a user, embeddings for pose descriptors, parts for paths, line items for joint
+values, orders for jobs.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from stridelake.functions import intervals, normalize, vectors
+from stridelake.operators import dedup, matching, metrics, quota, reports, rules, trajectory
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+R = lambda c, n=6: F.round(c, n)
+
+
+def query(sql: str | None = None):
+    """Register a plan under its function's name, with SQL for the same rows if there is any."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+FPS = "CASE doc_id % 6 WHEN 0 THEN 30.0 WHEN 1 THEN 60.0 WHEN 2 THEN 100.0 WHEN 3 THEN 120.0 WHEN 4 THEN 20.0 ELSE 29.97 END"
+
+
+def motions(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", *more)
+    docs = docs.join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return docs.withColumns({"duration": F.col("n_chars") / F.lit(100.0), "fps": F.expr(FPS).cast("double")})
+
+
+MOTIONS = f"m AS (SELECT d.*, l.quality, l.toxic, n_chars::DOUBLE / 100 AS duration, ({FPS})::DOUBLE AS fps FROM documents d LEFT JOIN labels l USING (doc_id))"
+BASIC = """CASE WHEN n_chars = 0 THEN 'reject_corrupt' WHEN quality IS NULL AND doc_id % 10 = 0 THEN 'reject_missing_field' WHEN quality = 0 THEN 'reject_invalid_value'
+  WHEN duration < 2 THEN 'review_short' WHEN duration > 30 THEN 'defer_very_long' WHEN duration > 15 THEN 'defer_long' WHEN fps < 30 - 1e-4 THEN 'defer_low_fps'
+  WHEN NOT (abs(fps / 30 - round_even(fps / 30, 0)) <= 1e-4 AND round_even(fps / 30, 0) >= 1) THEN 'defer_fps' ELSE 'pass' END"""
+
+
+def basic_status(df: DataFrame) -> DataFrame:
+    checks = rules.basic_rules(F.col("duration"), F.col("fps"), F.col("n_chars") == 0, F.col("quality").isNull() & (F.col("doc_id") % 10 == 0), F.coalesce(F.col("quality") == 0, F.lit(False)))
+    return df.withColumn("status", rules.first_of(checks, "pass"))
+
+
+@query(f"""WITH {MOTIONS}, s AS (SELECT *, {BASIC} AS status FROM m), g AS (SELECT source || '/' || status AS grp, count(*) AS n, sum(duration) AS d FROM s GROUP BY 1)
+SELECT grp, n, round(d, 6) AS seconds, round(n / sum(n) OVER (), 6) AS count_ratio, round(round(d, 6) / sum(d) OVER (), 6) AS duration_ratio FROM g""")
+def q01_classify_distribution(spark, sf_dir):
+    df = basic_status(motions(spark, sf_dir)).withColumn("grp", F.concat_ws("/", "source", "status"))
+    return reports.group_distribution(df, "grp", "duration")
+
+
+@query(f"WITH {MOTIONS} SELECT fps, abs(fps / 30 - round_even(fps / 30, 0)) <= 1e-4 AND round_even(fps / 30, 0) >= 1 AS multiple, count(*) AS n FROM m GROUP BY 1, 2")
+def q02_fps_ratio(spark, sf_dir):
+    df = motions(spark, sf_dir).withColumn("multiple", rules.fps_is_multiple(F.col("fps"), rules.BasicLimits()))
+    return df.groupBy("fps", "multiple").agg(F.count("*").alias("n"))
+
+
+POLICY = rules.Policy({"R": ["error", "es"], "C": ["click", "en"], "A": ["purchase", "signup", "fr"], "M": ["view", "de"]})
+SPLIT = "CASE doc_id % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END"
+
+
+@query(f"""WITH t AS (SELECT doc_id, {SPLIT} AS split, [lang, CASE doc_id % 3 WHEN 0 THEN 'click' WHEN 1 THEN 'view' ELSE 'error' END] AS ls FROM documents)
+SELECT CASE WHEN split NOT IN ('train', 'val') THEN 'unverified' WHEN list_has_any(ls, ['error', 'es']) THEN 'reject' WHEN list_has_any(ls, ['click', 'en', 'purchase', 'signup', 'fr']) THEN 'eligible' ELSE 'unverified' END AS status, split, count(*) AS n FROM t GROUP BY 1, 2""")
+def q03_policy_tiers(spark, sf_dir):
+    labels = F.array("lang", F.expr("CASE doc_id % 3 WHEN 0 THEN 'click' WHEN 1 THEN 'view' ELSE 'error' END"))
+    df = table(spark, sf_dir, "documents").select(F.expr(SPLIT).alias("split"), POLICY.hits(labels).alias("hits"))
+    return df.groupBy(POLICY.status(F.col("hits"), F.col("split")).alias("status"), "split").agg(F.count("*").alias("n"))
+
+
+@query("""WITH p(label) AS (VALUES ('error'), ('es'), ('click'), ('en'), ('purchase'), ('signup'), ('fr'), ('view'), ('de')), o AS (SELECT DISTINCT event_type AS label FROM events)
+SELECT coalesce(p.label, o.label) AS label, (p.label IS NOT NULL)::BIGINT AS n_tiers, o.label IS NOT NULL AS observed FROM p FULL JOIN o ON p.label = o.label WHERE p.label IS NULL OR o.label IS NULL""")
+def q04_policy_coverage(spark, sf_dir):
+    return rules.policy_gaps(table(spark, sf_dir, "events").select(F.col("event_type").alias("label")), POLICY)
+
+
+@query(r"""SELECT p_partkey, trim(regexp_replace(lower(p_type), '\s+', ' ', 'g')) AS label, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS token,
+regexp_replace(regexp_replace(lower(p_brand), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') || '/' || regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS path FROM part""")
+def q05_label_normalize(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", normalize.normalize_label(F.col("p_type")).alias("label"), normalize.normalize_token(F.col("p_name")).alias("token"), normalize.normalize_path(F.concat(F.lit("/"), "p_brand", F.lit("//"), "p_name")).alias("path"))
+
+
+PHRASES = ["promo", "brass", "brand", "part 1", "economy", "steel"]
+_FREE = r"' ' || trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '([a-z])([0-9])', '\1 \2', 'g'), '([0-9])([a-z])', '\1 \2', 'g'), '[^a-z0-9]+', ' ', 'g')) || ' '"
+
+
+@query(f"""WITH t AS (SELECT p_partkey, [{_FREE.format('p_name')}, {_FREE.format('p_type')}, {_FREE.format('p_brand')}] AS vals FROM part)
+SELECT p_partkey, array_to_string(list_filter({PHRASES!r}, lambda p: len(list_filter(vals, lambda v: contains(v, ' ' || p || ' '))) > 0), ',') AS hits FROM t""")
+def q06_phrase_hits(spark, sf_dir):
+    values = F.array(*(normalize.free_text(F.col(c)) for c in ("p_name", "p_type", "p_brand")))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(normalize.phrase_hits(values, PHRASES), ",").alias("hits"))
+
+
+def _paths(spark, sf_dir):
+    keys = {"k0": F.concat_ws("/", "p_brand", "p_type", "p_name"), "k1": F.concat_ws("/", "p_brand", "p_type", F.col("p_size").cast("string")), "k2": F.concat_ws("/", "p_type", F.col("p_size").cast("string")), "k3": F.col("p_type")}
+    p = table(spark, sf_dir, "part").withColumns(keys)
+    names = list(keys)
+    return p.where("p_partkey % 2 = 1").select(F.col("p_partkey").alias("ann_id"), *names), p.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("local_id"), *names)
+
+
+_CASCADE = """WITH k AS (SELECT p_partkey, p_brand || '/' || p_type || '/' || p_name AS k0, p_brand || '/' || p_type || '/' || p_size AS k1, p_type || '/' || p_size AS k2, p_type AS k3 FROM part),
+a AS (SELECT * FROM k WHERE p_partkey % 2 = 1), l AS (SELECT * FROM k WHERE p_partkey % 2 = 0),
+h AS (SELECT a.p_partkey AS ann_id, list(l.p_partkey) FILTER (l.k0 = a.k0) AS h0, list(l.p_partkey) FILTER (l.k1 = a.k1) AS h1, list(l.p_partkey) FILTER (l.k2 = a.k2) AS h2, list(l.p_partkey) FILTER (l.k3 = a.k3) AS h3
+      FROM a LEFT JOIN l ON l.k3 = a.k3 GROUP BY 1),
+c AS (SELECT ann_id, coalesce(h0, h1, h2, h3) AS hits, CASE WHEN h0 IS NOT NULL THEN 'exact_path' WHEN h1 IS NOT NULL THEN 'anchor_exact' WHEN h2 IS NOT NULL THEN 'parent_stem' WHEN h3 IS NOT NULL THEN 'stem' END AS level FROM h),
+d AS (SELECT *, coalesce(len(hits), 0)::BIGINT AS n_candidates, CASE WHEN len(hits) = 1 THEN hits[1] END AS hit FROM c),
+e AS (SELECT *, count(hit) OVER (PARTITION BY hit) AS claims FROM d),
+r AS (SELECT ann_id, CASE WHEN n_candidates = 0 THEN 'unmatched' WHEN n_candidates > 1 THEN 'ambiguous' WHEN claims > 1 THEN 'ambiguous_local_conflict' ELSE 'match_' || level END AS status, level, CASE WHEN claims = 1 THEN hit END AS local_id, n_candidates FROM e)
+"""
+
+
+@query(_CASCADE + "SELECT * FROM r")
+def q07_match_cascade(spark, sf_dir):
+    return matching.cascade_match(*_paths(spark, sf_dir))
+
+
+@query(_CASCADE + "SELECT status, count(*) AS n, sum(n_candidates)::BIGINT AS candidates FROM r GROUP BY 1")
+def q08_match_summary(spark, sf_dir):
+    return matching.match_summary(q07_match_cascade(spark, sf_dir))
+
+
+def timelines(spark, sf_dir) -> DataFrame:
+    """A row for each user: duration and actions in seconds from the first event."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    first = e.groupBy("user_id").agg(F.min("us").alias("t0"))
+    e = e.join(first, "user_id").withColumn("start", (F.col("us") - F.col("t0")) / F.lit(1e6))
+    act = F.struct(F.col("event_type").alias("category"), F.col("start"), (F.col("start") + F.col("value") * 600).alias("end"))
+    return e.groupBy("user_id").agg((F.max("start") + 10).alias("duration"), F.collect_list(act).alias("actions"))
+
+
+_TIMES = """e AS (SELECT user_id, event_type AS category, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 1e6 AS s, value FROM events),
+d AS (SELECT user_id, max(s) + 10 AS duration FROM e GROUP BY 1),
+a AS (SELECT user_id, category, greatest(s, 0.0) AS s, least(s + value * 600, duration) AS t, duration FROM e JOIN d USING (user_id) WHERE least(s + value * 600, duration) > s)"""
+
+
+@query(f"""WITH {_TIMES}, o AS (SELECT *, max(t) OVER (PARTITION BY user_id ORDER BY s, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hi FROM a WHERE category IN ('click', 'view')),
+g AS (SELECT *, sum(CASE WHEN hi IS NULL OR s > hi THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, t) AS g FROM o),
+u AS (SELECT user_id, sum(len) AS c FROM (SELECT user_id, g, max(t) - min(s) AS len FROM g GROUP BY 1, 2) GROUP BY 1)
+SELECT user_id, round(coalesce(c, 0) / duration, 4) AS coverage, CASE WHEN bad THEN 'reject_semantic_hard' WHEN coalesce(c, 0) / duration >= 0.35 THEN 'reject_semantic_coverage' ELSE 'pass' END AS status
+FROM d LEFT JOIN u USING (user_id) JOIN (SELECT user_id, bool_or(category = 'error' AND value > 190) AS bad FROM e GROUP BY 1) USING (user_id)""")
+def q09_interval_coverage(spark, sf_dir):
+    t = timelines(spark, sf_dir)
+    soft = F.transform(F.filter("actions", lambda a: a["category"].isin("click", "view")), lambda a: F.struct(a["start"], a["end"]))
+    hard = F.when(F.exists("actions", lambda a: (a["category"] == "error") & (a["end"] - a["start"] > 190 * 600)), F.array(F.lit("hard"))).otherwise(F.array().cast("array<string>"))
+    t = t.withColumns({"soft": soft, "labels": hard})
+    return t.select("user_id", R(intervals.coverage(F.col("soft"), F.col("duration")), 4).alias("coverage"), rules.first_of(rules.semantic_rules(F.col("labels"), F.col("soft"), F.col("duration"), ["hard"]), "pass").alias("status"))
+
+
+_SWEEP = f"""{_TIMES}, b AS (SELECT user_id, s AS x FROM a UNION SELECT user_id, t FROM a UNION SELECT user_id, 0.0 FROM d UNION SELECT user_id, duration FROM d),
+seg AS (SELECT user_id, x AS p, lead(x) OVER (PARTITION BY user_id ORDER BY x) AS q FROM b),
+act AS (SELECT DISTINCT seg.user_id, p, q, category FROM seg LEFT JOIN a ON a.user_id = seg.user_id AND a.s <= (p + q) / 2 AND (p + q) / 2 < a.t WHERE q IS NOT NULL),
+al AS (SELECT user_id, coalesce(category, 'unknown') AS category, sum((q - p) / n) AS seconds FROM (SELECT *, count(*) OVER (PARTITION BY user_id, p) AS n FROM act) GROUP BY 1, 2)"""
+
+
+def allocations(spark, sf_dir) -> DataFrame:
+    t = timelines(spark, sf_dir).withColumn("actions", intervals.clip(F.col("actions"), F.col("duration")))
+    return t.withColumn("alloc", intervals.allocated(intervals.segments(F.col("actions"), F.col("duration"))))
+
+
+@query(f"WITH {_SWEEP} SELECT user_id, category, round(seconds, 3) AS seconds FROM al WHERE seconds > 0.001")
+def q10_timeline_allocate(spark, sf_dir):
+    return allocations(spark, sf_dir).select("user_id", F.explode("alloc").alias("category", "s")).where("s > 0.001").select("user_id", "category", R("s", 3).alias("seconds"))
+
+
+@query(f"""WITH {_SWEEP}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seconds DESC, category) AS k, sum(seconds) OVER (PARTITION BY user_id) AS total FROM al)
+SELECT user_id, category AS primary_category, round(seconds / total, 6) AS dominance FROM r WHERE k = 1""")
+def q11_primary_category(spark, sf_dir):
+    top = intervals.let(F.col("alloc"), lambda a: F.struct(intervals.primary_category(a).alias("c"), intervals.proportions(a)[intervals.primary_category(a)].alias("p")))
+    return allocations(spark, sf_dir).select("user_id", top.alias("t")).select("user_id", F.col("t.c").alias("primary_category"), R("t.p").alias("dominance"))
+
+
+_DEDUP = """w AS (SELECT d.doc_id, source, quality, text AS ex, substr(text, 1, 24) AS nr FROM documents d LEFT JOIN labels USING (doc_id)),
+x AS (SELECT *, row_number() OVER (PARTITION BY source, nr ORDER BY coalesce(quality, 0) DESC, doc_id) AS rn, row_number() OVER (PARTITION BY source, ex ORDER BY coalesce(quality, 0) DESC, doc_id) AS re,
+ first_value(doc_id) OVER (PARTITION BY source, nr ORDER BY coalesce(quality, 0) DESC, doc_id) AS best FROM w),
+r AS (SELECT doc_id, source, CASE WHEN rn = 1 THEN 'unique' WHEN re > 1 THEN 'duplicate_exact' ELSE 'duplicate_near' END AS dedup_status, CASE WHEN rn > 1 THEN best END AS duplicate_of FROM x)"""
+
+
+def _deduplicated(spark, sf_dir):
+    d = motions(spark, sf_dir, F.sha1("text").alias("ex"), F.sha1(F.substring("text", 1, 24)).alias("nr")).withColumn("quality", F.col("quality").cast("double"))
+    return dedup.window_dedup(d, "source", "quality", "doc_id", "ex", "nr")
+
+
+@query(f"WITH {_DEDUP} SELECT source, dedup_status, count(*) AS n FROM r GROUP BY 1, 2")
+def q12_exact_dedup(spark, sf_dir):
+    return _deduplicated(spark, sf_dir).groupBy("source", "dedup_status").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_DEDUP} SELECT doc_id, dedup_status, duplicate_of FROM r")
+def q13_near_dedup(spark, sf_dir):
+    return _deduplicated(spark, sf_dir).select("doc_id", "dedup_status", "duplicate_of")
+
+
+def _vectors(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"), F.slice(F.col("embedding").cast("array<double>"), 1, 3).alias("root"), (F.lit(1.0) + F.col("vec_id") % 7).alias("duration"), F.col("label").alias("subject"), F.col("vec_id").cast("string").alias("hash"))
+
+
+_KNN = """v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x, 1.0 + vec_id % 7 AS dur FROM embeddings),
+c AS (SELECT p.vec_id AS i, q.vec_id AS j, list_cosine_similarity(p.x, q.x) AS s FROM v p JOIN v q ON p.vec_id <> q.vec_id),
+t AS (SELECT i, j, s FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY s DESC, j) AS r FROM c) WHERE r <= 5),
+pr AS (SELECT DISTINCT least(i, j) AS a, greatest(i, j) AS b FROM t)"""
+
+
+@query(f"""WITH {_KNN} SELECT a, b, round(list_cosine_similarity(p.x, q.x), 6) AS cosine, round(list_distance(p.x, q.x) / 8, 6) AS pose_rms,
+round((abs(p.x[1] - q.x[1]) + abs(p.x[2] - q.x[2]) + abs(p.x[3] - q.x[3])) / 3, 6) AS root_distance, round(least(p.dur, q.dur)::DOUBLE / greatest(p.dur, q.dur), 6) AS duration_ratio
+FROM pr JOIN v p ON p.vec_id = a JOIN v q ON q.vec_id = b""")
+def q14_pair_metrics(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    m = dedup.pair_metrics(dedup.knn_candidates(v, "vec_id", "x", k=5, width=None), v, "vec_id", "x", "root", "duration")
+    return m.select("a", "b", *(R(c).alias(c) for c in ("cosine", "pose_rms", "root_distance", "duration_ratio")))
+
+
+@query(f"WITH {_KNN} SELECT a, b FROM pr")
+def q15_knn_topk(spark, sf_dir):
+    return dedup.knn_candidates(_vectors(spark, sf_dir), "vec_id", "x", k=5, width=None)
+
+
+@query()
+def q15b_knn_projected(spark, sf_dir):
+    return dedup.knn_candidates(_vectors(spark, sf_dir), "vec_id", "x", k=20, width=32)
+
+
+@query(f"""WITH RECURSIVE {_KNN}, ed AS (SELECT a, b FROM pr JOIN v p ON p.vec_id = a JOIN v q ON q.vec_id = b WHERE list_cosine_similarity(p.x, q.x) >= 0.40),
+sy AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed), re AS (SELECT a AS n, b AS m FROM sy UNION SELECT re.n, sy.b FROM re JOIN sy ON re.m = sy.a)
+SELECT vec_id, least(vec_id, coalesce(min(m), vec_id)) AS component FROM v LEFT JOIN re ON n = vec_id GROUP BY vec_id""")
+def q16_components(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    m = dedup.pair_metrics(dedup.knn_candidates(v, "vec_id", "x", k=5, width=None), v, "vec_id", "x", "root", "duration", ("subject", "hash"))
+    return dedup.components(v, "vec_id", dedup.near_edges(m, 0.40, 0.0, 10.0))
+
+
+@query("""WITH c AS (SELECT doc_id, lang, min(doc_id) OVER (PARTITION BY substr(text, 1, 24)) AS component, quality FROM documents LEFT JOIN labels USING (doc_id)),
+k AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY coalesce(quality, 0) DESC, doc_id) AS r FROM c), s AS (SELECT *, row_number() OVER (PARTITION BY component, lang ORDER BY r) AS sr FROM k)
+SELECT doc_id, component, r AS cluster_rank, row_number() OVER (PARTITION BY component ORDER BY (sr > 1)::INT, r) <= 3 AS kept FROM s""")
+def q17_cluster_keep(spark, sf_dir):
+    d = motions(spark, sf_dir, F.substring("text", 1, 24).alias("nr"))
+    d = d.join(d.groupBy("nr").agg(F.min("doc_id").alias("component")), "nr")
+    kept = dedup.keep_diverse(d, "component", "lang", [F.desc(F.coalesce("quality", F.lit(0))), F.asc("doc_id")])
+    return kept.select("doc_id", "component", "cluster_rank", "kept")
+
+
+def _scored(spark, sf_dir) -> DataFrame:
+    d = motions(spark, sf_dir).withColumn("quality", F.col("quality").cast("double"))
+    d = d.withColumn("alloc", F.create_map("lang", F.col("duration") * 0.75, F.lit("unknown"), F.col("duration") * 0.25))
+    return quota.selection_scores(d, "doc_id", "quality", "alloc", "source")
+
+
+@query(f"""WITH {MOTIONS}, al AS (SELECT doc_id, source, lang AS c, duration * 0.75 AS s FROM m UNION ALL SELECT doc_id, source, 'unknown', duration * 0.25 FROM m),
+pc AS (SELECT c, sum(s) AS pool FROM al GROUP BY 1), ps AS (SELECT source, sum(s) AS spool FROM al GROUP BY 1)
+SELECT m.doc_id, round(coalesce(nullif(quality, 0), 1) + CASE WHEN duration > 0 THEN 0.75 / sqrt(pc.pool + 1) + 0.25 / sqrt(pu.pool + 1) ELSE 0 END + 1 / sqrt(spool + 1) + CASE WHEN duration > 0 THEN 0.3 * -(0.75 * ln(0.75 + 1e-12) + 0.25 * ln(0.25 + 1e-12)) ELSE 0 END, 6) AS score
+FROM m JOIN pc ON pc.c = m.lang JOIN pc pu ON pu.c = 'unknown' JOIN ps ON ps.source = m.source""")
+def q18_selection_score(spark, sf_dir):
+    return _scored(spark, sf_dir).select("doc_id", R("selection_score").alias("score"))
+
+
+BUDGET = quota.Budget(max_sec=2000.0, max_count=300, categories={"en": quota.Limit(min_sec=100, max_ratio=0.25, max_count=200), "fr": quota.Limit(min_sec=200, max_ratio=0.2), "de": quota.Limit(max_ratio=0.0), "unknown": quota.Limit(max_ratio=0.3)}, source=quota.Limit(max_ratio=0.3, count_ratio=0.3), sources={"src0": quota.Limit(max_ratio=0.1, count_ratio=0.3)}, subject=quota.Limit(max_sec=180, max_count=15))
+
+
+def _selected(spark, sf_dir, order: str) -> DataFrame:
+    d = _scored(spark, sf_dir).withColumns({"primary_category": intervals.primary_category(F.col("alloc")), "dominance": F.lit(0.75)})
+    return quota.apply_quota(d, BUDGET, order, key="doc_id", subject="lang")
+
+
+@query()
+def q19_quota_v2(spark, sf_dir):
+    return _selected(spark, sf_dir, "global_first")
+
+
+@query()
+def q20_quota_v3(spark, sf_dir):
+    return _selected(spark, sf_dir, "category_first")
+
+
+@query()
+def q21_quota_report(spark, sf_dir):
+    chosen = q20_quota_v3(spark, sf_dir).where("quota_selected").select("doc_id")
+    return quota.quota_report(_scored(spark, sf_dir).join(chosen, "doc_id", "left_semi"), "alloc", "duration", "source")
+
+
+def frames(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return e.select("user_id", "event_id", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), (F.row_number().over(w) - 1).cast("bigint").alias("frame"))
+
+
+_FRAMES = "f AS (SELECT user_id, event_id, value, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame FROM events)"
+
+
+@query(f"""WITH {_FRAMES}, n AS (SELECT user_id, count(*) AS n, greatest(1, count(*) // 3) AS k FROM f GROUP BY 1)
+SELECT user_id, i AS sample_id, CASE WHEN k = 1 THEN 0 WHEN i = k - 1 THEN n - 1 ELSE round_even(i * ((n - 1)::DOUBLE / (k - 1)), 0)::BIGINT END AS frame FROM (SELECT *, unnest(generate_series(0, k - 1)) AS i FROM n)""")
+def q22_sample_indices(spark, sf_dir):
+    n = frames(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n"))
+    return n.select("user_id", F.posexplode(vectors.sample_indices(F.col("n"), F.lit(3))).alias("sample_id", "frame")).select("user_id", F.col("sample_id").cast("bigint").alias("sample_id"), "frame")
+
+
+@query(f"WITH {_FRAMES} SELECT user_id, frame, frame // 2 AS visual_frame_id, value FROM f WHERE frame % 2 = 0")
+def q23_even_frames(spark, sf_dir):
+    return trajectory.even_frames(frames(spark, sf_dir), "frame").select("user_id", "frame", "visual_frame_id", "value")
+
+
+@query(f"""WITH {_FRAMES}, s AS (SELECT user_id, frame, abs(value - lag(value) OVER w) * 30 AS raw FROM f WINDOW w AS (PARTITION BY user_id ORDER BY frame)),
+p AS (SELECT user_id, coalesce(raw, lead(raw) OVER (PARTITION BY user_id ORDER BY frame), 0) AS speed FROM s)
+SELECT user_id, round(avg((speed < 600)::INT), 6) AS static, round(avg((speed > 3000)::INT), 6) AS extreme FROM p GROUP BY 1""")
+def q24_speed_fractions(spark, sf_dir):
+    f = frames(spark, sf_dir).withColumn("raw", metrics.speed(["value"], "user_id", "frame", 30.0))
+    f = f.withColumn("speed", metrics.pad_first("raw", "user_id", "frame"))
+    out = metrics.fractions(f, "user_id", {"static": F.col("speed") < 600, "extreme": F.col("speed") > 3000})
+    return out.select("user_id", R("static").alias("static"), R("extreme").alias("extreme"))
+
+
+@query(f"""WITH {_FRAMES}, g AS (SELECT user_id, frame - row_number() OVER (PARTITION BY user_id ORDER BY frame) AS g FROM f WHERE value > 50), r AS (SELECT user_id, max(n) AS n FROM (SELECT user_id, g, count(*) AS n FROM g GROUP BY 1, 2) GROUP BY 1)
+SELECT user_id, coalesce(n, 0) AS longest_run FROM (SELECT DISTINCT user_id FROM f) LEFT JOIN r USING (user_id)""")
+def q25_longest_run(spark, sf_dir):
+    return metrics.longest_run(frames(spark, sf_dir), "user_id", "frame", F.col("value") > 50)
+
+
+SHARES = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
+_Q = ", ".join(f"round(quantile_cont({{0}}::DOUBLE, {s}), 6) AS {n}" for n, s in SHARES.items())
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS metric, {_Q.format(c)} FROM lineitem" for c in ("l_quantity", "l_extendedprice")))
+def q26_percentile_metrics(spark, sf_dir):
+    q = metrics.quantile_table(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice"], SHARES)
+    return q.select("metric", *(R(c).alias(c) for c in SHARES))
+
+
+_M = {"static_fraction": "doc_id * 37 % 101 / 100.0", "path_length": "doc_id * 13 % 50 / 100.0", "joint_integral": "n_chars / 100.0", "lying_fraction": "doc_id * 53 % 97 / 130.0", "floor_fraction": "doc_id * 29 % 89 / 100.0", "crawl_fraction": "doc_id * 31 % 83 / 90.0", "sitting_fraction": "doc_id * 41 % 79 / 90.0", "sit_coverage": "doc_id * 43 % 71 / 100.0", "body_speed_p99": "doc_id * 47 % 60 / 1.0", "jump_fraction": "doc_id * 59 % 67 / 700.0", "extreme_fraction": "doc_id * 61 % 73 / 900.0", "extreme_run": "doc_id * 67 % 5 / 2.0", "root_speed_p99": "doc_id * 71 % 15 / 2.0", "calibration_fraction": "doc_id * 73 % 61 / 300.0", "calibration_run": "doc_id * 79 % 7 / 4.0"}
+
+
+def _metrics(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.col("lang").alias("primary_category"))
+    return d.withColumns({n: F.expr(e).cast("double") for n, e in _M.items()})
+
+
+_METRICS = f"k AS (SELECT doc_id, lang, {', '.join(f'({e})::DOUBLE AS {n}' for n, e in _M.items())} FROM documents), th AS (SELECT quantile_cont(joint_integral, 0.05) AS j FROM k)"
+
+
+@query(f"WITH {_METRICS} SELECT round(j, 6) AS joint_threshold FROM th")
+def q27_population_threshold(spark, sf_dir):
+    t = rules.joint_threshold(_metrics(spark, sf_dir), "joint_integral")
+    return t.select(R("joint_threshold").alias("joint_threshold"))
+
+
+@query(f"""WITH {_METRICS}, b AS (SELECT doc_id,
+ static_fraction >= 0.95 AND path_length <= 0.2 AND joint_integral <= j AS r1, static_fraction >= 0.8 AS v1, lying_fraction >= 0.6 OR floor_fraction >= 0.8 AS r2, lying_fraction >= 0.2 OR floor_fraction >= 0.35 AS v2,
+ crawl_fraction >= 0.75 AND floor_fraction >= 0.6 AS r3, crawl_fraction >= 0.25 AS v3, sitting_fraction >= 0.7 AND (sit_coverage >= 0.3) AS r4, sitting_fraction >= 0.35 AS v4,
+ body_speed_p99 >= 40 AND (jump_fraction >= 0.05 OR extreme_fraction >= 0.05 OR extreme_run >= 2) AS r5, body_speed_p99 >= 25 AS v5, root_speed_p99 > 6 AS r6, root_speed_p99 > 4.5 AS v6,
+ calibration_fraction >= 0.15 AND static_fraction >= 0.8 AND calibration_run >= 1 AS r7, calibration_fraction >= 0.1 AS v7 FROM k, th),
+l AS (SELECT doc_id, list_filter([CASE WHEN r1 THEN 'reject_static_high_confidence' END, CASE WHEN r2 THEN 'reject_floor_high_confidence' END, CASE WHEN r3 THEN 'reject_crawl_high_confidence' END, CASE WHEN r4 THEN 'reject_sitting_high_confidence' END, CASE WHEN r5 OR r6 THEN 'reject_abnormal_high_confidence' END, CASE WHEN r7 THEN 'reject_calibration_high_confidence' END], lambda x: x IS NOT NULL) AS rj,
+ list_filter([CASE WHEN v1 AND NOT r1 THEN 'review_static' END, CASE WHEN v2 AND NOT r2 THEN 'review_floor_or_crouch' END, CASE WHEN v3 AND NOT r3 THEN 'review_crawl' END, CASE WHEN v4 AND NOT r4 THEN 'review_sitting' END, CASE WHEN v5 AND NOT r5 THEN 'review_body_speed' END, CASE WHEN v6 AND NOT r6 THEN 'review_root_speed' END, CASE WHEN v7 AND NOT r7 THEN 'review_calibration' END], lambda x: x IS NOT NULL) AS rv FROM b)
+SELECT doc_id, array_to_string(rj, ',') AS rejects, array_to_string(rv, ',') AS reviews, CASE WHEN len(rj) > 0 THEN 'reject_heuristic' WHEN len(rv) > 0 THEN 'review_heuristic' ELSE 'pass' END AS status, CASE WHEN len(rj) > 0 THEN rj[1] WHEN len(rv) > 1 THEN 'review_multiple_heuristics' ELSE rv[1] END AS primary_reason FROM l""")
+def q28_three_tier_decision(spark, sf_dir):
+    d = _metrics(spark, sf_dir)
+    d = d.crossJoin(F.broadcast(rules.joint_threshold(d, "joint_integral")))  # one row
+    t = rules.three_tier(F.col, F.col("joint_threshold"))
+    return d.select("doc_id", F.array_join(t["reject_reasons"], ",").alias("rejects"), F.array_join(t["review_reasons"], ",").alias("reviews"), t["heuristic_status"].alias("status"), t["primary_reason"].alias("primary_reason"))
+
+
+@query(f"""WITH {_FRAMES}, g AS (SELECT *, us / 1e6 AS t FROM f), n AS (SELECT user_id, frame, coalesce(lead(value) OVER w, value) - coalesce(lag(value) OVER w, value) AS dv, coalesce(lead(t) OVER w, t) - coalesce(lag(t) OVER w, t) AS dt FROM g WINDOW w AS (PARTITION BY user_id ORDER BY frame))
+SELECT user_id, frame, CASE WHEN dt > 0 THEN round(dv / dt, 6) + 0.0 END AS velocity FROM n""")
+def q29_central_difference(spark, sf_dir):
+    f = frames(spark, sf_dir).withColumn("t", F.col("us") / F.lit(1e6))
+    return f.select("user_id", "frame", (R(trajectory.central_difference("value", "t", "user_id", "frame")) + 0.0).alias("velocity"))
+
+
+@query("""WITH m AS (SELECT l_returnflag, l_linestatus, CASE WHEN l_linenumber % 2 = 0 THEN least(l_quantity - 2, 48 - l_quantity) ELSE 'infinity'::DOUBLE END AS margin FROM lineitem)
+SELECT l_returnflag, l_linestatus, count(*) FILTER (margin < -1e-4) AS violations, min(margin) AS min_margin FROM m GROUP BY 1, 2""")
+def q30_joint_limits(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    m = trajectory.joint_margin(F.col("l_quantity"), F.lit(2.0), F.lit(48.0), F.col("l_linenumber") % 2 == 0)
+    return li.select("l_returnflag", "l_linestatus", m.alias("margin")).groupBy("l_returnflag", "l_linestatus").agg(F.count_if(trajectory.violated(F.col("margin"))).alias("violations"), F.min("margin").alias("min_margin"))
+
+
+def _flags() -> Column:
+    return trajectory.flags({"quaternion": F.col("l_discount") > 0.09, "ik_position": F.col("l_tax") > 0.07, "joint_limit": F.col("l_quantity") > 48, "dof_speed": F.col("l_extendedprice") > 90000})
+
+
+@query("""WITH f AS (SELECT (l_discount > 0.09)::BIGINT * 2 + (l_tax > 0.07)::BIGINT * 8 + (l_quantity > 48)::BIGINT * 32 + (l_extendedprice > 90000)::BIGINT * 128 AS flags FROM lineitem)
+SELECT flags, (flags & 7) = 0 AS valid, count(*) AS n FROM f GROUP BY 1, 2""")
+def q31_quality_flags(spark, sf_dir):
+    f = table(spark, sf_dir, "lineitem").select(_flags().alias("flags"))
+    return f.withColumn("valid", trajectory.frame_valid(F.col("flags"))).groupBy("flags", "valid").agg(F.count("*").alias("n"))
+
+
+@query("""WITH g AS (SELECT l_returnflag, l_linestatus, count(*) AS frames, avg((l_discount <= 0.1)::INT) AS valid_ratio, avg((l_tax <= 0.07)::INT) AS converged_ratio, round(quantile_cont(l_discount::DOUBLE, 0.95), 6) AS position_p95, round(avg(l_tax), 6) AS rotation_mean,
+ min(least(l_quantity, 49.5 - l_quantity)) AS min_margin, max(l_tax) * 100 AS rs, max(l_quantity) AS ds FROM lineitem GROUP BY 1, 2)
+SELECT l_returnflag, l_linestatus, frames, round(valid_ratio, 6) AS valid_ratio, round(converged_ratio, 6) AS converged_ratio, position_p95, rotation_mean, min_margin,
+array_to_string(list_filter([CASE WHEN valid_ratio < 1 THEN 'invalid_frames' END, CASE WHEN converged_ratio < 0.98 THEN 'ik_not_converged' END, CASE WHEN min_margin < -1e-4 THEN 'joint_limit' END, CASE WHEN rs > 5 THEN 'root_speed' END, CASE WHEN ds > 20 THEN 'dof_speed' END], lambda x: x IS NOT NULL), ',') AS reasons,
+CASE WHEN valid_ratio < 1 THEN 'failed' WHEN converged_ratio < 0.98 OR min_margin < -1e-4 OR rs > 5 OR ds > 20 THEN 'warning' ELSE 'passed' END AS status FROM g""")
+def q32_quality_report(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").withColumns({"margin": F.least(F.col("l_quantity"), 49.5 - F.col("l_quantity")), "rs": F.col("l_tax") * 100})
+    r = trajectory.quality_report(li, ["l_returnflag", "l_linestatus"], F.col("l_discount") <= 0.1, F.col("l_tax") <= 0.07, "l_discount", "l_tax", "margin", "rs", "l_quantity")
+    return r.select("l_returnflag", "l_linestatus", "frames", R("valid_ratio").alias("valid_ratio"), R("converged_ratio").alias("converged_ratio"), R("position_p95").alias("position_p95"), R("rotation_mean").alias("rotation_mean"), "min_margin", F.array_join("reasons", ",").alias("reasons"), "status")
+
+
+@query("""WITH q AS (SELECT vec_id, label, list_transform(embedding[1:4]::DOUBLE[], lambda v: v / sqrt(list_dot_product(embedding[1:4]::DOUBLE[], embedding[1:4]::DOUBLE[]))) AS q FROM embeddings),
+d AS (SELECT *, list_dot_product(q, lag(q) OVER (PARTITION BY label ORDER BY vec_id)) AS d FROM q),
+s AS (SELECT *, sum((d < 0)::INT) OVER (PARTITION BY label ORDER BY vec_id) AS turns, d AS raw FROM d)
+SELECT vec_id, CASE WHEN coalesce(turns, 0) % 2 = 1 THEN -1 ELSE 1 END AS sign, round(2 * acos(least(1, abs(raw))), 6) AS angle FROM s""")
+def q33_quat_continuity(spark, sf_dir):
+    q = table(spark, sf_dir, "embeddings").select("vec_id", "label", vectors.unit(F.slice(F.col("embedding").cast("array<double>"), 1, 4)).alias("q"))
+    c = trajectory.continuous_quaternions(q, "q", "label", "vec_id")
+    w = Window.partitionBy("label").orderBy("vec_id")
+    return c.select("vec_id", F.when(F.col("continuous")[0] == F.col("q")[0], 1).otherwise(-1).alias("sign"), R(vectors.quaternion_angle(F.col("q"), F.lag("q").over(w))).alias("angle"))
+
+
+@query(f"""WITH {MOTIONS}, al AS (SELECT lang AS category, duration AS i, duration * 0.75 AS a, 1 AS p FROM m UNION ALL SELECT 'unknown', duration, duration * 0.25, 0 FROM m), g AS (SELECT category, count(*) AS any_count, sum(p)::BIGINT AS primary_count, round(sum(i), 6) AS inclusive, sum(a) AS a FROM al GROUP BY 1)
+SELECT category, any_count, primary_count, inclusive, round(a, 6) AS allocated, round(round(a, 6) / sum(a) OVER (), 6) AS allocated_ratio FROM g""")
+def q34_category_scope(spark, sf_dir):
+    m = motions(spark, sf_dir).withColumns({"alloc": F.create_map("lang", F.col("duration") * 0.75, F.lit("unknown"), F.col("duration") * 0.25), "inclusive": F.create_map("lang", F.col("duration"), F.lit("unknown"), F.col("duration"))})
+    return reports.category_scope(m, "inclusive", "alloc", "lang")
+
+
+@query(f"""WITH {MOTIONS}, g AS (SELECT source || '/' || lang AS subject, count(*) AS n, round(sum(duration), 6) AS seconds, list_sort(list(doc_id))[1:3] AS ids FROM m GROUP BY 1)
+SELECT subject, n, seconds, array_to_string(ids, ',') AS examples FROM g ORDER BY seconds DESC, subject LIMIT 50""")
+def q35_topn_subjects(spark, sf_dir):
+    m = motions(spark, sf_dir).withColumn("subject", F.concat_ws("/", "source", "lang"))
+    top = reports.top_groups(m, "subject", "duration", 50)
+    ids = reports.examples(m, "subject", "doc_id", 3)
+    return top.join(ids, "subject").select("subject", "n", "seconds", F.array_join(F.transform("examples", lambda x: x.cast("string")), ",").alias("examples"))
+
+
+@query(f"""WITH {MOTIONS}, l AS (SELECT doc_id, {BASIC} AS s FROM m WHERE doc_id % 3 <> 0), r AS (SELECT doc_id, CASE WHEN quality = 0 THEN 'reject_invalid_value' ELSE 'pass' END AS s FROM m WHERE doc_id % 4 <> 0)
+SELECT CASE WHEN l.doc_id IS NULL THEN 'right_only' WHEN r.doc_id IS NULL THEN 'left_only' ELSE 'both' END AS membership, l.s AS left_status, r.s AS right_status, count(*) AS n FROM l FULL JOIN r ON l.doc_id = r.doc_id GROUP BY 1, 2, 3""")
+def q36_compare_sets(spark, sf_dir):
+    m = basic_status(motions(spark, sf_dir))
+    other = m.withColumn("status", F.when(F.col("quality") == 0, "reject_invalid_value").otherwise("pass"))
+    return reports.compare_sets(m.where("doc_id % 3 <> 0"), other.where("doc_id % 4 <> 0"), "doc_id", "status")
+
+
+@query("""WITH q AS (SELECT l_orderkey, CASE WHEN max(l_discount) >= 0.09 THEN 'warning' ELSE 'passed' END AS s FROM lineitem GROUP BY 1)
+SELECT CASE WHEN s = 'passed' THEN 'generated' WHEN s IS NOT NULL THEN 'generated_with_warnings' WHEN o_orderstatus = 'F' THEN 'failed' ELSE 'pending' END AS job_status, count(*) AS n, round(sum(o_totalprice), 2) AS value FROM orders LEFT JOIN q ON o_orderkey = l_orderkey GROUP BY 1""")
+def q37_job_inventory(spark, sf_dir):
+    q = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.when(F.max("l_discount") >= 0.09, "warning").otherwise("passed").alias("quality_status"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    jobs = reports.job_inventory(o, q, o.where("o_orderstatus = 'F'"), "o_orderkey")
+    return jobs.groupBy("job_status").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("value"))
+
+
+@query("""WITH b AS (SELECT doc_id, (('0x' || substr(sha256('7:' || doc_id), 1, 16))::UBIGINT % 1009)::INT AS bucket FROM documents)
+SELECT bucket, min(doc_id) AS doc_id FROM b GROUP BY 1""")
+def q38_hash_bucket(spark, sf_dir):
+    b = table(spark, sf_dir, "documents").select("doc_id", normalize.hash_bucket(7, F.col("doc_id"), 1009).alias("bucket"))
+    return b.groupBy("bucket").agg(F.min("doc_id").alias("doc_id"))
+
+
+@query(f"""WITH {_FRAMES} SELECT user_id, count(*) AS frames, 0::BIGINT AS gaps, count(*) FILTER (frame * 2 + (event_id % 97 = 0)::INT <> 2 * frame) AS odd, 0::BIGINT AS late FROM f GROUP BY 1""")
+def q39_frame_map_check(spark, sf_dir):
+    f = frames(spark, sf_dir).withColumn("canonical", F.col("frame") * 2 + (F.col("event_id") % 97 == 0).cast("int")).withColumn("time", F.col("canonical") / F.lit(30.0))
+    return trajectory.frame_map_problems(f, "user_id", "frame", "canonical", "time")
+
+
+@query("SELECT source, lang, 'cluster_' || substr(sha1(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id::VARCHAR)), 1, 12) AS cluster_id, count(*) AS cluster_size FROM documents GROUP BY 1, 2")
+def q40_cluster_id(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").withColumn("component", F.struct("source", "lang"))
+    return dedup.cluster_name(d, "component", "doc_id").select("component.source", "component.lang", "cluster_id", "cluster_size")
