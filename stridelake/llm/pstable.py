@@ -237,7 +237,7 @@ def _search(tables: int, k: int, width: float, probes: int, top: int):
     return run
 
 
-def nearest(vectors: DataFrame, is_query: str, top: int = 20, key: str = "vec_id", vector: str = "embedding", k: int = 8, width: float = 1.6, tables: int = 10, probes: int = 500) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: str, top: int = 20, key: str = "vec_id", vector: str = "embedding", k: int = 8, width: float = 1.6, tables: int = 16, probes: int = 500) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's ``top`` largest inner products among other rows.
 
     ``is_query`` is an SQL condition on the key.  Rows are indexed in blocks; each block
