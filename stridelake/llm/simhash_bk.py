@@ -57,20 +57,22 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
 class BKForest:
     """One BK-tree per shard over ``fp``, which is sorted by ``shard``; built level by level.
 
+    ``fp`` holds one 64-bit word a node, or a row of several.
     ``edge[i]`` is the node's Hamming distance to its parent.  Children are found by
-    binary search in ``slots``, which holds ``parent * 65 + edge`` in order.
+    binary search in ``slots``, which holds ``parent * span + edge`` in order.
     """
 
     def __init__(self, shard: np.ndarray, fp: np.ndarray):
         n = len(fp)
-        self.fp = fp
+        self.fp = fp = fp.reshape(n, -1)
+        self.span = 64 * fp.shape[1] + 1 if n else 65
         first = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if n else np.zeros(0, np.int64)
         self.root = np.repeat(first, np.diff(np.r_[first, n]))
         at = self.root.copy()
         left = np.setdiff1d(np.arange(n), first, assume_unique=True)
         slots, child = [], []
         while len(left):
-            key = at[left] * 65 + np.bitwise_count(fp[left] ^ fp[at[left]])
+            key = at[left] * self.span + self._apart(left, at[left])
             taken, where, back = np.unique(key, return_index=True, return_inverse=True)
             slots.append(taken)
             child.append(left[where])
@@ -80,18 +82,21 @@ class BKForest:
         order = np.argsort(key)
         self.slots, self.child = key[order], (np.concatenate(child) if child else np.zeros(0, np.int64))[order]
 
+    def _apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.fp[i] ^ self.fp[j]).sum(axis=1, dtype=np.int64)
+
     def within(self, query: np.ndarray, radius: int):
-        """Pairs ``(i, j)`` of nodes at most ``radius`` apart, for ``i`` in ``query``; walks all trees together."""
+        """Triples ``(i, j, distance)`` of nodes at most ``radius`` apart, for ``i`` in ``query``; walks all trees together."""
         i, j, found = query, self.root[query], []
         while len(i):
-            d = np.bitwise_count(self.fp[i] ^ self.fp[j]).astype(np.int64)
+            d = self._apart(i, j)
             hit = d <= radius
-            found.append((i[hit], j[hit]))
-            low = np.searchsorted(self.slots, j * 65 + np.maximum(d - radius, 0), "left")
-            n = np.searchsorted(self.slots, j * 65 + np.minimum(d + radius, 64), "right") - low
+            found.append((i[hit], j[hit], d[hit]))
+            low = np.searchsorted(self.slots, j * self.span + np.maximum(d - radius, 0), "left")
+            n = np.searchsorted(self.slots, j * self.span + np.minimum(d + radius, self.span - 1), "right") - low
             i = np.repeat(i, n)
             j = self.child[np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(len(i))]
-        return (np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])) if found else (query[:0], query[:0])
+        return tuple(map(np.concatenate, zip(*found))) if found else (query[:0], query[:0], query[:0])
 
 
 def _shard_links(shard: np.ndarray, fp: np.ndarray, radius: int):
@@ -100,7 +105,7 @@ def _shard_links(shard: np.ndarray, fp: np.ndarray, radius: int):
     n = len(fp)
     kept_i, kept_j = [], []
     for at in range(0, n, BLOCK):
-        i, j = forest.within(np.arange(at, min(n, at + BLOCK)), radius)
+        i, j, _ = forest.within(np.arange(at, min(n, at + BLOCK)), radius)
         keep = j < i
         i, j = i[keep], j[keep]
         if len(i):

@@ -219,3 +219,34 @@ def test_mixing(spark, docs):
     assert n["a"] == pytest.approx(10_000, rel=0.05) and n["b"] == pytest.approx(30_000, rel=0.05)
     cdf = spark.range(1).select(mixing.poisson_cdf(F.lit(400.0)).alias("q")).first().q
     assert cdf.low == 160 and cdf.cdf[240] == pytest.approx(0.5132985, abs=1e-5) and cdf.cdf[-1] == pytest.approx(1.0)
+
+
+def test_near_components_at_a_similarity_against_all_pairs(spark):
+    from stridelake.llm import simhash_wide as wide
+
+    rnd = random.Random(8)
+    rows = []
+    for g in range(25):
+        base = [rnd.choice(WORDS) + str(rnd.randrange(40)) for _ in range(rnd.randrange(40, 160))]
+        for _ in range(rnd.randrange(1, 9)):
+            t = list(base)
+            for _ in range(rnd.choice([0, 1, 1, 6])):
+                t[rnd.randrange(len(t))] = "changed"
+            rows.append((len(rows), " ".join(t).upper() if g % 5 == 0 else " ".join(t)))
+    rows += [(1000, None), (1001, ""), (1002, " \t"), (1003, "one two"), (1004, "ONE  two"), (1005, rows[0][1]), (1005, rows[0][1]), (None, rows[0][1]), (None, "only here"), (1006, "word " * 50_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"key": F.lit("x"), "node": F.lit(1), "label": F.lit(2), "k": F.lit(3)}).repartition(4)
+    low = {i: i for i, _ in rows if i is not None}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for i, t in rows if i is not None}
+    same = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b) > 0
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and same(sets[a], sets[b]) and low[a] != low[b]:
+                keep, gone = sorted((low[a], low[b]))
+                low = {i: keep if c == gone else c for i, c in low.items()}
+    got = wide.near_components(docs).collect()
+    assert len(got) == len(rows)
+    assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == low
+    assert sorted(str(r.component_id) for r in got if r.doc_id is None) == ["0", "None"]
+    first = [r.doc_id for r in wide.keep_first(docs).collect()]
+    assert sorted(first, key=str) == sorted([*set(low.values()), None], key=str)
+    assert wide.near_components(docs.limit(0)).count() == 0 and wide.keep_first(docs).columns == docs.columns
