@@ -44,7 +44,8 @@ PARTS = [
     rf"(?<![\p{{L}}\p{{N}}])(?:{ADDRESS})\.? \p{{Lu}}[\p{{L}}'’]+(?:[ \-]\p{{Lu}}[\p{{L}}'’]+){{0,2}}",
 ]
 PATTERN = "|".join(f"(?:{p})" for p in PARTS)
-MAYBE = rf"[0-9@]|(?:{ADDRESS})\.? \p{{Lu}}|(?i:token|secret|passw|key)[\"']?\s{{0,3}}[=:]"
+#: Every text with a match of PATTERN has one of these.
+MAYBE = rf"[0-9@]|[a-fA-F]{{32}}|(?:{ADDRESS})\.? \p{{Lu}}|(?i:token|secret|passw(?:or)?d|key)[\"']?\s{{0,3}}[=:]"
 EXCEPTIONS = 10_000  # entities past their first attempt that travel as a literal map; more are joined
 
 

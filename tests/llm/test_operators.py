@@ -198,6 +198,18 @@ def test_surrogates(spark):
     assert pii.replace_pii(d.limit(0), "key").count() == 0
 
 
+def test_each_kind_of_entity_alone_passes_the_prefilter(spark):
+    secrets = ["password: correcthorsebattery", "passwd=hunterhunter", 'PASSWORD = "AbCdEfGhIjKl"', "token:abcdefghij", "secret' = abcdefghij", "api_key=abcdefghij", "apikey=abcdefghij", "access-key: abcdefghij", "abcdef" * 6]
+    others = ["foo.bar@mail.example", "4111 1111 1111 1111", "3782 822463 10005", "4111111111111111", "DE44500105175407324931", "10.1.2.3", "123-45-6789", "+1 (017) 555-7713", "(017) 555-7713", "017-555-7713", "ab12" * 9]
+    names = [f"{a} {b}" for a in pii.ADDRESS.split("|") for b in ("Quimby", "Ёлкин")] + ["Dr. Quimby"]
+    texts = [f"so {t} then" for t in secrets + others + names]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    left = d.where(F.col("text").rlike(pii.PATTERN) & ~F.col("text").rlike(pii.MAYBE) | ~F.col("text").rlike(pii.PATTERN)).collect()
+    assert left == []
+    got = {r.doc_id: r for r in pii.replace_pii(d, "key").collect()}
+    assert [i for i, t in enumerate(texts) if got[i].n_entities != 1 or got[i].text == t] == []
+
+
 def test_colliding_surrogates_go_on(spark, monkeypatch):
     real = pii._surrogate
     monkeypatch.setattr(pii, "_surrogate", lambda key, kind, norm, attempt: F.when(attempt == 0, F.lit("same")).otherwise(real(key, kind, norm, attempt)))
