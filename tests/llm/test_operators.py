@@ -262,3 +262,18 @@ def test_near_components_at_a_similarity_against_all_pairs(spark):
     first = [r.doc_id for r in wide.keep_first(docs).collect()]
     assert sorted(first, key=str) == sorted([*set(low.values()), None, None], key=str)
     assert wide.near_components(docs.limit(0)).count() == 0 and wide.keep_first(docs).columns == docs.columns
+
+
+def test_near_components_miss_no_link_of_short_or_long_texts(spark):
+    from stridelake.llm import simhash_wide as wide
+
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrst") for _ in range(7))
+    rows = []
+    for shared, extra in [(8, 1), (8, 2), (12, 2), (16, 4), (20, 5), (80, 20), (200, 50)]:  # five-word shingles
+        for _ in range(60):
+            w = [word() for _ in range(shared + 4)]
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(w + [word() for _ in range(extra)]))]
+    assert {wide.similarity(wide.shingle_set(rows[i][1]), wide.shingle_set(rows[i + 1][1])) >= 0.8 for i in range(0, len(rows), 2)} == {True}
+    got = dict(map(tuple, wide.near_components(spark.createDataFrame(rows, "doc_id int, text string")).collect()))
+    assert [i for i in range(0, len(rows), 2) if got[i] != i or got[i + 1] != i] == []
