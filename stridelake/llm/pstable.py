@@ -185,7 +185,7 @@ BLOCK = 32_768  # rows that a task indexes
 QUERIES = 16_384  # queries that a task answers
 
 
-def _search(tables: int, k: int, width: float, probes: int, top: int):
+def _search(tables: int, k: int, width: float, probes: int, top: int, exact: bool = False):
     shifts = np.array(list(itertools.product((0, -1, 1), repeat=k)), dtype=np.int64)
 
     def run(group: pa.Table) -> pa.Table:
@@ -206,13 +206,13 @@ def _search(tables: int, k: int, width: float, probes: int, top: int):
             hashing = Tables(y.shape[1], k, width, tables)
             move = (shifts * hashing.radix).sum(axis=1)
             index = []
-            for t in range(tables):
+            for t in range(0 if exact else tables):
                 keys = hashing.key(np.floor(hashing.place(y, t)))
                 o = np.argsort(keys, kind="stable")
                 index.append((keys[o], o))
             for at in range(0, len(q), 256):
                 part = z[at : at + 256]
-                near = np.zeros((len(part), len(x)), bool)
+                near = np.full((len(part), len(x)), exact)
                 for t, (keys, o) in enumerate(index):
                     place = hashing.place(part, t)
                     cell = np.floor(place)
@@ -246,7 +246,9 @@ def nearest(vectors: DataFrame, is_query: str, top: int = 20, key: str = "vec_id
     exact product on the original vectors.  Ties go to the smaller id.  Vectors that are null,
     empty or zero or hold a null or non-finite number, and null keys, take no part; vectors of
     another length than the query's are no candidates.  Rows that repeat a key count as that key
-    once, by their largest product.  A query that finds nothing has no rows.
+    once, by their largest product.  A query with fewer than ``top`` hits in its buckets, as
+in a small table, is answered again by an exact scan of the vectors of its length; only a query
+without any candidate has no rows.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "nearest")
@@ -258,10 +260,17 @@ def nearest(vectors: DataFrame, is_query: str, top: int = 20, key: str = "vec_id
     blocks, parts = F.ceil(F.col("n") / BLOCK).cast("int"), F.ceil(F.col("m") / QUERIES).cast("int")
     own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    base = rows.where("m > 0").select("id", "x", "d", "q", "scale", own(blocks).alias("b0"), own(parts).alias("p0"), blocks.alias("b1"), parts.alias("p1"))
+    base = rows.where("m > 0").select("id", "x", "d", "q", "n", "scale", own(blocks).alias("b0"), own(parts).alias("p0"), blocks.alias("b1"), parts.alias("p1"))
     data = base.select("id", "x", "d", F.lit(False).alias("is_query"), "scale", F.col("b0").alias("b"), every(F.col("p1")).alias("p"))
     asks = base.where("q").select("id", "x", "d", F.lit(True).alias("is_query"), "scale", every(F.col("b1")).alias("b"), F.col("p0").alias("p"))
     found = data.union(asks).groupBy("d", "b", "p").applyInArrow(_search(tables, k, width, probes, top), "query_id bigint, vec_id bigint, score double")
     found = scratch.keep(found, "found").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    hits = found.groupBy("query_id").agg(F.count("*").alias("hits"))
+    short = base.where("q").select("id", "d", "n").join(hits, F.col("id") == F.col("query_id"), "left")
+    short = scratch.keep(short.where(F.coalesce("hits", F.lit(0)) < F.least(F.lit(top), F.col("n") - 1)).select("id", "d").distinct(), "short")
+    if not short.isEmpty():
+        again = data.join(short.select("d").distinct(), "d", "left_semi").select(*data.columns).union(asks.join(short.select("id").distinct(), "id", "left_semi").select(*data.columns))
+        again = again.groupBy("d", "b", "p").applyInArrow(_search(tables, k, width, probes, top, True), "query_id bigint, vec_id bigint, score double")
+        found = found.union(scratch.keep(again, "again").select("query_id", "vec_id", "score")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

@@ -159,6 +159,14 @@ def test_nearest_recall_and_contract(spark):
     assert {r.query_id for r in got} == set(range(0, 400, 20))
 
 
+def test_nearest_finds_all_of_few_vectors(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.standard_normal(24).tolist()) for i in range(15)] + [(100 + i, rng.standard_normal(7).tolist()) for i in range(4)] + [(200, [1.0, 2.0])]
+    got = pstable.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), "true").collect()
+    want = sorted((a, b) for a, x in rows for b, y in rows if a != b and len(x) == len(y))
+    assert sorted((r.query_id, r.vec_id) for r in got) == want
+
+
 def test_languages_and_quality_on_held_out_rows(spark):
     rnd = random.Random(8)
     sound = {"aa": ["the", "ing", "tion", "wh"], "bb": ["sch", "ung", "eit", "ß"], "cc": ["eau", "oi", "que", "é"]}
