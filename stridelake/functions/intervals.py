@@ -84,14 +84,30 @@ def fill_unlabeled(alloc: Column, policy: str, fallback: Column, unlabeled: str
 
 
 def primary_category(alloc: Column) -> Column:
-    """The category with the most seconds; ties go to the first by name; null for an empty map."""
+    """The category with the most seconds; ties go to the first by name; ``unknown`` for an empty map."""
     best = lambda a, b: F.when(a["value"] > b["value"], -1).when(a["value"] < b["value"], 1).when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
-    return F.get(F.array_sort(F.map_entries(alloc), best), F.lit(0))["key"]
+    return F.coalesce(F.get(F.array_sort(F.map_entries(alloc), best), F.lit(0))["key"], F.lit("unknown"))
 
 
-def proportions(alloc: Column) -> Column:
+def proportions(alloc: Column, duration: Column) -> Column:
+    """Shares of the duration, which add up to less than 1 where unlabelled time is ignored; empty for a duration of 0."""
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
+    return F.when(duration > 0, F.transform_values(alloc, lambda k, v: v / duration)).otherwise(none)
+
+
+def dominance(alloc: Column, duration: Column) -> Column:
+    """The primary category's share of the duration; 0 for an empty map or a duration of 0."""
+    return F.when(duration > 0, F.coalesce(F.array_max(F.map_values(alloc)), F.lit(0.0)) / duration).otherwise(F.lit(0.0))
+
+
+def conserved(alloc: Column, duration: Column) -> Column:
+    """The allocation as it is; the query fails if it doesn't add up to a positive duration.
+
+    For policies that leave no time out; tolerances are 1e-5 seconds and one in a million.
+    """
     total = F.aggregate(F.map_values(alloc), F.lit(0.0), lambda s, v: s + v)
-    return F.when(total > 0, F.transform_values(alloc, lambda k, v: v / total)).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>")))
+    close = F.abs(total - duration) <= F.greatest(F.lit(1e-5), 1e-6 * F.greatest(F.abs(total), F.abs(duration)))
+    return F.when((duration > 0) & ~close, F.raise_error(F.lit("allocated seconds don't add up to the duration")).cast("map<string,double>")).otherwise(alloc)
 
 
 def entropy(props: Column) -> Column:

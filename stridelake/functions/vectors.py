@@ -81,3 +81,22 @@ def sample_indices(n: Column, skip: Column) -> Column:
     step = (n - 1) / (k - 1).cast("double")
     at = F.transform(F.sequence(F.lit(0).cast("bigint"), k - 1), lambda i: F.when(i == k - 1, (n - 1).cast("bigint")).otherwise(F.rint(i * step).cast("bigint")))
     return F.when(k <= 1, F.array(F.lit(0).cast("bigint"))).otherwise(at)
+
+
+def spread_indices(n: Column, points: int) -> Column:
+    """``points`` indices spread evenly over 0..n-1, halves to even; repeated where there are fewer; none for ``n`` of 0."""
+    last = (n - 1).cast("bigint")
+    at = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.when(i == points - 1, last).otherwise(F.rint(i * ((n - 1) / F.lit(float(points - 1)))).cast("bigint")))
+    return F.when(n > 0, at).otherwise(F.array().cast("array<bigint>"))
+
+
+def root_descriptor(positions: Column, points: int = 32) -> Column:
+    """``points`` positions spread evenly over a sequence of positions, less the first, as one flat array."""
+    picked = F.transform(spread_indices(F.size(positions), points), lambda k: F.get(positions, k.cast("int")))
+    return F.flatten(F.transform(picked, lambda p: F.zip_with(p, F.get(picked, F.lit(0)), lambda a, b: a - b)))
+
+
+def rotate(q: Column, v: Column) -> Column:
+    """A vector turned by a unit quaternion wxyz."""
+    turned = quaternion_multiply(quaternion_multiply(q, F.array(F.lit(0.0), v[0], v[1], v[2])), F.array(q[0], -q[1], -q[2], -q[3]))
+    return F.slice(turned, 2, 3)

@@ -97,11 +97,16 @@ def center_and_normalise(sequence: Column, width: int) -> Column:
 
 
 def pair_metrics(pairs: DataFrame, records: DataFrame, key: str, vector: str, root: str, duration: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Cosine, RMS pose distance, mean root distance and duration ratio of each pair ``(a, b)``."""
+    """Cosine, RMS pose distance, mean root distance and duration ratio of each pair ``(a, b)``.
+
+    ``root`` is a flat array of positions of three numbers; their distances in space are averaged.
+    """
     side = lambda s: records.select(F.col(key).alias(s), *(F.col(c).alias(f"{c}_{s}") for c in dict.fromkeys([vector, root, duration, *carry])))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     va, vb, ra, rb, da, db = (F.col(f"{c}_{s}") for c in (vector, root, duration) for s in "ab")
-    root_distance = F.aggregate(F.zip_with(ra, rb, lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, v: s + v) / F.size(ra)
+    away = lambda f: F.aggregate(F.sequence(F.lit(0), F.lit(2)), F.lit(0.0), lambda s, k: s + F.pow(F.get(ra, f * 3 + k).cast("double") - F.get(rb, f * 3 + k).cast("double"), F.lit(2.0)))
+    frames = (F.size(ra) / 3).cast("int")
+    root_distance = F.aggregate(F.sequence(F.lit(0), frames - 1), F.lit(0.0), lambda s, f: s + F.sqrt(away(f))) / frames
     ratio = F.when(F.greatest(da, db) > 0, F.least(da, db) / F.greatest(da, db)).otherwise(F.lit(0.0))
     return both.select("a", "b", vectors.cosine(va, vb).alias("cosine"), vectors.rms_distance(va, vb).alias("pose_rms"), root_distance.alias("root_distance"), ratio.alias("duration_ratio"), *(F.col(f"{c}_{s}") for c in carry for s in "ab"))
 

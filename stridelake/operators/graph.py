@@ -10,8 +10,8 @@ from stridelake.operators.scratch import Scratch
 def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable id for each id in ``edges(a, b)``.
 
-    Returns ``(id, component)`` for ids that have an edge; ``component`` is the
-    smallest id of the component.  Alternating large-star and small-star rounds:
+    Returns ``(id, component)`` for ids that have an edge, but for the smallest of each
+    component, which is itself the ``component``.  Alternating large-star and small-star rounds:
     only minima are aggregated (they combine before the shuffle) and no
     neighbour list is ever collected, so a node with millions of links is a
     skewed join side, which adaptive execution splits.  Every round is written

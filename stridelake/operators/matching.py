@@ -12,8 +12,8 @@ def cascade_match(annotations: DataFrame, local: DataFrame) -> DataFrame:
 
     The first level with any hit decides: one hit matches, several are ambiguous and looser
     levels aren't tried.  A null key hits nothing.  If several annotations match one local
-    row, all of them become ``ambiguous_local_conflict``.  Returns ``ann_id, status, level,
-    local_id, n_candidates``.  Per level the hits of a key are only counted and their
+    row, all of them become ``ambiguous_local_conflict`` and keep its id.  Returns ``ann_id, status,
+    level, local_id, n_candidates``; ``local_id`` is the only hit, null if there are none or several.  Per level the hits of a key are only counted and their
     smallest kept, so that a key that many rows share costs a partial aggregate, not a list.
     """
     out = annotations
@@ -27,13 +27,14 @@ def cascade_match(annotations: DataFrame, local: DataFrame) -> DataFrame:
     out = out.join(claims, F.col("__local") == F.col("__claimed"), "left")
     names = F.array(*map(F.lit, LEVELS))
     status = F.when(F.col("n_candidates") == 0, "unmatched").when(F.col("n_candidates") > 1, "ambiguous").when(F.col("__claims") > 1, "ambiguous_local_conflict").otherwise(F.concat(F.lit("match_"), F.get(names, F.col("__level"))))
-    return out.select("ann_id", status.alias("status"), F.get(names, F.col("__level")).alias("level"), F.when(F.col("__claims") == 1, F.col("__local")).alias("local_id"), "n_candidates")
+    return out.select("ann_id", status.alias("status"), F.get(names, F.col("__level")).alias("level"), F.col("__local").alias("local_id"), "n_candidates")
 
 
 def local_status(matches: DataFrame, local: DataFrame) -> DataFrame:
     """``local_id, status``: matched, ambiguous (claimed more than once) or unmatched."""
-    claimed = matches.where("local_id is not null").select("local_id").distinct().withColumn("__m", F.lit(True))
-    return local.select("local_id").join(claimed, "local_id", "left").select("local_id", F.when(F.col("__m"), "matched").otherwise("unmatched").alias("status"))
+    claimed = matches.where("local_id is not null").groupBy("local_id").agg(F.count("*").alias("__n"))
+    status = F.when(F.col("__n") > 1, "ambiguous").when(F.col("__n") == 1, "matched").otherwise("unmatched")
+    return local.select("local_id").join(claimed, "local_id", "left").select("local_id", status.alias("status"))
 
 
 def match_summary(matches: DataFrame) -> DataFrame:

@@ -71,18 +71,60 @@ def lying_mask(span: Column, torso: Column, pelvis: Column, head: Column) -> Col
     return (span < 0.55) & (torso < 0.55) & (F.least(pelvis, head) < 0.28)
 
 
+def floor_mask(pelvis: Column, head: Column, limit: float = 0.28) -> Column:
+    return F.least(pelvis, head) < limit
+
+
 def crawl_mask(pelvis: Column, torso: Column, wrist: Column, knee: Column) -> Column:
     return (pelvis < 0.48) & (torso < 0.65) & (wrist < 0.30) & (knee < 0.30)
 
 
-def jump_mask(left: Column, right: Column, limit: float = 0.08) -> Column:
-    return (left > limit) & (right > limit)
+def jump_mask(lowest_foot: Column, ground: Column, limit: float = 0.08) -> Column:
+    """Whether even the lowest foot is off the ground, in metres."""
+    return lowest_foot > ground + limit
 
 
 def extreme_mask(root_speed: Column, body_speed: Column) -> Column:
     return (root_speed > 8) | (body_speed > 20)
 
 
+def motion_metrics(frames: DataFrame, seq: str, frame: str, fps: float) -> DataFrame:
+    """A row of motion metrics for each sequence, from precomputed columns of its frames.
+
+    Takes ``root_step, turn_sum, turn_mean, turn_max`` (metres and radians from the frame before, null on
+    the first), ``pelvis, head, wrist, knee`` (heights over the ground in body scales), ``span,
+    torso, knee_angle, elbow, wrist_span, wrist_drop`` (shares and degrees), ``foot, ground`` (metres).
+    Speeds of the first frame are those of the second; percentiles are over steps.
+    """
+    w = by_frame(seq, frame)
+    held = lambda c: F.coalesce(F.col(c) * fps, F.lead(F.col(c) * fps).over(w), F.lit(0.0))
+    f = frames.withColumns({"__root": held("root_step"), "__mean": held("turn_mean"), "__max": held("turn_max")})
+    still = static_mask(F.col("__root"), F.col("__mean"))
+    masks = {
+        "static": still,
+        "calibration": calibration_mask(F.col("elbow"), F.col("wrist_span"), F.col("wrist_drop"), F.col("torso")) & still,
+        "sitting": sitting_mask(F.col("pelvis"), F.col("knee_angle"), F.col("torso")),
+        "lying": lying_mask(F.col("span"), F.col("torso"), F.col("pelvis"), F.col("head")),
+        "crawl": crawl_mask(F.col("pelvis"), F.col("torso"), F.col("wrist"), F.col("knee")),
+        "floor": floor_mask(F.col("pelvis"), F.col("head")),
+        "jump": jump_mask(F.col("foot"), F.col("ground")),
+        "extreme": extreme_mask(F.col("__root"), F.col("__max")),
+    }
+    f = f.withColumns({f"__{n}": F.coalesce(m, F.lit(False)) for n, m in masks.items()})
+    p99 = lambda c: F.coalesce(F.percentile(F.col(c) * fps, 0.99), F.lit(0.0))
+    whole = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    out = f.groupBy(seq).agg(
+        *(F.avg(F.col(f"__{n}").cast("int")).alias(f"{n}_fraction") for n in masks),
+        whole("root_step").alias("path_length"),
+        whole("turn_sum").alias("joint_integral"),
+        p99("root_step").alias("root_speed_p99"),
+        p99("turn_max").alias("body_speed_p99"),
+    )
+    runs = longest_run(f, seq, frame, F.col("__calibration")).withColumnRenamed("longest_run", "__c")
+    runs = runs.join(longest_run(f, seq, frame, F.col("__extreme")).withColumnRenamed("longest_run", "extreme_run"), seq)
+    return out.join(runs, seq).withColumn("calibration_run", F.col("__c") / F.lit(float(fps))).drop("__c")
+
+
 def sampled(df: DataFrame, seq: str, frame: str, source_fps: float, target_fps: float) -> DataFrame:
     """Frames at evenly spread positions, about the target's rate; frames count from 0."""
     counts = df.groupBy(seq).agg(F.count("*").alias("__n"))

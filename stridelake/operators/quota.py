@@ -40,32 +40,47 @@ class Budget:
     subject: Limit | None = None
 
 
-def pool_durations(df: DataFrame, alloc: str, source: str) -> tuple[DataFrame, DataFrame]:
-    """Seconds of the pool by category and by source."""
+def pool_durations(df: DataFrame, alloc: str, duration: str, source: str) -> tuple[DataFrame, DataFrame]:
+    """Seconds of the pool: allocated ones by category, whole durations by source."""
     by_category = df.select(F.explode(alloc).alias("category", "seconds")).groupBy("category").agg(F.sum("seconds").alias("pool"))
-    return by_category, df.select(F.col(source).alias("source"), F.explode(F.map_values(alloc)).alias("s")).groupBy("source").agg(F.sum("s").alias("source_pool"))
+    return by_category, df.groupBy(F.col(source).alias("source")).agg(F.sum(duration).alias("source_pool"))
 
 
-def selection_scores(df: DataFrame, key: str, quality: str, alloc: str, source: str | None = None, weights: tuple[float, float, float, float] = (1.0, 1.0, 1.0, 0.3), skip_unknown: bool = False) -> DataFrame:
+def selection_scores(df: DataFrame, key: str, quality: str, alloc: str, duration: str = "duration", source: str | None = None, weights: tuple[float, float, float, float] = (1.0, 1.0, 1.0, 0.3), skip_unknown: bool = False) -> DataFrame:
     """Add ``selection_score``: quality, rarity of categories and of the source, and mixture entropy.
 
     With a source a quality of 0 or null counts as 1, as do only null ones without; rarity is
     1/sqrt(pool + 1).  Pools join by category and source, so hot ones are partial sums.
     """
     q, c, s, m = weights
-    by_category, by_source = pool_durations(df, alloc, source or key) if source else (df.select(F.explode(alloc).alias("category", "x")).groupBy("category").agg(F.sum("x").alias("pool")), None)
-    share = df.select(key, F.explode(intervals.proportions(F.col(alloc))).alias("category", "p"))
+    by_category, by_source = pool_durations(df, alloc, duration, source or key)
+    props = intervals.proportions(F.col(alloc), F.col(duration))
+    share = df.select(key, F.explode(props).alias("category", "p"))
     rare = share.join(by_category, "category").where(F.col("category") != "unknown" if skip_unknown else F.lit(True))
     rare = rare.groupBy(key).agg(F.sum(F.col("p") / F.sqrt(F.col("pool") + 1)).alias("__rare"))
     out = df.join(rare, key, "left")
     quality_value = F.coalesce(F.nullif(F.col(quality), F.lit(0.0)), F.lit(1.0)) if source else F.coalesce(F.col(quality), F.lit(1.0))
-    score = q * quality_value + c * F.coalesce("__rare", F.lit(0.0)) + m * intervals.entropy(intervals.proportions(F.col(alloc)))
+    score = q * quality_value + c * F.coalesce("__rare", F.lit(0.0)) + m * intervals.entropy(props)
     if source:
         out = out.join(by_source.withColumnRenamed("source", "__source"), F.col(source) == F.col("__source"), "left").drop("__source")
         score = score + s / F.sqrt(F.coalesce("source_pool", F.lit(0.0)) + 1)
     return out.withColumn("selection_score", F.round(score, 10)).drop("__rare", "source_pool")
 
 
+#: fixed values: the status of a row by what refused it, for either order of checks
+STATUSES = {
+    "global_first": {"global": "defer_global_budget", "category": "defer_quota_category"},
+    "category_first": {"category": "defer_category_quota", "source": "defer_source_quota", "subject": "defer_subject_quota", "global": "defer_global_budget"},
+}
+
+
+def quota_status(selected: Column, reason: Column, order: str) -> Column:
+    """``selected_candidate``, or the status that goes with the budget in the reason."""
+    what = F.substring_index(reason, "_", 1)
+    names = F.create_map(*(F.lit(x) for pair in STATUSES[order].items() for x in pair))
+    return F.when(selected, "selected_candidate").otherwise(names[what])
+
+
 def _limits(limit: Limit | None, seconds: float, count: float) -> tuple[float, float]:
     """Seconds and count that a limit allows, given the base of its ratios."""
     if limit is None:

@@ -10,21 +10,108 @@ def effective_duration(primary: Column, fallback: Column) -> Column:
     return F.coalesce(F.nullif(primary, F.lit(0.0)), F.nullif(fallback, F.lit(0.0)), F.lit(0.0))
 
 
+def _with_totals(rows: DataFrame, totals: DataFrame) -> DataFrame:
+    """Every row beside the one row of ``totals``."""
+    return rows.crossJoin(F.broadcast(totals))  # one row
+
+
+def _ratio(part: Column, whole: Column) -> Column:
+    return F.when(whole != 0, F.round(part / whole, 8)).otherwise(F.lit(0.0))
+
+
 def group_distribution(df: DataFrame, by: str, duration: str) -> DataFrame:
     """Count, seconds and shares of each group; the share is of the rounded seconds."""
     g = df.groupBy(by).agg(F.count("*").alias("n"), F.sum(duration).alias("__d"))
-    every = Window.partitionBy(F.lit(1))  # over one row a group
-    return g.select(by, "n", F.round("__d", 6).alias("seconds"), F.round(F.col("n") / F.sum("n").over(every), 6).alias("count_ratio"), F.round(F.round("__d", 6) / F.nullif(F.sum("__d").over(every), F.lit(0.0)), 6).alias("duration_ratio"))
+    both = _with_totals(g, g.agg(F.sum("n").alias("__n"), F.coalesce(F.sum("__d"), F.lit(0.0)).alias("__all")))
+    seconds = F.round("__d", 6)
+    return both.select(by, "n", seconds.alias("seconds"), _ratio(F.col("n"), F.col("__n")).alias("count_ratio"), _ratio(seconds, F.col("__all")).alias("duration_ratio"))
 
 
 def category_scope(df: DataFrame, inclusive: str, alloc: str, primary: str) -> DataFrame:
-    """Counts of any and primary, inclusive and allocated seconds, and the allocated share, by category."""
+    """Counts of any and primary, inclusive and allocated seconds and the shares of each category; a null primary is ``unknown``."""
     names = df.select(F.explode(F.map_keys(F.map_zip_with(inclusive, alloc, lambda k, a, b: F.coalesce(a, b)))).alias("category"), inclusive, alloc)
-    any_ = names.groupBy("category").agg(F.count("*").alias("any_count"), F.round(F.sum(F.coalesce(F.col(inclusive)[F.col("category")], F.lit(0.0))), 6).alias("inclusive"), F.sum(F.coalesce(F.col(alloc)[F.col("category")], F.lit(0.0))).alias("__a"))
-    first = df.where(F.col(primary).isNotNull()).groupBy(F.col(primary).alias("category")).agg(F.count("*").alias("primary_count"))
-    every = Window.partitionBy(F.lit(1))
-    both = any_.join(first, "category", "full_outer")
-    return both.select("category", F.coalesce("any_count", F.lit(0)).cast("bigint").alias("any_count"), F.coalesce("primary_count", F.lit(0)).cast("bigint").alias("primary_count"), F.coalesce("inclusive", F.lit(0.0)).alias("inclusive"), F.round(F.coalesce("__a", F.lit(0.0)), 6).alias("allocated"), F.round(F.round(F.coalesce("__a", F.lit(0.0)), 6) / F.nullif(F.sum("__a").over(every), F.lit(0.0)), 6).alias("allocated_ratio"))
+    of = lambda m: F.sum(F.coalesce(F.col(m)[F.col("category")], F.lit(0.0)))
+    any_ = names.groupBy("category").agg(F.count("*").alias("any_count"), of(inclusive).alias("__i"), of(alloc).alias("__a"))
+    first = df.groupBy(F.coalesce(primary, F.lit("unknown")).alias("category")).agg(F.count("*").alias("primary_count"))
+    both = any_.join(first, "category", "full_outer").fillna(0, ["any_count", "primary_count"]).fillna(0.0, ["__i", "__a"])
+    both = _with_totals(both, both.agg(F.sum("__a").alias("__all"), F.sum("primary_count").alias("__n")))  # a row has one primary
+    allocated = F.round("__a", 6)
+    return both.select(
+        "category",
+        "any_count",
+        "primary_count",
+        F.round("__i", 6).alias("inclusive"),
+        allocated.alias("allocated"),
+        _ratio(F.col("any_count"), F.col("__n")).alias("any_ratio"),
+        _ratio(F.col("primary_count"), F.col("__n")).alias("primary_ratio"),
+        _ratio(allocated, F.col("__all")).alias("allocated_ratio"),
+    )
+
+
+def scope_totals(df: DataFrame, alloc: str, duration: str, matched: Column) -> DataFrame:
+    """One row: sequences, seconds, how many are matched and not, and allocated seconds."""
+    whole = lambda c: F.round(F.coalesce(F.sum(c), F.lit(0.0)), 6)
+    own = F.aggregate(F.map_values(alloc), F.lit(0.0), lambda s, v: s + v)
+    n = F.count_if(F.coalesce(matched, F.lit(False)))
+    return df.agg(F.count("*").alias("sequences"), whole(F.col(duration)).alias("seconds"), n.alias("matched"), (F.count("*") - n).alias("unmatched"), whole(own).alias("allocated"))
+
+
+def stage_counts(df: DataFrame, stages: dict[str, str], known: dict[str, list[str]] | None = None) -> DataFrame:
+    """``stage, status, n``: rows by the status column of each stage, zeros for statuses that are ``known``."""
+    each = F.explode(F.array(*(F.struct(F.lit(s).alias("stage"), F.col(c).alias("status")) for s, c in stages.items())))
+    counts = df.select(each.alias("x")).select("x.*").groupBy("stage", "status").agg(F.count("*").alias("n"))
+    rows = [(s, v) for s, values in (known or {}).items() for v in values]
+    if not rows:
+        return counts
+    dim = df.sparkSession.createDataFrame(rows, "stage string, status string")
+    return dim.join(counts, ["stage", "status"], "full_outer").fillna(0, ["n"])
+
+
+def rule_statistics(df: DataFrame, rejects: str, reviews: str) -> DataFrame:
+    """``reason, reject_count, review_count, overlap_count``; overlaps are of rows with more than one reason."""
+    tagged = lambda c, kind: F.transform(c, lambda r: F.struct(r.alias("reason"), F.lit(kind).alias("kind")))
+    every = F.concat(tagged(rejects, "reject"), tagged(reviews, "review"))
+    rows = df.select(F.explode(every).alias("x"), (F.size(rejects) + F.size(reviews) > 1).alias("several")).select("x.*", "several")
+    kinds = [F.count_if(F.col("kind") == k).alias(f"{k}_count") for k in ("reject", "review")]
+    return rows.groupBy("reason").agg(*kinds, F.count_if("several").alias("overlap_count"))
+
+
+def staged(df: DataFrame, stages: dict[str, Column]) -> DataFrame:
+    """A row for each stage that a row is in, named in ``stage``; stages may overlap."""
+    return df.withColumn("stage", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(s)) for s, c in stages.items())))))
+
+
+def staged_distribution(df: DataFrame, stages: dict[str, Column], by: str, duration: str) -> DataFrame:
+    """``group_distribution`` of each stage."""
+    g = staged(df, stages).groupBy("stage", by).agg(F.count("*").alias("n"), F.sum(duration).alias("__d"))
+    both = g.join(F.broadcast(g.groupBy("stage").agg(F.sum("n").alias("__n"), F.sum("__d").alias("__all"))), "stage")  # a row a stage
+    seconds = F.round("__d", 6)
+    return both.select("stage", by, "n", seconds.alias("seconds"), _ratio(F.col("n"), F.col("__n")).alias("count_ratio"), _ratio(seconds, F.col("__all")).alias("duration_ratio"))
+
+
+def tier_presence(df: DataFrame, hits: str) -> DataFrame:
+    """``tier, n``: rows with any label of the tier."""
+    return df.select(F.explode(hits).alias("tier", "labels")).groupBy("tier").agg(F.count_if(F.size("labels") > 0).alias("n"))
+
+
+def top_labels(df: DataFrame, labels: str, n: int = 50) -> DataFrame:
+    """The ``n`` labels that most rows have; ties by name."""
+    return df.select(F.explode(labels).alias("label")).groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(n)
+
+
+def duration_summary(df: DataFrame, selected: Column, duration: str, fps: str) -> tuple[DataFrame, DataFrame]:
+    """One row of counts and seconds of selected and rejected rows, and ``fps, n`` of the selected."""
+    kept = F.coalesce(selected, F.lit(False))
+    value = F.col(duration)
+    one = df.agg(
+        F.count("*").alias("inputs"),
+        F.count_if(kept).alias("selected"),
+        F.count_if(~kept).alias("rejected"),
+        F.round(F.coalesce(F.sum(F.when(kept, value)), F.lit(0.0)), 6).alias("selected_seconds"),
+        F.round(F.min(F.when(kept, value)), 6).alias("min_selected"),
+        F.round(F.max(F.when(~kept, value)), 6).alias("max_rejected"),
+    )
+    return one, df.where(kept).groupBy(F.col(fps).alias("fps")).agg(F.count("*").alias("n"))
 
 
 def status_counts(df: DataFrame, status: str, known: list[str]) -> DataFrame:
@@ -37,9 +124,9 @@ def reason_counts(df: DataFrame, reasons: str) -> DataFrame:
     return df.select(F.explode(reasons).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-def top_groups(df: DataFrame, by: str, duration: str, n: int = 50) -> DataFrame:
-    """The ``n`` groups with the most seconds; ties by name."""
-    return df.groupBy(by).agg(F.count("*").alias("n"), F.round(F.sum(duration), 6).alias("seconds")).orderBy(F.desc("seconds"), by).limit(n)
+def top_groups(df: DataFrame, by: str, duration: str, n: int = 50, order: str = "seconds") -> DataFrame:
+    """The ``n`` groups with the most ``seconds``, or rows (``order="n"``); ties by name."""
+    return df.groupBy(by).agg(F.count("*").alias("n"), F.round(F.sum(duration), 6).alias("seconds")).orderBy(F.desc(order), by).limit(n)
 
 
 def examples(df: DataFrame, by: str, key: str, n: int = 5) -> DataFrame:

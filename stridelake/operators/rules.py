@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -48,11 +49,42 @@ def basic_rules(duration: Column, fps: Column, corrupt: Column, missing: Column,
         ("review_short", duration < limits.min_sec),
         ("defer_very_long", duration > limits.defer_max_sec),
         ("defer_long", duration > limits.max_sec),
-        ("defer_low_fps", fps < limits.target_fps - limits.fps_tolerance),
+        ("defer_low_fps", fps < limits.target_fps),
         ("defer_fps", ~fps_is_multiple(fps, limits)),
     ]
 
 
+def _plain(value: Column, digits: int = 6) -> Column:
+    """A number to so many significant digits, without zeros at the end; for magnitudes between 1e-4 and 10**digits."""
+    return F.regexp_replace(F.format_string(f"%.{digits}g", value), r"(\.[0-9]*?)0+$", "$1").substr(F.lit(1), F.lit(40))
+
+
+def basic_reason(status: Column, duration: Column, fps: Column, corrupt: Column, missing: dict[str, Column], invalid: dict[str, Column], limits: BasicLimits = BasicLimits()) -> Column:
+    """The text that goes with a basic status; ``missing`` and ``invalid`` name what is wrong."""
+    names = F.concat_ws(", ", *(F.when(c, F.lit(n)) for n, c in missing.items())) if missing else F.lit("")
+    wrong = F.concat_ws("; ", *(F.when(c, F.lit(n)) for n, c in invalid.items())) if invalid else F.lit("")
+    sec, rate = (lambda v: F.format_string("%.4f", v)), (lambda v: F.regexp_replace(_plain(v), r"\.$", ""))
+    lit = lambda v: F.lit(float(v))
+    says = {
+        "reject_corrupt": corrupt,
+        "reject_missing_field": F.concat(F.lit("missing required field(s): "), names),
+        "reject_invalid_value": wrong,
+        "review_short": F.concat(F.lit("duration="), sec(duration), F.lit("s, below minimum "), sec(lit(limits.min_sec)), F.lit("s")),
+        "defer_very_long": F.concat(F.lit("duration="), sec(duration), F.lit("s, above defer limit "), sec(lit(limits.defer_max_sec)), F.lit("s")),
+        "defer_long": F.concat(F.lit("duration="), sec(duration), F.lit("s, above v1 maximum "), sec(lit(limits.max_sec)), F.lit("s")),
+        "defer_low_fps": F.concat(F.lit("source_fps="), rate(fps), F.lit(", below target_fps="), rate(lit(limits.target_fps))),
+        "defer_fps": F.concat(F.lit("source_fps="), rate(fps), F.lit(", not an integer multiple of "), rate(lit(limits.target_fps))),
+    }
+    out = None
+    for code, text in says.items():
+        out = F.when(status == code, text) if out is None else out.when(status == code, text)
+    return out.otherwise(F.lit("passed_v1_basic_filter"))
+
+
+def magnitude_status(reasons: Column) -> Column:
+    return F.when(F.size(reasons) > 0, "reject_heuristic").otherwise("heuristic_passed")
+
+
 def heuristic_quality(motion_mean: Column, scale: float = 0.02) -> Column:
     return F.round(F.least(F.lit(1.0), motion_mean / scale), 8)
 
@@ -91,32 +123,46 @@ class TierLimits:
     calibration_review: float = 0.10
 
 
+# fixed values: the codes in the order in which a decision lists them and picks its first
+REJECTS = ["reject_floor_high_confidence", "reject_crawl_high_confidence", "reject_static_high_confidence", "reject_sitting_high_confidence", "reject_abnormal_high_confidence"]
+REVIEWS = ["review_floor_or_crouch", "review_sitting_or_squat", "review_crawling", "review_static", "review_body_speed", "review_calibration"]
+
+
 def three_tier(c, joint_threshold: Column, t: TierLimits = TierLimits()) -> dict[str, Column]:
     """Reject and review reasons, status and primary reason; ``c(name)`` gives a metric column.
 
     In each group a reject keeps the review from being tried.  Reasons stand in a fixed
-    order; more than one review without a reject is ``review_multiple_heuristics``.  Only the
-    root speed is compared strictly.
+    order, each once; more than one review without a reject is ``review_multiple_heuristics``.
+    Only the root speed is compared strictly.  ``sit_supported`` says whether labels support
+    sitting.  A null metric meets no condition.
     """
-    supported = (c("sit_coverage") >= t.sit_support) | (c("primary_category") == "sitting")
+    floor, crawl, static, sit, abnormal = REJECTS
     groups = [
-        ("reject_static_high_confidence", (c("static_fraction") >= t.static_reject) & (c("path_length") <= t.static_path) & (c("joint_integral") <= joint_threshold), "review_static", c("static_fraction") >= t.static_review),
-        ("reject_floor_high_confidence", (c("lying_fraction") >= t.lying_reject) | (c("floor_fraction") >= t.floor_reject), "review_floor_or_crouch", (c("lying_fraction") >= t.lying_review) | (c("floor_fraction") >= t.floor_review)),
-        ("reject_crawl_high_confidence", (c("crawl_fraction") >= t.crawl_reject) & (c("floor_fraction") >= t.crawl_floor), "review_crawl", c("crawl_fraction") >= t.crawl_review),
-        ("reject_sitting_high_confidence", (c("sitting_fraction") >= t.sit_reject) & supported, "review_sitting", c("sitting_fraction") >= t.sit_review),
-        ("reject_abnormal_high_confidence", (c("body_speed_p99") >= t.body_p99_reject) & ((c("jump_fraction") >= t.jump) | (c("extreme_fraction") >= t.extreme) | (c("extreme_run") >= t.run)), "review_body_speed", c("body_speed_p99") >= t.body_p99_review),
-        ("reject_abnormal_high_confidence", c("root_speed_p99") > t.root_reject, "review_root_speed", c("root_speed_p99") > t.root_review),
-        ("reject_calibration_high_confidence", (c("calibration_fraction") >= t.calibration_reject) & (c("static_fraction") >= t.calibration_static) & (c("calibration_run") >= t.calibration_run), "review_calibration", c("calibration_fraction") >= t.calibration_review),
+        (floor, (c("lying_fraction") >= t.lying_reject) | (c("floor_fraction") >= t.floor_reject), "review_floor_or_crouch", (c("lying_fraction") >= t.lying_review) | (c("floor_fraction") >= t.floor_review)),
+        (crawl, (c("crawl_fraction") >= t.crawl_reject) & (c("floor_fraction") >= t.crawl_floor), "review_crawling", c("crawl_fraction") >= t.crawl_review),
+        (static, (c("static_fraction") >= t.static_reject) & (c("path_length") <= t.static_path) & (c("joint_integral") <= joint_threshold), "review_static", c("static_fraction") >= t.static_review),
+        (sit, (c("sitting_fraction") >= t.sit_reject) & c("sit_supported"), "review_sitting_or_squat", c("sitting_fraction") >= t.sit_review),
+        (abnormal, (c("body_speed_p99") >= t.body_p99_reject) & ((c("jump_fraction") >= t.jump) | (c("extreme_fraction") >= t.extreme) | (c("extreme_run") >= t.run)), "review_body_speed", c("body_speed_p99") >= t.body_p99_review),
+        (abnormal, c("root_speed_p99") > t.root_reject, "review_body_speed", c("root_speed_p99") > t.root_review),
+        (static, (c("calibration_fraction") >= t.calibration_reject) & (c("static_fraction") >= t.calibration_static) & (c("calibration_run") >= t.calibration_run), "review_calibration", c("calibration_fraction") >= t.calibration_review),
     ]
     held = lambda x: F.coalesce(x, F.lit(False))
-    rejects = F.array_distinct(all_of([(reject, held(hard)) for reject, hard, _, _ in groups]))
-    reviews = F.array_distinct(all_of([(review, ~held(hard) & held(soft)) for _, hard, review, soft in groups]))
+    any_of = lambda conditions: reduce(Column.__or__, conditions)
+    rejects = all_of([(code, any_of([held(hard) for r, hard, _, _ in groups if r == code])) for code in REJECTS])
+    reviews = all_of([(code, any_of([~held(hard) & held(soft) for _, hard, v, soft in groups if v == code])) for code in REVIEWS])
     n, m = F.size(rejects), F.size(reviews)
-    status = F.when(n > 0, "reject_heuristic").when(m > 0, "review_heuristic").otherwise("pass")
-    primary = F.when(n > 0, F.get(rejects, F.lit(0))).when(m > 1, "review_multiple_heuristics").otherwise(F.get(reviews, F.lit(0)))
+    status = F.when(n > 0, "reject_heuristic_high_confidence").when(m > 0, "review_heuristic").otherwise("heuristic_passed")
+    primary = F.when(n > 0, F.get(rejects, F.lit(0))).when(m > 1, "review_multiple_heuristics").when(m > 0, F.get(reviews, F.lit(0))).otherwise("heuristic_passed")
     return {"reject_reasons": rejects, "review_reasons": reviews, "heuristic_status": status, "primary_reason": primary}
 
 
+def sit_support(matches: Column, coverage: Column, primary: Column, sit_labels: list[str], primary_categories: tuple[str, ...] = ("sitting",), minimum: float = TierLimits.sit_support) -> Column:
+    """Whether labels support sitting: enough coverage where a label for sitting matched, or the primary category."""
+    own = F.arrays_overlap(F.coalesce(matches, F.array().cast("array<string>")), F.array(*map(F.lit, sit_labels)).cast("array<string>"))
+    covered = F.when(own, F.coalesce(coverage, F.lit(0.0))).otherwise(F.lit(0.0))
+    return (covered >= minimum) | F.coalesce(primary.isin(*primary_categories), F.lit(False))
+
+
 def joint_threshold(df: DataFrame, metric: str, explicit: float | None = None, share: float = 0.05) -> Column | DataFrame:
     """The configured threshold, or the population's percentile as a one-row table to broadcast."""
     return F.lit(explicit) if explicit is not None else df.agg(F.percentile(F.col(metric).cast("double"), share).alias("joint_threshold"))
@@ -140,21 +186,41 @@ class Policy:
     def hits(self, labels: Column) -> Column:
         return F.create_map(*(x for t in "RCAM" for x in (F.lit(t), F.array_sort(F.array_intersect(labels, F.array(*map(F.lit, self.tiers.get(t, []))).cast("array<string>"))))))
 
-    def status(self, hits: Column, split: Column) -> Column:
+    def usable(self, split: Column) -> Column:
+        """Whether annotations of the split count; others are as good as none."""
+        return F.coalesce(split.isin(*self.splits), F.lit(False))
+
+    def status(self, hits: Column, split: Column, evidence: Column | None = None) -> Column:
+        """``evidence`` holds earlier hard matches that reject as a label of tier R does."""
         some = lambda t: F.size(hits[t]) > 0
-        return F.when(~split.isin(*self.splits) | split.isNull(), "unverified").when(some("R"), "reject").when(some("A") | some("C"), "eligible").otherwise("unverified")
+        bad = some("R") if evidence is None else some("R") | (F.size(F.coalesce(evidence, F.array().cast("array<string>"))) > 0)
+        return F.when(~self.usable(split), "unverified").when(bad, "reject").when(some("A") | some("C"), "eligible").otherwise("unverified")
 
+    def reject_seconds(self, hits: Column, seconds: Column) -> Column:
+        """Seconds of the labels of tier R that have frame events, rounded; ``seconds`` is what ``event_seconds`` gives."""
+        return F.transform_values(F.map_filter(seconds, lambda k, v: F.array_contains(hits["R"], k)), lambda k, v: F.round(v, 6))
 
-def policy_gaps(observed: DataFrame, policy: Policy) -> DataFrame:
-    """``label, n_tiers, observed`` of labels that aren't in exactly one tier or were never observed."""
+
+def policy_gaps(observed: DataFrame, policy: Policy, split: str | None = None) -> DataFrame:
+    """``label, n_tiers, observed`` of labels that aren't in exactly one tier or were never observed; only usable splits count."""
     spark = observed.sparkSession
     rows = [(label, tier) for tier, labels in policy.tiers.items() for label in labels]
     tiers = spark.createDataFrame(rows, "label string, tier string").groupBy("label").agg(F.count("*").alias("n_tiers"))
-    seen = observed.select("label").where("label is not null").distinct().withColumn("observed", F.lit(True))
+    usable = observed if split is None else observed.where(policy.usable(F.col(split)))
+    seen = usable.select("label").where("label is not null").distinct().withColumn("observed", F.lit(True))
     both = tiers.join(seen, "label", "full_outer").select("label", F.coalesce("n_tiers", F.lit(0)).cast("bigint").alias("n_tiers"), F.coalesce("observed", F.lit(False)).alias("observed"))
     return both.where("n_tiers <> 1 or not observed")
 
 
+def validate_policy(observed: DataFrame, policy: Policy, split: str | None = None) -> DataFrame:
+    """``tier, labels`` counts of a policy that covers what was observed exactly; the query fails on any gap or overlap."""
+    spark = observed.sparkSession
+    counts = spark.createDataFrame([(t, len(set(l))) for t, l in policy.tiers.items()], "tier string, labels int")
+    bad = policy_gaps(observed, policy, split).agg(F.array_sort(F.collect_list("label")).alias("bad"))  # labels of a policy are few
+    wrong = F.raise_error(F.concat(F.lit("the tiers don't cover the observed labels exactly: "), F.array_join("bad", ", "))).cast("boolean")
+    return counts.crossJoin(F.broadcast(bad)).where(F.when(F.size("bad") > 0, wrong).otherwise(True)).drop("bad")
+
+
 def split_events(events: Column, minimum: float = 0.10) -> tuple[Column, Column]:
     """Categories of events that last at least ``minimum`` seconds, and those only of shorter ones."""
     cats = lambda keep: F.array_sort(F.array_distinct(F.transform(F.filter(events, keep), lambda e: e["category"])))
@@ -162,6 +228,91 @@ def split_events(events: Column, minimum: float = 0.10) -> tuple[Column, Column]
     return long, F.array_except(cats(lambda e: e["end"] - e["start"] < minimum), long)
 
 
+def event_seconds(events: Column, minimum: float = 0.10) -> Column:
+    """``map<category, seconds>`` over the events that last at least ``minimum`` seconds, in the order of the events."""
+    long = F.filter(events, lambda e: e["end"] - e["start"] >= minimum)
+    names = F.array_sort(F.array_distinct(F.transform(long, lambda e: e["category"])))
+    total = lambda c: F.aggregate(F.filter(long, lambda e: e["category"] == c), F.lit(0.0), lambda s, e: s + (e["end"] - e["start"]))
+    return F.map_from_entries(F.transform(names, lambda c: F.struct(c, total(c))))
+
+
+# ---- final decisions: the first stage that doesn't pass a row names its status
+
+PASSED_SEMANTIC = ("semantic_passed", "babel_unmatched", "babel_ambiguous")  # fixed values
+
+
+def eligible(heuristic: Column, semantic: Column, basic: Column) -> Column:
+    """Whether an earlier selection's row goes into the next one."""
+    return F.coalesce((heuristic == "heuristic_passed") & semantic.isin(*PASSED_SEMANTIC) & (basic == "basic_passed"), F.lit(False))
+
+
+def _final(stages: list[tuple[Column, Column, Column]], otherwise: Column) -> tuple[Column, Column]:
+    status = reason = None
+    for condition, code, text in stages:
+        status = F.when(condition, code) if status is None else status.when(condition, code)
+        reason = F.when(condition, text) if reason is None else reason.when(condition, text)
+    return status.otherwise(otherwise), reason.otherwise(F.lit(None).cast("string"))
+
+
+def _of(status: Column, other: Column) -> Column:
+    return F.concat(status, F.lit(" of "), F.coalesce(other.cast("string"), F.lit("None")))
+
+
+def final_status_first(c) -> tuple[Column, Column]:
+    """Status and reason of the first selection; ``c(name)`` gives a column."""
+    return _final(
+        [
+            (c("semantic_status").startswith("reject_semantic"), c("semantic_status"), c("semantic_status_reason")),
+            (c("basic_status") != "basic_passed", c("basic_status"), c("basic_status_reason")),
+            (c("heuristic_status") != "heuristic_passed", c("heuristic_status"), c("heuristic_status_reason")),
+            (c("dedup_status") != "unique", F.lit("defer_duplicate"), _of(c("dedup_status"), c("duplicate_of"))),
+            (F.lit(True), c("quota_status"), c("quota_status_reason")),
+        ],
+        c("quota_status"),
+    )
+
+
+def _decided(c) -> list[tuple[Column, Column, Column]]:
+    return [(c("heuristic_status").isin("reject_heuristic_high_confidence", "review_heuristic"), c("heuristic_primary_reason"), F.array_join(c("heuristic_all_reasons"), "; "))]
+
+
+def _unresolved(c) -> Column:
+    return F.raise_error(F.concat(F.lit("no stage decides "), c("motion_id").cast("string"))).cast("string")
+
+
+def final_status_refined(c) -> tuple[Column, Column]:
+    """Status and reason of the selection with metric decisions; the query fails on a row that no stage decides."""
+    deferred = c("dedup_status").isin("defer_exact_duplicate", "defer_redundant_take")
+    stages = [
+        (c("semantic_status").startswith("reject_semantic"), c("semantic_status"), c("semantic_status_reason")),
+        (c("basic_status") != "basic_passed", c("basic_status"), c("basic_status_reason")),
+        *_decided(c),
+        (deferred, c("dedup_status"), _of(c("dedup_status"), c("duplicate_of"))),
+        (c("heuristic_status") == "heuristic_passed", c("quota_status"), c("quota_status_reason")),
+    ]
+    return _final(stages, _unresolved(c))
+
+
+def final_status_policy(c) -> tuple[Column, Column]:
+    """Status and reason of the selection under a label policy, a subset of the one before; fails as above."""
+    deferred = c("dedup_status").isin("defer_exact_duplicate", "defer_redundant_take")
+    passed = c("heuristic_status") == "heuristic_passed"
+    stages = [
+        (~c("in_candidate"), F.lit("defer_not_in_v3_candidate"), F.lit("not selected by frozen V3 candidate set")),
+        (c("semantic_status") != "semantic_core_eligible", c("semantic_status"), c("semantic_status_reason")),
+        (c("basic_status") != "basic_passed", c("basic_status"), c("basic_status_reason")),
+        *_decided(c),
+        (passed & deferred, c("dedup_status"), _of(c("dedup_status"), c("duplicate_of"))),
+        (passed, c("quota_status"), c("quota_status_reason")),
+    ]
+    return _final(stages, _unresolved(c))
+
+
+def snapshot(df: DataFrame, columns: list[str], suffix: str, fresh: dict[str, Column]) -> DataFrame:
+    """``columns`` kept under their names with ``suffix``; then ``fresh`` values, for the next selection to fill."""
+    return df.withColumns({f"{c}{suffix}": F.col(c) for c in columns}).withColumns(fresh)
+
+
 def hands_status(labels: Column, hits: Column, manipulation: list[str], contact: list[str], reject_phrases: list[str], review_phrases: list[str]) -> Column:
     has = lambda values, of: F.arrays_overlap(values, F.array(*map(F.lit, of)).cast("array<string>"))
     return F.when(has(labels, manipulation) | has(hits, reject_phrases), "rejected").when(has(labels, contact) | has(hits, review_phrases), "review").otherwise("core")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from stridelake.functions import vectors
+from stridelake.functions import intervals, vectors
 from stridelake.operators.metrics import by_frame
 
 FLAGS = ["nonfinite", "quaternion", "forward", "ik_position", "ik_rotation", "joint_limit", "root_speed", "dof_speed"]
@@ -39,11 +41,11 @@ def continuous_quaternions(df: DataFrame, q: str, seq: str, frame: str, out: str
     return d.withColumn("__s", sign).withColumn(out, F.transform(q, lambda v: v * F.col("__s"))).drop("__d", "__reset", "__s")
 
 
-def root_offsets(df: DataFrame, x: str, y: str, z: str, seq: str, frame: str, ground: float = 0.0) -> DataFrame:
-    """First frame at the origin of the plane, lowest frame on the ground."""
+def root_offsets(df: DataFrame, x: str, y: str, z: str, seq: str, frame: str, ground: float = 0.0, normalise: bool = True) -> DataFrame:
+    """First frame at the origin of the plane if ``normalise``; all frames raised by ``ground``."""
     w = by_frame(seq, frame)
-    whole = Window.partitionBy(seq)
-    return df.withColumns({x: F.col(x) - F.first(x).over(w), y: F.col(y) - F.first(y).over(w), z: F.col(z) - F.min(z).over(whole) + ground})
+    plane = {c: F.col(c) - F.first(c).over(w) for c in (x, y)} if normalise else {}
+    return df.withColumns(plane | {z: F.col(z) + ground})
 
 
 def joint_margin(value: Column, low: Column, high: Column, limited: Column) -> Column:
@@ -113,6 +115,12 @@ def quality_report(df: DataFrame, keys: list[str], valid: Column, converged: Col
     return report.withColumn("reasons", reasons).withColumn("status", F.when(F.col("valid_ratio") < 1, "failed").when(F.size("reasons") > 0, "warning").otherwise("passed"))
 
 
+def reconstructs(qpos: Column, root_pos: Column, root_quat: Column, dof: Column, dof_addresses: list[int], tolerance: float = 1e-6) -> Column:
+    """Whether the parts of a state are those of its generalised position."""
+    near = lambda a, b: (F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, lambda x, y: F.abs(x - y) <= tolerance + 1e-5 * F.abs(y)), lambda ok: ok)
+    return reduce(Column.__and__, (near(a, b) for a, b in zip(split_state(qpos, dof_addresses), (root_pos, root_quat, dof))))
+
+
 def validate_output(full: DataFrame, half: DataFrame, seq: str, frame: str, time: str, values: list[str], quaternion: str | None = None) -> DataFrame:
     """``seq, check, bad``: rows that break contiguity, time order, slice equality or unit length."""
     w = by_frame(seq, frame)
@@ -132,6 +140,39 @@ def task_errors(position: Column, target: Column, rotation: Column, target_rotat
     return vectors.norm(d), vectors.quaternion_angle(rotation, target_rotation)
 
 
+def largest_errors(errors: Column) -> tuple[Column, Column]:
+    """Largest distance and angle over ``array<struct<position, rotation, position_weight, rotation_weight>>``; only weights above 0 count, 0 if there are none."""
+    top = lambda v, w: F.coalesce(F.array_max(F.transform(F.filter(errors, lambda e: e[w] > 0), lambda e: e[v])), F.lit(0.0))
+    return top("position", "position_weight"), top("rotation", "rotation_weight")
+
+
+def split_velocity(qvel: Column, dof_addresses: list[int], address: int = 0) -> tuple[Column, Column, Column]:
+    """Root linear and angular velocity and joint velocities of a generalised velocity."""
+    return F.slice(qvel, address + 1, 3), F.slice(qvel, address + 4, 3), F.transform(F.array(*map(F.lit, dof_addresses)), lambda k: F.get(qvel, k))
+
+
+def off_grid(frames: DataFrame, seq: str, frame: str, time: str, fps: str, target: float = 30.0) -> DataFrame:
+    """``seq, frames, wrong_rate, off_grid``: frames whose rate isn't the target's or whose time isn't frame / target."""
+    late = F.abs(F.col(time) - F.col(frame) / F.lit(target)) > 1e-9 + 1e-5 * F.abs(F.col(frame) / F.lit(target))
+    rate = F.abs(F.col(fps) - target) > 1e-8 + 1e-5 * target
+    return frames.groupBy(seq).agg(F.count("*").alias("frames"), F.count_if(rate).alias("wrong_rate"), F.count_if(late).alias("off_grid"))
+
+
+def global_rotations(local: Column, parents: list[int]) -> Column:
+    """Rotations of a kinematic tree's joints from those relative to their parents, quaternions wxyz; a parent stands before its children.
+
+    Expressions share nothing, so the tree's depth decides the plan's size: meant for trees of a few dozen joints.
+    """
+
+    def grown(parent):
+        return lambda x: F.concat(x["done"], F.array(vectors.quaternion_multiply(F.get(x["done"], F.lit(parent)), x["own"])))
+
+    out = F.array(F.get(local, F.lit(0)))
+    for k, parent in enumerate(parents[1:], 1):
+        out = intervals.let(F.struct(out.alias("done"), F.get(local, F.lit(k)).alias("own")), grown(parent))
+    return out
+
+
 def split_state(qpos: Column, dof_addresses: list[int]) -> tuple[Column, Column, Column]:
     """Root position, root quaternion (xyzw) and joint values of a generalised position."""
     return F.slice(qpos, 1, 3), vectors.wxyz_to_xyzw(F.slice(qpos, 4, 4)), F.transform(F.array(*map(F.lit, dof_addresses)), lambda k: F.get(qpos, k))
@@ -141,6 +182,18 @@ def human_height(betas: Column) -> Column:
     return F.lit(1.66) + 0.1 * F.get(betas, F.lit(0))
 
 
-def scale_and_offset(position: Column, root: Column, scale: Column, offset: Column) -> Column:
-    """A joint scaled about the root and shifted."""
-    return F.zip_with(F.zip_with(position, root, lambda p, r: r + (p - r) * scale), offset, lambda p, o: p + o)
+def scaled_joint(position: Column, root: Column, scale: Column, root_scale: Column) -> Column:
+    """A joint scaled about the root, which is itself scaled about the origin."""
+    return F.zip_with(position, root, lambda p, r: r * root_scale + (p - r) * scale)
+
+
+def offset_joint(position: Column, rotation: Column, offset: Column, turn: Column) -> tuple[Column, Column]:
+    """Position and rotation of a joint after a turn and an offset in the turned joint's own frame."""
+    turned = vectors.quaternion_multiply(rotation, turn)
+    return F.zip_with(position, vectors.rotate(turned, offset), lambda p, o: p + o), turned
+
+
+def on_ground(df: DataFrame, seq: str, frame: str, joint: str, z: str, clearance: float = 0.1) -> DataFrame:
+    """Every frame raised so that its lowest foot, a joint named so, is ``clearance`` high; frames without feet stay."""
+    low = F.min(F.when(F.col(joint).contains("Foot") | F.col(joint).contains("foot"), F.col(z))).over(Window.partitionBy(seq, frame))
+    return df.withColumn(z, F.col(z) + F.coalesce(clearance - low, F.lit(0.0)))

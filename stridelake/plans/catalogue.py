@@ -34,7 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-FPS = "CASE doc_id % 6 WHEN 0 THEN 30.0 WHEN 1 THEN 60.0 WHEN 2 THEN 100.0 WHEN 3 THEN 120.0 WHEN 4 THEN 20.0 ELSE 29.97 END"
+FPS = "CASE doc_id % 6 WHEN 0 THEN 30.0 WHEN 1 THEN 60.0 WHEN 2 THEN 100.0 WHEN 3 THEN 120.0 WHEN 4 THEN 20.0 ELSE 29.99996 END"
 
 
 def motions(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
@@ -45,17 +45,17 @@ def motions(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
 
 MOTIONS = f"m AS (SELECT d.*, l.quality, l.toxic, n_chars::DOUBLE / 100 AS duration, ({FPS})::DOUBLE AS fps FROM documents d LEFT JOIN labels l USING (doc_id))"
 BASIC = """CASE WHEN n_chars = 0 THEN 'reject_corrupt' WHEN quality IS NULL AND doc_id % 10 = 0 THEN 'reject_missing_field' WHEN quality = 0 THEN 'reject_invalid_value'
-  WHEN duration < 2 THEN 'review_short' WHEN duration > 30 THEN 'defer_very_long' WHEN duration > 15 THEN 'defer_long' WHEN fps < 30 - 1e-4 THEN 'defer_low_fps'
-  WHEN NOT (abs(fps / 30 - round_even(fps / 30, 0)) <= 1e-4 AND round_even(fps / 30, 0) >= 1) THEN 'defer_fps' ELSE 'pass' END"""
+  WHEN duration < 2 THEN 'review_short' WHEN duration > 30 THEN 'defer_very_long' WHEN duration > 15 THEN 'defer_long' WHEN fps < 30 THEN 'defer_low_fps'
+  WHEN NOT (abs(fps / 30 - round_even(fps / 30, 0)) <= 1e-4 AND round_even(fps / 30, 0) >= 1) THEN 'defer_fps' ELSE 'basic_passed' END"""
 
 
 def basic_status(df: DataFrame) -> DataFrame:
     checks = rules.basic_rules(F.col("duration"), F.col("fps"), F.col("n_chars") == 0, F.col("quality").isNull() & (F.col("doc_id") % 10 == 0), F.coalesce(F.col("quality") == 0, F.lit(False)))
-    return df.withColumn("status", rules.first_of(checks, "pass"))
+    return df.withColumn("status", rules.first_of(checks, "basic_passed"))
 
 
 @query(f"""WITH {MOTIONS}, s AS (SELECT *, {BASIC} AS status FROM m), g AS (SELECT source || '/' || status AS grp, count(*) AS n, sum(duration) AS d FROM s GROUP BY 1)
-SELECT grp, n, round(d, 6) AS seconds, round(n / sum(n) OVER (), 6) AS count_ratio, round(round(d, 6) / sum(d) OVER (), 6) AS duration_ratio FROM g""")
+SELECT grp, n, round(d, 6) AS seconds, round(n / sum(n) OVER (), 8) AS count_ratio, round(round(d, 6) / sum(d) OVER (), 8) AS duration_ratio FROM g""")
 def q01_classify_distribution(spark, sf_dir):
     df = basic_status(motions(spark, sf_dir)).withColumn("grp", F.concat_ws("/", "source", "status"))
     return reports.group_distribution(df, "grp", "duration")
@@ -79,16 +79,17 @@ def q03_policy_tiers(spark, sf_dir):
     return df.groupBy(POLICY.status(F.col("hits"), F.col("split")).alias("status"), "split").agg(F.count("*").alias("n"))
 
 
-@query("""WITH p(label) AS (VALUES ('error'), ('es'), ('click'), ('en'), ('purchase'), ('signup'), ('fr'), ('view'), ('de')), o AS (SELECT DISTINCT event_type AS label FROM events)
+@query("""WITH p(label) AS (VALUES ('error'), ('es'), ('click'), ('en'), ('purchase'), ('signup'), ('fr'), ('view'), ('de')), o AS (SELECT DISTINCT event_type AS label FROM events WHERE user_id % 5 <> 0 OR event_type <> 'error')
 SELECT coalesce(p.label, o.label) AS label, (p.label IS NOT NULL)::BIGINT AS n_tiers, o.label IS NOT NULL AS observed FROM p FULL JOIN o ON p.label = o.label WHERE p.label IS NULL OR o.label IS NULL""")
 def q04_policy_coverage(spark, sf_dir):
-    return rules.policy_gaps(table(spark, sf_dir, "events").select(F.col("event_type").alias("label")), POLICY)
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("label"), F.expr("CASE WHEN user_id % 5 = 0 AND event_type = 'error' THEN 'test' ELSE 'train' END").alias("split"))
+    return rules.policy_gaps(e, POLICY, "split")
 
 
 @query(r"""SELECT p_partkey, trim(regexp_replace(lower(p_type), '\s+', ' ', 'g')) AS label, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS token,
-regexp_replace(regexp_replace(lower(p_brand), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') || '/' || regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS path FROM part""")
+regexp_replace(regexp_replace(lower(p_brand), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') || '/' || regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS path, lower(p_brand || '/' || p_name) AS path_text FROM part""")
 def q05_label_normalize(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", normalize.normalize_label(F.col("p_type")).alias("label"), normalize.normalize_token(F.col("p_name")).alias("token"), normalize.normalize_path(F.concat(F.lit("/"), "p_brand", F.lit("//"), "p_name")).alias("path"))
+    return table(spark, sf_dir, "part").select("p_partkey", normalize.normalize_label(F.col("p_type")).alias("label"), normalize.normalize_token(F.col("p_name")).alias("token"), normalize.normalize_path(F.concat(F.lit("/"), "p_brand", F.lit("//"), "p_name")).alias("path"), normalize.normalize_path_text(F.concat(F.lit("/"), "p_brand", F.lit("\\"), "p_name", F.lit("//"))).alias("path_text"))
 
 
 PHRASES = ["promo", "brass", "brand", "part 1", "economy", "steel"]
@@ -96,7 +97,7 @@ _FREE = r"' ' || trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '
 
 
 @query(f"""WITH t AS (SELECT p_partkey, [{_FREE.format('p_name')}, {_FREE.format('p_type')}, {_FREE.format('p_brand')}] AS vals FROM part)
-SELECT p_partkey, array_to_string(list_filter({PHRASES!r}, lambda p: len(list_filter(vals, lambda v: contains(v, ' ' || p || ' '))) > 0), ',') AS hits FROM t""")
+SELECT p_partkey, array_to_string(list_filter({sorted(PHRASES)!r}, lambda p: len(list_filter(vals, lambda v: contains(v, ' ' || p || ' '))) > 0), ',') AS hits FROM t""")
 def q06_phrase_hits(spark, sf_dir):
     values = F.array(*(normalize.free_text(F.col(c)) for c in ("p_name", "p_type", "p_brand")))
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(normalize.phrase_hits(values, PHRASES), ",").alias("hits"))
@@ -116,7 +117,7 @@ h AS (SELECT a.p_partkey AS ann_id, list(l.p_partkey) FILTER (l.k0 = a.k0) AS h0
 c AS (SELECT ann_id, coalesce(h0, h1, h2, h3) AS hits, CASE WHEN h0 IS NOT NULL THEN 'exact_path' WHEN h1 IS NOT NULL THEN 'anchor_exact' WHEN h2 IS NOT NULL THEN 'parent_stem' WHEN h3 IS NOT NULL THEN 'stem' END AS level FROM h),
 d AS (SELECT *, coalesce(len(hits), 0)::BIGINT AS n_candidates, CASE WHEN len(hits) = 1 THEN hits[1] END AS hit FROM c),
 e AS (SELECT *, count(hit) OVER (PARTITION BY hit) AS claims FROM d),
-r AS (SELECT ann_id, CASE WHEN n_candidates = 0 THEN 'unmatched' WHEN n_candidates > 1 THEN 'ambiguous' WHEN claims > 1 THEN 'ambiguous_local_conflict' ELSE 'match_' || level END AS status, level, CASE WHEN claims = 1 THEN hit END AS local_id, n_candidates FROM e)
+r AS (SELECT ann_id, CASE WHEN n_candidates = 0 THEN 'unmatched' WHEN n_candidates > 1 THEN 'ambiguous' WHEN claims > 1 THEN 'ambiguous_local_conflict' ELSE 'match_' || level END AS status, level, hit AS local_id, n_candidates FROM e)
 """
 
 
@@ -173,21 +174,39 @@ def q10_timeline_allocate(spark, sf_dir):
     return allocations(spark, sf_dir).select("user_id", F.explode("alloc").alias("category", "s")).where("s > 0.001").select("user_id", "category", R("s", 3).alias("seconds"))
 
 
-@query(f"""WITH {_SWEEP}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seconds DESC, category) AS k, sum(seconds) OVER (PARTITION BY user_id) AS total FROM al)
-SELECT user_id, category AS primary_category, round(seconds / total, 6) AS dominance FROM r WHERE k = 1""")
+@query(f"""WITH {_SWEEP}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seconds DESC, category) AS k FROM al)
+SELECT user_id, category AS primary_category, round(seconds / duration, 6) AS dominance FROM r JOIN d USING (user_id) WHERE k = 1""")
 def q11_primary_category(spark, sf_dir):
-    top = intervals.let(F.col("alloc"), lambda a: F.struct(intervals.primary_category(a).alias("c"), intervals.proportions(a)[intervals.primary_category(a)].alias("p")))
-    return allocations(spark, sf_dir).select("user_id", top.alias("t")).select("user_id", F.col("t.c").alias("primary_category"), R("t.p").alias("dominance"))
+    a = allocations(spark, sf_dir).withColumn("alloc", intervals.conserved(F.col("alloc"), F.col("duration")))
+    return a.select("user_id", intervals.primary_category(F.col("alloc")).alias("primary_category"), R(intervals.dominance(F.col("alloc"), F.col("duration"))).alias("dominance"))
 
 
-_DEDUP = """w AS (SELECT d.doc_id, source, quality, text AS ex, substr(text, 1, 24) AS nr FROM documents d LEFT JOIN labels USING (doc_id)),
+@query(f"""WITH {_SWEEP}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seconds DESC, category) AS k FROM al WHERE category <> 'unknown' AND user_id % 3 <> 0)
+SELECT user_id, coalesce(category, 'unknown') AS primary_category, round(coalesce(seconds, 0) / duration, 6) AS dominance, round(total / duration, 6) AS labelled
+FROM d LEFT JOIN r USING (user_id) LEFT JOIN (SELECT user_id, sum(seconds) AS total FROM r GROUP BY 1) USING (user_id) WHERE coalesce(k, 1) = 1""")
+def q11b_ignore_unlabelled(spark, sf_dir):
+    a = allocations(spark, sf_dir).withColumn("alloc", F.when(F.col("user_id") % 3 != 0, F.col("alloc")).otherwise(F.map_filter("alloc", lambda k, v: k == "unknown")))
+    a = a.withColumn("alloc", intervals.fill_unlabeled(F.col("alloc"), "ignore", F.lit(None)))
+    shares = intervals.proportions(F.col("alloc"), F.col("duration"))
+    labelled = F.when(F.size(shares) > 0, R(F.aggregate(F.map_values(shares), F.lit(0.0), lambda s, v: s + v)))
+    return a.select("user_id", intervals.primary_category(F.col("alloc")).alias("primary_category"), R(intervals.dominance(F.col("alloc"), F.col("duration"))).alias("dominance"), labelled.alias("labelled"))
+
+
+_NEAR = """sha1('[' || array_to_string(list_transform(CASE WHEN length(text) > 0 THEN range(32) ELSE [] END, lambda i: unicode(substr(text, 1 + CASE WHEN i = 31 THEN length(text) - 1 ELSE round_even(i * ((length(text) - 1) / 31.0::DOUBLE), 0)::BIGINT END, 1))), ',') || ']')"""
+_DEDUP = f"""w AS (SELECT d.doc_id, source, quality, text AS ex, {_NEAR} AS nr FROM documents d LEFT JOIN labels USING (doc_id)),
 x AS (SELECT *, row_number() OVER (PARTITION BY source, nr ORDER BY coalesce(quality, 0) DESC, doc_id) AS rn, row_number() OVER (PARTITION BY source, ex ORDER BY coalesce(quality, 0) DESC, doc_id) AS re,
  first_value(doc_id) OVER (PARTITION BY source, nr ORDER BY coalesce(quality, 0) DESC, doc_id) AS best FROM w),
 r AS (SELECT doc_id, source, CASE WHEN rn = 1 THEN 'unique' WHEN re > 1 THEN 'duplicate_exact' ELSE 'duplicate_near' END AS dedup_status, CASE WHEN rn > 1 THEN best END AS duplicate_of FROM x)"""
 
 
+def _near_key() -> Column:
+    """A key of the whole text: characters at 32 even places, hashed; null for null."""
+    at = lambda k: F.ascii(F.substr("text", (k + 1).cast("int"), F.lit(1)))
+    return F.when(F.col("text").isNotNull(), dedup.near_hash(F.transform(vectors.spread_indices(F.length("text"), 32), at), 1.0))
+
+
 def _deduplicated(spark, sf_dir):
-    d = motions(spark, sf_dir, F.sha1("text").alias("ex"), F.sha1(F.substring("text", 1, 24)).alias("nr")).withColumn("quality", F.col("quality").cast("double"))
+    d = motions(spark, sf_dir, F.sha1("text").alias("ex"), _near_key().alias("nr")).withColumn("quality", F.col("quality").cast("double"))
     return dedup.window_dedup(d, "source", "quality", "doc_id", "ex", "nr")
 
 
@@ -203,7 +222,7 @@ def q13_near_dedup(spark, sf_dir):
 
 def _vectors(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"), F.slice(F.col("embedding").cast("array<double>"), 1, 3).alias("root"), (F.lit(1.0) + F.col("vec_id") % 7).alias("duration"), F.col("label").alias("subject"), F.col("vec_id").cast("string").alias("hash"))
+    return e.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"), F.slice(F.col("embedding").cast("array<double>"), 1, 6).alias("root"), (F.lit(1.0) + F.col("vec_id") % 7).alias("duration"), F.col("label").alias("subject"), F.col("vec_id").cast("string").alias("hash"))
 
 
 _KNN = """v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x, 1.0 + vec_id % 7 AS dur FROM embeddings),
@@ -213,7 +232,7 @@ pr AS (SELECT DISTINCT least(i, j) AS a, greatest(i, j) AS b FROM t)"""
 
 
 @query(f"""WITH {_KNN} SELECT a, b, round(list_cosine_similarity(p.x, q.x), 6) AS cosine, round(list_distance(p.x, q.x) / 8, 6) AS pose_rms,
-round((abs(p.x[1] - q.x[1]) + abs(p.x[2] - q.x[2]) + abs(p.x[3] - q.x[3])) / 3, 6) AS root_distance, round(least(p.dur, q.dur)::DOUBLE / greatest(p.dur, q.dur), 6) AS duration_ratio
+round((list_distance(p.x[1:3], q.x[1:3]) + list_distance(p.x[4:6], q.x[4:6])) / 2, 6) AS root_distance, round(least(p.dur, q.dur)::DOUBLE / greatest(p.dur, q.dur), 6) AS duration_ratio
 FROM pr JOIN v p ON p.vec_id = a JOIN v q ON q.vec_id = b""")
 def q14_pair_metrics(spark, sf_dir):
     v = _vectors(spark, sf_dir)
@@ -240,36 +259,45 @@ def q16_components(spark, sf_dir):
     return dedup.components(v, "vec_id", dedup.near_edges(m, 0.40, 0.0, 10.0))
 
 
-@query("""WITH c AS (SELECT doc_id, lang, min(doc_id) OVER (PARTITION BY substr(text, 1, 24)) AS component, quality FROM documents LEFT JOIN labels USING (doc_id)),
+@query(f"""WITH c AS (SELECT doc_id, lang, min(doc_id) OVER (PARTITION BY {_NEAR}) AS component, quality FROM documents LEFT JOIN labels USING (doc_id)),
 k AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY coalesce(quality, 0) DESC, doc_id) AS r FROM c), s AS (SELECT *, row_number() OVER (PARTITION BY component, lang ORDER BY r) AS sr FROM k)
 SELECT doc_id, component, r AS cluster_rank, row_number() OVER (PARTITION BY component ORDER BY (sr > 1)::INT, r) <= 3 AS kept FROM s""")
 def q17_cluster_keep(spark, sf_dir):
-    d = motions(spark, sf_dir, F.substring("text", 1, 24).alias("nr"))
+    d = motions(spark, sf_dir, _near_key().alias("nr"))
     d = d.join(d.groupBy("nr").agg(F.min("doc_id").alias("component")), "nr")
     kept = dedup.keep_diverse(d, "component", "lang", [F.desc(F.coalesce("quality", F.lit(0))), F.asc("doc_id")])
     return kept.select("doc_id", "component", "cluster_rank", "kept")
 
 
-def _scored(spark, sf_dir) -> DataFrame:
+def _scored(spark, sf_dir, order: str = "category_first") -> DataFrame:
     d = motions(spark, sf_dir).withColumn("quality", F.col("quality").cast("double"))
-    d = d.withColumn("alloc", F.create_map("lang", F.col("duration") * 0.75, F.lit("unknown"), F.col("duration") * 0.25))
-    return quota.selection_scores(d, "doc_id", "quality", "alloc", "source")
+    d = d.withColumn("alloc", F.create_map("lang", F.col("duration") * 0.65, F.lit("unknown"), F.col("duration") * 0.25))  # a tenth without a label is ignored
+    if order == "global_first":
+        return quota.selection_scores(d, "doc_id", "quality", "alloc", skip_unknown=True)
+    return quota.selection_scores(d, "doc_id", "quality", "alloc", source="source")
 
 
-@query(f"""WITH {MOTIONS}, al AS (SELECT doc_id, source, lang AS c, duration * 0.75 AS s FROM m UNION ALL SELECT doc_id, source, 'unknown', duration * 0.25 FROM m),
-pc AS (SELECT c, sum(s) AS pool FROM al GROUP BY 1), ps AS (SELECT source, sum(s) AS spool FROM al GROUP BY 1)
-SELECT m.doc_id, round(coalesce(nullif(quality, 0), 1) + CASE WHEN duration > 0 THEN 0.75 / sqrt(pc.pool + 1) + 0.25 / sqrt(pu.pool + 1) ELSE 0 END + 1 / sqrt(spool + 1) + CASE WHEN duration > 0 THEN 0.3 * -(0.75 * ln(0.75 + 1e-12) + 0.25 * ln(0.25 + 1e-12)) ELSE 0 END, 6) AS score
+@query(f"""WITH {MOTIONS}, al AS (SELECT doc_id, source, lang AS c, duration * 0.65 AS s FROM m UNION ALL SELECT doc_id, source, 'unknown', duration * 0.25 FROM m),
+pc AS (SELECT c, sum(s) AS pool FROM al GROUP BY 1), ps AS (SELECT source, sum(duration) AS spool FROM m GROUP BY 1)
+SELECT m.doc_id, round(coalesce(nullif(quality, 0), 1) + CASE WHEN duration > 0 THEN 0.65 / sqrt(pc.pool + 1) + 0.25 / sqrt(pu.pool + 1) ELSE 0 END + 1 / sqrt(spool + 1) + CASE WHEN duration > 0 THEN 0.3 * -(0.65 * ln(0.65 + 1e-12) + 0.25 * ln(0.25 + 1e-12)) ELSE 0 END, 6) AS score
 FROM m JOIN pc ON pc.c = m.lang JOIN pc pu ON pu.c = 'unknown' JOIN ps ON ps.source = m.source""")
 def q18_selection_score(spark, sf_dir):
     return _scored(spark, sf_dir).select("doc_id", R("selection_score").alias("score"))
 
 
+@query(f"""WITH {MOTIONS}, pc AS (SELECT lang AS c, sum(duration * 0.65) AS pool FROM m GROUP BY 1)
+SELECT m.doc_id, round(coalesce(quality, 1) + CASE WHEN duration > 0 THEN 0.65 / sqrt(pool + 1) - 0.3 * (0.65 * ln(0.65 + 1e-12) + 0.25 * ln(0.25 + 1e-12)) ELSE 0 END, 6) AS score FROM m JOIN pc ON c = lang""")
+def q18b_selection_score_first(spark, sf_dir):
+    return _scored(spark, sf_dir, "global_first").select("doc_id", R("selection_score").alias("score"))
+
+
 BUDGET = quota.Budget(max_sec=2000.0, max_count=300, categories={"en": quota.Limit(min_sec=100, max_ratio=0.25, max_count=200), "fr": quota.Limit(min_sec=200, max_ratio=0.2), "de": quota.Limit(max_ratio=0.0), "unknown": quota.Limit(max_ratio=0.3)}, source=quota.Limit(max_ratio=0.3, count_ratio=0.3), sources={"src0": quota.Limit(max_ratio=0.1, count_ratio=0.3)}, subject=quota.Limit(max_sec=180, max_count=15))
 
 
 def _selected(spark, sf_dir, order: str) -> DataFrame:
-    d = _scored(spark, sf_dir).withColumns({"primary_category": intervals.primary_category(F.col("alloc")), "dominance": F.lit(0.75)})
-    return quota.apply_quota(d, BUDGET, order, key="doc_id", subject="lang")
+    d = _scored(spark, sf_dir, order).withColumns({"primary_category": intervals.primary_category(F.col("alloc")), "dominance": intervals.dominance(F.col("alloc"), F.col("duration"))})
+    chosen = quota.apply_quota(d, BUDGET, order, key="doc_id", subject="lang")
+    return chosen.withColumn("quota_status", quota.quota_status(F.col("quota_selected"), F.col("quota_reason"), order))
 
 
 @query()
@@ -335,7 +363,7 @@ def q26_percentile_metrics(spark, sf_dir):
     return q.select("metric", *(R(c).alias(c) for c in SHARES))
 
 
-_M = {"static_fraction": "doc_id * 37 % 101 / 100.0", "path_length": "doc_id * 13 % 50 / 100.0", "joint_integral": "n_chars / 100.0", "lying_fraction": "doc_id * 53 % 97 / 130.0", "floor_fraction": "doc_id * 29 % 89 / 100.0", "crawl_fraction": "doc_id * 31 % 83 / 90.0", "sitting_fraction": "doc_id * 41 % 79 / 90.0", "sit_coverage": "doc_id * 43 % 71 / 100.0", "body_speed_p99": "doc_id * 47 % 60 / 1.0", "jump_fraction": "doc_id * 59 % 67 / 700.0", "extreme_fraction": "doc_id * 61 % 73 / 900.0", "extreme_run": "doc_id * 67 % 5 / 2.0", "root_speed_p99": "doc_id * 71 % 15 / 2.0", "calibration_fraction": "doc_id * 73 % 61 / 300.0", "calibration_run": "doc_id * 79 % 7 / 4.0"}
+_M = {"static_fraction": "doc_id * 37 % 101 / 100.0", "path_length": "doc_id * 13 % 50 / 100.0", "joint_integral": "n_chars / 100.0", "lying_fraction": "doc_id * 53 % 97 / 130.0", "floor_fraction": "doc_id * 29 % 89 / 100.0", "crawl_fraction": "doc_id * 31 % 83 / 90.0", "sitting_fraction": "doc_id * 41 % 79 / 90.0", "soft_coverage": "doc_id * 43 % 71 / 100.0", "body_speed_p99": "doc_id * 47 % 60 / 1.0", "jump_fraction": "doc_id * 59 % 67 / 700.0", "extreme_fraction": "doc_id * 61 % 73 / 900.0", "extreme_run": "doc_id * 67 % 5 / 2.0", "root_speed_p99": "doc_id * 71 % 15 / 2.0", "calibration_fraction": "doc_id * 73 % 61 / 300.0", "calibration_run": "doc_id * 79 % 7 / 4.0"}
 
 
 def _metrics(spark, sf_dir):
@@ -343,7 +371,8 @@ def _metrics(spark, sf_dir):
     return d.withColumns({n: F.expr(e).cast("double") for n, e in _M.items()})
 
 
-_METRICS = f"k AS (SELECT doc_id, lang, {', '.join(f'({e})::DOUBLE AS {n}' for n, e in _M.items())} FROM documents), th AS (SELECT quantile_cont(joint_integral, 0.05) AS j FROM k)"
+_SOFT = "CASE doc_id % 3 WHEN 0 THEN 'sit' WHEN 1 THEN 'lie' ELSE 'sitting' END"
+_METRICS = f"k AS (SELECT doc_id, lang, {_SOFT} AS soft, {', '.join(f'({e})::DOUBLE AS {n}' for n, e in _M.items())} FROM documents), th AS (SELECT quantile_cont(joint_integral, 0.05) AS j FROM k)"
 
 
 @query(f"WITH {_METRICS} SELECT round(j, 6) AS joint_threshold FROM th")
@@ -352,18 +381,25 @@ def q27_population_threshold(spark, sf_dir):
     return t.select(R("joint_threshold").alias("joint_threshold"))
 
 
-@query(f"""WITH {_METRICS}, b AS (SELECT doc_id,
+def _three_tier(spark, sf_dir) -> tuple[DataFrame, dict[str, Column]]:
+    d = _metrics(spark, sf_dir).withColumn("sit_supported", rules.sit_support(F.array(F.expr(_SOFT)), F.col("soft_coverage"), F.col("primary_category"), ["sit", "sitting"]))
+    d = d.crossJoin(F.broadcast(rules.joint_threshold(d, "joint_integral")))  # one row
+    return d, rules.three_tier(F.col, F.col("joint_threshold"))
+
+
+_TIERS = f"""{_METRICS}, b AS (SELECT doc_id,
  static_fraction >= 0.95 AND path_length <= 0.2 AND joint_integral <= j AS r1, static_fraction >= 0.8 AS v1, lying_fraction >= 0.6 OR floor_fraction >= 0.8 AS r2, lying_fraction >= 0.2 OR floor_fraction >= 0.35 AS v2,
- crawl_fraction >= 0.75 AND floor_fraction >= 0.6 AS r3, crawl_fraction >= 0.25 AS v3, sitting_fraction >= 0.7 AND (sit_coverage >= 0.3) AS r4, sitting_fraction >= 0.35 AS v4,
+ crawl_fraction >= 0.75 AND floor_fraction >= 0.6 AS r3, crawl_fraction >= 0.25 AS v3, sitting_fraction >= 0.7 AND ((soft IN ('sit', 'sitting') AND soft_coverage >= 0.3) OR lang = 'sitting') AS r4, sitting_fraction >= 0.35 AS v4,
  body_speed_p99 >= 40 AND (jump_fraction >= 0.05 OR extreme_fraction >= 0.05 OR extreme_run >= 2) AS r5, body_speed_p99 >= 25 AS v5, root_speed_p99 > 6 AS r6, root_speed_p99 > 4.5 AS v6,
  calibration_fraction >= 0.15 AND static_fraction >= 0.8 AND calibration_run >= 1 AS r7, calibration_fraction >= 0.1 AS v7 FROM k, th),
-l AS (SELECT doc_id, list_filter([CASE WHEN r1 THEN 'reject_static_high_confidence' END, CASE WHEN r2 THEN 'reject_floor_high_confidence' END, CASE WHEN r3 THEN 'reject_crawl_high_confidence' END, CASE WHEN r4 THEN 'reject_sitting_high_confidence' END, CASE WHEN r5 OR r6 THEN 'reject_abnormal_high_confidence' END, CASE WHEN r7 THEN 'reject_calibration_high_confidence' END], lambda x: x IS NOT NULL) AS rj,
- list_filter([CASE WHEN v1 AND NOT r1 THEN 'review_static' END, CASE WHEN v2 AND NOT r2 THEN 'review_floor_or_crouch' END, CASE WHEN v3 AND NOT r3 THEN 'review_crawl' END, CASE WHEN v4 AND NOT r4 THEN 'review_sitting' END, CASE WHEN v5 AND NOT r5 THEN 'review_body_speed' END, CASE WHEN v6 AND NOT r6 THEN 'review_root_speed' END, CASE WHEN v7 AND NOT r7 THEN 'review_calibration' END], lambda x: x IS NOT NULL) AS rv FROM b)
-SELECT doc_id, array_to_string(rj, ',') AS rejects, array_to_string(rv, ',') AS reviews, CASE WHEN len(rj) > 0 THEN 'reject_heuristic' WHEN len(rv) > 0 THEN 'review_heuristic' ELSE 'pass' END AS status, CASE WHEN len(rj) > 0 THEN rj[1] WHEN len(rv) > 1 THEN 'review_multiple_heuristics' ELSE rv[1] END AS primary_reason FROM l""")
+l AS (SELECT doc_id, list_filter([CASE WHEN r2 THEN 'reject_floor_high_confidence' END, CASE WHEN r3 THEN 'reject_crawl_high_confidence' END, CASE WHEN r1 OR r7 THEN 'reject_static_high_confidence' END, CASE WHEN r4 THEN 'reject_sitting_high_confidence' END, CASE WHEN r5 OR r6 THEN 'reject_abnormal_high_confidence' END], lambda x: x IS NOT NULL) AS rj,
+ list_filter([CASE WHEN v2 AND NOT r2 THEN 'review_floor_or_crouch' END, CASE WHEN v4 AND NOT r4 THEN 'review_sitting_or_squat' END, CASE WHEN v3 AND NOT r3 THEN 'review_crawling' END, CASE WHEN v1 AND NOT r1 THEN 'review_static' END, CASE WHEN (v5 AND NOT r5) OR (v6 AND NOT r6) THEN 'review_body_speed' END, CASE WHEN v7 AND NOT r7 THEN 'review_calibration' END], lambda x: x IS NOT NULL) AS rv FROM b)
+"""
+
+
+@query(f"""WITH {_TIERS}SELECT doc_id, array_to_string(rj, ',') AS rejects, array_to_string(rv, ',') AS reviews, CASE WHEN len(rj) > 0 THEN 'reject_heuristic_high_confidence' WHEN len(rv) > 0 THEN 'review_heuristic' ELSE 'heuristic_passed' END AS status, CASE WHEN len(rj) > 0 THEN rj[1] WHEN len(rv) > 1 THEN 'review_multiple_heuristics' WHEN len(rv) = 1 THEN rv[1] ELSE 'heuristic_passed' END AS primary_reason FROM l""")
 def q28_three_tier_decision(spark, sf_dir):
-    d = _metrics(spark, sf_dir)
-    d = d.crossJoin(F.broadcast(rules.joint_threshold(d, "joint_integral")))  # one row
-    t = rules.three_tier(F.col, F.col("joint_threshold"))
+    d, t = _three_tier(spark, sf_dir)
     return d.select("doc_id", F.array_join(t["reject_reasons"], ",").alias("rejects"), F.array_join(t["review_reasons"], ",").alias("reviews"), t["heuristic_status"].alias("status"), t["primary_reason"].alias("primary_reason"))
 
 
@@ -416,7 +452,7 @@ def q33_quat_continuity(spark, sf_dir):
 
 
 @query(f"""WITH {MOTIONS}, al AS (SELECT lang AS category, duration AS i, duration * 0.75 AS a, 1 AS p FROM m UNION ALL SELECT 'unknown', duration, duration * 0.25, 0 FROM m), g AS (SELECT category, count(*) AS any_count, sum(p)::BIGINT AS primary_count, round(sum(i), 6) AS inclusive, sum(a) AS a FROM al GROUP BY 1)
-SELECT category, any_count, primary_count, inclusive, round(a, 6) AS allocated, round(round(a, 6) / sum(a) OVER (), 6) AS allocated_ratio FROM g""")
+SELECT category, any_count, primary_count, inclusive, round(a, 6) AS allocated, round(any_count / sum(primary_count) OVER (), 8) AS any_ratio, round(primary_count / sum(primary_count) OVER (), 8) AS primary_ratio, round(round(a, 6) / sum(a) OVER (), 8) AS allocated_ratio FROM g""")
 def q34_category_scope(spark, sf_dir):
     m = motions(spark, sf_dir).withColumns({"alloc": F.create_map("lang", F.col("duration") * 0.75, F.lit("unknown"), F.col("duration") * 0.25), "inclusive": F.create_map("lang", F.col("duration"), F.lit("unknown"), F.col("duration"))})
     return reports.category_scope(m, "inclusive", "alloc", "lang")
@@ -431,12 +467,12 @@ def q35_topn_subjects(spark, sf_dir):
     return top.join(ids, "subject").select("subject", "n", "seconds", F.array_join(F.transform("examples", lambda x: x.cast("string")), ",").alias("examples"))
 
 
-@query(f"""WITH {MOTIONS}, l AS (SELECT doc_id, {BASIC} AS s FROM m WHERE doc_id % 3 <> 0), r AS (SELECT doc_id, CASE WHEN quality = 0 THEN 'reject_invalid_value' ELSE 'pass' END AS s FROM m WHERE doc_id % 4 <> 0)
+@query(f"""WITH {MOTIONS}, b AS (SELECT doc_id, {BASIC} AS s, quality FROM m), l AS (SELECT doc_id, s FROM b WHERE s IN ('basic_passed', 'defer_low_fps', 'defer_fps')), r AS (SELECT doc_id, CASE WHEN quality = 0 THEN 'reject_invalid_value' ELSE 'pass' END AS s FROM b WHERE quality IS NOT NULL)
 SELECT CASE WHEN l.doc_id IS NULL THEN 'right_only' WHEN r.doc_id IS NULL THEN 'left_only' ELSE 'both' END AS membership, l.s AS left_status, r.s AS right_status, count(*) AS n FROM l FULL JOIN r ON l.doc_id = r.doc_id GROUP BY 1, 2, 3""")
 def q36_compare_sets(spark, sf_dir):
     m = basic_status(motions(spark, sf_dir))
     other = m.withColumn("status", F.when(F.col("quality") == 0, "reject_invalid_value").otherwise("pass"))
-    return reports.compare_sets(m.where("doc_id % 3 <> 0"), other.where("doc_id % 4 <> 0"), "doc_id", "status")
+    return reports.compare_sets(m.where(F.col("status").isin("basic_passed", "defer_low_fps", "defer_fps")), other.where("quality is not null"), "doc_id", "status")
 
 
 @query("""WITH q AS (SELECT l_orderkey, CASE WHEN max(l_discount) >= 0.09 THEN 'warning' ELSE 'passed' END AS s FROM lineitem GROUP BY 1)
@@ -449,16 +485,17 @@ def q37_job_inventory(spark, sf_dir):
 
 
 @query("""WITH b AS (SELECT doc_id, (('0x' || substr(sha256('7:' || doc_id), 1, 16))::UBIGINT % 1009)::INT AS bucket FROM documents)
-SELECT bucket, min(doc_id) AS doc_id FROM b GROUP BY 1""")
+SELECT bucket, doc_id FROM (SELECT bucket, b.doc_id, row_number() OVER (PARTITION BY bucket ORDER BY n_chars, b.doc_id) AS k FROM b JOIN documents USING (doc_id)) WHERE k = 1""")
 def q38_hash_bucket(spark, sf_dir):
-    b = table(spark, sf_dir, "documents").select("doc_id", normalize.hash_bucket(7, F.col("doc_id"), 1009).alias("bucket"))
-    return b.groupBy("bucket").agg(F.min("doc_id").alias("doc_id"))
+    return normalize.first_in_bucket(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id", ["n_chars"], 7, 1009)
 
 
-@query(f"""WITH {_FRAMES} SELECT user_id, count(*) AS frames, 0::BIGINT AS gaps, count(*) FILTER (frame * 2 + (event_id % 97 = 0)::INT <> 2 * frame) AS odd, 0::BIGINT AS late FROM f GROUP BY 1""")
+@query(f"""WITH {_FRAMES}, g AS (SELECT *, frame + (user_id % 7 = 0)::INT AS visual, frame * 2 + (event_id % 97 = 0)::INT AS canonical FROM f)
+SELECT user_id, count(*) AS frames, count(*) FILTER (visual <> frame) AS gaps, count(*) FILTER (canonical <> 2 * frame) AS odd, count(*) FILTER (abs(canonical / 30 + (event_id % 83 = 0)::INT * 1e-6 - canonical / 30) > 1e-9) AS late FROM g GROUP BY 1""")
 def q39_frame_map_check(spark, sf_dir):
-    f = frames(spark, sf_dir).withColumn("canonical", F.col("frame") * 2 + (F.col("event_id") % 97 == 0).cast("int")).withColumn("time", F.col("canonical") / F.lit(30.0))
-    return trajectory.frame_map_problems(f, "user_id", "frame", "canonical", "time")
+    f = frames(spark, sf_dir).withColumn("canonical", F.col("frame") * 2 + (F.col("event_id") % 97 == 0).cast("int")).withColumn("time", F.col("canonical") / F.lit(30.0) + (F.col("event_id") % 83 == 0).cast("int") * F.lit(1e-6))
+    f = f.withColumn("visual", F.col("frame") + (F.col("user_id") % 7 == 0).cast("int"))
+    return trajectory.frame_map_problems(f, "user_id", "visual", "canonical", "time")
 
 
 @query("SELECT source, lang, 'cluster_' || substr(sha1(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id::VARCHAR)), 1, 12) AS cluster_id, count(*) AS cluster_size FROM documents GROUP BY 1, 2")

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from stridelake.plans import catalogue
+from stridelake.plans import audit, catalogue  # noqa: F401  audit adds to the catalogue
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables here")

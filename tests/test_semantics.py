@@ -22,7 +22,7 @@ def one(df):
 def test_timeline(spark):
     d = spark.createDataFrame([(10.0, [("A", 0.0, 4.0), ("B", 2.0, 6.0)])], f"d double, a {ACTIONS}")
     alloc = intervals.allocated(intervals.segments(F.col("a"), F.col("d")))
-    r = one(d.select(alloc.alias("m"), intervals.primary_category(alloc).alias("p"), intervals.entropy(intervals.proportions(alloc)).alias("h")))
+    r = one(d.select(alloc.alias("m"), intervals.primary_category(alloc).alias("p"), intervals.entropy(intervals.proportions(alloc, F.col("d"))).alias("h")))
     assert r.m == {"A": 3.0, "B": 3.0, "unknown": 4.0} and r.p == "unknown" and r.h == pytest.approx(1.0888999753)
     filled = intervals.fill_unlabeled(alloc, "fill_with_primary_seq_label", F.lit("A"))
     assert one(d.select(filled.alias("m"))).m == {"A": 7.0, "B": 3.0}
@@ -52,22 +52,22 @@ def test_coverage_of_touching_intervals(spark):
     assert one(d.select(intervals.coverage(F.col("iv"), F.col("d")).alias("c"))).c == 0.5
 
 
-@pytest.mark.parametrize("sec,fps,status", [(1.0, 7.0, "review_short"), (20.0, 30.0, "defer_long"), (31.0, 30.0, "defer_very_long"), (10.0, 100.0, "defer_fps"), (10.0, 20.0, "defer_low_fps"), (10.0, 120.0, "pass")])
+@pytest.mark.parametrize("sec,fps,status", [(1.0, 7.0, "review_short"), (20.0, 30.0, "defer_long"), (31.0, 30.0, "defer_very_long"), (10.0, 100.0, "defer_fps"), (10.0, 20.0, "defer_low_fps"), (10.0, 120.0, "basic_passed"), (10.0, 29.99995, "defer_low_fps"), (10.0, 30.002, "basic_passed")])
 def test_basic_order(spark, sec, fps, status):
     no = F.lit(False)
-    assert one(spark.range(1).select(rules.first_of(rules.basic_rules(F.lit(sec), F.lit(fps), no, no, no), "pass").alias("s"))).s == status
+    assert one(spark.range(1).select(rules.first_of(rules.basic_rules(F.lit(sec), F.lit(fps), no, no, no), "basic_passed").alias("s"))).s == status
 
 
-BASE = dict.fromkeys(["static_fraction", "path_length", "joint_integral", "lying_fraction", "floor_fraction", "crawl_fraction", "sitting_fraction", "sit_coverage", "body_speed_p99", "jump_fraction", "extreme_fraction", "extreme_run", "root_speed_p99", "calibration_fraction", "calibration_run"], 0.0)
+BASE = dict.fromkeys(["static_fraction", "path_length", "joint_integral", "lying_fraction", "floor_fraction", "crawl_fraction", "sitting_fraction", "body_speed_p99", "jump_fraction", "extreme_fraction", "extreme_run", "root_speed_p99", "calibration_fraction", "calibration_run"], 0.0)
 
 
 @pytest.mark.parametrize(
     "change,primary",
-    [({"lying_fraction": 0.65}, "reject_floor_high_confidence"), ({"lying_fraction": 0.25}, "review_floor_or_crouch"), ({"floor_fraction": 0.36, "static_fraction": 0.85}, "review_multiple_heuristics"), ({"body_speed_p99": 45.0}, "review_body_speed"), ({"root_speed_p99": 6.0}, "review_root_speed"), ({"root_speed_p99": 6.01}, "reject_abnormal_high_confidence"), ({}, None)],
+    [({"lying_fraction": 0.65}, "reject_floor_high_confidence"), ({"lying_fraction": 0.25}, "review_floor_or_crouch"), ({"floor_fraction": 0.36, "static_fraction": 0.85}, "review_multiple_heuristics"), ({"body_speed_p99": 45.0}, "review_body_speed"), ({"root_speed_p99": 6.0}, "review_body_speed"), ({"calibration_fraction": 0.2, "static_fraction": 0.8, "calibration_run": 1.0}, "reject_static_high_confidence"), ({"sitting_fraction": 0.8}, "review_sitting_or_squat"), ({"crawl_fraction": 0.3}, "review_crawling"), ({"root_speed_p99": 6.01}, "reject_abnormal_high_confidence"), ({}, "heuristic_passed")],
 )
 def test_three_tiers(spark, change, primary):
     values = {**BASE, **change}
-    c = lambda n: F.lit(values[n]) if n in values else F.lit("walk")
+    c = lambda n: F.lit(values[n]) if n in values else F.lit(False)
     assert one(spark.range(1).select(rules.three_tier(c, F.lit(0.0))["primary_reason"].alias("p"))).p == primary
 
 
@@ -88,7 +88,9 @@ def test_cascade_stops_on_ambiguity_and_reports_conflicts(spark):
     local = spark.createDataFrame([("l1", "a", "x", "p", "s"), ("l2", "b", "x", "p", "t"), ("l3", "c", "y", "q", "u")], f"local_id string, {cols}")
     ann = spark.createDataFrame([("1", "zz", "x", "p", "u"), ("2", "c", "n", "n", "n"), ("3", "n", "y", "n", "n"), ("4", None, None, None, None), ("5", "a", "n", "n", "n")], f"ann_id string, {cols}")
     got = {r.ann_id: (r.status, r.local_id) for r in matching.cascade_match(ann, local).collect()}
-    assert got == {"1": ("ambiguous", None), "2": ("ambiguous_local_conflict", None), "3": ("ambiguous_local_conflict", None), "4": ("unmatched", None), "5": ("match_exact_path", "l1")}
+    assert got == {"1": ("ambiguous", None), "2": ("ambiguous_local_conflict", "l3"), "3": ("ambiguous_local_conflict", "l3"), "4": ("unmatched", None), "5": ("match_exact_path", "l1")}
+    ends = {r.local_id: r.status for r in matching.local_status(matching.cascade_match(ann, local), local).collect()}
+    assert ends == {"l1": "matched", "l2": "unmatched", "l3": "ambiguous"}
 
 
 @pytest.mark.parametrize("subjects,kept", [("xxyz", [1, 3, 4]), ("xxxx", [1, 2, 3])])
