@@ -25,9 +25,18 @@ def local_session(app: str = "stridelake", cores: int | str = "*", shuffle_parti
     )
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors, once a context, so that they need no installation of it."""
+    """Send this package to the executors, once a context, so that they need no installation of it.
+
+    Arrow batches hold 4 MB then, unless the session has another limit than Spark's own of 64 MB:
+    rows here are whole texts, and a worker holds a batch more than once.
+    """
     context = spark.sparkContext
+    if spark.conf.get(BATCH_BYTES).rstrip("b") == str(64 << 20):
+        spark.conf.set(BATCH_BYTES, str(4 << 20))
     if getattr(context, "_stridelake_shipped", False):
         return spark
     here = Path(__file__).resolve().parent
