@@ -2,12 +2,14 @@
 
 A document is a set of n-gram indicators: word 1- and 2-grams and 1- to 3-grams of
 word shapes (letters by case, digits, marks; a word that repeats the one before has
-a shape of its own).  Each indicator is scaled by the log ratio of its smoothed
-counts in the two classes; the scaled vectors, at unit length, are fitted with the
-hinge loss by dual coordinate descent; a logistic curve fitted on rows that were
-kept aside turns margins into scores.
+a shape of its own), each known by 64 bits of hash.  Each indicator is scaled by the log
+ratio of its smoothed counts in the two classes; the scaled vectors, at unit length, are
+fitted with the hinge loss by dual coordinate descent; a logistic curve fitted on rows that
+were kept aside turns margins into scores.
 
-The fit uses at most ``sample`` labelled rows, those with the smallest hashed keys.
+The fit uses a bounded sample of the labelled rows, those with the smallest hashed keys: at most
+``sample`` rows and ``chars`` characters.  Executors turn them into hashes, of which
+the ``features`` most frequent are looked at; the driver holds hashes and index arrays, never texts.
 Scoring covers the whole text of every row.
 """
 
@@ -15,48 +17,93 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 SAMPLE = 4000
+CHARS = 16_000_000
 FEATURES = 200_000
-_RUNS = [(re.compile(r"[^\W\d_a-zA-Z]"), "a"), (re.compile(r"[a-z]+"), "a"), (re.compile(r"[A-Z]+"), "A"), (re.compile(r"\d+"), "0"), (re.compile(r"a+"), "a"), (re.compile(r"(\W)\1+"), r"\1\1")]
+REMEMBER = 50_000  # words, and 64 times as many characters, whose hashes a task keeps
+_C = np.random.default_rng(20250310).integers(1, 1 << 63, 5, dtype=np.uint64) | np.uint64(1)
+SAME = np.uint64(xxhash.xxh64_intdigest(b"=", 3))  # the shape of a word that repeats the one before
+
+
+def _hash(s: str, seed: int) -> int:
+    return xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"), seed)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+class _Signs(dict):
+    """Character code to its sign: A and a for letters by case, 0 for digits, itself for marks."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        got = self[code] = "A" if c.isupper() else "0" if c.isdecimal() else "a" if c.isalnum() else c
+        return got
+
+
+_SIGNS = _Signs()
+_RUN, _MARKS = re.compile(r"([aA0])\1+"), re.compile(r"(\W)\1{2,}")
+
+
+def shape(word: str) -> str:
+    """A sign for each run of letters by case or of digits; of equal marks the first two."""
+    out = _RUN.sub(r"\1", word.translate(_SIGNS))
+    return out if out.isalnum() else _MARKS.sub(r"\1\1", out)
+
+
+class _Words(dict):
+    """Numbers of words, in order of arrival, with the hashes of their lower-case forms and shapes."""
+
+    def __init__(self):
+        super().__init__()
+        self.lower, self.form, self.shapes, self.chars = array("Q"), array("Q"), {}, 0
+
+    def __missing__(self, word: str) -> int:
+        s = shape(word)
+        form = self.shapes.get(s)
+        if form is None:
+            form = self.shapes[s] = _hash(s, 3)
+        self.lower.append(_hash(word.lower(), 2))
+        self.form.append(form)
+        self.chars += len(word)
+        n = self[word] = len(self)
+        return n
 
 
 class Features:
-    """n-gram indicators of a text; shapes are remembered up to a bound."""
+    """The n-gram hashes of a text; words are remembered up to a bound, which a text may pass."""
 
-    def __init__(self, remember: int = 200_000):
+    def __init__(self, remember: int = REMEMBER):
         self.remember = remember
-        self.shapes: dict[str, str] = {}
-
-    def shape(self, word: str) -> str:
-        got = self.shapes.get(word)
-        if got is None:
-            got = word if len(word) <= 64 else word[:32] + word[-32:]
-            got = "".join("A" if c.isupper() and ord(c) > 127 else c for c in got) if not got.isascii() else got
-            for pattern, to in _RUNS:
-                got = pattern.sub(to, got)
-            got = re.sub("A+", "A", got)[:16]
-            if len(self.shapes) >= self.remember:
-                self.shapes.clear()
-            self.shapes[word] = got
-        return got
+        self.words = _Words()
 
-    def of(self, text: str | None) -> set:
+    def all(self, text: str | None) -> np.ndarray:
+        """Hashes of all n-grams, repeated ones too."""
         words = (text or "").split()
-        shapes = [self.shape(w) for w in words]
-        shapes = [*shapes[:1], *("=" if a == b else s for a, b, s in zip(words, words[1:], shapes[1:]))]
-        lower = [w.lower() for w in words]
-        out: set = set(lower)
-        out.update(zip(lower, lower[1:]))
-        out.update(("s", s, "") for s in set(shapes))
-        out.update(("s", *g) for g in set(zip(shapes, shapes[1:])))
-        out.update(("s", *g) for g in set(zip(shapes, shapes[1:], shapes[2:])))
-        return out
+        if not words:
+            return np.zeros(0, np.uint64)
+        if len(self.words) > self.remember or self.words.chars > 64 * self.remember:
+            self.words = _Words()
+        at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        lower, form = (np.frombuffer(a, np.uint64)[at] for a in (self.words.lower, self.words.form))
+        form[1:][at[1:] == at[:-1]] = SAME
+        pairs = _mix(form[:-1] * _C[1] + form[1:] * _C[2])
+        threes = _mix(pairs[:-1] * _C[3] + form[2:] * _C[4])
+        return np.concatenate([lower, _mix(lower[:-1] * _C[0] + lower[1:]), form, pairs, threes])
+
+    def of(self, text: str | None) -> np.ndarray:
+        """Sorted distinct hashes of all n-grams."""
+        return np.unique(self.all(text))
 
 
 def dual_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, width: int, c: np.ndarray, rounds: int = 40, tolerance: float = 1e-3, seed: int = 7) -> np.ndarray:
@@ -100,38 +147,57 @@ def logistic_fit(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 class Model:
-    """Weights by n-gram; a score for a text."""
+    """Weights and squared ratios by n-gram hash; a score for a text's hashes."""
 
-    def __init__(self, weight: dict, ratio2: dict, bias: float, slope: float, offset: float):
-        self.weight, self.ratio2, self.bias, self.slope, self.offset = weight, ratio2, bias, slope, offset
+    def __init__(self, names: np.ndarray, weight: np.ndarray, ratio2: np.ndarray, bias: float, slope: float, offset: float):
+        self.bias, self.slope, self.offset = bias, slope, offset
+        self.bits = np.uint64(max(1, (4 * len(names) - 1).bit_length()) if len(names) else 1)
+        slot = names >> (np.uint64(64) - self.bits)
+        order = np.argsort(slot, kind="stable")
+        self.names, self.weight, self.ratio2 = names[order], weight[order], ratio2[order]
+        self.first = np.searchsorted(slot[order], np.arange(int(1 << int(self.bits)) + 1, dtype=np.uint64)).astype(np.int32)  # of each slot
 
-    def score(self, features: Features, text: str | None) -> float:
-        known = [f for f in features.of(text) if f in self.weight]
-        norm = math.sqrt(math.fsum(self.ratio2[f] for f in known) + 1.0)
-        margin = (math.fsum(self.weight[f] for f in known) + self.bias) / norm
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Sorted distinct places of those hashes that the model knows."""
+        slot = (hashes >> (np.uint64(64) - self.bits)).astype(np.int64)
+        at, end = self.first[slot], self.first[slot + 1]
+        found = []
+        while True:
+            more = np.flatnonzero(at < end)
+            if not len(more):
+                return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int32)
+            at, end, hashes = at[more], end[more], hashes[more]
+            found.append(at[self.names[at] == hashes])
+            at = at + 1
+
+    def score(self, hashes: np.ndarray) -> float:
+        at = self.find(hashes)
+        margin = (float(self.weight[at].sum()) + self.bias) / math.sqrt(float(self.ratio2[at].sum()) + 1.0)
         return 1 / (1 + math.exp(-min(max(self.slope * margin + self.offset, -35.0), 35.0)))
 
 
-def fit(texts: list[str | None], labels: list[int], min_docs: int = 3, features: int = FEATURES, c: float = 1.0) -> Model:
-    """Fit on labelled texts.  Without both classes the score is the smoothed share of label 1."""
+def fit(sets: list[np.ndarray], labels: list[int], min_docs: int = 3, features: int = FEATURES, c: float = 1.0) -> Model:
+    """Fit on labelled sets of hashes.  Without both classes the score is the smoothed share of label 1."""
     y = np.array(labels, dtype=np.int64)
+    none = np.zeros(0)
     if len(set(labels)) < 2:
         p = (y.sum() + 1) / (len(y) + 2)
-        return Model({}, {}, 0.0, 1e-6, math.log(p / (1 - p)))
-    make = Features()
-    count = [Counter(), Counter()]
-    for t, l in zip(texts, labels):
-        count[l].update(make.of(t))
-    total = count[0] + count[1]
-    names = sorted((f for f, n in total.items() if n >= min_docs), key=lambda f: (-total[f], str(f)))[:features]
-    at = {f: k for k, f in enumerate(names)}
-    p, q = (np.array([count[l][f] for f in names]) + 1.0 for l in (1, 0))
-    del count, total
-    ratio = np.log((p / (y == 1).sum()) / (q / (y == 0).sum()))
+        return Model(np.zeros(0, np.uint64), none, none, 0.0, 1e-6, math.log(p / (1 - p)))
+    ends = np.cumsum([len(s) for s in sets])
+    names, at, total = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = np.flatnonzero(total >= min_docs)
+    often = np.sort(often[np.argsort(-total[often], kind="stable")][:features])  # ties: the smaller hash
+    place = np.full(len(names), -1, np.int32)
+    place[often] = np.arange(len(often), dtype=np.int32)
+    names, known = names[often], [k[k >= 0] for k in np.split(place[at], ends[:-1])]
+    del at, total, place
+    one = np.bincount(np.concatenate([k for k, l in zip(known, labels) if l == 1]), minlength=len(names)) + 1.0
+    zero = np.bincount(np.concatenate([k for k, l in zip(known, labels) if l == 0]), minlength=len(names)) + 1.0
+    ratio = np.log((one / (y == 1).sum()) / (zero / (y == 0).sum()))
     wide = np.r_[ratio, 1.0]  # the last is the bias
     rows = []
-    for t in texts:
-        k = np.array(sorted(at[f] for f in make.of(t) if f in at) + [len(names)], dtype=np.int64)
+    for k in known:
+        k = np.r_[k, len(names)].astype(np.int32)
         v = wide[k]
         rows.append((k, v / math.sqrt(float(v @ v))))
     sign = np.where(y == 1, 1.0, -1.0)
@@ -145,37 +211,54 @@ def fit(texts: list[str | None], labels: list[int], min_docs: int = 3, features:
         w = dual_descent(rows, sign, len(wide), cost)
         test = np.arange(len(y))
     slope, offset = logistic_fit(np.array([float(w[rows[i][0]] @ rows[i][1]) for i in test]), y[test])
-    keep = np.flatnonzero(w[:-1] != 0)
-    return Model({names[k]: float(w[k] * ratio[k]) for k in keep}, {f: float(ratio[k] ** 2) for f, k in at.items()} if len(keep) else {}, float(w[-1]), slope, offset)
+    return Model(names, w[:-1] * ratio, ratio**2, float(w[-1]), slope, offset)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, train: str, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> list:
-    """At most ``sample`` (text, label) rows for which ``train``, an SQL condition on the key, holds.
+def labelled_sample(docs: DataFrame, labels: DataFrame, train: str, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, chars: int = CHARS) -> tuple[list[np.ndarray], list[int]]:
+    """Sets of hashes and labels of the rows to fit on: those for which ``train``, an SQL condition on the key, holds.
 
     A key labelled more than once counts with its smallest label; null keys and labels
-    teach nothing; a key that several rows have gives its first text.
+    teach nothing; a key that several rows have gives its first text.  Rows count in the order of
+    their hashed keys, up to ``sample`` rows and until their texts come to ``chars`` characters.
     """
-    ids = labels.where(f"({train}) and {label} in (0, 1)").groupBy(key).agg(F.min(label).alias("y"))
-    ids = ids.join(docs.select(key), key, "left_semi").orderBy(F.xxhash64(key), key).limit(sample)
-    rows = docs.select(key, text).join(F.broadcast(ids), key).groupBy(key, "y").agg(F.min(text).alias("t"))
-    return sorted(rows.collect(), key=lambda r: (hash(r[0]) % 1009, r[0]))
+    ids = labels.where(f"({train}) and {label} in (0, 1)").groupBy(key).agg(F.min(label).alias("__y"))
+    size = docs.groupBy(F.col(key).alias("__k")).agg(F.max(F.coalesce(F.length(text), F.lit(0))).alias("__n"))
+    order = [F.xxhash64(key), F.col(key)]
+    first = ids.join(size, ids[key] == size["__k"]).select(key, "__y", "__n").orderBy(*order).limit(sample).collect()  # SAMPLE narrow rows
+    room = np.cumsum([r["__n"] for r in first]) <= chars
+    first = first[: max(1, int(room.sum()))]
+    if not first:
+        return [], []
+    spark = docs.sparkSession
+    chosen = spark.createDataFrame([(r[key], i, r["__y"]) for i, r in enumerate(first)], f"__k {dict(labels.dtypes)[key]}, __i int, __y int")
+    rows = docs.select(F.col(key).alias("__k"), F.col(text).alias("__t")).join(F.broadcast(chosen), "__k").groupBy("__i", "__y").agg(F.min("__t").alias("__t"))
+
+    def run(batches):
+        make = Features()
+        for b in batches:
+            sets = [make.of(t.as_py()) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([s.tobytes() for s in sets], pa.binary())], names=["i", "y", "hashes"])
+
+    got = rows.select("__i", "__y", "__t").mapInArrow(run, "i int, y int, hashes binary").toLocalIterator()
+    got = sorted(((r["i"], r["y"], np.frombuffer(bytes(r["hashes"]), np.uint64)) for r in got), key=lambda r: r[0])
+    return [r[2] for r in got], [int(r[1]) for r in got]
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, train: str, threshold: float = 0.3, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, keep_text: bool = False) -> DataFrame:
     """All columns of ``docs``, the text only with ``keep_text``, and ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on).
 
     Null and empty texts get the score of a text without n-grams.  Every row is
-    scored, repeated ones alike; without labelled rows the score is 0.5.
+    scored, repeated ones alike; without labelled rows the score is 0.5.  Columns named
+    ``score`` or ``predicted`` are replaced.
     """
-    got = labelled_sample(docs, labels, train, key, text, label, sample)
-    model = fit([r.t for r in got], [int(r.y) for r in got])
+    model = fit(*labelled_sample(docs, labels, train, key, text, label, sample))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES entries at most
     rest = [f for f in docs.schema.fields if f.name not in ("score", "predicted") and (keep_text or f.name != text)]
 
     def run(batches):
         m, make = shared.value, Features()
         for b in batches:
-            s = [m.score(make, t.as_py()) for t in b.column(text)]
+            s = [m.score(make.all(t.as_py())) for t in b.column(text)]
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in rest), pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], names=[*(f.name for f in rest), "score", "predicted"])
 
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "score double, predicted int"])
