@@ -86,17 +86,17 @@ class BKForest:
         return np.bitwise_count(self.fp[i] ^ self.fp[j]).sum(axis=1, dtype=np.int64)
 
     def within(self, query: np.ndarray, radius: int):
-        """Triples ``(i, j, distance)`` of nodes at most ``radius`` apart, for ``i`` in ``query``; walks all trees together."""
+        """Pairs ``(i, j)`` of nodes at most ``radius`` apart, for ``i`` in ``query``; walks all trees together."""
         i, j, found = query, self.root[query], []
         while len(i):
             d = self._apart(i, j)
             hit = d <= radius
-            found.append((i[hit], j[hit], d[hit]))
+            found.append((i[hit], j[hit]))
             low = np.searchsorted(self.slots, j * self.span + np.maximum(d - radius, 0), "left")
             n = np.searchsorted(self.slots, j * self.span + np.minimum(d + radius, self.span - 1), "right") - low
             i = np.repeat(i, n)
             j = self.child[np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(len(i))]
-        return tuple(map(np.concatenate, zip(*found))) if found else (query[:0], query[:0], query[:0])
+        return tuple(map(np.concatenate, zip(*found))) if found else (query[:0], query[:0])
 
 
 def _shard_links(shard: np.ndarray, fp: np.ndarray, radius: int):
@@ -105,7 +105,7 @@ def _shard_links(shard: np.ndarray, fp: np.ndarray, radius: int):
     n = len(fp)
     kept_i, kept_j = [], []
     for at in range(0, n, BLOCK):
-        i, j, _ = forest.within(np.arange(at, min(n, at + BLOCK)), radius)
+        i, j = forest.within(np.arange(at, min(n, at + BLOCK)), radius)
         keep = j < i
         i, j = i[keep], j[keep]
         if len(i):
