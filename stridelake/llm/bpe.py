@@ -6,9 +6,9 @@ entries, the slot's bytes are compared).  Any other pre-token is merged with a
 heap of adjacent pairs over a doubly linked list of its bytes, smallest rank
 first and leftmost among equals, as the public library does.
 
-Text is split at every space that a non-space follows; a pre-token of the
-pattern always starts there, so the pieces can be encoded on their own and kept
-in a bounded two-generation cache.
+With the vocabularies' own pattern, text is split at every space that a non-space follows; a
+pre-token of that pattern always starts there, so the pieces can be encoded on their own and
+kept in a bounded two-generation cache.  For any other pattern the whole text is matched.
 """
 
 from __future__ import annotations
@@ -16,14 +16,18 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
 from itertools import chain
 
+import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-CACHE_ENTRIES = 400_000  # in each of the two generations
+CACHE_ENTRIES = 250_000  # in each of the two generations
+FLUSH = 500_000  # token ids that go out at a time
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -87,19 +91,24 @@ class Codec:
         self.ranks = ranks
         self.whole = PerfectHash(ranks)
         self.pattern = regex.compile(pattern)
+        self.splits = pattern == public_tokenizers.PATTERN
         self.odd_space = regex.compile(r" (?=\s|\Z)|\A ")
         self.boundary = regex.compile(r"(?V1)(?= \S)")
         self.limit = cache_entries
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
-        #: The heap's key of each two-byte entry, which is where every merge starts.
-        self.byte_pairs = {(k[0], k[1]): r << 48 for k, r in ranks.items() if len(k) == 2}.get
+        self.forget()
+        #: The rank of each two-byte entry, which is where every merge starts.
+        self.byte_pairs = {(k[0], k[1]): r for k, r in ranks.items() if len(k) == 2}.get
         top = max(ranks.values()) + 1
         self.bytes_of: list[bytes | None] = [None] * top
         for key, rank in ranks.items():
             self.bytes_of[rank] = key
         self.digits = [str(i) for i in range(top)]
 
+    def forget(self) -> None:
+        """Drop the cache, as at the end of a task: the process lives on."""
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
+
     def merge(self, piece: bytes) -> list[int]:
         """Merge adjacent parts, smallest rank first, with a heap over linked bytes.
 
@@ -109,14 +118,16 @@ class Codec:
         once a part of the pair has grown, since a pair's bytes have one rank.
         """
         n = len(piece)
+        wide = 24 if n < 1 << 24 else 48  # bits of a place
+        high, low = 2 * wide, (1 << wide) - 1
         rank, pairs, push, pop = self.ranks.get, self.byte_pairs, heapq.heappush, heapq.heappop
         after = list(range(1, n + 2))
         before = list(range(-1, n))
-        heap = [r | i << 24 | i + 2 for i, ab in enumerate(zip(piece, piece[1:])) if (r := pairs(ab)) is not None]
+        heap = [r << high | i << wide | i + 2 for i, ab in enumerate(zip(piece, piece[1:])) if (r := pairs(ab)) is not None]
         heapq.heapify(heap)
         while heap:
             x = pop(heap)
-            i, end = x >> 24 & 0xFFFFFF, x & 0xFFFFFF
+            i, end = x >> wide & low, x & low
             j = after[i]
             if j < 0 or j >= n or after[j] != end:
                 continue
@@ -124,10 +135,10 @@ class Codec:
             after[j] = -1
             before[end] = i
             if end < n and (r := rank(piece[i : after[end]])) is not None:
-                push(heap, r << 48 | i << 24 | after[end])
+                push(heap, r << high | i << wide | after[end])
             h = before[i]
             if h >= 0 and (r := rank(piece[h:end])) is not None:
-                push(heap, r << 48 | h << 24 | end)
+                push(heap, r << high | h << wide | end)
         out, i = [], 0
         while i < n:
             out.append(self.ranks[piece[i : after[i]]])
@@ -171,6 +182,8 @@ class Codec:
         """Token ids of the whole text; none for a null or empty one."""
         if not text:
             return []
+        if not self.splits:
+            return list(chain.from_iterable(map(self._token, self.pattern.findall(text))))
         spaced = self._spaced
         if self.odd_space.search(text) is None:
             head, *rest = text.split(" ")
@@ -220,7 +233,7 @@ def _shared(spark: SparkSession, vocabulary: str, pattern: str):
 def encode_text(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", out: str = "token_ids") -> DataFrame:
     """Add ``out``, an array of token ids, to every row; no shuffle.
 
-    Null and empty texts give an empty array, never null.  All other columns
+    Null and empty texts give an empty array, never null.  Ids go out in batches of about ``FLUSH``.  All other columns
     pass through; a column already named ``out`` is replaced.  An empty table
     gives an empty table.
     """
@@ -229,9 +242,16 @@ def encode_text(docs: DataFrame, vocabulary: str, pattern: str, text: str = "tex
     def run(batches):
         codec = _codec(shared)
         for batch in batches:
-            ids = pa.array([codec.encode(t) for t in batch.column(text).to_pylist()], pa.list_(pa.int32()))
             names = [c for c in batch.schema.names if c != out]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), ids], names=[*names, out])
+            flat, ends, start = array("i"), [0], 0
+            for k, t in enumerate(batch.column(text), 1):
+                flat.extend(codec.encode(t.as_py()))
+                ends.append(len(flat))
+                if len(flat) >= FLUSH or k == batch.num_rows:
+                    ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else [], pa.int32()))
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(start, k - start) for c in names), ids], names=[*names, out])
+                    flat, ends, start = array("i"), [0], k
+        codec.forget()
 
     kept = docs.drop(out)
     return kept.mapInArrow(run, f"{_ddl(kept)}, `{out}` array<int>")
@@ -271,6 +291,7 @@ def round_trip_digests(docs: DataFrame, vocabulary: str, pattern: str, key: str
                 a.append(hashlib.sha256(codec.ids_text(ids).encode()).hexdigest())
                 b.append(hashlib.sha256(codec.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
+        codec.forget()
 
     kind = dict(docs.dtypes)[key]
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
