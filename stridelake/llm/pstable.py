@@ -181,96 +181,230 @@ def cosine_links(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
 
 # ---- nearest neighbours
 
-BLOCK = 32_768  # rows that a task indexes
+BLOCK = 16_384  # rows of a cell that a task holds
 QUERIES = 16_384  # queries that a task answers
+BATCH = 256  # queries that are multiplied at once
+HELD = 50_000  # queries whose best rows a task holds before it hands them out
 
 
-def _search(tables: int, k: int, width: float, probes: int, top: int, exact: bool = False):
-    shifts = np.array(list(itertools.product((0, -1, 1), repeat=k)), dtype=np.int64)
+def _padded(x: np.ndarray, scale: float) -> np.ndarray:
+    """Rows of at most unit length, and one more number that brings each to unit length."""
+    y = x / scale
+    return np.c_[y, np.sqrt(np.maximum(0.0, 1.0 - (y * y).sum(axis=1)))]
 
-    def run(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        is_query = group.column("is_query").to_numpy(zero_copy_only=False)
-        x = _matrix(group.column("x").chunk(0)) if group.num_rows else np.zeros((0, 1))
-        ids = group.column("id").to_numpy()
-        scale = group.column("scale").to_numpy()[:1]
-        q, qid, x, xid = x[is_query], ids[is_query], x[~is_query], ids[~is_query]
-        out = ([], [], [])
-        if len(q) and len(x):
-            order = np.argsort(xid, kind="stable")
-            x, xid = x[order], xid[order]
-            # largest inner product as smallest distance: pad to one length, set queries to unit length
-            y = x / scale[0]
-            y = np.c_[y, np.sqrt(np.maximum(0.0, 1.0 - (y * y).sum(axis=1)))]
-            z = np.c_[q / np.sqrt((q * q).sum(axis=1, keepdims=True)), np.zeros(len(q))]
-            hashing = Tables(y.shape[1], k, width, tables)
-            move = (shifts * hashing.radix).sum(axis=1)
-            index = []
-            for t in range(0 if exact else tables):
-                keys = hashing.key(np.floor(hashing.place(y, t)))
-                o = np.argsort(keys, kind="stable")
-                index.append((keys[o], o))
-            for at in range(0, len(q), 256):
-                part = z[at : at + 256]
-                near = np.full((len(part), len(x)), exact)
-                for t, (keys, o) in enumerate(index):
-                    place = hashing.place(part, t)
-                    cell = np.floor(place)
-                    into = place - cell
-                    cost = (into**2) @ (shifts == -1).T + ((1 - into) ** 2) @ (shifts == 1).T
-                    best = np.argpartition(cost, probes, axis=1)[:, :probes] if probes < len(shifts) else np.argsort(cost, axis=1)
-                    want = hashing.key(cell)[:, None] + move[best]
-                    lo = np.searchsorted(keys, want.ravel(), "left")
-                    n = np.searchsorted(keys, want.ravel(), "right") - lo
-                    row = np.repeat(np.repeat(np.arange(len(part)), want.shape[1]), n)
-                    near[row, o[np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(len(row))]] = True
-                for r in range(len(part)):
-                    c = np.flatnonzero(near[r] & (xid != qid[at + r]))
-                    s = (x[c] * q[at + r]).sum(axis=1)
-                    best = np.lexsort((xid[c], -s))[:top]
-                    out[0].append(np.full(len(best), qid[at + r]))
-                    out[1].append(xid[c[best]])
-                    out[2].append(s[best])
-        cat = [np.concatenate(o) if o else np.zeros(0, kind) for o, kind in zip(out, (np.int64, np.int64, np.float64))]
-        return pa.table({"query_id": pa.array(cat[0], pa.int64()), "vec_id": pa.array(cat[1], pa.int64()), "score": pa.array(cat[2], pa.float64())})
+
+def _asked(q: np.ndarray) -> np.ndarray:
+    """Queries of unit length, padded with 0: their nearest padded rows have the largest inner products."""
+    return np.c_[q / np.sqrt((q * q).sum(axis=1, keepdims=True)), np.zeros(len(q))]
+
+
+def _code(cell: np.ndarray) -> np.ndarray:
+    """``k`` cell numbers, up to three, as one long of 20 bits each."""
+    out = np.zeros(cell.shape[:-1], np.int64)
+    for j in range(cell.shape[-1]):
+        out = out << 20 | (cell[..., j].astype(np.int64) + (1 << 19))
+    return out
+
+
+def _uncode(code: np.ndarray, k: int) -> np.ndarray:
+    return np.stack([(code >> 20 * (k - 1 - j) & 0xFFFFF) - (1 << 19) for j in range(k)], axis=1)
+
+
+class _Cells:
+    """The occupied cells of each vector length and table, and how many rows each has."""
+
+    def __init__(self, rows, tables: int, k: int, width: float):
+        self.k, self.width, self.tables = k, width, tables
+        by: dict[tuple[int, int], list] = {}
+        for r in rows:
+            by.setdefault((r["d"], r["t"]), []).append((r["cell"], r["n"]))
+        self.cells = {key: tuple(np.array(x, np.int64) for x in zip(*sorted(v))) for key, v in by.items()}
+        self.hashing: dict[int, Tables] = {}
+
+    def tables_of(self, d: int) -> Tables:
+        if d not in self.hashing:
+            self.hashing[d] = Tables(d + 1, self.k, self.width, self.tables)
+        return self.hashing[d]
+
+    def visited(self, q: np.ndarray, t: int, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each query the cells of table ``t`` in the order of their distance from where it falls, until they hold ``share`` of the rows.
+
+        Returns the query's number, the cell and its rows.  The smaller the distance to a cell's
+        box, the likelier the cell holds a near row.
+        """
+        d = q.shape[1]
+        code, n = self.cells[d, t]
+        place = self.tables_of(d).place(_asked(q), t)
+        low = _uncode(code, self.k)[None, :, :] - place[:, None, :]
+        gap = np.maximum(0.0, np.maximum(low, -(low + 1)))
+        order = np.argsort((gap * gap).sum(axis=2), axis=1, kind="stable")
+        before = np.cumsum(n[order], axis=1) - n[order]
+        i, j = np.nonzero(before < share * n.sum())
+        at = order[i, j]
+        return i, code[at], n[at]
+
+
+def _place(tables: int, k: int, width: float):
+    """``id, x, d, q, cells``: each row's cell in every table."""
+
+    def run(batches):
+        made: dict[int, Tables] = {}
+        for b in batches:
+            dims, scales = b.column("d").to_numpy(), b.column("scale").to_numpy()
+            cells = np.zeros((len(dims), tables), np.int64)
+            for d in np.unique(dims):
+                at = np.flatnonzero(dims == d)
+                y = _padded(_matrix(b.column("x").take(pa.array(at))), scales[at[0]])
+                hashing = made.setdefault(int(d), Tables(int(d) + 1, k, width, tables))
+                for t in range(tables):
+                    cells[at, t] = _code(np.floor(hashing.place(y, t)))
+            ends = pa.array(np.arange(len(dims) + 1, dtype=np.int32) * tables)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "x", "d", "q", "m")), pa.ListArray.from_arrays(ends, pa.array(cells.ravel()))], names=["id", "x", "d", "q", "m", "cells"])
+
+    return run
+
+
+def _visits(shared, share: float):
+    """``id, x, d, visits``: the blocks of cells that each query visits."""
+
+    def run(batches):
+        for b in batches:
+            cells, dims = shared.value, b.column("d").to_numpy()
+            out: list[list] = [[] for _ in dims]
+            for d in np.unique(dims):
+                at = np.flatnonzero(dims == d)
+                q = _matrix(b.column("x").take(pa.array(at)))
+                for t in range(cells.tables):
+                    for lo in range(0, len(q), 1024):
+                        for i, cell, n in zip(*(v.tolist() for v in cells.visited(q[lo : lo + 1024], t, share))):
+                            out[at[lo + i]] += [{"t": t, "cell": cell, "s": s} for s in range(-(-n // BLOCK))]
+            kind = pa.list_(pa.struct([("t", pa.int32()), ("cell", pa.int64()), ("s", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("x"), b.column("d"), b.column("m"), pa.array(out, kind)], names=["id", "x", "d", "m", "visits"])
+
+    return run
+
+
+class _Best:
+    """The best rows of each query that a task has met: largest product first, ties to the smaller id, an id once."""
+
+    def __init__(self, top: int):
+        self.top = top
+        self.known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def floor(self, query: int) -> float:
+        got = self.known.get(query)
+        return got[0][-1] if got is not None and len(got[0]) == self.top else -np.inf
+
+    def add(self, query: int, score: np.ndarray, ids: np.ndarray) -> None:
+        got = self.known.get(query)
+        if got is not None:
+            score, ids = np.r_[got[0], score], np.r_[got[1], ids]
+        order = np.lexsort((ids, -score))
+        score, ids = score[order], ids[order]
+        first = np.sort(np.unique(ids, return_index=True)[1])[: self.top]
+        self.known[query] = score[first], ids[first]
+
+    def rows(self) -> pa.RecordBatch:
+        n = [len(s) for s, _ in self.known.values()]
+        query = np.repeat(np.fromiter(self.known, np.int64, len(n)), n)
+        score, ids = (np.concatenate([v[k] for v in self.known.values()]) for k in range(2))
+        self.known = {}
+        return pa.RecordBatch.from_arrays([pa.array(query), pa.array(ids), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+
+def _ranked(top: int):
+    """Of a stream of blocks, each its rows and then its queries: the best rows of each query."""
+
+    def score(best: _Best, qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, slack: float):
+        for at in range(0, len(q), BATCH):
+            s = q[at : at + BATCH] @ x.T  # finds candidates; their products are taken again, one way for all
+            for r, row in enumerate(s):
+                own = qid[at + r]
+                row[np.searchsorted(ids, own, "left") : np.searchsorted(ids, own, "right")] = -np.inf
+                near = np.flatnonzero((row >= best.floor(own) - slack) & (row > -np.inf))
+                if len(near) > top:
+                    v = row[near]
+                    near = near[v >= np.partition(v, len(v) - top)[len(v) - top] - slack]
+                if len(near):
+                    best.add(own, (x[near] * q[at + r]).sum(axis=1), ids[near])
+
+    def run(batches):
+        best, block, ids, x, slack = _Best(top), None, [], [], 0.0
+        for b in batches:
+            g, ask = b.column("g").to_numpy(), b.column("ask").to_numpy(zero_copy_only=False)
+            key = b.column("id").to_numpy()
+            cuts = np.r_[0, np.flatnonzero((g[1:] != g[:-1]) | (ask[1:] != ask[:-1])) + 1, len(g)]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if lo == hi:
+                    continue
+                if g[lo] != block:
+                    block, ids, x = g[lo], [], []
+                part = _matrix(b.column("x").slice(lo, hi - lo))
+                if not ask[lo]:
+                    ids.append(key[lo:hi])
+                    x.append(part)
+                    continue
+                if not ids:
+                    continue
+                if len(ids) > 1 or not isinstance(x, tuple):
+                    order = np.argsort(np.concatenate(ids), kind="stable")
+                    ids, x = [np.concatenate(ids)[order]], (np.concatenate(x)[order],)
+                    slack = 1e-12 * float(np.sqrt((x[0] * x[0]).sum(axis=1).max()))
+                score(best, key[lo:hi], part, ids[0], x[0], slack * float(np.sqrt((part * part).sum(axis=1).max())))
+                if len(best.known) > HELD:
+                    yield best.rows()
+        if best.known:
+            yield best.rows()
 
     return run
 
 
-def nearest(vectors: DataFrame, is_query: str, top: int = 20, key: str = "vec_id", vector: str = "embedding", k: int = 8, width: float = 1.6, tables: int = 16, probes: int = 500) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: str, top: int = 20, key: str = "vec_id", vector: str = "embedding", k: int = 2, width: float = 1.0, tables: int = 3, share: float = 0.45) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's ``top`` largest inner products among other rows.
 
-    ``is_query`` is an SQL condition on the key.  Rows are indexed in blocks; each block
-    meets each block of queries in one task, which visits the ``probes`` buckets likeliest
-    to hold near rows in each table, merges the tables' candidates, and ranks them by the
-    exact product on the original vectors.  Ties go to the smaller id.  Vectors that are null,
-    empty or zero or hold a null or non-finite number, and null keys, take no part; vectors of
-    another length than the query's are no candidates.  Rows that repeat a key count as that key
-    once, by their largest product.  A query with fewer than ``top`` hits in its buckets, as
-in a small table, is answered again by an exact scan of the vectors of its length; only a query
-without any candidate has no rows.
+    ``is_query`` is an SQL condition on the key, a whole number.  Each table deals the rows to cells of
+    ``k`` quantised projections, up to three.  A query visits the cells in the order of their
+    distance from where it falls itself until they hold ``share`` of the rows; the rows of all
+    tables' visited cells are its candidates, ranked by the exact product on the original vectors.
+    A cell is cut into blocks; a block's rows travel to one task, the queries that visit it pass
+    through there, and only the best rows of a query leave.
+
+    Ties go to the smaller id.  Vectors that are null, empty or zero or hold a null or non-finite
+    number, and null keys, take no part; vectors of another length than the query's are no
+    candidates.  Rows that repeat a key count as that key once, by their largest product.  A query
+    with fewer than ``top`` hits, as in a small table, is answered again from all cells; only a
+    query without any candidate has no rows.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "nearest")
-    rows = vectors.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("x"), F.expr(is_query).alias("q"))
+    rows = vectors.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("x"), F.coalesce(F.expr(is_query), F.lit(False)).alias("q"))
     rows = rows.where(_usable("x") & F.col("id").isNotNull()).withColumn("d", F.size("x"))
     norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))
-    stats = rows.groupBy("d").agg(F.count("*").alias("n"), F.count_if(F.col("q")).alias("m"), F.max(norm).alias("scale"))  # a row for each vector length
-    rows = rows.join(F.broadcast(stats), "d")
-    blocks, parts = F.ceil(F.col("n") / BLOCK).cast("int"), F.ceil(F.col("m") / QUERIES).cast("int")
+    stats = rows.groupBy("d").agg(F.count("*").alias("n"), F.count_if("q").alias("m"), F.max(norm).alias("scale")).where("m > 0")  # a row for each vector length
+    placed = rows.join(F.broadcast(stats.select("d", "m", "scale")), "d").mapInArrow(_place(tables, k, width), "id bigint, x array<double>, d int, q boolean, m bigint, cells array<bigint>")
+    placed = scratch.keep(placed, "placed")
+    counts = scratch.keep(placed.select("d", F.posexplode("cells").alias("t", "cell")).groupBy("d", "t", "cell").agg(F.count("*").alias("n")), "cells")
+    shared = spark.sparkContext.broadcast(_Cells(counts.collect(), tables, k, width))  # vectors of unit length fall into few cells, however many they are
+    blocks = F.broadcast(counts.select("d", "t", "cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("c")))
+    parts = F.ceil(F.col("m") / QUERIES).cast("int")
     own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    base = rows.where("m > 0").select("id", "x", "d", "q", "n", "scale", own(blocks).alias("b0"), own(parts).alias("p0"), blocks.alias("b1"), parts.alias("p1"))
-    data = base.select("id", "x", "d", F.lit(False).alias("is_query"), "scale", F.col("b0").alias("b"), every(F.col("p1")).alias("p"))
-    asks = base.where("q").select("id", "x", "d", F.lit(True).alias("is_query"), "scale", every(F.col("b1")).alias("b"), F.col("p0").alias("p"))
-    found = data.union(asks).groupBy("d", "b", "p").applyInArrow(_search(tables, k, width, probes, top), "query_id bigint, vec_id bigint, score double")
-    found = scratch.keep(found, "found").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    group = F.xxhash64("d", "t", "cell", "s", "p").alias("g")
+    data = placed.select("id", "x", "d", F.posexplode("cells").alias("t", "cell"), F.sequence(F.lit(0), parts - 1).alias("ps")).join(blocks, ["d", "t", "cell"])
+    data = data.select("id", "x", "d", "t", "cell", own(F.col("c")).alias("s"), F.explode("ps").alias("p")).select(group, F.lit(False).alias("ask"), "id", "x")
+    queries = placed.where("q")
+
+    def answers(asking: DataFrame, share: float, name: str) -> DataFrame:
+        asks = asking.select("id", "x", "d", "m").mapInArrow(_visits(shared, share), "id bigint, x array<double>, d int, m bigint, visits array<struct<t:int,cell:bigint,s:int>>")
+        asks = asks.select("id", "x", "d", own(parts).alias("p"), F.explode("visits").alias("v")).select("id", "x", "d", "p", "v.*")
+        both = data.union(asks.select(group, F.lit(True).alias("ask"), "id", "x")).repartition("g").sortWithinPartitions("g", "ask")
+        return scratch.keep(both.mapInArrow(_ranked(top), "query_id bigint, vec_id bigint, score double"), name)
+
+    found = answers(queries, share, "found").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     hits = found.groupBy("query_id").agg(F.count("*").alias("hits"))
-    short = base.where("q").select("id", "d", "n").join(hits, F.col("id") == F.col("query_id"), "left")
-    short = scratch.keep(short.where(F.coalesce("hits", F.lit(0)) < F.least(F.lit(top), F.col("n") - 1)).select("id", "d").distinct(), "short")
+    others = placed.groupBy("d").agg(F.count("*").alias("n"))
+    short = queries.join(F.broadcast(others), "d").join(hits, F.col("id") == F.col("query_id"), "left").where(F.coalesce("hits", F.lit(0)) < F.least(F.lit(top), F.col("n") - 1))
+    short = scratch.keep(short.select("id", "x", "d", "m"), "short")
     if not short.isEmpty():
-        again = data.join(short.select("d").distinct(), "d", "left_semi").select(*data.columns).union(asks.join(short.select("id").distinct(), "id", "left_semi").select(*data.columns))
-        again = again.groupBy("d", "b", "p").applyInArrow(_search(tables, k, width, probes, top, True), "query_id bigint, vec_id bigint, score double")
-        found = found.union(scratch.keep(again, "again").select("query_id", "vec_id", "score")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        found = found.unionByName(answers(short, 1.0, "again")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
