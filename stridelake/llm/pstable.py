@@ -7,12 +7,11 @@ the same tables.
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from stridelake.llm import streams
 from stridelake.operators.graph import connected_components
 from stridelake.operators.scratch import Scratch
 
@@ -55,42 +54,141 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
 
 # ---- near-duplicates
 
-CHUNK = 2048  # vectors of a bucket that one task compares with as many
-
-
-def _pairs_linked(n, x, keys, t, half, threshold):
-    """Links of one bucket that no earlier table has: link counts and enough edges for the components."""
-    m = len(n)
-    count = np.zeros(m, np.int64)
-    label = np.arange(m)
-    norm = np.sqrt((x * x).sum(axis=1))
-    for at in range(0, m, 512):
-        rows = np.arange(at, min(m, at + 512))
-        sim = (x[rows] @ x.T) / (norm[rows][:, None] * norm[None, :])
-        i, j = np.nonzero(sim >= threshold)
-        i = rows[i]
-        fresh = i < j
-        if half is not None:  # two chunks of a large bucket: only pairs across
-            fresh &= half[i] != half[j]
-        i, j = i[fresh], j[fresh]
-        if t and len(i):
-            fresh = ~(keys[i, :t] == keys[j, :t]).any(axis=1)
-            i, j = i[fresh], j[fresh]
-        np.add.at(count, i, n[j])
-        np.add.at(count, j, n[i])
-        while len(i):  # hook and jump
-            a, b = label[i], label[j]
-            low = np.minimum(a, b)
-            if (a == b).all():
-                break
-            np.minimum.at(label, a, low)
-            np.minimum.at(label, b, low)
-            while (label[label] != label).any():
-                label = label[label]
-    return count, label
-
-
-def cosine_links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.98, k: int = 8, width: float = 1.0, tables: int = 28) -> DataFrame:
+CHUNK = 2048  # vectors of a bucket or a cluster that one task compares with as many
+PAIRS = 1_000_000  # pairs that are looked at together
+SEEN = 50_000  # vectors that a task remembers, so that copies are sent once
+APART = 16  # of 64 sign bits; at a cosine of 0.98 four differ on average, seventeen once in a million pairs
+
+
+def _chunked(members: DataFrame, chunks, by: str) -> DataFrame:
+    """``members`` with ``g``, a group of two chunks of what ``by`` names, or of one; ``own`` and ``across`` tell the chunks apart."""
+    own = F.pmod(F.xxhash64("node"), chunks.cast("int")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), chunks.cast("int") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("p"), F.greatest(o, F.col("own")).alias("q")))
+    dealt = members.withColumn("own", own).withColumn("pq", F.explode(pairs))
+    return dealt.withColumn("g", F.xxhash64(by, "pq")).withColumn("across", F.expr("pq.p != pq.q")).drop("pq")
+
+
+def _buckets(tables: int, k: int, width: float):
+    """``g, node, signs``: each vector's bucket in every table, and the signs of 64 projections."""
+
+    def run(batches):
+        made: dict[int, tuple[Tables, np.ndarray]] = {}
+        seen: set[int] = set()
+        for b in batches:
+            node, label = b.column("node").to_numpy(), b.column("label").to_numpy().view(np.uint64)
+            fresh = np.zeros(len(node), bool)
+            for i, v in enumerate(node.tolist()):
+                if v not in seen:
+                    fresh[i] = True
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(v)
+            lengths = b.column("x").value_lengths().to_numpy()
+            for d in np.unique(lengths[fresh]).tolist():
+                at = np.flatnonzero(fresh & (lengths == d))
+                x = _matrix(b.column("x").take(pa.array(at)))
+                x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+                if d not in made:
+                    made[d] = Tables(d, k, width, tables), np.random.default_rng(17).standard_normal((d, 64))
+                hashing, signs = made[d]
+                with np.errstate(over="ignore"):
+                    salt = label[at] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(d)
+                    key = hashing.keys(x).view(np.uint64) + salt[:, None] + np.arange(tables, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+                    key = (key ^ key >> np.uint64(32)) * np.uint64(0xC4CEB9FE1A85EC53)
+                word = np.packbits(x @ signs > 0, axis=1, bitorder="little").view("<i8").ravel()
+                cols = [pa.array((key ^ key >> np.uint64(29)).view(np.int64).ravel()), pa.array(np.repeat(node[at], tables)), pa.array(np.repeat(word, tables))]
+                yield pa.RecordBatch.from_arrays(cols, names=["g", "node", "signs"])
+
+    return run
+
+
+def _forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """As few links with the same components, by hooking and pointer jumping."""
+    label = np.arange(n)
+    while len(i):
+        a, b = label[i], label[j]
+        low = np.minimum(a, b)
+        if (a == b).all():
+            break
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        while (label[label] != label).any():
+            label = label[label]
+    at = np.flatnonzero(label < np.arange(n))
+    return at, label[at]
+
+
+def _maybe(batches):
+    """``a, b``: a forest of the vectors that share a bucket and most signs."""
+    for table, _ in streams.runs(batches, "g", 100_000):
+        g, node, signs = (table.column(c).to_numpy() for c in ("g", "node", "signs"))
+        new = np.r_[True, (g[1:] != g[:-1]) | (node[1:] != node[:-1])]  # a vector once, however many tasks sent it
+        g, node, signs = g[new], node[new], signs[new].view(np.uint64)
+        names, back = np.unique(node, return_inverse=True)
+        first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+        start = np.repeat(first, np.diff(np.r_[first, len(g)]))
+        ends = np.cumsum(np.arange(len(g)) - start)  # pairs of a row and an earlier one of its group
+        at, i, j = 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        while at < len(g):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+            count = np.arange(at, to) - start[at:to]
+            p = np.repeat(np.arange(at, to), count)
+            q = start[p] + np.arange(len(p)) - np.repeat(np.cumsum(count) - count, count)
+            near = np.bitwise_count(signs[p] ^ signs[q]) <= APART
+            i, j = np.r_[i, back[p[near]]], np.r_[j, back[q[near]]]
+            if len(i) > 4 * PAIRS:
+                i, j = _forest(i, j, len(names))
+            at = to
+        i, j = _forest(i, j, len(names))
+        if len(i):
+            yield pa.RecordBatch.from_arrays([pa.array(names[i]), pa.array(names[j])], names=["a", "b"])
+
+
+def _compared(threshold: float):
+    """``a, b, links`` of each group: rows linked with ``a``, and edges enough for the components; similarities are exact."""
+
+    def one(node, n, label, x, half):
+        m = len(node)
+        links, edges = np.zeros(m, np.int64), ([], [])
+        norm = np.sqrt((x * x).sum(axis=1))
+        for at in range(0, m, 512):
+            rows = np.arange(at, min(m, at + 512))
+            near = (x[rows] @ x.T) / (norm[rows][:, None] * norm[None, :]) >= threshold
+            near &= label[rows][:, None] == label[None, :]
+            near[np.arange(len(rows)), rows] = False
+            if half is not None:  # two chunks: each settles its own pairs alone
+                near &= half[rows][:, None] != half[None, :]
+            links[rows] = near @ n
+            i, j = np.nonzero(near)
+            edges[0].append(rows[i])
+            edges[1].append(j)
+        i, j = _forest(np.concatenate(edges[0]), np.concatenate(edges[1]), m)
+        low = np.arange(m)
+        low[i] = j
+        at = np.flatnonzero(links > 0)
+        return node[at], node[low[at]], links[at]
+
+    def run(batches):
+        for table, starts in streams.runs(batches, "g", 4 * CHUNK):
+            node, n, own, label = (table.column(c).to_numpy() for c in ("node", "n", "own", "label"))
+            across = table.column("across").to_numpy(zero_copy_only=False)
+            values, at = streams.flat(table.column("x"))
+            out = []
+            for lo, hi in zip(starts, np.r_[starts[1:], len(node)]):
+                k = lo + np.unique(node[lo:hi], return_index=True)[1]
+                size = at[k + 1] - at[k]
+                for d in np.unique(size):  # vectors of different lengths never link
+                    w = k[size == d]
+                    if len(w) > 1:
+                        x = np.stack([values[at[v] : at[v + 1]] for v in w]).astype(np.float64)
+                        out.append(one(node[w], n[w], label[w], x, own[w] if across[lo] else None))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["a", "b", "links"])
+
+    return run
+
+
+def cosine_links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.98, k: int = 10, width: float = 1.5, tables: int = 24) -> DataFrame:
     """``key, n_links, component_id, kept`` for every row.
 
     Rows link when their labels are equal and not null and their cosine, in double
@@ -99,84 +197,44 @@ def cosine_links(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     is then the key itself and ``kept`` holds (null and false for a null key).  Vectors of
     different lengths never link.  Rows that repeat a key are rows of their own.
 
-    Equal vectors are one class first, so that copies are counted, not paired.  Bucket
-    members travel as keys; vectors are fetched only for buckets with company, and a
-    bucket of more than ``CHUNK`` is compared in pairs of chunks.  A pair is counted in
-    the first table that it shares.  No pair leaves its task.  A pair at cosine 0.98 is
-    missed with a probability of about 0.0004, nearer ones less.
+    Equal vectors (64 bits of hash over label and numbers) are one class, so that copies are
+    counted, not paired.  A class travels as its name and 64 signs of projections to its bucket in
+    each table; those that share a bucket and most signs are joined to clusters by forests, and only
+    members of clusters travel as vectors, once, or once a pair of chunks where a cluster or a
+    bucket has more than ``CHUNK``.  There all pairs are compared; none leaves its task.  A pair
+    at cosine 0.98 is missed with a probability of about 0.0001, nearer ones less.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "cosine")
-    rows = vectors.select(F.col(key).alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("x"))
+    given = vectors.select(F.col(key).alias("id"), F.col(label).alias("label"), F.col(vector).alias("x"))
     ok = _usable("x") & F.col("label").isNotNull() & F.col("id").isNotNull()
-    rows = scratch.keep(rows.where(ok), "rows")
-    classes = rows.groupBy("label", "x").agg(F.min("id").alias("rep"), F.count("*").alias("n")).withColumn("dim", F.size("x"))
+    plain = F.transform("x", lambda v: v.cast("double") + F.lit(0.0))  # -0.0 is 0.0
+    rows = given.where(ok).select("id", "x", F.xxhash64("label").alias("label"), F.xxhash64("label", plain).alias("node"))
+    classes = scratch.keep(rows.groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "classes")
+    dealt = scratch.keep(rows.select("node", "label", "x").mapInArrow(_buckets(tables, k, width), "g bigint, node bigint, signs bigint"), "buckets")
+    hot = dealt.groupBy("g").agg(F.ceil(F.count("*") / CHUNK).alias("c")).where("c > 1").withColumnRenamed("g", "hot")
+    split = _chunked(dealt.join(hot, F.col("g") == F.col("hot")).withColumnRenamed("g", "bucket"), F.col("c"), "bucket").where("across").select("g", "node", "signs")
+    rest = dealt.join(hot, F.col("g") == F.col("hot"), "left_anti").unionByName(split)
+    maybe = scratch.keep(rest.repartition("g").sortWithinPartitions("g", "node").mapInArrow(_maybe, "a bigint, b bigint"), "maybe")
+
+    scratch.drop(dealt)
+    clusters = connected_components(maybe, scratch).select(F.col("id").alias("node"), "component")
+    clusters = scratch.keep(clusters.union(clusters.select("component", "component").distinct()), "clusters")
+    sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / CHUNK).alias("c"))
+    members = clusters.join(sizes, "component").join(classes, "node").select(F.col("node").alias("__node"), "rep", "n", "component", "c")
+    fetched = members.join(rows, (F.col("rep") == F.col("id")) & (F.col("__node") == F.col("node"))).select("node", "n", "label", "x", "component", "c")
+    met = _chunked(fetched, F.col("c"), "component").select("g", "across", "own", "node", "n", "label", "x")
+    found = scratch.keep(met.repartition("g").sortWithinPartitions("g").mapInArrow(_compared(threshold), "a bigint, b bigint, links bigint"), "found")
 
-    def hashed(batches):
-        made: dict[int, Tables] = {}
-        for b in batches:
-            dims = b.column("dim").to_numpy()
-            keys = np.zeros((len(dims), tables), np.int64)
-            for d in np.unique(dims):
-                at = np.flatnonzero(dims == d)
-                x = _matrix(b.column("x").take(pa.array(at)))
-                x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
-                keys[at] = made.setdefault(int(d), Tables(int(d), k, width, tables)).keys(x) + int(d)
-            offsets = pa.array(np.arange(len(dims) + 1, dtype=np.int32) * tables)
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("rep", "label", "x", "n")] + [pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))], names=["rep", "label", "x", "n", "keys"])
-
-    kinds = dict(rows.dtypes)
-    classes = scratch.keep(classes.select("rep", "label", "x", "n", "dim").mapInArrow(hashed, f"rep {kinds['id']}, label {kinds['label']}, x array<double>, n bigint, keys array<bigint>"), "classes")
-    dealt = classes.select("rep", "label", F.posexplode("keys").alias("t", "cell"))
-    sizes = dealt.groupBy("label", "t", "cell").agg(F.count("*").alias("m")).where("m > 1")
-    company = dealt.join(sizes, ["label", "t", "cell"])
-    chunks = F.ceil(F.col("m") / CHUNK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), chunks).cast("int")
-    company = company.select("rep", "t", "cell", chunks.alias("c"), own.alias("own"))
-    pairs = F.when(F.col("c") == 1, F.array(F.struct(F.lit(0).alias("p"), F.lit(0).alias("q")))).otherwise(F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("p"), F.greatest(o, F.col("own")).alias("q"))))
-    company = company.select("rep", "t", "cell", "own", F.explode(pairs).alias("pq")).join(classes, "rep")
-    company = company.select(F.xxhash64("label", "t", "cell", "pq").alias("g"), "t", "own", F.expr("pq.p != pq.q").alias("across"), "rep", "n", "x", "keys", "cell", "label")
-
-    def compared(batches):
-        held = None
-        for b in itertools.chain(batches, [None]):
-            if held is not None and held.num_rows:
-                g = held.column("g").to_numpy()
-                cuts = np.r_[0, np.flatnonzero(g[1:] != g[:-1]) + 1]
-                if b is None:
-                    cuts = np.r_[cuts, len(g)]
-                out = []
-                for lo, hi in zip(cuts[:-1], cuts[1:]):
-                    if hi - lo > 1:
-                        out.append(one(held.slice(lo, hi - lo)))
-                if out:
-                    yield from pa.concat_tables(out).combine_chunks().to_batches()
-                held = held.slice(cuts[-1]) if b is not None else None
-            if b is not None:
-                part = pa.Table.from_batches([b])
-                held = part if held is None else pa.concat_tables([held, part])
-
-    def one(group):
-        group = group.combine_chunks()
-        t = int(group.column("t")[0].as_py())
-        x = _matrix(group.column("x").chunk(0))
-        keys = group.column("keys").chunk(0).flatten().to_numpy().reshape(len(x), -1)
-        half = group.column("own").to_numpy() if group.column("across")[0].as_py() else None
-        count, low = _pairs_linked(group.column("n").to_numpy(), x, keys, t, half, threshold)
-        at = np.flatnonzero(count > 0)
-        rep = group.column("rep").combine_chunks()
-        rep = rep.chunk(0) if isinstance(rep, pa.ChunkedArray) else rep
-        return pa.table({"a": rep.take(pa.array(at)), "b": rep.take(pa.array(low[at])), "links": pa.array(count[at])})
-
-    by_group = company.repartition("g").sortWithinPartitions("g").select("g", "t", "own", "across", "rep", "n", "x", "keys")
-    found = scratch.keep(by_group.mapInArrow(compared, f"a {kinds['id']}, b {kinds['id']}, links bigint"), "found")
     links = found.groupBy("a").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select("a", "b"), scratch)
-    named = classes.select("rep", "label", "x", "n").join(links, F.col("rep") == F.col("a"), "left").join(parts, F.col("rep") == F.col("id"), "left")
-    named = named.select("label", "x", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    inside = rows.join(named, ["label", "x"]).select(F.col("id").alias(key), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
-    rest = vectors.select(F.col(key).alias(key), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("x"), F.col(key).alias("id")).where(~ok)
-    return inside.union(rest.select(key, F.lit(0).cast("bigint"), F.col(key), F.col(key).isNotNull()))
+    named = classes.join(links, F.col("node") == F.col("a"), "left").join(parts, F.col("node") == F.col("id"), "left")
+    named = scratch.keep(named.select("node", "rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component")), "named")
+    lows = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = scratch.keep(named.join(lows, "component").select("node", "n_links", "component_id"), "labels")
+    inside = rows.select("id", "node").join(named, "node").select(F.col("id").alias(key), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    alone = given.where(~ok).select(F.col("id").alias(key), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
+    return inside.unionByName(alone)
 
 
 # ---- nearest neighbours
