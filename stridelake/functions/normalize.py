@@ -63,8 +63,9 @@ def clean_component(c: Column) -> Column:
 
 
 def motion_id(source: Column, subject: Column, name: Column, path: Column) -> Column:
-    """``source_subject_name_`` and eight digits of the path's SHA-1."""
-    return F.concat_ws("_", clean_component(source), clean_component(subject), clean_component(name), F.substring(F.sha1(path), 1, 8))
+    """``source_subject_name_`` and eight digits of the path's SHA-1; empty and null parts are left out."""
+    part = lambda c: F.when(F.length(c) > 0, clean_component(c))
+    return F.concat_ws("_", part(source), part(subject), part(name), F.substring(F.sha1(path), 1, 8))
 
 
 def hash_bucket(seed: int | str, ident: Column, n: int) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stridelake.functions import vectors
+from stridelake.operators.scratch import Scratch
 
 
 def by_frame(seq: str, frame: str):
@@ -133,8 +134,32 @@ def sampled(df: DataFrame, seq: str, frame: str, source_fps: float, target_fps:
     return df.join(wanted, [seq, frame])
 
 
-def quantile_table(df: DataFrame, metrics: list[str], shares: dict[str, float]) -> DataFrame:
-    """``metric`` and a column for each share: exact percentiles, linear between ranks."""
-    aggs = [F.percentile(F.col(m).cast("double"), F.array(*map(F.lit, shares.values()))).alias(m) for m in metrics]
-    rows = df.agg(*aggs).select(F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("q")) for m in metrics))).alias("r"))
-    return rows.select("r.metric", *(F.col("r.q")[k].alias(n) for k, n in enumerate(shares)))
+BINS = 128  # parts of a metric's values, of which only those with wanted ranks are ordered
+
+
+def quantile_table(df: DataFrame, metrics: list[str], shares: dict[str, float], scratch: Scratch | None = None) -> DataFrame:
+    """``metric`` and a column for each share: exact percentiles, linear between ranks; nulls don't count.
+
+    Values are counted before any shuffle and dealt to bins at approximate quantiles; the bins'
+    counts tell which of them hold the wanted ranks, and only those are ordered, one task each.
+    No task holds all values.  A metric without values has no row.
+    """
+    scratch = scratch or Scratch(df.sparkSession, "quantiles")
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics)))
+    values = df.select(each.alias("x")).select("x.*").where("v is not null").groupBy("metric", "v").agg(F.count("*").alias("n"))
+    values = scratch.keep(values, "values")
+    cuts = values.groupBy("metric").agg(F.percentile_approx("v", [k / BINS for k in range(1, BINS)], 10 * BINS).alias("cuts"))
+    binned = values.join(F.broadcast(cuts), "metric").select("metric", "v", "n", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("bin"))  # a row a metric
+    w = Window.partitionBy("metric").orderBy("bin")
+    bins = binned.groupBy("metric", "bin").agg(F.sum("n").alias("held"))  # BINS rows a metric
+    bins = bins.withColumns({"upto": F.sum("held").over(w), "all": F.sum("held").over(Window.partitionBy("metric"))})
+    want = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), ((F.col("all") - 1) * F.lit(float(s))).alias("at")) for name, s in shares.items())))
+    asked = bins.select("metric", "bin", (F.col("upto") - F.col("held")).alias("before"), "upto", want.alias("w")).select("metric", "bin", "before", "upto", "w.name", "w.at")
+    asked = asked.withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at"))))).where("rank >= before and rank < upto")
+    inside = Window.partitionBy("metric", "bin").orderBy("v")
+    ordered = binned.join(F.broadcast(asked.select("metric", "bin", "before").distinct()), ["metric", "bin"])
+    ordered = ordered.withColumn("last", F.col("before") + F.sum("n").over(inside)).select("metric", "bin", "v", "n", "last")
+    found = ordered.join(F.broadcast(asked.select("metric", "bin", "name", "at", "rank")), ["metric", "bin"]).where("rank >= last - n and rank < last")
+    part = F.when(F.floor("at") == F.ceil("at"), F.col("v")).otherwise(F.col("v") * (1 - F.abs(F.col("at") - F.col("rank"))))
+    one = found.groupBy("metric", "name").agg(F.sum(part).alias("q"))
+    return one.groupBy("metric").agg(*(F.max(F.when(F.col("name") == n, F.col("q"))).alias(n) for n in shares))

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stridelake.functions import intervals
+from stridelake.operators.metrics import quantile_table
 
 
 def first_of(rules: list[tuple[str, Column]], otherwise: str | Column) -> Column:
@@ -165,15 +166,17 @@ def sit_support(matches: Column, coverage: Column, primary: Column, sit_labels:
 
 def joint_threshold(df: DataFrame, metric: str, explicit: float | None = None, share: float = 0.05) -> Column | DataFrame:
     """The configured threshold, or the population's percentile as a one-row table to broadcast."""
-    return F.lit(explicit) if explicit is not None else df.agg(F.percentile(F.col(metric).cast("double"), share).alias("joint_threshold"))
+    return F.lit(explicit) if explicit is not None else quantile_table(df, [metric], {"joint_threshold": share}).select("joint_threshold")
 
 
 def semantic_rules(labels: Column, soft_intervals: Column, duration: Column, hard: list[str], minimum: float = 0.35) -> list[tuple[str, Column]]:
     """Hard labels reject; so do soft labels that cover enough of the duration (unrounded)."""
-    return [
-        ("reject_semantic_hard", F.arrays_overlap(labels, F.array(*map(F.lit, hard)))),
-        ("reject_semantic_coverage", intervals.coverage(soft_intervals, duration) >= minimum),
-    ]
+    return semantic_rules_of(labels, intervals.coverage(soft_intervals, duration), hard, minimum)
+
+
+def semantic_rules_of(labels: Column, coverage: Column, hard: list[str], minimum: float = 0.35) -> list[tuple[str, Column]]:
+    """The same for a coverage that is known."""
+    return [("reject_semantic_hard", F.arrays_overlap(labels, F.array(*map(F.lit, hard)))), ("reject_semantic_coverage", coverage >= minimum)]
 
 
 @dataclass

@@ -14,10 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one only where it is unset (tests)."""
+    """The folder in ``spark.checkpoint.dir``; a local one only where it is unset and the master is local (tests).
+
+    RuntimeError on a cluster without the setting: its machines would not see each other's files.
+    """
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     own = getattr(spark, "_stridelake_shared", None)
     if own is None:
         own = "file://" + tempfile.mkdtemp(prefix="stridelake-")
@@ -26,12 +32,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written once, read many times, and dropped by name."""
+    """Tables written once, read many times, and dropped by name; what is left goes when the driver ends.
+
+    Results are plans over these tables, so that they can't go before.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
+        path, store = self._at(self.root)
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+
+    def _at(self, path: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def path(self, name: str) -> str:
         self._n += 1
@@ -50,9 +66,8 @@ class Scratch:
             self.remove(df._scratch_path)
 
     def remove(self, at: str | None = None) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(at or self.root)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        path, store = self._at(at or self.root)
+        store.delete(path, True)
 
 
 def size_in_bytes(df: DataFrame) -> int:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from stridelake.functions import intervals, normalize, vectors
-from stridelake.operators import dedup, matching, metrics, quota, reports, rules, trajectory
+from stridelake.operators import dedup, matching, metrics, quota, reports, rules, timeline, trajectory
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -131,13 +131,19 @@ def q08_match_summary(spark, sf_dir):
     return matching.match_summary(q07_match_cascade(spark, sf_dir))
 
 
-def timelines(spark, sf_dir) -> DataFrame:
-    """A row for each user: duration and actions in seconds from the first event."""
+def actions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """A row for each action, in seconds from its user's first event, and each user's duration."""
     e = table(spark, sf_dir, "events").select("user_id", "event_type", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     first = e.groupBy("user_id").agg(F.min("us").alias("t0"))
     e = e.join(first, "user_id").withColumn("start", (F.col("us") - F.col("t0")) / F.lit(1e6))
-    act = F.struct(F.col("event_type").alias("category"), F.col("start"), (F.col("start") + F.col("value") * 600).alias("end"))
-    return e.groupBy("user_id").agg((F.max("start") + 10).alias("duration"), F.collect_list(act).alias("actions"))
+    e = e.select("user_id", F.col("event_type").alias("category"), "start", (F.col("start") + F.col("value") * 600).alias("end"))
+    return e, e.groupBy("user_id").agg((F.max("start") + 10).alias("duration"))
+
+
+def timelines(spark, sf_dir) -> DataFrame:
+    """A row for each user: duration and actions as an array, for the expressions within a row."""
+    e, _ = actions(spark, sf_dir)
+    return e.groupBy("user_id").agg((F.max("start") + 10).alias("duration"), F.collect_list(F.struct("category", "start", "end")).alias("actions"))
 
 
 _TIMES = """e AS (SELECT user_id, event_type AS category, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 1e6 AS s, value FROM events),
@@ -151,11 +157,12 @@ u AS (SELECT user_id, sum(len) AS c FROM (SELECT user_id, g, max(t) - min(s) AS
 SELECT user_id, round(coalesce(c, 0) / duration, 4) AS coverage, CASE WHEN bad THEN 'reject_semantic_hard' WHEN coalesce(c, 0) / duration >= 0.35 THEN 'reject_semantic_coverage' ELSE 'pass' END AS status
 FROM d LEFT JOIN u USING (user_id) JOIN (SELECT user_id, bool_or(category = 'error' AND value > 190) AS bad FROM e GROUP BY 1) USING (user_id)""")
 def q09_interval_coverage(spark, sf_dir):
-    t = timelines(spark, sf_dir)
-    soft = F.transform(F.filter("actions", lambda a: a["category"].isin("click", "view")), lambda a: F.struct(a["start"], a["end"]))
-    hard = F.when(F.exists("actions", lambda a: (a["category"] == "error") & (a["end"] - a["start"] > 190 * 600)), F.array(F.lit("hard"))).otherwise(F.array().cast("array<string>"))
-    t = t.withColumns({"soft": soft, "labels": hard})
-    return t.select("user_id", R(intervals.coverage(F.col("soft"), F.col("duration")), 4).alias("coverage"), rules.first_of(rules.semantic_rules(F.col("labels"), F.col("soft"), F.col("duration"), ["hard"]), "pass").alias("status"))
+    acts, durations = actions(spark, sf_dir)
+    soft = timeline.clipped(acts.where(F.col("category").isin("click", "view")), durations, "user_id", "start", "end", "duration")
+    hard = acts.groupBy("user_id").agg(F.when(F.bool_or((F.col("category") == "error") & (F.col("end") - F.col("start") > 190 * 600)), F.array(F.lit("hard"))).otherwise(F.array().cast("array<string>")).alias("labels"))
+    t = durations.join(timeline.union_seconds(soft, "user_id", "start", "end"), "user_id", "left").join(hard, "user_id")
+    covered = F.coalesce("seconds", F.lit(0.0)) / F.col("duration")
+    return t.select("user_id", R(covered, 4).alias("coverage"), rules.first_of(rules.semantic_rules_of(F.col("labels"), covered, ["hard"]), "pass").alias("status"))
 
 
 _SWEEP = f"""{_TIMES}, b AS (SELECT user_id, s AS x FROM a UNION SELECT user_id, t FROM a UNION SELECT user_id, 0.0 FROM d UNION SELECT user_id, duration FROM d),
@@ -171,14 +178,23 @@ def allocations(spark, sf_dir) -> DataFrame:
 
 @query(f"WITH {_SWEEP} SELECT user_id, category, round(seconds, 3) AS seconds FROM al WHERE seconds > 0.001")
 def q10_timeline_allocate(spark, sf_dir):
+    acts, durations = actions(spark, sf_dir)
+    s = timeline.allocated_seconds(acts, durations, "user_id", "category", "start", "end", "duration")
+    return s.where("seconds > 0.001").select("user_id", "category", R("seconds", 3).alias("seconds"))
+
+
+@query(f"WITH {_SWEEP} SELECT user_id, category, round(seconds, 3) AS seconds FROM al WHERE seconds > 0.001")
+def q10b_allocate_in_a_row(spark, sf_dir):
     return allocations(spark, sf_dir).select("user_id", F.explode("alloc").alias("category", "s")).where("s > 0.001").select("user_id", "category", R("s", 3).alias("seconds"))
 
 
 @query(f"""WITH {_SWEEP}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seconds DESC, category) AS k FROM al)
 SELECT user_id, category AS primary_category, round(seconds / duration, 6) AS dominance FROM r JOIN d USING (user_id) WHERE k = 1""")
 def q11_primary_category(spark, sf_dir):
-    a = allocations(spark, sf_dir).withColumn("alloc", intervals.conserved(F.col("alloc"), F.col("duration")))
-    return a.select("user_id", intervals.primary_category(F.col("alloc")).alias("primary_category"), R(intervals.dominance(F.col("alloc"), F.col("duration"))).alias("dominance"))
+    acts, durations = actions(spark, sf_dir)
+    s = timeline.allocated_seconds(acts, durations, "user_id", "category", "start", "end", "duration")
+    p = timeline.primary_of(s, "user_id", "category").join(durations, "user_id")
+    return p.select("user_id", "primary_category", R(F.col("primary_seconds") / F.col("duration")).alias("dominance"))
 
 
 @query(f"""WITH {_SWEEP}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seconds DESC, category) AS k FROM al WHERE category <> 'unknown' AND user_id % 3 <> 0)
@@ -186,6 +202,7 @@ SELECT user_id, coalesce(category, 'unknown') AS primary_category, round(coalesc
 FROM d LEFT JOIN r USING (user_id) LEFT JOIN (SELECT user_id, sum(seconds) AS total FROM r GROUP BY 1) USING (user_id) WHERE coalesce(k, 1) = 1""")
 def q11b_ignore_unlabelled(spark, sf_dir):
     a = allocations(spark, sf_dir).withColumn("alloc", F.when(F.col("user_id") % 3 != 0, F.col("alloc")).otherwise(F.map_filter("alloc", lambda k, v: k == "unknown")))
+    a = a.withColumn("alloc", F.when(F.col("user_id") % 3 != 0, intervals.conserved(F.col("alloc"), F.col("duration"))).otherwise(F.col("alloc")))
     a = a.withColumn("alloc", intervals.fill_unlabeled(F.col("alloc"), "ignore", F.lit(None)))
     shares = intervals.proportions(F.col("alloc"), F.col("duration"))
     labelled = F.when(F.size(shares) > 0, R(F.aggregate(F.map_values(shares), F.lit(0.0), lambda s, v: s + v)))
@@ -269,24 +286,28 @@ def q17_cluster_keep(spark, sf_dir):
     return kept.select("doc_id", "component", "cluster_rank", "kept")
 
 
+#: Shares of a document's duration with its own label and without one.
+OWN, REST = "CASE WHEN doc_id % 3 = 0 THEN 0.85D ELSE 0.65D END", "CASE WHEN doc_id % 3 = 0 THEN 0.1D ELSE 0.25D END"
+_POOL = f"""{MOTIONS}, s AS (SELECT *, ({OWN.replace("D ", "::DOUBLE ")}) AS own, ({REST.replace("D ", "::DOUBLE ")}) AS rest FROM m),
+pc AS (SELECT lang AS c, sum(duration * own) AS pool FROM s GROUP BY 1), pu AS (SELECT sum(duration * rest) AS upool FROM s), ps AS (SELECT source AS so, sum(duration) AS spool FROM s GROUP BY 1),
+mixed AS (SELECT s.*, CASE WHEN duration > 0 THEN own / sqrt(pool + 1) ELSE 0 END AS r1, CASE WHEN duration > 0 THEN rest / sqrt(upool + 1) ELSE 0 END AS r2, 1 / sqrt(spool + 1) AS r3, CASE WHEN duration > 0 THEN -0.3 * (own * ln(own + 1e-12) + rest * ln(rest + 1e-12)) ELSE 0 END AS h FROM s JOIN pc ON c = lang JOIN ps ON so = source, pu)"""
+
+
 def _scored(spark, sf_dir, order: str = "category_first") -> DataFrame:
     d = motions(spark, sf_dir).withColumn("quality", F.col("quality").cast("double"))
-    d = d.withColumn("alloc", F.create_map("lang", F.col("duration") * 0.65, F.lit("unknown"), F.col("duration") * 0.25))  # a tenth without a label is ignored
+    part = lambda c: F.col("duration") * F.expr(c)
+    d = d.withColumn("alloc", F.create_map("lang", part(OWN), F.lit("unknown"), part(REST)))  # a tenth or less without a label is ignored
     if order == "global_first":
         return quota.selection_scores(d, "doc_id", "quality", "alloc", skip_unknown=True)
     return quota.selection_scores(d, "doc_id", "quality", "alloc", source="source")
 
 
-@query(f"""WITH {MOTIONS}, al AS (SELECT doc_id, source, lang AS c, duration * 0.65 AS s FROM m UNION ALL SELECT doc_id, source, 'unknown', duration * 0.25 FROM m),
-pc AS (SELECT c, sum(s) AS pool FROM al GROUP BY 1), ps AS (SELECT source, sum(duration) AS spool FROM m GROUP BY 1)
-SELECT m.doc_id, round(coalesce(nullif(quality, 0), 1) + CASE WHEN duration > 0 THEN 0.65 / sqrt(pc.pool + 1) + 0.25 / sqrt(pu.pool + 1) ELSE 0 END + 1 / sqrt(spool + 1) + CASE WHEN duration > 0 THEN 0.3 * -(0.65 * ln(0.65 + 1e-12) + 0.25 * ln(0.25 + 1e-12)) ELSE 0 END, 6) AS score
-FROM m JOIN pc ON pc.c = m.lang JOIN pc pu ON pu.c = 'unknown' JOIN ps ON ps.source = m.source""")
+@query(f"WITH {_POOL} SELECT doc_id, round(coalesce(nullif(quality, 0), 1) + r1 + r2 + r3 + h, 6) AS score FROM mixed")
 def q18_selection_score(spark, sf_dir):
     return _scored(spark, sf_dir).select("doc_id", R("selection_score").alias("score"))
 
 
-@query(f"""WITH {MOTIONS}, pc AS (SELECT lang AS c, sum(duration * 0.65) AS pool FROM m GROUP BY 1)
-SELECT m.doc_id, round(coalesce(quality, 1) + CASE WHEN duration > 0 THEN 0.65 / sqrt(pool + 1) - 0.3 * (0.65 * ln(0.65 + 1e-12) + 0.25 * ln(0.25 + 1e-12)) ELSE 0 END, 6) AS score FROM m JOIN pc ON c = lang""")
+@query(f"WITH {_POOL} SELECT doc_id, round(coalesce(quality, 1) + r1 + h, 6) AS score FROM mixed")
 def q18b_selection_score_first(spark, sf_dir):
     return _scored(spark, sf_dir, "global_first").select("doc_id", R("selection_score").alias("score"))
 
@@ -300,17 +321,94 @@ def _selected(spark, sf_dir, order: str) -> DataFrame:
     return chosen.withColumn("quota_status", quota.quota_status(F.col("quota_selected"), F.col("quota_reason"), order))
 
 
-@query()
+def _added(c: str) -> str:
+    """What a row adds to a category's seconds, in SQL."""
+    return "p.d * p.rest" if c == "unknown" else f"CASE WHEN p.c = '{c}' THEN p.d * p.own ELSE 0 END"
+
+
+def _refusal() -> str:
+    """Why a row can't be accepted in a state of the first selection, in SQL, by the figures of ``BUDGET``."""
+    checks = [f"WHEN st.n + 1 > {BUDGET.max_count} THEN 'global_count'", f"WHEN st.sec + p.d > {BUDGET.max_sec + BUDGET.tolerance} THEN 'global_duration'"]
+    for c, limit in sorted(BUDGET.categories.items()):
+        if limit.max_count is not None:
+            checks.append(f"WHEN p.c = '{c}' AND st.n_{c} + 1 > {limit.max_count} THEN 'category_count'")
+        if limit.max_ratio is not None:
+            checks.append(f"WHEN p.c = '{c}' AND p.d > 0 AND p.own >= {BUDGET.dominance} AND st.s_{c} + {_added(c)} > {limit.max_ratio * BUDGET.max_sec + BUDGET.tolerance} THEN 'category_duration'")
+    return f"CASE {' '.join(checks)} END"
+
+
+def _greedy() -> str:
+    """The first selection as one recursive step for each row of each pass; the state is a row."""
+    cats = sorted(BUDGET.categories)
+    minima = sorted((l.min_sec, c) for c, l in BUDGET.categories.items() if l.min_sec > 0)
+    passes = [f"SELECT {k} AS phase, '{c}' AS goal, {low}::DOUBLE AS low, row_number() OVER (ORDER BY -d * own, -score, id) AS place, * FROM pool WHERE c = '{c}' AND d > 0" for k, (low, c) in enumerate(minima)]
+    passes.append(f"SELECT {len(minima)}, NULL, NULL, row_number() OVER (ORDER BY -score, id), * FROM pool")
+    used = " ".join(f"WHEN '{c}' THEN st.s_{c}" for c in cats)
+    zeros = ", ".join(f"0.0::DOUBLE AS s_{c}, 0 AS n_{c}" for c in cats)
+    return f"""WITH RECURSIVE {_POOL}, pool AS (SELECT doc_id AS id, lang AS c, duration AS d, own, rest, round(coalesce(quality, 1) + r1 + h, 10) AS score FROM mixed),
+passes AS ({' UNION ALL '.join(passes)}), p AS MATERIALIZED (SELECT row_number() OVER (ORDER BY phase, place) AS k, * FROM passes),
+st AS (SELECT 0::BIGINT AS k, NULL::BIGINT AS id, NULL::VARCHAR AS goal, FALSE AS tried, NULL::VARCHAR AS refused, 0 AS n, 0.0::DOUBLE AS sec, {zeros}, []::BIGINT[] AS early
+  UNION ALL SELECT k, id, goal, tried, refused, n + ok::INT, sec + CASE WHEN ok THEN d ELSE 0 END, {", ".join(f"s_{c} + CASE WHEN ok THEN a_{c} ELSE 0 END, n_{c} + (ok AND c = '{c}')::INT" for c in cats)}, CASE WHEN ok AND goal IS NOT NULL THEN list_append(early, id) ELSE early END
+  FROM (SELECT *, tried AND refused IS NULL AS ok FROM (SELECT p.k, p.id, p.goal, p.c, p.d, st.n, st.sec, st.early, {", ".join(f"st.s_{c}, st.n_{c}, {_added(c)} AS a_{c}" for c in cats)},
+    NOT list_contains(st.early, p.id) AND (p.goal IS NULL OR CASE p.goal {used} END < p.low) AS tried, {_refusal()} AS refused FROM st JOIN p ON p.k = st.k + 1)))
+SELECT id AS doc_id, refused IS NULL AS quota_selected, CASE WHEN refused IS NULL THEN coalesce('minimum_' || goal, 'score') END AS quota_pass, refused AS quota_reason,
+CASE split_part(refused, '_', 1) WHEN 'global' THEN 'defer_global_budget' WHEN 'category' THEN 'defer_quota_category' ELSE 'selected_candidate' END AS quota_status FROM st WHERE tried AND (refused IS NULL OR goal IS NULL)"""
+
+
+@query(_greedy())
 def q19_quota_v2(spark, sf_dir):
     return _selected(spark, sf_dir, "global_first")
 
 
-@query()
+def _refusal_by_source() -> str:
+    """Why the second selection can't accept a row: categories, source, subject, then the whole, by the figures of ``BUDGET``."""
+    checks = []
+    for c, limit in sorted(BUDGET.categories.items()):
+        if limit.max_ratio is not None:
+            checks.append(f"WHEN p.d > 0 AND p.c = '{c}' AND p.own >= {BUDGET.dominance} AND st.s_{c} + {_added(c)} > {limit.max_ratio * BUDGET.max_sec + BUDGET.tolerance} THEN 'category_duration'")
+        if limit.max_count is not None:
+            checks.append(f"WHEN p.c = '{c}' AND st.n_{c} + 1 > {limit.max_count} THEN 'category_count'")
+    ratio = " ".join(f"WHEN '{s}' THEN {l.max_ratio}::DOUBLE" for s, l in BUDGET.sources.items())
+    checks.append(f"WHEN coalesce(st.src[p.so].s, 0) + p.d > CASE p.so {ratio} ELSE {BUDGET.source.max_ratio}::DOUBLE END * st.bs THEN 'source_duration'")
+    checks.append(f"WHEN coalesce(st.src[p.so].n, 0) + 1 > floor({BUDGET.source.count_ratio}::DOUBLE * st.bn) THEN 'source_count'")
+    checks.append(f"WHEN coalesce(st.sub[p.so || '/' || p.c].s, 0) + p.d > {BUDGET.subject.max_sec} THEN 'subject_duration'")
+    checks.append(f"WHEN coalesce(st.sub[p.so || '/' || p.c].n, 0) + 1 > {BUDGET.subject.max_count} THEN 'subject_count'")
+    checks += [f"WHEN st.n + 1 > {BUDGET.max_count} THEN 'global_count'", f"WHEN st.sec + p.d > {BUDGET.max_sec + BUDGET.tolerance} THEN 'global_duration'"]
+    return f"CASE {' '.join(checks)} END"
+
+
+def _greedy_rounds() -> str:
+    """The second selection in SQL: rounds of the passes, each with the bases that the one before achieved, until they stay."""
+    cats = sorted(BUDGET.categories)
+    minima = sorted((l.min_sec, c) for c, l in BUDGET.categories.items() if l.min_sec > 0)
+    passes = [f"SELECT {k} AS phase, '{c}' AS goal, {low}::DOUBLE AS low, row_number() OVER (ORDER BY -d * own, -score, id) AS place, * FROM pool WHERE c = '{c}' AND d > 0" for k, (low, c) in enumerate(minima)]
+    passes.append(f"SELECT {len(minima)}, NULL, NULL, row_number() OVER (ORDER BY -score, id), * FROM pool")
+    used = " ".join(f"WHEN '{c}' THEN st.s_{c}" for c in cats)
+    empty = "MAP([]::VARCHAR[], []::STRUCT(s DOUBLE, n INT)[])"
+    zeros = ", ".join(f"0.0::DOUBLE AS s_{c}, 0 AS n_{c}" for c in cats)
+    grown = lambda m, k: f"CASE WHEN ended THEN {empty} WHEN ok THEN map_concat({m}, MAP([{k}], [{{'s': coalesce({m}[{k}].s, 0) + d, 'n': (coalesce({m}[{k}].n, 0) + 1)::INT}}])) ELSE {m} END"
+    sums = ", ".join(f"CASE WHEN ended THEN 0 WHEN ok THEN s_{c} + a_{c} ELSE s_{c} END, CASE WHEN ended THEN 0 ELSE n_{c} + (ok AND c = '{c}')::INT END" for c in cats)
+    return f"""WITH RECURSIVE {_POOL}, pool AS (SELECT doc_id AS id, lang AS c, source AS so, duration AS d, own, rest, round(coalesce(nullif(quality, 0), 1) + r1 + r2 + r3 + h, 10) AS score FROM mixed),
+passes AS ({' UNION ALL '.join(passes)}), p AS MATERIALIZED (SELECT row_number() OVER (ORDER BY phase, place) AS k, * FROM passes),
+st AS (SELECT 0 AS r, 0::BIGINT AS k, NULL::BIGINT AS id, NULL::VARCHAR AS goal, FALSE AS tried, NULL::VARCHAR AS refused, 0 AS n, 0.0::DOUBLE AS sec, {BUDGET.max_sec}::DOUBLE AS bs, {BUDGET.max_count}::DOUBLE AS bn, {zeros}, []::BIGINT[] AS early, {empty} AS src, {empty} AS sub
+  UNION ALL SELECT r + ended::INT, coalesce(k, 0), id, goal, coalesce(tried, FALSE), refused, CASE WHEN ended THEN 0 ELSE n + ok::INT END, CASE WHEN ended THEN 0 WHEN ok THEN sec + d ELSE sec END,
+    CASE WHEN ended THEN least(bs, sec) ELSE bs END, CASE WHEN ended THEN least(bn, n) ELSE bn END, {sums}, CASE WHEN ended THEN [] WHEN ok AND goal IS NOT NULL THEN list_append(early, id) ELSE early END, {grown('src', 'so')}, {grown('sub', "so || '/' || c")}
+  FROM (SELECT *, coalesce(tried AND refused IS NULL, FALSE) AS ok FROM (SELECT st.r, p.k, p.k IS NULL AS ended, p.id, p.goal, p.c, p.so, p.d, st.n, st.sec, st.bs, st.bn, st.early, st.src, st.sub, {", ".join(f"st.s_{c}, st.n_{c}, {_added(c)} AS a_{c}" for c in cats)},
+    NOT list_contains(st.early, p.id) AND (p.goal IS NULL OR CASE p.goal {used} END < p.low) AS tried, {_refusal_by_source()} AS refused FROM st LEFT JOIN p ON p.k = st.k + 1))
+  WHERE NOT (ended AND abs(least(bs, sec) - bs) <= 1e-9 AND least(bn, n) = bn)),
+rows AS (SELECT id AS doc_id, refused IS NULL AS quota_selected, CASE WHEN refused IS NULL THEN coalesce('minimum_' || goal, 'score') END AS quota_pass, refused AS quota_reason,
+  CASE split_part(refused, '_', 1) WHEN 'global' THEN 'defer_global_budget' WHEN 'category' THEN 'defer_category_quota' WHEN 'source' THEN 'defer_source_quota' WHEN 'subject' THEN 'defer_subject_quota' ELSE 'selected_candidate' END AS quota_status
+  FROM st WHERE tried AND (refused IS NULL OR goal IS NULL) AND r = (SELECT max(r) FROM st))
+"""
+
+
+@query(_greedy_rounds() + "SELECT * FROM rows")
 def q20_quota_v3(spark, sf_dir):
     return _selected(spark, sf_dir, "category_first")
 
 
-@query()
+@query(_greedy_rounds() + """, k AS (SELECT mixed.* FROM rows JOIN mixed USING (doc_id) WHERE quota_selected), a AS (SELECT lang AS name, duration * own AS s FROM k UNION ALL SELECT 'unknown', duration * rest FROM k)
+SELECT 'category' AS scope, name, round(sum(s), 6) AS seconds, count(*) FILTER (s > 0) AS n FROM a GROUP BY 2 UNION ALL SELECT 'source', source, round(sum(duration), 6), count(*) FROM k GROUP BY 2""")
 def q21_quota_report(spark, sf_dir):
     chosen = q20_quota_v3(spark, sf_dir).where("quota_selected").select("doc_id")
     return quota.quota_report(_scored(spark, sf_dir).join(chosen, "doc_id", "left_semi"), "alloc", "duration", "source")

@@ -170,7 +170,16 @@ def test_archives_and_annotations(spark, tmp_path):
     found = files.discover(spark, str(tmp_path), "*.npz", content=True)
     heads = {r.path.rsplit("/", 1)[1]: r for r in files.read_archives(found).collect()}
     assert heads["a_poses.npz"].duration_sec == 2.0 and heads["a_poses.npz"].gender == "female"
-    assert heads["b.npz"].has_nan and heads["b.npz"].missing == ["trans"] and heads["c.npz"].error
+    assert heads["a_poses.npz"].expected_frames_30 == 60 and heads["a_poses.npz"].lengths_match and heads["a_poses.npz"].exact_hash
+    (tmp_path / "far").mkdir()
+    near = {"poses": np.ones((4, 6)) + 1e-6, "trans": np.full((4, 3), 5.0), "mocap_framerate": 2.0}
+    (tmp_path / "far" / "n.npz").write_bytes(files.npz_bytes(near))
+    other = one(files.read_archives(files.discover(spark, str(tmp_path / "far"), "*.npz", content=True)))
+    assert other.near_hash == heads["a_poses.npz"].near_hash and other.exact_hash != heads["a_poses.npz"].exact_hash
+    assert files.npz_bytes(near) == files.npz_bytes(dict(reversed(near.items())))
+    ids = {r.relative_path: (r.source, r.subject, r.name) for r in files.base_records(files.discover(spark, str(tmp_path), "*.npz"), str(tmp_path)).collect()}
+    assert ids["far/n.npz"] == (tmp_path.name, "far", "n") and ids["c.npz"] == (tmp_path.name, "", "c")
+    assert heads["b.npz"].has_nan and not heads["b.npz"].has_translation and heads["b.npz"].near_hash is None and heads["b.npz"].missing == ["trans"] and heads["c.npz"].error
     assert files.archive_frames(found.where("path like '%a_poses%'")).count() == 4
     with pytest.raises(Exception, match="bad archive"):
         files.strict(files.read_archives(found)).collect()
@@ -191,6 +200,96 @@ def test_sinks_refuse_to_overwrite(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
 
 
+def test_named_bundles_and_manifests(spark, tmp_path):
+    records = spark.createDataFrame([("m1", "heuristic_passed", "semantic_passed", "selected_candidate", 3), ("m2", "review_heuristic", "semantic_passed", "review_static", 4)], "motion_id string, heuristic_status string, semantic_status string, final_status string, extra int")
+    small = records.select("motion_id")
+    files.write_first_selection(records, small, small, small, str(tmp_path / "one"))
+    assert len(list((tmp_path / "one").iterdir())) == 7 and spark.read.json(f"{tmp_path}/one/candidate_v1.jsonl").count() == 1
+    assert next((tmp_path / "one" / "amass_inventory.csv").glob("part*")).read_bytes().startswith(b"\xef\xbb\xbfmotion_id,")
+    files.write_refined_selection(records, small, {"quota_report.json": small}, str(tmp_path / "two"))
+    assert spark.read.json(f"{tmp_path}/two/review_candidates.jsonl").first().motion_id == "m2"
+    files.write_lines(records, "motion_id", str(tmp_path / "ids.txt"))
+    assert files.read_path_list(spark, str(tmp_path / "ids.txt")).count() == 2
+    (tmp_path / "bad.jsonl").write_text('{"id": 1}\n\n{"id": \n')
+    with pytest.raises(Exception, match=r"bad\.jsonl:3: not JSON"):
+        files.read_jsonl_strict(spark, str(tmp_path / "bad.jsonl"), "id int").collect()
+    (tmp_path / "c.yaml").write_text("quota: {max: 3}")
+    assert files.load_config(str(tmp_path / "c.yaml"), ["quota"])["quota"]["max"] == 3
+    with pytest.raises(ValueError, match="no section other"):
+        files.load_config(str(tmp_path / "c.yaml"), ["quota", "other"])
+    frames = spark.createDataFrame([("a", 1, [1.0, 2.0]), ("a", 0, [3.0, 4.0]), ("b", 0, [5.0, 6.0])], "seq string, frame int, pose array<double>")
+    assert sorted(r.frames for r in files.write_archives(frames, "seq", "frame", ["pose"], str(tmp_path / "out")).collect()) == [1, 2]
+    assert np.load(tmp_path / "out" / "a.npz")["pose"].tolist() == [[3.0, 4.0], [1.0, 2.0]]
+    with pytest.raises(ValueError, match="not below"):
+        files.delete_below(spark, str(tmp_path / "out"), str(tmp_path / "one"))
+    files.delete_below(spark, str(tmp_path), str(tmp_path / "out"))
+    assert not (tmp_path / "out").exists()
+
+
+def test_quota_against_plain_loops():
+    """The passes written out once more, as the rules read, for both orders of checks."""
+    for seed, order in [(s, o) for s in range(4) for o in ("global_first", "category_first")]:
+        rnd = random.Random(seed)
+        rows = []
+        for k in range(120):
+            d, own, p = rnd.choice([rnd.uniform(1, 40), 0.0]) if k % 20 == 0 else rnd.uniform(1, 40), rnd.choice("abc"), rnd.choice([0.6, 0.9])
+            rows.append({"id": k, "score": round(rnd.random(), 2), "duration": d, "alloc": {own: d * p, "unknown": d * (1 - p)}, "source": f"s{rnd.randrange(3)}", "subject": f"u{rnd.randrange(4)}", "primary": own, "dominance": p if d else 0.0})
+        L = quota.Limit
+        b = quota.Budget(max_sec=500, max_count=40, categories={"a": L(min_sec=60, max_ratio=0.2, max_count=9), "b": L(min_sec=30, max_sec=90), "c": L(max_ratio=0.0), "unknown": L(max_ratio=0.3)}, source=L(max_ratio=0.5, count_ratio=0.5), sources={"s0": L(max_ratio=0.2, count_ratio=0.5)}, subject=L(max_sec=90, max_count=6))
+
+        def run(base, count):
+            took, why = {}, {}
+            chosen = lambda f=lambda r: True: [r for r in rows if r["id"] in took and f(r)]
+            seconds = lambda c: sum(r["alloc"].get(c, 0) for r in sorted(chosen(), key=lambda r: took[r["id"]][1]))
+
+            def refuse(r):
+                n, sec = len(took), sum(x["duration"] for x in sorted(chosen(), key=lambda x: took[x["id"]][1]))
+                whole = "global_count" if n + 1 > 40 else "global_duration" if sec + r["duration"] > 510 else None
+                if order == "global_first" and whole:
+                    return whole
+                for c in sorted(r["alloc"]):
+                    l = b.categories[c]
+                    top = min([x for x in (l.max_sec, None if l.max_ratio is None else l.max_ratio * 500) if x is not None])
+                    long = c == r["primary"] and r["dominance"] >= 0.8 and seconds(c) + r["alloc"][c] > top + 10
+                    many = l.max_count is not None and c == r["primary"] and len(chosen(lambda x: x["primary"] == c)) + 1 > l.max_count
+                    for broken, what in [(many, "count"), (long, "duration")][:: 1 if order == "global_first" else -1]:
+                        if broken:
+                            return f"category_{what}"
+                if order == "global_first":
+                    return None
+                mine = chosen(lambda x: x["source"] == r["source"])
+                if sum(x["duration"] for x in sorted(mine, key=lambda x: took[x["id"]][1])) + r["duration"] > (0.2 if r["source"] == "s0" else 0.5) * base:
+                    return "source_duration"
+                if len(mine) + 1 > int(0.5 * count):
+                    return "source_count"
+                mine = [x for x in mine if x["subject"] == r["subject"]]
+                if sum(x["duration"] for x in sorted(mine, key=lambda x: took[x["id"]][1])) + r["duration"] > 90:
+                    return "subject_duration"
+                return "subject_count" if len(mine) + 1 > 6 else whole
+
+            for c, low in (("b", 30), ("a", 60)):
+                for r in sorted(rows, key=lambda r: (-r["alloc"].get(c, 0), -r["score"], r["id"])):
+                    if seconds(c) < low and r["id"] not in took and r["alloc"].get(c, 0) > 0 and refuse(r) is None:
+                        took[r["id"]] = (f"minimum_{c}", len(took))
+            for r in sorted(rows, key=lambda r: (-r["score"], r["id"])):
+                if r["id"] not in took:
+                    why[r["id"]] = refuse(r)
+                    if why[r["id"]] is None:
+                        took[r["id"]] = ("score", len(took))
+            return took, why
+
+        base, count = 500.0, 40
+        while True:
+            took, why = run(base, count)
+            after = (min(base, sum(r["duration"] for r in sorted([r for r in rows if r["id"] in took], key=lambda r: took[r["id"]][1]))), min(count, len(took)))
+            if order == "global_first" or after == (base, count):
+                break
+            base, count = after
+        want = {r["id"]: (True, took[r["id"]][0], None) if r["id"] in took else (False, None, why[r["id"]]) for r in rows}
+        assert quota.select(rows, b, order) == want
+        assert len({w[2] for w in want.values()}) > 2
+
+
 def test_resume_and_selection(spark):
     p = spark.createDataFrame([(1, "x"), (2, "y")], "id int, cfg string")
     assert [r.id for r in reports.resume(p, p.where("id = 1"), "id", ["cfg"]).collect()] == [2]
