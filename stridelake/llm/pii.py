@@ -1,7 +1,9 @@
 """Personal data replaced by keyed surrogates; DataFrame functions only.
 
-Detected: e-mail and IPv4 addresses, phone, payment-card and US social-security numbers,
-IBANs, secrets (keyed values and long hex strings) and names after a form of address.  An
+Detected: e-mail, IPv4 and IPv6 addresses, phone, payment-card and US social-security numbers,
+IBANs, secrets (keyed values, long hex strings, tokens of well-known forms), street addresses and
+names after a form of address, and in the same text all further mentions of those names without
+one.  Dates, and names that never follow a form of address, are not.  An
 entity's canonical form is hashed with the key and an attempt number, and the hash is written
 out in the entity's own format: separators, case, digit groups, country code, top-level domain,
 script, a card's valid check digit, a given name's gender.  The same entity gets the same
@@ -9,7 +11,7 @@ surrogate in every text and format (coreference).
 
 Collision check: the distinct entities of the corpus are listed; one whose surrogate is that of
 a smaller entity or is itself an entity of the corpus goes on to its next attempt, until all
-surrogates differ.  Only entities past their first attempt, very few, need to be looked up;
+surrogates differ.  Later attempts of short shapes grow, so that no corpus can use up a shape.  Only entities past their first attempt, very few, need to be looked up;
 everything else is computed in place, so that texts aren't shuffled.
 """
 
@@ -29,6 +31,7 @@ GIVEN = [MALE, FEMALE, MALE_CYR, FEMALE_CYR]
 SYLLABLES = ["ba", "be", "bo", "da", "de", "do", "fa", "fe", "ga", "go", "ka", "ke", "ko", "la", "le", "lo", "ma", "me", "mi", "mo", "na", "ne", "ni", "no", "ra", "re", "ri", "ro", "sa", "se", "so", "ta"]
 SYLLABLES_CYR = ["ба", "бе", "бо", "да", "де", "до", "га", "го", "ка", "ке", "ко", "ла", "ле", "ло", "ма", "ме", "ми", "мо", "на", "не", "ни", "но", "ра", "ре", "ри", "ро", "са", "се", "со", "та", "те", "то"]
 ADDRESS = "Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sra|Господин|Госпожа"
+ROAD = "Street|Avenue|Road|Lane|Drive|Boulevard|Court|Square|Terrace"
 LETTERS = {"a-z": "abcdefghijklmnopqrstuvwxyz", "а-яё": "абвгдежзиклмнопрстуфхцчшщэюя", "α-ω": "αβγδεζηθικλμνξοπρστυφχψω"}
 
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -36,16 +39,19 @@ PARTS = [
     r"[\p{L}\p{N}](?:[\p{L}\p{N}._%+\-]*[\p{L}\p{N}])?@(?:[\p{L}\p{N}](?:[\p{L}\p{N}\-]*[\p{L}\p{N}])?\.)+\p{L}{2,}",
     r"(?<=(?i:token|secret|password|passwd|api[_\-]?key|access[_\-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9+/_\-]{8,}",
     r"(?<![\p{L}\p{N}])[0-9a-fA-F]{32,128}(?![\p{L}\p{N}])",
+    r"(?<![\p{L}\p{N}_\-])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[opsur]_[A-Za-z0-9]{36}|xox[abprs]-[0-9A-Za-z\-]{10,}|sk-[A-Za-z0-9_\-]{20,}|AIza[0-9A-Za-z_\-]{35}|eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,})(?![\p{L}\p{N}_\-])",
+    r"(?<![\p{L}\p{N}:.])(?:(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(?:[0-9a-fA-F]{1,4}:){1,6}(?::[0-9a-fA-F]{1,4}){1,6})(?![\p{L}\p{N}:])",
     rf"(?<![\p{{L}}\p{{N}}.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])",
     r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     r"(?<![\p{L}\p{N}])[0-9]{4}(?:[ \-][0-9]{4}){2}[ \-][0-9]{1,7}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])[0-9]{13,19}(?![\p{L}\p{N}])",
     r"(?<![\p{L}\p{N}\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}\-])",
-    r"(?<![\p{L}\p{N}])\+[0-9]{1,3}[ .\-]?\(?[0-9]{2,4}\)?[ .\-]?[0-9]{3}[ .\-]?[0-9]{3,4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}\-])[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}(?![\p{L}\p{N}\-])",
+    r"(?<![\p{L}\p{N}])\+[0-9]{1,3}[ .\-]?\(?[0-9]{2,4}\)?[ .\-]?[0-9]{3}[ .\-]?[0-9]{3,4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])\+[0-9]{1,3}(?:[ .\-]\(?[0-9]{1,4}\)?){1,2}(?:[ .\-]?[0-9]{2,8}){1,4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])0[1-9](?:[ .\-][0-9]{2}){4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}\-])[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}(?![\p{L}\p{N}\-])",
+    rf"(?<![\p{{L}}\p{{N}}])[0-9]{{1,5}}(?: \p{{Lu}}[\p{{L}}'’]+){{1,3}} (?:{ROAD})(?![\p{{L}}\p{{N}}])",
     rf"(?<![\p{{L}}\p{{N}}])(?:{ADDRESS})\.? \p{{Lu}}[\p{{L}}'’]+(?:[ \-]\p{{Lu}}[\p{{L}}'’]+){{0,2}}",
 ]
 PATTERN = "|".join(f"(?:{p})" for p in PARTS)
 #: Every text with a match of PATTERN has one of these.
-MAYBE = rf"[0-9@]|[a-fA-F]{{32}}|(?:{ADDRESS})\.? \p{{Lu}}|(?i:token|secret|passw(?:or)?d|key)[\"']?\s{{0,3}}[=:]"
+MAYBE = rf"[0-9@]|[a-fA-F]{{32}}|[a-fA-F]:[a-fA-F:]|gh[opsur]_|xox[abprs]-|sk-[A-Za-z_\-]{{20}}|A[KS]IA|AIza|eyJ|(?:{ADDRESS})\.? \p{{Lu}}|(?i:token|secret|passw(?:or)?d|key)[\"']?\s{{0,3}}[=:]"
 EXCEPTIONS = 10_000  # entities past their first attempt that travel as a literal map; more are joined
 
 
@@ -63,8 +69,10 @@ def _kind(e: Column) -> Column:
         F.when(e.contains("@"), "email")
         .when(e.rlike(rf"^(?:{ADDRESS})\.? "), "person")
         .when(e.rlike(rf"^(?:{OCTET}\.){{3}}{OCTET}$"), "ip")
+        .when(e.rlike(rf"^[0-9]{{1,5}} .* (?:{ROAD})$"), "address")
+        .when(e.rlike("^[0-9a-fA-F]{1,4}:[0-9a-fA-F:]+$") & e.rlike("^(?:[^:]*:){2}"), "ip6")
         .when(e.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
-        .when(e.rlike(r"^(?:\+|\()|^[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}$"), "phone")
+        .when(e.rlike(r"^(?:\+|\()|^[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}$|^0[1-9](?:[ .\-][0-9]{2}){4}$"), "phone")
         .when(e.rlike(r"^[0-9](?:[ \-]?[0-9]){12,18}$"), "card")
         .when(e.rlike(r"^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?$"), "iban")
         .otherwise("secret")
@@ -79,7 +87,7 @@ def _canonical(kind: Column, e: Column) -> Column:
     """What is the same for all formats of an entity."""
     d = _digits(e)
     return (
-        F.when(kind.isin("email", "name"), F.lower(e))
+        F.when(kind.isin("email", "name", "ip6"), F.lower(e))
         .when(kind == "phone", F.when(F.length(d) > 10, F.substr(d, F.length(d) - F.lit(9), F.lit(10))).otherwise(d))
         .when(kind.isin("card", "ssn"), d)
         .when(kind == "iban", F.regexp_replace(e, " ", ""))
@@ -125,18 +133,28 @@ def _written(kind: Column, norm: Column, h: Column, attempt: Column) -> Column:
     email = lambda shaped: F.concat(F.substr(shaped, F.lit(1), F.length(norm) - F.length(tail)), tail)
     valid = lambda body: F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(body, d.cast("string"))), lambda n: F.call_function("luhn_check", n))[0]
     card = lambda shaped: F.when(F.call_function("luhn_check", norm), _let(F.concat(F.substring(norm, 1, 1), F.substr(shaped, F.lit(2), F.length(norm) - 2)), valid)).otherwise(F.concat(F.substring(norm, 1, 1), F.substr(shaped, F.lit(2), F.length(norm))))
-    octets = F.array_join(F.transform(F.split(norm, r"\."), lambda o, i: F.when(norm.rlike(r"^(?:10|127)\.") & (i == 0), o).when(norm.rlike(r"^192\.168\.") & (i < 2), o).otherwise(_at(h, i * 3, 256).cast("string"))), ".")
+    private = attempt < 8  # later attempts may leave the private network
+    octets = F.array_join(F.transform(F.split(norm, r"\."), lambda o, i: F.when(private & norm.rlike(r"^(?:10|127)\.") & (i == 0), o).when(private & norm.rlike(r"^192\.168\.") & (i < 2), o).otherwise(_at(h, i * 3, 256).cast("string"))), ".")
+    # what later attempts add to shapes that a corpus could use up
+    grown = F.substr(h, F.lit(65), F.floor(attempt / 3).cast("int"))
+    letters, digits = F.translate(grown, "0123456789", "ghijklmnop"), F.translate(grown, "abcdef", "012345")
+    known = F.regexp_extract(norm, r"^(?:AKIA|ASIA|gh[opsur]_|xox[abprs]-|sk-|AIza|eyJ)", 0)
+    token = lambda shaped: F.concat(known, F.substr(shaped, F.length(known) + 1, F.length(norm)), letters)
+    road = F.regexp_extract(norm, rf" (?:{ROAD})$", 0)
+    place = lambda shaped: F.concat(F.substr(shaped, F.lit(1), F.length(norm) - F.length(road)), letters, road)
     iban = lambda shaped: F.concat(F.substring(norm, 1, 2), F.substr(shaped, F.lit(3), F.length(norm)))
     cyr = norm.rlike("^[а-яё]")
     count = F.lit(3) + F.floor(attempt / 4).cast("int")
     say = lambda s: F.array_join(F.transform(F.sequence(F.lit(0), count - 1), lambda i: _list(s)[_at(h, i, len(s))]), "")
     name = F.concat(F.when(cyr, say(SYLLABLES_CYR)).otherwise(say(SYLLABLES)), F.when(cyr & norm.endswith("а"), F.lit("ва")).when(cyr, F.lit("в")).otherwise(F.lit("")))
-    by_shape = _let(join(swap), lambda s: F.when(kind == "email", email(s)).when(kind == "card", card(s)).when(kind == "iban", iban(s)).otherwise(s))
-    return F.when(kind == "ip", octets).when(kind == "name", name).when((kind == "secret") & is_hex, join(swap_hex)).otherwise(by_shape)
+    by_shape = _let(join(swap), lambda s: F.when(kind == "email", F.concat(letters, email(s))).when(kind == "card", card(s)).when(kind == "iban", iban(s)).when(kind == "address", place(s)).when(kind.isin("phone", "ssn"), F.concat(s, digits)).otherwise(token(s)))
+    groups = F.array_join(F.transform(F.split(norm, ":"), lambda g, i: F.when(F.length(g) > 0, F.conv(_at(h, i * 5 + 1, 256).cast("string"), 10, 16)).otherwise(g)), ":")
+    ip6 = F.lower(F.when(attempt < 8, groups).otherwise(F.concat_ws(":", *(F.substring(h, 1 + 4 * i, 4) for i in range(8)))))
+    return F.when(kind == "ip", octets).when(kind == "ip6", ip6).when(kind == "name", name).when((kind == "secret") & is_hex, F.concat(join(swap_hex), grown)).otherwise(by_shape)
 
 
 def _fit(e: Column, to: Column, kinds: str) -> Column:
-    """``e`` with its characters of the class ``kinds`` replaced, in order, by those of ``to``, case kept."""
+    """``e`` with its characters of the class ``kinds`` replaced, in order, by those of ``to``, case kept; what is left of ``to`` follows."""
     chars = F.split(e, "")
     zero = F.struct(F.lit(1).alias("k"), F.lit("").alias("s"))
 
@@ -144,7 +162,7 @@ def _fit(e: Column, to: Column, kinds: str) -> Column:
         new = _let(F.substr(to, s["k"], F.lit(1)), lambda n: F.when(F.lower(c) != c, F.upper(n)).otherwise(n))
         return F.when(c.rlike(kinds), F.struct((s["k"] + 1).alias("k"), F.concat(s["s"], new).alias("s"))).otherwise(F.struct(s["k"].alias("k"), F.concat(s["s"], c).alias("s")))
 
-    return F.aggregate(chars, zero, step, lambda s: s["s"])
+    return F.aggregate(chars, zero, step, lambda s: F.concat(s["s"], F.substr(to, s["k"], F.length(to))))
 
 
 def _given(token: Column) -> Column:
@@ -172,6 +190,28 @@ def _keys(e: Column) -> Column:
     return _let(_kind(e), lambda kind: F.when(kind == "person", names).otherwise(F.array(F.concat(kind, F.lit("|"), _canonical(kind, e)))))
 
 
+def _name(key: str, t: Column, attempt_of) -> Column:
+    """One name's surrogate, wherever it stands; in capitals if the name is."""
+    plain = F.when(_given(t), t).when(_given(F.initcap(t)), F.initcap(t))
+    new = _let(F.lower(t), lambda norm: _surrogate(key, F.lit("name"), norm, attempt_of(F.lit("name"), norm)))
+    shifted = _let(plain, lambda p: _shifted(key, p))
+    out = F.when(plain.isNotNull(), shifted).otherwise(_let(new, F.initcap))
+    return F.when(F.upper(t) == t, F.upper(out)).otherwise(out)
+
+
+def _mentions(found: Column) -> Column:
+    """The names, as they stand and in capitals, of the persons among a text's entities."""
+    persons = F.filter(found, lambda e: e.rlike(rf"^(?:{ADDRESS})\.? "))
+    names = F.flatten(F.transform(persons, _names))
+    return F.array_distinct(F.concat(names, F.transform(names, lambda t: F.upper(t))))
+
+
+def _with_mentions(names: Column) -> Column:
+    """The pattern for a text whose persons have ``names``, those at any place of their own included."""
+    word = F.concat(F.lit(r"|(?<![\p{L}\p{N}'’])(?:"), F.array_join(names, "|"), F.lit(r")(?![\p{L}\p{N}]|['’]\p{L}{2})"))
+    return F.concat(F.lit(PATTERN), word)
+
+
 def _replacement(key: str, e: Column, attempt_of) -> Column:
     """An entity's surrogate in the entity's own format."""
     title = rf"^(?:{ADDRESS})\.? "
@@ -179,19 +219,16 @@ def _replacement(key: str, e: Column, attempt_of) -> Column:
     def surrogate(kind, norm):
         return _let(F.struct(kind.alias("kind"), norm.alias("norm")), lambda x: _surrogate(key, x["kind"], x["norm"], attempt_of(x["kind"], x["norm"])))
 
-    def cased(t):
-        return _let(surrogate(F.lit("name"), F.lower(t)), lambda new: F.when(F.upper(t) == t, F.upper(new)).otherwise(F.initcap(new)))
-
     def person(e):
         marks = F.regexp_extract_all(F.regexp_replace(e, title, ""), F.lit(r"[ \-]"), 0)
-        names = _let(marks, lambda m: F.array_join(F.transform(_names(e), lambda t, i: F.concat(F.when(_given(t), _shifted(key, t)).otherwise(cased(t)), F.coalesce(F.get(m, i), F.lit("")))), ""))
+        names = _let(marks, lambda m: F.array_join(F.transform(_names(e), lambda t, i: F.concat(_name(key, t, attempt_of), F.coalesce(F.get(m, i), F.lit("")))), ""))
         return F.concat(F.regexp_extract(e, title, 0), names)
 
     def rendered(kind, e, norm, to):
         # of a phone number the last ten digits are replaced; what stands before them stays
         whole = F.concat(F.substr(_digits(e), F.lit(1), F.length(_digits(e)) - F.length(norm)), to)
         value = F.when(kind == "phone", whole).otherwise(to)
-        return F.when(kind == "ip", to).when(kind.isin("phone", "card", "ssn"), _fit(e, value, "^[0-9]$")).when(kind == "iban", _fit(e, to, "^[A-Z0-9]$")).otherwise(_fit(e, to, "^.$"))
+        return F.when(kind.isin("ip", "ip6"), to).when(kind.isin("phone", "card", "ssn"), _fit(e, value, "^[0-9]$")).when(kind == "iban", _fit(e, to, "^[A-Z0-9]$")).otherwise(_fit(e, to, "^.$"))
 
     def plain(x):
         y = F.struct(x["kind"].alias("kind"), x["e"].alias("e"), _canonical(x["kind"], x["e"]).alias("norm"))
@@ -246,8 +283,10 @@ def replace_pii(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     scratch = Scratch(docs.sparkSession, "pii")
     ents = scratch.keep(entities(docs, text), "entities")
     later = scratch.keep(later_attempts(ents, key, scratch), "later")
-    e = F.when(F.col(text).rlike(MAYBE), F.regexp_extract_all(F.col(text), F.lit(PATTERN), 0))
-    found = docs.withColumn("__e", F.coalesce(e, F.array().cast("array<string>")))
+    e = F.coalesce(F.when(F.col(text).rlike(MAYBE), F.regexp_extract_all(F.col(text), F.lit(PATTERN), 0)), F.array().cast("array<string>"))
+    found = docs.withColumn("__f", e).withColumn("__names", _mentions(F.col("__f")))
+    named = F.size("__names") > 0  # few texts, which are matched again with their own names
+    found = found.withColumn("__e", F.when(named, F.regexp_extract_all(F.col(text), _with_mentions(F.col("__names")), 0)).otherwise(F.col("__f")))
     few = later.limit(EXCEPTIONS + 1).collect()
     if len(few) <= EXCEPTIONS:
         table = F.from_json(F.lit(json.dumps({r.k: r.attempt for r in few})), "map<string,int>") if few else None
@@ -258,8 +297,8 @@ def replace_pii(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         maps = looked.groupBy("__h").agg(F.map_from_entries(F.collect_list(F.struct("k", "attempt"))).alias("__m"))
         found = found.join(maps, "__h", "left")
         attempt_of = lambda kind, norm: F.coalesce(F.col("__m")[F.concat(kind, F.lit("|"), norm)], F.lit(0))
-    plain = F.split(F.col(text), PATTERN, -1)
-    parts = F.transform("__e", lambda e, i: F.concat(plain[i], _replacement(key, e, attempt_of)))
-    new = F.concat(F.array_join(parts, ""), F.element_at(plain, -1))
+    plain = F.when(named, F.split(F.col(text), _with_mentions(F.col("__names")), -1)).otherwise(F.split(F.col(text), PATTERN, -1))
+    other = lambda e: F.when(F.array_contains("__names", e), _name(key, e, attempt_of)).otherwise(_replacement(key, e, attempt_of))
+    new = _let(plain, lambda plain: F.concat(F.array_join(F.transform("__e", lambda e, i: F.concat(plain[i], other(e))), ""), F.element_at(plain, -1)))
     out = [F.when(F.size("__e") > 0, new).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in docs.columns]
     return found.select(*out, F.size("__e").alias("n_entities"))
