@@ -47,8 +47,8 @@ def window_dedup(df: DataFrame, scope: str, quality: str, key: str, exact: str,
 
 
 def projection(dim: int, width: int = 32, seed: int = 0) -> np.ndarray:
-    """The seeded Gaussian matrix of the candidate search; the same on every machine."""
-    return np.random.RandomState(seed).randn(dim, width)
+    """The seeded Gaussian matrix of the candidate search, in single precision; the same on every machine."""
+    return np.random.RandomState(seed).normal(0.0, 1.0 / np.sqrt(dim), (dim, width)).astype(np.float32)
 
 
 def knn_candidates(df: DataFrame, key: str, vector: str, k: int = 20, width: int | None = 32, seed: int = 0, block: int = 4096) -> DataFrame:
@@ -154,6 +154,43 @@ def keep_diverse(df: DataFrame, component: str, subject: str, rank: list, keep:
     return ranked.withColumn("kept", order <= keep).drop("__s")
 
 
+def resolve_exact(df: DataFrame, edges: DataFrame, key: str, quality: str) -> DataFrame:
+    """Add ``exact_of``: of each component of exact edges all but the best name the best; null for the others.
+
+    The best has the highest quality (null counts as 0), then the smallest key.
+    """
+    both = df.join(components(df, key, edges), key)
+    best = F.min_by(F.col(key), F.struct(-F.coalesce(F.col(quality).cast("double"), F.lit(0.0)), F.col(key)))
+    first = both.groupBy("component").agg(best.alias("__best"))
+    return both.join(first, "component").withColumn("exact_of", F.when(F.col(key) != F.col("__best"), F.col("__best"))).drop("component", "__best")
+
+
+def resolve_duplicates(df: DataFrame, exact: DataFrame, near: DataFrame, key: str, quality: str, subject: str, vector: str, keep: int = 3) -> DataFrame:
+    """``df`` with ``dedup_status, duplicate_of, cluster_id, cluster_size, cluster_rank, representative, centrality``.
+
+    Exact duplicates are deferred to their best.  Near edges between the others make clusters;
+    of each, ``keep`` stay, ranked by closeness to the centroid, quality and key, one of each subject
+    first.  The others are deferred to the first one kept.  Rows in no cluster are unique and have
+    nulls there.
+    """
+    scratch = Scratch(df.sparkSession, "duplicates")
+    settled = scratch.keep(resolve_exact(df, exact, key, quality), "settled")
+    live = settled.where("exact_of is null").drop("exact_of")
+    ends = live.select(F.col(key).alias("__k"))
+    inside = near.join(ends, F.col("a") == F.col("__k"), "left_semi").join(ends, F.col("b") == F.col("__k"), "left_semi")
+    parts = components(live, key, inside)
+    named = cluster_name(parts, "component", key).where("cluster_size > 1")
+    grouped = centrality(live.join(parts, key).join(named, "component"), "component", key, vector)
+    order = [F.desc("centrality"), F.desc(F.coalesce(F.col(quality).cast("double"), F.lit(0.0))), F.asc(key)]
+    kept = scratch.keep(keep_diverse(grouped, "component", subject, order, keep), "kept")
+    first = kept.where("kept").groupBy("component").agg(F.min_by(F.col(key), F.col("cluster_rank")).alias("representative"))
+    clusters = kept.join(first, "component").select(F.col(key).alias("__k"), "cluster_id", "cluster_size", "cluster_rank", "representative", "centrality", "kept")
+    both = settled.join(clusters, F.col(key) == F.col("__k"), "left").drop("__k")
+    status = F.when(F.col("exact_of").isNotNull(), "defer_exact_duplicate").when(~F.col("kept"), "defer_redundant_take").when(F.col("kept"), "unique_cluster_representative").otherwise("unique")
+    other = F.coalesce("exact_of", F.when(~F.col("kept"), F.col("representative")))
+    return both.withColumns({"dedup_status": status, "duplicate_of": other}).drop("exact_of", "kept")
+
+
 def cluster_audit(df: DataFrame, component: str, key: str, subject: str) -> DataFrame:
     """A row for each cluster with its members in rank order."""
     member = F.struct("cluster_rank", F.col(key).alias("motion_id"), F.col(subject).alias("subject"), "kept")

@@ -37,6 +37,12 @@ def local_status(matches: DataFrame, local: DataFrame) -> DataFrame:
     return local.select("local_id").join(claimed, "local_id", "left").select("local_id", status.alias("status"))
 
 
+def lookup(df: DataFrame, mapping: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """``df`` with the ``columns`` of the row of ``mapping`` that has its key; nulls where there is none."""
+    own = mapping.where(F.col(key).isNotNull()).select(F.col(key).alias("__k"), *columns)
+    return df.drop(*columns).join(own, F.col(key) == F.col("__k"), "left").drop("__k")
+
+
 def match_summary(matches: DataFrame) -> DataFrame:
     return matches.groupBy("status").agg(F.count("*").alias("n"), F.sum("n_candidates").alias("candidates"))
 

@@ -541,3 +541,28 @@ def q94_kinematic_tree(spark, sf_dir):
 def q95_effective_duration(spark, sf_dir):
     m = motions(spark, sf_dir).withColumn("own", F.when(F.col("doc_id") % 3 == 0, 0.0).otherwise(F.col("duration")))
     return m.select("doc_id", R(reports.effective_duration(F.col("own"), F.col("duration") / 2)).alias("seconds"))
+
+
+_GROUPS = {"quality": "vec_id * 37 % 11", "hash": "CASE WHEN vec_id % 3 = 0 THEN vec_id % 100 END", "near": "CASE WHEN vec_id % 5 <> 0 THEN vec_id % 40 END", "subject": "vec_id % 7"}
+
+
+@query(f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x, {', '.join(f'{e} AS {n}' for n, e in _GROUPS.items())} FROM embeddings),
+e AS (SELECT *, CASE WHEN hash IS NOT NULL THEN first_value(vec_id) OVER (PARTITION BY hash ORDER BY quality DESC, vec_id) END AS best FROM v),
+l AS (SELECT vec_id, quality, subject, near, list_transform(x, lambda c: c / sqrt(list_dot_product(x, x))) AS u FROM e WHERE near IS NOT NULL AND (best IS NULL OR best = vec_id)),
+g AS (SELECT near, count(*) AS size, 'cluster_' || substr(sha1(string_agg(vec_id::VARCHAR, chr(10) ORDER BY vec_id::VARCHAR)), 1, 12) AS cluster_id FROM l GROUP BY 1 HAVING count(*) > 1),
+f AS (SELECT near, unnest(u) AS c, unnest(range(len(u))) AS i FROM l), m AS (SELECT near, list(c ORDER BY i) AS m FROM (SELECT near, i, avg(c) AS c FROM f GROUP BY 1, 2) GROUP BY 1),
+k AS (SELECT l.*, cluster_id, size, row_number() OVER (PARTITION BY l.near ORDER BY list_cosine_similarity(u, m) DESC, quality DESC, vec_id) AS r FROM l JOIN g USING (near) JOIN m USING (near)),
+s AS (SELECT *, row_number() OVER (PARTITION BY near, subject ORDER BY r) AS sr FROM k), o AS (SELECT *, row_number() OVER (PARTITION BY near ORDER BY (sr > 1)::INT, r) <= 3 AS kept FROM s),
+w AS (SELECT *, arg_min(vec_id, r) FILTER (kept) OVER (PARTITION BY near) AS rep FROM o)
+SELECT e.vec_id, CASE WHEN best <> e.vec_id THEN 'defer_exact_duplicate' WHEN kept THEN 'unique_cluster_representative' WHEN NOT kept THEN 'defer_redundant_take' ELSE 'unique' END AS dedup_status,
+CASE WHEN best <> e.vec_id THEN best WHEN NOT kept THEN rep END AS duplicate_of, cluster_id, size AS cluster_size, r AS cluster_rank, rep AS representative FROM e LEFT JOIN w ON w.vec_id = e.vec_id""")
+def q96_resolve_duplicates(spark, sf_dir):
+    v = base._vectors(spark, sf_dir).select("vec_id", "x").withColumns({n: F.expr(e) for n, e in _GROUPS.items()})
+    best = dedup.resolve_exact(v, dedup.hash_star(v, "vec_id", "hash"), "vec_id", "quality").where("exact_of is null")
+    d = dedup.resolve_duplicates(v, dedup.hash_star(v, "vec_id", "hash"), dedup.hash_star(best, "vec_id", "near"), "vec_id", "quality", "subject", "x")
+    return d.select("vec_id", "dedup_status", "duplicate_of", "cluster_id", "cluster_size", "cluster_rank", "representative")
+
+
+@query("""SELECT d.doc_id, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def q97_lookup(spark, sf_dir):
+    return matching.lookup(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id", ["quality", "toxic"])

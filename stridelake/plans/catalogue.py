@@ -262,7 +262,15 @@ def q15_knn_topk(spark, sf_dir):
     return dedup.knn_candidates(_vectors(spark, sf_dir), "vec_id", "x", k=5, width=None)
 
 
-@query()
+def _projected() -> str:
+    """The projected search in SQL, the matrix written out."""
+    m = dedup.projection(64, 32, 0).astype(float).T.tolist()
+    return f"""WITH m AS (SELECT {m!r}::DOUBLE[][] AS m), v AS (SELECT vec_id, list_transform(m, lambda r: list_dot_product(embedding::DOUBLE[], r)) AS x FROM embeddings, m),
+c AS (SELECT p.vec_id AS i, q.vec_id AS j, list_cosine_similarity(p.x, q.x) AS s FROM v p JOIN v q ON p.vec_id <> q.vec_id),
+t AS (SELECT i, j FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY s DESC, j) AS r FROM c) WHERE r <= 20) SELECT DISTINCT least(i, j) AS a, greatest(i, j) AS b FROM t"""
+
+
+@query(_projected())
 def q15b_knn_projected(spark, sf_dir):
     return dedup.knn_candidates(_vectors(spark, sf_dir), "vec_id", "x", k=20, width=32)
 

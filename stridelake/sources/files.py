@@ -179,9 +179,10 @@ def read_annotations(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return out.orderBy("split", F.lower("feat_p"), "ann_id")
 
 
-def useful_frame_labels(labels: Column, unlabeled: tuple[str, ...] = ("transition",)) -> Column:
-    """Timed labels with a positive length that name something."""
-    return F.filter(labels, lambda l: (l["end_t"] > l["start_t"]) & F.coalesce(F.trim(l["raw_label"]) != "", F.lit(False)) & ~F.lower(F.trim(l["raw_label"])).isin(*unlabeled))
+def useful_frame_labels(labels: Column) -> Column:
+    """Labels with both times that name a category."""
+    named = lambda l: F.size(normalize.label_evidence(l["act_cat"], l["proc_label"], l["raw_label"])) > 0
+    return F.filter(labels, lambda l: l["start_t"].isNotNull() & l["end_t"].isNotNull() & named(l))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, fail: bool = False) -> DataFrame:
