@@ -1,7 +1,7 @@
 """Substring dedup: word windows that an earlier document has, found behind a count-min prefilter.
 
 Pass 1 counts every window in partition sketches (two rows of cells, sent as
-compressed lists of the cells touched) that are summed by cell range.  The
+compressed lists of the cells touched) that are summed by cell range in a tree.  The
 estimate, the smaller of a window's two cells, is never below its count, so that
 pass 2 loses nothing when it groups, exactly, only windows estimated twice or more.
 Pass 2 sends windows in packed blocks to the task of their hash range, which finds
@@ -22,11 +22,13 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame, functions as F
 
+from stridelake.llm import countmin
+from stridelake.llm.countmin import pack, unpack
+
 MAX_CELLS = 1 << 28
-RANGE = 1 << 22  # cells that one task sums at a time
+ROWS = 2  # of the sketch
 FLUSH = 4_000_000  # windows that a task holds
 HOT_ROWS = 200_000  # most rows of the hot table
 LAST = np.iinfo(np.int64).max  # stands for a null id, after all others
@@ -45,12 +47,12 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def window_hashes(words: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """64 and 32 bits of each window's hash, by its start; both depend on the order of the words."""
+    """64 and 32 bits of each window's hash, by its start, from independent hashes of the words; both depend on their order."""
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
     h = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
-    g = _mix(h)
+    g = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
     a, b = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
     for k in range(size):
         a += h[k : k + n] * _C[0, k % 64]
@@ -60,49 +62,8 @@ def window_hashes(words: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray
     return _mix(a), (_mix(b) >> np.uint64(32)).astype(np.uint32)
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as byte planes, compressed."""
-    head = np.array([len(arrays), *(len(a) for a in arrays), *(a.dtype.itemsize for a in arrays)], dtype="<i8").tobytes()
-    planes = b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.dtype.itemsize).T).tobytes() for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(head + planes)
-
-
-def _unpack(raw: bytes, *kinds) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(raw)
-    k = len(kinds)
-    head = np.frombuffer(raw, dtype="<i8", count=1 + 2 * k)
-    out, at = [], 8 * (1 + 2 * k)
-    for n, size, kind in zip(head[1 : 1 + k], head[1 + k :], kinds):
-        part = np.frombuffer(raw, dtype=np.uint8, count=n * size, offset=at)
-        out.append(np.ascontiguousarray(part.reshape(size, n).T).view(kind).ravel())
-        at += int(n * size)
-    return out
-
-
-def _cells(h: np.ndarray, cells: int):
-    return [(h & np.uint64(cells - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(cells - 1)).astype(np.int64)]
-
-
 def _sketches(cells: int, size: int):
-    """Partition sketches as ``(part, touched)`` rows; part numbers the cell ranges of both rows."""
-    ranges = -(-cells // RANGE)
-
-    def flush(held):
-        h = np.concatenate(held)
-        for row, c in enumerate(_cells(h, cells)):
-            c.sort()
-            first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
-            n = np.diff(np.r_[first, len(c)]).astype(np.uint32)
-            c = c[first]
-            cuts = np.searchsorted(c, np.arange(ranges + 1) * RANGE)
-            for k in range(ranges):
-                a, b = cuts[k], cuts[k + 1]
-                if b > a:
-                    yield row * ranges + k, _pack(np.diff(c[a:b], prepend=k * RANGE).astype(np.uint32), n[a:b])
-
-    def batch(rows):
-        rows = list(rows)
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "touched"])
+    """Each task's sketch, as rows of ``countmin.PARTS``."""
 
     def run(batches):
         held, n = [], 0
@@ -112,63 +73,14 @@ def _sketches(cells: int, size: int):
                 held.append(h)
                 n += len(h)
                 if n > FLUSH:
-                    yield batch(flush(held))
+                    yield countmin.as_batch(countmin.touched(np.concatenate(held), cells, ROWS))
                     held, n = [], 0
         if n:
-            yield batch(flush(held))
+            yield countmin.as_batch(countmin.touched(np.concatenate(held), cells, ROWS))
 
     return run
 
 
-def _summed(hot: int):
-    """Sum one range's partition sketches; bits of cells counted twice or more, and the hot cells."""
-
-    def run(key, group):
-        (part,) = key
-        count = np.zeros(RANGE, dtype=np.int64)
-        for raw in group.column("touched"):
-            step, n = _unpack(raw.as_py(), np.uint32, np.uint32)
-            at = np.cumsum(step, dtype=np.int64)
-            count[at] += n
-        count = np.minimum(count, 1 << 62)
-        at = np.flatnonzero(count >= hot).astype(np.int64)
-        bits = np.packbits(count >= 2, bitorder="little").tobytes()
-        return pa.table({"part": pa.array([part.as_py()], pa.int32()), "bits": pa.array([zstandard.ZstdCompressor(level=1).compress(bits)], pa.binary()), "hot": pa.array([at.tobytes()], pa.binary()), "n": pa.array([int(count[count >= 2].sum())], pa.int64())})
-
-    return run
-
-
-class Estimates:
-    """The merged sketch, as what pass 2 asks of it."""
-
-    def __init__(self, cells: int, rows):
-        ranges = -(-cells // RANGE)
-        width = RANGE // 8
-        self.cells = cells
-        self.bits = [np.zeros(ranges * width, np.uint8) for _ in range(2)]
-        hot = [[], []]
-        self.entries = 0
-        for part, bits, at, n in rows:
-            row, k = divmod(part, ranges)
-            self.bits[row][k * width : (k + 1) * width] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bits), np.uint8)
-            hot[row].append(np.frombuffer(at, np.int64) + k * RANGE)
-            self.entries += n * (row == 0)
-        self.hot_cells = [np.sort(np.concatenate(x)) if x else np.zeros(0, np.int64) for x in hot]
-
-    def repeated(self, h: np.ndarray) -> np.ndarray:
-        out = np.ones(len(h), bool)
-        for bits, c in zip(self.bits, _cells(h, self.cells)):
-            out &= (bits[c >> 3] >> (c & 7).astype(np.uint8) & 1).astype(bool)
-        return out
-
-    def hot(self, h: np.ndarray) -> np.ndarray:
-        out = np.ones(len(h), bool)
-        for known, c in zip(self.hot_cells, _cells(h, self.cells)):
-            at = np.minimum(np.searchsorted(known, c), max(len(known) - 1, 0))
-            out &= (known[at] == c) if len(known) else False
-        return out
-
-
 def _hot_owners(shared, size: int):
     """The task's smallest id of each hot window: ``(h1, h2, low)``."""
 
@@ -178,7 +90,7 @@ def _hot_owners(shared, size: int):
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1)):
                 h1, h2 = window_hashes(words_of(t.as_py()), size)
-                at = np.flatnonzero(est.hot(h1))
+                at = np.flatnonzero(est.hot_count(h1) > 0)
                 for k in zip(h1[at].tolist(), h2[at].tolist()):
                     low[k] = min(i, low.get(k, LAST))
         if low:
@@ -207,7 +119,7 @@ def _starts(shared, owners, size: int, buckets: int):
                 lo, hi = ends[a], ends[b]
                 used, local = np.unique(doc[lo:hi], return_inverse=True)
                 f = first[a:b]
-                yield k, _pack(h1[f], h2[f], np.diff(ends[a : b + 1]).astype(np.uint32), local.astype(np.uint32), pos[lo:hi], ids[used], tkeys[used])
+                yield k, pack(h1[f], h2[f], np.diff(ends[a : b + 1]).astype(np.uint32), local.astype(np.uint32), pos[lo:hi], ids[used], tkeys[used])
 
     def batch(held, decided):
         rows = list(flush(held)) if held[1] else []
@@ -225,7 +137,7 @@ def _starts(shared, owners, size: int, buckets: int):
                 h1, h2 = window_hashes(words_of(t.as_py()), size)
                 want = est.repeated(h1)
                 if len(known) and len(h1):
-                    very = np.flatnonzero(est.hot(h1))
+                    very = np.flatnonzero(est.hot_count(h1) > 0)
                     if len(very):
                         key = np.rec.fromarrays([h1[very].view(np.int64), h2[very].astype(np.int64)], dtype=known.dtype)
                         gone = very[low[np.searchsorted(known, key)] < i]
@@ -257,7 +169,7 @@ def _by_document(i: np.ndarray, t: np.ndarray, p: np.ndarray, groups: int):
         a, b = i[at], t[at]
         first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
         n = np.diff(np.r_[first, len(at)]).astype(np.uint32)
-        yield k, _pack(np.diff(a[first], prepend=0), b[first], n, p[at])
+        yield k, pack(np.diff(a[first], prepend=0), b[first], n, p[at])
 
 
 def _removed(groups: int):
@@ -268,7 +180,7 @@ def _removed(groups: int):
         if bucket.as_py() < 0:
             raw = group.column("block").combine_chunks()
             return pa.table({"g": pa.array(np.full(len(raw), -1 - bucket.as_py(), np.int32)), "starts": raw})
-        blocks = [_unpack(x.as_py(), np.uint64, np.uint32, np.uint32, np.uint32, np.uint32, np.int64, np.int64) for x in group.column("block")]
+        blocks = [unpack(x.as_py(), np.uint64, np.uint32, np.uint32, np.uint32, np.uint32, np.int64, np.int64) for x in group.column("block")]
         h1, h2 = (np.concatenate([b[k] for b in blocks]) for k in range(2))
         low = np.concatenate([np.minimum.reduceat(b[5][b[3]], np.r_[0, np.cumsum(b[2][:-1], dtype=np.int64)]) for b in blocks])
         order = np.lexsort((h2, h1))
@@ -294,7 +206,7 @@ def _merged(group: pa.Table) -> pa.Table:
     """One group's starts, a row for each document."""
     i, t, p = [], [], []
     for raw in group.column("starts"):
-        a, b, n, starts = _unpack(raw.as_py(), np.int64, np.int64, np.uint32, np.uint32)
+        a, b, n, starts = unpack(raw.as_py(), np.int64, np.int64, np.uint32, np.uint32)
         i.append(np.repeat(np.cumsum(a), n))
         t.append(np.repeat(b, n))
         p.append(starts)
@@ -323,7 +235,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
 
     Windows are judged on the input.  Returns ``key, n_words, n_removed`` and, with
     ``digest``, ``kept_sha256`` of the kept words joined by one space, else ``kept_text``.
-    Null, empty and blank texts have no words.  Rows with fewer than ``size`` words lose
+    Keys are whole numbers.  Null, empty and blank texts have no words.  Rows with fewer than ``size`` words lose
     nothing.  Rows that share a key remove nothing from each other; a null key comes
     after all others.  Every row is returned, repeated ones as often as they occur; an
     empty table gives an empty result.
@@ -333,11 +245,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     base = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(int(LAST))).alias("id"), F.xxhash64(text).alias("tkey"), F.col(text).alias("text"))
     chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
     windows = chars // 6 + 1
-    cells = min(MAX_CELLS, max(RANGE, 1 << (2 * windows - 1).bit_length()))
+    cells = min(MAX_CELLS, max(countmin.RANGE, 1 << (2 * windows - 1).bit_length()))
     hot = max(4096, windows // HOT_ROWS)
-    parts = base.select("text").mapInArrow(_sketches(cells, size), "part int, touched binary")
-    merged = parts.groupBy("part").applyInArrow(_summed(hot), "part int, bits binary, hot binary, n bigint")
-    est = Estimates(cells, ((r.part, bytes(r.bits), bytes(r.hot), r.n) for r in merged.toLocalIterator()))
+    parts = base.select("text").mapInArrow(_sketches(cells, size), countmin.PARTS)
+    merged = countmin.summed(parts, docs.rdd.getNumPartitions(), hot)
+    est = countmin.Estimates(cells, ROWS, merged.toLocalIterator())
     shared = spark.sparkContext.broadcast(est)
     kind_of = np.dtype([("a", np.int64), ("b", np.int64)])
     known, low = np.zeros(0, kind_of), np.zeros(0, np.int64)
