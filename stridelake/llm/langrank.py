@@ -19,13 +19,18 @@ CHUNK = 1_000_000  # characters counted at a time
 SALT = 64
 
 
-def _codes(text: str) -> np.ndarray:
-    """A text's 1- to 3-grams as integers of 21 bits a character; ``_`` stands for a word's edge."""
-    cp = np.frombuffer(NO_LETTERS.sub("_", f" {text.lower()} ").encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
-    letter = cp != 95
-    two = cp[:-1] << 21 | cp[1:]
-    three = (two[:-1] << 21 | cp[2:])[letter[1:-1]]
-    return np.concatenate([cp[letter], two, three])
+def _codes(text: str):
+    """A text's 1- to 3-grams as integers of 21 bits a character, ``CHUNK`` of each at a time; ``_`` stands for a word's edge.
+
+    A part reads two characters on, so that the cuts change nothing.
+    """
+    whole = NO_LETTERS.sub("_", f" {text.lower()} ")
+    for at in range(0, len(whole), CHUNK):
+        cp = np.frombuffer(whole[at : at + CHUNK + 2].encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+        letter = cp != 95
+        two = cp[:-1] << 21 | cp[1:]
+        three = two[:-1] << 21 | cp[2:]
+        yield np.concatenate([cp[:CHUNK][letter[:CHUNK]], two[:CHUNK], three[:CHUNK][letter[1:-1][:CHUNK]]])
 
 
 def _counts(texts) -> tuple[np.ndarray, np.ndarray]:
@@ -41,11 +46,9 @@ def _counts(texts) -> tuple[np.ndarray, np.ndarray]:
         codes = both
 
     for t in texts:
-        for at in range(0, len(t), CHUNK):  # a cut inside a word costs a few n-grams at most
-            part = _codes(t[at : at + CHUNK])
-            if len(part):
-                held.append(part)
-                n += len(part)
+        for part in _codes(t):
+            held.append(part)
+            n += len(part)
             if n > 3 * CHUNK:
                 fold()
                 held, n = [], 0
