@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-SOURCES_BROADCAST = 100_000  # rates of so many sources are broadcast; more are joined by salted keys
+RATES_BROADCAST = 8 << 20  # bytes of rates that are broadcast; more are joined by salted keys
 SALT = 64
 
 
@@ -20,14 +20,28 @@ def _ln_factorial(j: Column) -> Column:
     return F.when(j < 1, F.lit(0.0)).otherwise(j * F.log(j) - j + 0.5 * F.log(2 * F.pi() * j) + 1 / (12 * j) - 1 / (360 * F.pow(j, 3)) + 1 / (1260 * F.pow(j, 5)))
 
 
-def poisson_cdf(rate: Column) -> Column:
-    """``struct(low, cdf)``: P(X <= low), P(X <= low + 1), ... as far as doubles can tell from 1."""
+def poisson_quantile(rate: Column, u: Column) -> Column:
+    """How many of P(X <= 0), P(X <= 1), ... are at most ``u``: the inverted distribution, for 0 <= u < 1.
+
+    Sums from where the mass begins to where doubles can tell it from 1, which is about 24 square
+    roots of the rate; nothing is kept but the sums.
+    """
     low = F.when(rate > 100, F.floor(rate - 12 * F.sqrt(rate))).otherwise(F.lit(0)).cast("bigint")
     high = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("bigint")
-    first = F.exp(F.when(low > 0, low * F.log(rate)).otherwise(F.lit(0.0)) - rate - _ln_factorial(low.cast("double")))
-    zero = F.struct(first.alias("p"), first.alias("c"), F.array(first).alias("all"))
-    step = lambda s, j: F.struct((s["p"] * rate / j).alias("p"), (s["c"] + s["p"] * rate / j).alias("c"), F.concat(s["all"], F.array(s["c"] + s["p"] * rate / j)).alias("all"))
-    return F.struct(low.alias("low"), F.aggregate(F.sequence(low + 1, high), zero, step, lambda s: s["all"]).alias("cdf"))
+
+    def counted(x):
+        rate, u, low = x["rate"], x["u"], x["low"]
+        first = F.exp(F.when(low > 0, low * F.log(rate)).otherwise(F.lit(0.0)) - rate - _ln_factorial(low.cast("double")))
+        below = lambda c: (c <= u).cast("bigint")
+        zero = F.transform(F.array(first), lambda p: F.struct(p.alias("p"), p.alias("c"), (low + below(p)).alias("n")))[0]
+
+        def step(s, j):
+            nxt = F.struct((s["p"] * rate / j).alias("p"), (s["c"] + s["p"] * rate / j).alias("c"))
+            return F.transform(F.array(nxt), lambda y: F.struct(y["p"].alias("p"), y["c"].alias("c"), (s["n"] + below(y["c"])).alias("n")))[0]
+
+        return F.aggregate(F.sequence(low + 1, x["high"]), zero, step, lambda s: s["n"])
+
+    return F.transform(F.array(F.struct(rate.alias("rate"), u.alias("u"), low.alias("low"), high.alias("high"))), counted)[0]
 
 
 def uniform(*parts: Column) -> Column:
@@ -63,17 +77,17 @@ def poisson_mix(docs: DataFrame, seed: str = "mix", weights: dict[str, float] |
     result.  Columns named ``copy`` or ``shuffle_key`` are replaced.
     """
     docs = docs.drop("copy", "shuffle_key")
-    rates = source_rates(docs, weights, target, source, text).select("src", "rate", poisson_cdf(F.col("rate")).alias("q"))
+    rates = source_rates(docs, weights, target, source, text).select(F.col("src").alias("__src"), F.col("rate").alias("__rate"))
     ident = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("text:"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
     drawn = docs.withColumn("__ident", ident).withColumn("__u", uniform(F.lit(seed), F.lit("count"), ident))
-    if rates.select("src").count() <= SOURCES_BROADCAST:
-        joined = drawn.join(F.broadcast(rates), F.col(source).eqNullSafe(F.col("src")))
+    size = rates.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("__src"), F.lit(0)) + 64), F.lit(0)).alias("b")).first()["b"]
+    if size <= RATES_BROADCAST:
+        joined = drawn.join(F.broadcast(rates), F.col(source).eqNullSafe(F.col("__src")))
     else:
         salted = rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
         joined = drawn.withColumn("__s", F.pmod(F.xxhash64("__ident"), F.lit(SALT)).cast("int"))
-        joined = joined.join(salted, F.col(source).eqNullSafe(F.col("src")) & (F.col("__s") == F.col("__salt")))
-    above = F.size(F.filter("q.cdf", lambda c: c <= F.col("__u")))
-    count = F.when(F.col("rate") > 0, F.col("q.low") + above).otherwise(F.lit(0)).cast("int")
+        joined = joined.join(salted, F.col(source).eqNullSafe(F.col("__src")) & (F.col("__s") == F.col("__salt")))
+    count = F.when(F.col("__rate") > 0, poisson_quantile(F.col("__rate"), F.col("__u"))).otherwise(F.lit(0)).cast("int")
     copies = joined.withColumn("__n", count).where("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
     order = F.substring(F.sha2(F.concat_ws("|", F.lit(seed), F.lit("order"), F.col("__ident"), F.col("copy").cast("string")), 256), 1, 16)
     return copies.withColumn("shuffle_key", order).select(*docs.columns, "copy", "shuffle_key").orderBy("shuffle_key")
