@@ -5,7 +5,8 @@ record) and ``indexes/index.cdxj`` (a line a record: offset and length within th
 archive member).  The reader fetches the tail of the file, finds the end-of-central-
 directory record (ZIP64 if need be), walks the central directory, locates the stored
 members, reads the index, and then each record by its byte range; nothing is extracted.
-Packages live in the folder that the cluster shares.
+Packages live in the folder that the cluster shares.  ``read_records`` reads packages of other
+makers too: several archives, indexes of ``key timestamp {json}`` lines, compressed or not.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import io
 import json
 import struct
 import zipfile
+import zlib
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -106,6 +108,43 @@ def stored_range(f, m: Member) -> tuple[int, int]:
     return m.header + 30 + n_name + n_extra, m.packed
 
 
+def whole_member(f, m: Member) -> bytes:
+    """A small member's bytes, stored or deflated; gunzipped if its name says so."""
+    head = _at(f, m.header, 30)
+    n_name, n_extra = struct.unpack_from("<HH", head, 26)
+    raw = _at(f, m.header + 30 + n_name + n_extra, m.packed)
+    if m.method == 8:
+        raw = zlib.decompress(raw, -15)
+    elif m.method:
+        raise ValueError(f"{m.name} is packed by a method that is not known here ({m.method})")
+    return gzip.decompress(raw) if m.name.endswith(".gz") else raw
+
+
+def index_entries(f, inside: dict[str, Member]) -> list[tuple[str, int, int]]:
+    """``(archive member, offset, length)`` of every line of every index, in order.
+
+    A line ends in a JSON object with ``offset``, ``length`` and, where there are several archives, ``filename``.
+    """
+    archives = [n for n in inside if n.startswith("archive/") and n.endswith((".warc", ".warc.gz"))]
+    by_name = {n.rsplit("/", 1)[-1]: n for n in archives}
+    out = []
+    for name in sorted(n for n in inside if n.startswith("indexes/") and n.removesuffix(".gz").endswith((".cdxj", ".cdx"))):
+        for line in whole_member(f, inside[name]).decode("utf-8").splitlines():
+            at = line.find("{")
+            if at < 0 or line.startswith("!"):
+                continue
+            entry = json.loads(line[at:])
+            if "offset" not in entry or "length" not in entry:
+                continue
+            if "filename" not in entry and len(archives) != 1:
+                raise ValueError(f"{name}: a line names no archive, and there are {len(archives)}")
+            own = by_name.get(entry["filename"].rsplit("/", 1)[-1]) if "filename" in entry else archives[0]
+            if own is None:
+                raise ValueError(f"{name}: no archive {entry['filename']}")
+            out.append((own, int(entry["offset"]), int(entry["length"])))
+    return out
+
+
 # ---- WARC records
 
 
@@ -155,6 +194,28 @@ def read_record(raw: bytes) -> dict:
     return out
 
 
+def parse_record(raw: bytes) -> dict:
+    """Any WARC record, gzipped or not: ``record_id, record_type, url, date, payload_digest, payload``.
+
+    The payload of an HTTP record is what follows its header, else the block; a digest that the
+    record states is checked if it is one of SHA-1 and the record has its payload.
+    """
+    data = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+    head, _, rest = data.partition(b"\r\n\r\n")
+    first, *lines = head.decode("utf-8", "replace").split("\r\n")
+    if not first.startswith("WARC/"):
+        raise ValueError("not a WARC record")
+    field = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
+    block = rest[: int(field["content-length"])]
+    http = field.get("content-type", "").startswith("application/http")
+    payload = block.partition(b"\r\n\r\n")[2] if http else block
+    digest = field.get("warc-payload-digest")
+    kind = field.get("warc-type")
+    if kind == "response" and digest and digest.startswith("sha1:") and payload_digest(payload) != digest[5:]:
+        raise ValueError(f"record {field.get('warc-record-id')}: its payload doesn't match its digest")
+    return {"record_id": field.get("warc-record-id", "").strip("<>") or None, "record_type": kind, "url": field.get("warc-target-uri"), "date": field.get("warc-date"), "payload_digest": digest, "payload": None if kind == "revisit" else payload}
+
+
 # ---- Spark
 
 
@@ -257,6 +318,33 @@ def read_packages(manifest: DataFrame, root: str, payload: bool = False) -> Data
     return spread.mapInArrow(run, ddl)
 
 
+def read_records(packages: DataFrame, root: str, package: str = "package") -> DataFrame:
+    """Records of the ZIP packages named in ``packages``, in the store of ``root``: a row for each index line.
+
+    ``package, record_id, record_type, url, date, payload_digest, payload``; a package without an
+    index has no rows, null names none.  Indexes are read whole, archives by byte range.
+    """
+    names = ["package", "record_id", "record_type", "url", "date", "payload_digest", "payload"]
+    kinds = [pa.string()] * 6 + [pa.binary()]
+
+    def run(batches):
+        store, _ = open_store(root)
+        for b in batches:
+            for name in b.column(0).to_pylist():
+                if name is None:
+                    continue
+                with store.open_input_file(name) as f:
+                    inside = {m.name: m for m in members(f, f.size())}
+                    lines = index_entries(f, inside)
+                    starts = {n: stored_range(f, inside[n])[0] for n in {n for n, _, _ in lines}}
+                    for k in range(0, len(lines), 500):
+                        got = [parse_record(_at(f, starts[n] + at, size)) | {"package": name} for n, at, size in lines[k : k + 500]]
+                        yield pa.RecordBatch.from_arrays([pa.array([g[c] for g in got], t) for c, t in zip(names, kinds)], names=names)
+
+    spread = packages.select(package).repartition(max(1, int(packages.sparkSession.conf.get("spark.sql.shuffle.partitions"))), package)
+    return spread.mapInArrow(run, ", ".join(f"{n} {'binary' if n == 'payload' else 'string'}" for n in names))
+
+
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Write ``pages`` into packages in the shared folder and read the records back.
 
