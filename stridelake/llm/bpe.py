@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 CACHE_ENTRIES = 250_000  # in each of the two generations
+NARROW = 1 << 24  # bytes of a pre-token whose places fit 24 bits
 FLUSH = 500_000  # token ids that go out at a time
 
 
@@ -118,7 +119,7 @@ class Codec:
         once a part of the pair has grown, since a pair's bytes have one rank.
         """
         n = len(piece)
-        wide = 24 if n < 1 << 24 else 48  # bits of a place
+        wide = 24 if n < NARROW else 48  # bits of a place
         high, low = 2 * wide, (1 << wide) - 1
         rank, pairs, push, pop = self.ranks.get, self.byte_pairs, heapq.heappush, heapq.heappop
         after = list(range(1, n + 2))

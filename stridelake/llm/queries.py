@@ -107,4 +107,33 @@ SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_r
 FROM w LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-SQL = {"op2_mixing": _OP2, "op7_warc": _OP7, "op10_substrings": _OP10}
+_OP5 = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+u AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0 AND len(list_filter(x, lambda e: e <> 0)) > 0),
+e AS (SELECT a.vec_id AS i, b.vec_id AS j FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.98),
+r AS (SELECT i, j FROM e UNION SELECT r.i, e.j FROM r JOIN e ON r.j = e.i),
+n AS (SELECT i, count(*) AS n FROM e GROUP BY i), low AS (SELECT i, min(j) AS low FROM r GROUP BY i)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, vec_id IS NOT NULL AND least(vec_id, coalesce(low, vec_id)) = vec_id AS kept
+FROM v LEFT JOIN n ON n.i = vec_id LEFT JOIN low ON low.i = vec_id
+"""
+
+#: crc32 of a number's decimal digits, bit by bit, the lowest first.
+_CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split({0}::VARCHAR, ''), lambda d: list_transform(range(8), lambda b: (ascii(d) >> b)::BIGINT & 1)))), lambda c, b: xor(c >> 1, CASE WHEN xor(c, b) & 1 = 1 THEN 3988292384 ELSE 0 END)), 4294967295)"
+
+_OP8 = rf"""
+WITH docs AS (SELECT doc_id, lang, text, ({_CRC.format('doc_id')}) % 4 = 2 AS held_out FROM documents),
+chars AS (SELECT doc_id, lang, held_out, list_transform(string_split(regexp_replace(' ' || lower(text) || ' ', '[^\p{{L}}]+', '_', 'g'), ''), lambda c: unicode(c)::BIGINT) AS cp FROM docs WHERE text IS NOT NULL),
+grams AS (SELECT doc_id, lang, held_out, unnest(list_zip(cp, cp[2:], cp[3:])) AS z FROM chars),
+codes AS (SELECT doc_id, lang, held_out, z[1] AS code FROM grams WHERE z[1] <> 95 UNION ALL SELECT doc_id, lang, held_out, z[1] * 2097152 + z[2] FROM grams WHERE z[2] IS NOT NULL
+  UNION ALL SELECT doc_id, lang, held_out, (z[1] * 2097152 + z[2]) * 2097152 + z[3] FROM grams WHERE z[3] IS NOT NULL AND z[2] <> 95),
+counts AS (SELECT doc_id, lang, held_out, code, count(*) AS n FROM codes GROUP BY ALL),
+ranked AS (SELECT lang, code, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, code) - 1 AS place FROM counts WHERE NOT held_out AND lang IS NOT NULL GROUP BY lang, code),
+profiles AS (SELECT * FROM ranked WHERE place < 300),
+own AS (SELECT * FROM (SELECT doc_id, code, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, code) - 1 AS place FROM counts) WHERE place < 300),
+apart AS (SELECT own.doc_id, l.lang, count(*) AS size, sum(CASE WHEN p.place IS NULL THEN 300 ELSE abs(p.place - own.place) END)::BIGINT AS apart
+  FROM own CROSS JOIN (SELECT DISTINCT lang FROM profiles) l LEFT JOIN profiles p ON p.lang = l.lang AND p.code = own.code GROUP BY 1, 2),
+best AS (SELECT doc_id, lang, 1 - apart::DOUBLE / (size * 300) AS score, row_number() OVER (PARTITION BY doc_id ORDER BY apart, lang) AS k FROM apart)
+SELECT docs.doc_id, docs.held_out, coalesce(best.lang, 'und') AS lang_pred, coalesce(score, 0.0) AS score FROM docs LEFT JOIN best ON best.doc_id = docs.doc_id AND k = 1
+"""
+
+SQL = {"op2_mixing": _OP2, "op5_embedding_dedup": _OP5, "op7_warc": _OP7, "op8_language": _OP8, "op10_substrings": _OP10}

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import io
+import math
 import random
 import re
 import zipfile
@@ -145,6 +146,13 @@ def test_cosine_links_against_all_pairs(spark):
     link = lambda a, b: a[2] == b[2] and a[1] @ b[1] / np.linalg.norm(a[1]) / np.linalg.norm(b[1]) >= 0.98
     n = {a[0]: sum(link(a, b) for b in use if b is not a) for a in use}
     assert len(got) == len(rows) and all(got[i].n_links == n.get(i, 0) for i, *_ in rows)
+    low = {i: i for i, *_ in rows}
+    for _ in use:
+        for a in use:
+            for b in use:
+                if low[b[0]] > low[a[0]] and link(a, b):
+                    low[b[0]] = low[a[0]]
+    assert any(n.values()) and {i: r.component_id for i, r in got.items()} == low
     assert all(got[i].kept == (got[i].component_id == i) for i, *_ in rows) and got[900].component_id == 900
 
 
@@ -237,8 +245,24 @@ def test_mixing(spark, docs):
     big = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("ten chars.").alias("text"), F.when(F.col("id") < 15_000, "a").otherwise("b").alias("source"))
     n = {r.source: r.n for r in mixing.poisson_mix(big, "s", {"a": 1.0, "b": 3.0}, target=400_000.0).groupBy("source").agg(F.count("*").alias("n")).collect()}
     assert n["a"] == pytest.approx(10_000, rel=0.05) and n["b"] == pytest.approx(30_000, rel=0.05)
-    cdf = spark.range(1).select(mixing.poisson_cdf(F.lit(400.0)).alias("q")).first().q
-    assert cdf.low == 160 and cdf.cdf[240] == pytest.approx(0.5132985, abs=1e-5) and cdf.cdf[-1] == pytest.approx(1.0)
+    draws = [(r, u) for r in (0.3, 1.0, 7.5, 99.0, 400.0, 20_000.0) for u in (0.0, 0.2, 0.5, 0.9, 0.999999)]
+    got = spark.createDataFrame(draws, "r double, u double").select("r", "u", mixing.poisson_quantile(F.col("r"), F.col("u")).alias("n")).collect()
+
+    def quantile(r, u):
+        n, c = 0, math.exp(-r) if r < 700 else 0.0
+        while c <= u:
+            n += 1
+            c += math.exp(n * math.log(r) - r - math.lgamma(n + 1))
+        return n
+
+    assert [g.n for g in got if g.u] == [quantile(g.r, g.u) for g in got if g.u]
+    clash = docs.withColumns({"src": F.lit(1), "rate": F.lit(2), "q": F.lit(3), "copy": F.lit(4), "__rate": F.lit(5)}).drop("__rate")
+    assert sorted(r.shuffle_key for r in mixing.poisson_mix(clash, "s").collect()) == [r[-1] for r in rows]
+    first = lambda: [tuple(r) for r in mixing.poisson_mix(docs, "s").select("doc_id", "copy", "shuffle_key").collect()]
+    by_broadcast = first()
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(mixing, "RATES_BROADCAST", 0)
+        assert first() == by_broadcast
 
 
 def test_near_components_at_a_similarity_against_all_pairs(spark):
