@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -35,15 +37,19 @@ def window_dedup(df: DataFrame, scope: str, quality: str, key: str, exact: str,
 
     The best has the highest quality (null counts as 0), then the smallest key.  Others are
     ``duplicate_exact`` if a better row has their exact hash, else ``duplicate_near``.  Rows with
-    a null near hash are unique.  A hash that very many rows share is a window that is sorted
-    with spills, never held.
+    a null near hash are unique.  The best of a hash are aggregated before the shuffle and joined
+    back, so that a hash that very many rows share is a skewed join side, which adaptive
+    execution splits.
     """
-    order = [F.desc(F.coalesce(F.col(quality), F.lit(0.0))), F.asc(key)]
-    by_near, by_exact = Window.partitionBy(scope, near).orderBy(*order), Window.partitionBy(scope, near, exact).orderBy(*order)
-    ranked = df.withColumn("__r", F.row_number().over(by_near)).withColumn("__e", F.row_number().over(by_exact)).withColumn("__f", F.first(key).over(by_near))
-    unique = F.col(near).isNull() | (F.col("__r") == 1)
-    status = F.when(unique, "unique").when((F.col("__e") > 1) & F.col(exact).isNotNull(), "duplicate_exact").otherwise("duplicate_near")
-    return ranked.withColumn("dedup_status", status).withColumn("duplicate_of", F.when(~unique, F.col("__f"))).drop("__r", "__e", "__f")
+    order = F.struct(-F.coalesce(F.col(quality).cast("double"), F.lit(0.0)), F.col(key))
+    rows = df.where(F.col(near).isNotNull())
+    best = lambda by, out: rows.groupBy(*(F.col(c).alias(f"__{c}") for c in by)).agg(F.min_by(F.col(key), order).alias(out))
+    match = lambda by: reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by))
+    out = df.join(best([scope, near], "__n"), match([scope, near]), "left").drop(f"__{scope}", f"__{near}")
+    out = out.join(best([scope, near, exact], "__e"), match([scope, near, exact]), "left").drop(f"__{scope}", f"__{near}", f"__{exact}")
+    unique = F.col(near).isNull() | (F.col("__n") == F.col(key))
+    status = F.when(unique, "unique").when(F.col(exact).isNotNull() & (F.col("__e") != F.col(key)), "duplicate_exact").otherwise("duplicate_near")
+    return out.withColumn("dedup_status", status).withColumn("duplicate_of", F.when(~unique, F.col("__n"))).drop("__n", "__e")
 
 
 def projection(dim: int, width: int = 32, seed: int = 0) -> np.ndarray:
