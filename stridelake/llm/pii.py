@@ -37,21 +37,22 @@ LETTERS = {"a-z": "abcdefghijklmnopqrstuvwxyz", "а-яё": "абвгдежзик
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 PARTS = [
     r"[\p{L}\p{N}](?:[\p{L}\p{N}._%+\-]*[\p{L}\p{N}])?@(?:[\p{L}\p{N}](?:[\p{L}\p{N}\-]*[\p{L}\p{N}])?\.)+\p{L}{2,}",
-    r"(?<=(?i:token|secret|password|passwd|api[_\-]?key|access[_\-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9+/_\-]{8,}",
-    r"(?<![\p{L}\p{N}])[0-9a-fA-F]{32,128}(?![\p{L}\p{N}])",
-    r"(?<![\p{L}\p{N}_\-])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[opsur]_[A-Za-z0-9]{36}|xox[abprs]-[0-9A-Za-z\-]{10,}|sk-[A-Za-z0-9_\-]{20,}|AIza[0-9A-Za-z_\-]{35}|eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,})(?![\p{L}\p{N}_\-])",
-    r"(?<![\p{L}\p{N}:.])(?:(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(?:[0-9a-fA-F]{1,4}:){1,6}(?::[0-9a-fA-F]{1,4}){1,6})(?![\p{L}\p{N}:])",
-    rf"(?<![\p{{L}}\p{{N}}.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])",
-    r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    r"(?<![\p{L}\p{N}])[0-9]{4}(?:[ \-][0-9]{4}){2}[ \-][0-9]{1,7}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])[0-9]{13,19}(?![\p{L}\p{N}])",
-    r"(?<![\p{L}\p{N}\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}\-])",
-    r"(?<![\p{L}\p{N}])\+[0-9]{1,3}[ .\-]?\(?[0-9]{2,4}\)?[ .\-]?[0-9]{3}[ .\-]?[0-9]{3,4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])\+[0-9]{1,3}(?:[ .\-]\(?[0-9]{1,4}\)?){1,2}(?:[ .\-]?[0-9]{2,8}){1,4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])0[1-9](?:[ .\-][0-9]{2}){4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}\-])[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}(?![\p{L}\p{N}\-])",
-    rf"(?<![\p{{L}}\p{{N}}])[0-9]{{1,5}}(?: \p{{Lu}}[\p{{L}}'’]+){{1,3}} (?:{ROAD})(?![\p{{L}}\p{{N}}])",
-    rf"(?<![\p{{L}}\p{{N}}])(?:{ADDRESS})\.? \p{{Lu}}[\p{{L}}'’]+(?:[ \-]\p{{Lu}}[\p{{L}}'’]+){{0,2}}",
+    r"(?<=[=:\s\"'])(?<=(?i:token|secret|password|passwd|api[_\-]?key|access[_\-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9+/_\-]{8,}",
+    r"[0-9a-fA-F]{32,128}(?![\p{L}\p{N}])",
+    r"(?<![_\-])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[opsur]_[A-Za-z0-9]{36}|xox[abprs]-[0-9A-Za-z\-]{10,}|sk-[A-Za-z0-9_\-]{20,}|AIza[0-9A-Za-z_\-]{35}|eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,})(?![\p{L}\p{N}_\-])",
+    r"(?<![:.])(?:(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(?:[0-9a-fA-F]{1,4}:){1,6}(?::[0-9a-fA-F]{1,4}){1,6})(?![\p{L}\p{N}:])",
+    rf"(?<!\.)(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])",
+    r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
+    r"[0-9]{4}(?:[ \-][0-9]{4}){2}[ \-][0-9]{1,7}(?![\p{L}\p{N}])|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5}(?![\p{L}\p{N}])|[0-9]{13,19}(?![\p{L}\p{N}])",
+    r"(?<!-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}\-])",
+    r"\+[0-9]{1,3}[ .\-]?\(?[0-9]{2,4}\)?[ .\-]?[0-9]{3}[ .\-]?[0-9]{3,4}(?![\p{L}\p{N}])|\+[0-9]{1,3}(?:[ .\-]\(?[0-9]{1,4}\)?){1,2}(?:[ .\-]?[0-9]{2,8}){1,4}(?![\p{L}\p{N}])|0[1-9](?:[ .\-][0-9]{2}){4}(?![\p{L}\p{N}])|\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}(?![\p{L}\p{N}])|(?<!-)[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}(?![\p{L}\p{N}\-])",
+    rf"[0-9]{{1,5}}(?: \p{{Lu}}[\p{{L}}'’]+){{1,3}} (?:{ROAD})(?![\p{{L}}\p{{N}}])",
+    rf"(?:{ADDRESS})\.? \p{{Lu}}[\p{{L}}'’]+(?:[ \-]\p{{Lu}}[\p{{L}}'’]+){{0,2}}",
 ]
-PATTERN = "|".join(f"(?:{p})" for p in PARTS)
+#: No entity begins inside a word, which is asked once a place and not by each part.
+PATTERN = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(f'(?:{p})' for p in PARTS)})"
 #: Every text with a match of PATTERN has one of these.
-MAYBE = rf"[0-9@]|[a-fA-F]{{32}}|[a-fA-F]:[a-fA-F:]|gh[opsur]_|xox[abprs]-|sk-[A-Za-z_\-]{{20}}|A[KS]IA|AIza|eyJ|(?:{ADDRESS})\.? \p{{Lu}}|(?i:token|secret|passw(?:or)?d|key)[\"']?\s{{0,3}}[=:]"
+MAYBE = rf"[0-9@]|[=:](?:(?<=(?i:token|secret|passw(?:or)?d|key)[\"']?\s{{0,3}}[=:])|(?<=[a-fA-F]:)[a-fA-F:])|[a-fA-F]{{32}}|(?=[gxsAe])(?:gh[opsur]_|xox[abprs]-|sk-[A-Za-z_\-]{{20}}|A[KS]IA|AIza|eyJ)|(?=[{''.join(sorted({a[0] for a in ADDRESS.split('|')}))}])(?:{ADDRESS})\.? \p{{Lu}}"
 EXCEPTIONS = 10_000  # entities past their first attempt that travel as a literal map; more are joined
 
 
