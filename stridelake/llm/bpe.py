@@ -26,11 +26,20 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-CACHE_ENTRIES = 250_000  # in each of the two generations
+CACHE_ENTRIES = 200_000  # in each of the two generations
+SHORT = 1 << 8  # bytes of a pre-token whose places fit 8 bits
 NARROW = 1 << 24  # bytes of a pre-token whose places fit 24 bits
 FLUSH = 500_000  # token ids that go out at a time
 
 
+MARKS = frozenset(".,;:!?")
+
+
+def _letters(piece: str) -> bool:
+    """Whether a piece is Latin letters alone, so that it is one pre-token and needs no matching."""
+    return piece.isalpha() and (piece.isascii() or max(piece) <= "\u024f")
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     """The vocabulary of a rank file: base64 bytes and a rank a line."""
     with open(path, "rb") as f:
@@ -96,19 +105,20 @@ class Codec:
         self.odd_space = regex.compile(r" (?=\s|\Z)|\A ")
         self.boundary = regex.compile(r"(?V1)(?= \S)")
         self.limit = cache_entries
-        self.forget()
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
         #: The rank of each two-byte entry, which is where every merge starts.
         self.byte_pairs = {(k[0], k[1]): r for k, r in ranks.items() if len(k) == 2}.get
+        self.of_byte = [ranks[bytes([b])] for b in range(256)]
         top = max(ranks.values()) + 1
         self.bytes_of: list[bytes | None] = [None] * top
         for key, rank in ranks.items():
             self.bytes_of[rank] = key
         self.digits = [str(i) for i in range(top)]
 
-    def forget(self) -> None:
-        """Drop the cache, as at the end of a task: the process lives on."""
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+    def age(self) -> None:
+        """Keep one generation of the cache alone, as at the end of a task: the process lives on, and other tasks may follow."""
+        self.old, self.young = self.young or self.old, {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Merge adjacent parts, smallest rank first, with a heap over linked bytes.
@@ -116,12 +126,14 @@ class Codec:
         ``after[i]`` is where the part that starts at byte ``i`` ends, which is where
         its right neighbour starts; ``before[i]`` is where its left neighbour starts.
         A heap entry packs the rank, the start and the end of a pair; it is stale
-        once a part of the pair has grown, since a pair's bytes have one rank.
+        once a part of the pair has grown, since a pair's bytes have one rank.  ``ids[i]``
+        is the rank of the part that starts at byte ``i``.
         """
         n = len(piece)
-        wide = 24 if n < NARROW else 48  # bits of a place
+        wide = 8 if n < SHORT else 24 if n < NARROW else 48  # bits of a place
         high, low = 2 * wide, (1 << wide) - 1
         rank, pairs, push, pop = self.ranks.get, self.byte_pairs, heapq.heappush, heapq.heappop
+        ids = list(map(self.of_byte.__getitem__, piece))
         after = list(range(1, n + 2))
         before = list(range(-1, n))
         heap = [r << high | i << wide | i + 2 for i, ab in enumerate(zip(piece, piece[1:])) if (r := pairs(ab)) is not None]
@@ -132,6 +144,7 @@ class Codec:
             j = after[i]
             if j < 0 or j >= n or after[j] != end:
                 continue
+            ids[i] = x >> high
             after[i] = end
             after[j] = -1
             before[end] = i
@@ -142,7 +155,7 @@ class Codec:
                 push(heap, r << high | h << wide | end)
         out, i = [], 0
         while i < n:
-            out.append(self.ranks[piece[i : after[i]]])
+            out.append(ids[i])
             i = after[i]
         return out
 
@@ -174,7 +187,18 @@ class Codec:
         """Ids of a space and ``piece``; the cached path."""
         got = self.old.get(piece)
         if got is None:
-            got = self._piece(" " + piece)
+            last = piece[-1:]
+            if _letters(piece):
+                got = self._token(" " + piece)
+            elif last in MARKS and _letters(head := piece[:-1]):
+                word = self.young.get(head) or self.old.get(head)
+                if word is None:
+                    word = self._token(" " + head)
+                    if len(head) <= 64:
+                        self._keep(head, word)
+                got = word + self._token(last)
+            else:
+                got = self._piece(" " + piece)
         if len(piece) <= 64:
             self._keep(piece, got)
         return got
@@ -252,7 +276,7 @@ def encode_text(docs: DataFrame, vocabulary: str, pattern: str, text: str = "tex
                     ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else [], pa.int32()))
                     yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(start, k - start) for c in names), ids], names=[*names, out])
                     flat, ends, start = array("i"), [0], k
-        codec.forget()
+        codec.age()
 
     kept = docs.drop(out)
     return kept.mapInArrow(run, f"{_ddl(kept)}, `{out}` array<int>")
@@ -292,7 +316,7 @@ def round_trip_digests(docs: DataFrame, vocabulary: str, pattern: str, key: str
                 a.append(hashlib.sha256(codec.ids_text(ids).encode()).hexdigest())
                 b.append(hashlib.sha256(codec.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
-        codec.forget()
+        codec.age()
 
     kind = dict(docs.dtypes)[key]
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
