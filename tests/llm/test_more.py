@@ -96,6 +96,8 @@ def test_long_pretokens_merge_alike(monkeypatch):
     ranks = bpe.read_ranks(public_tokenizers.path(VOCABULARY))
     known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     text = "".join(random.Random(3).choice("etaoinshrdlu") for _ in range(3000))
+    assert bpe.Codec(ranks, public_tokenizers.PATTERN).encode(text) == known.encode_ordinary(text)
+    monkeypatch.setattr(bpe, "SHORT", 3)
     monkeypatch.setattr(bpe, "NARROW", 16)
     assert bpe.Codec(ranks, public_tokenizers.PATTERN).encode(text) == known.encode_ordinary(text)
     other = r"\w+|\W"  # a pattern whose tokens don't start at spaces
