@@ -46,20 +46,18 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-def window_hashes(words: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """64 and 32 bits of each window's hash, by its start, from independent hashes of the words; both depend on their order."""
+def window_hashes(words: list[bytes], size: int, lane: int = 0) -> np.ndarray:
+    """A hash of each window, by its start: 64 bits in lane 0, 32 in lane 1; the lanes come from independent hashes of the words, and depend on their order."""
     n = len(words) - size + 1
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
-    g = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
-    a, b = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        return np.zeros(0, np.uint32 if lane else np.uint64)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest if lane else xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+    out = np.zeros(n, np.uint64)
     for k in range(size):
-        a += h[k : k + n] * _C[0, k % 64]
-        b += g[k : k + n] * _C[1, k % 64]
+        out += h[k : k + n] * _C[lane, k % 64]
         if k % 64 == 63:
-            a, b = _mix(a), _mix(b)
-    return _mix(a), (_mix(b) >> np.uint64(32)).astype(np.uint32)
+            out = _mix(out)
+    return (_mix(out) >> np.uint64(32)).astype(np.uint32) if lane else _mix(out)
 
 
 def _sketches(cells: int, size: int):
@@ -69,7 +67,7 @@ def _sketches(cells: int, size: int):
         held, n = [], 0
         for b in batches:
             for t in b.column(0):
-                h, _ = window_hashes(words_of(t.as_py()), size)
+                h = window_hashes(words_of(t.as_py()), size)
                 held.append(h)
                 n += len(h)
                 if n > FLUSH:
@@ -89,10 +87,13 @@ def _hot_owners(shared, size: int):
         low: dict[tuple[int, int], int] = {}
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1)):
-                h1, h2 = window_hashes(words_of(t.as_py()), size)
+                words = words_of(t.as_py())
+                h1 = window_hashes(words, size)
                 at = np.flatnonzero(est.hot_count(h1) > 0)
-                for k in zip(h1[at].tolist(), h2[at].tolist()):
-                    low[k] = min(i, low.get(k, LAST))
+                if len(at):
+                    h2 = window_hashes(words, size, 1)
+                    for k in zip(h1[at].tolist(), h2[at].tolist()):
+                        low[k] = min(i, low.get(k, LAST))
         if low:
             h = np.array([k[0] for k in low], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([k[1] for k in low], pa.int64()), pa.array(list(low.values()), pa.int64())], names=["h1", "h2", "low"])
@@ -134,9 +135,11 @@ def _starts(shared, owners, size: int, buckets: int):
         held, n, decided = ([], [], []), 0, []
         for b in batches:
             for i, tk, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                h1, h2 = window_hashes(words_of(t.as_py()), size)
+                words = words_of(t.as_py())
+                h1 = window_hashes(words, size)
                 want = est.repeated(h1)
-                if len(known) and len(h1):
+                h2 = window_hashes(words, size, 1) if want.any() else np.zeros(0, np.uint32)
+                if len(known) and len(h2):
                     very = np.flatnonzero(est.hot_count(h1) > 0)
                     if len(very):
                         key = np.rec.fromarrays([h1[very].view(np.int64), h2[very].astype(np.int64)], dtype=known.dtype)
