@@ -213,6 +213,7 @@ def cosine_links(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     classes = scratch.keep(rows.groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "classes")
     dealt = scratch.keep(rows.select("node", "label", "x").mapInArrow(_buckets(tables, k, width), "g bigint, node bigint, signs bigint"), "buckets")
     hot = dealt.groupBy("g").agg(F.ceil(F.count("*") / CHUNK).alias("c")).where("c > 1").withColumnRenamed("g", "hot")
+    hot = scratch.keep(hot, "hot")
     split = _chunked(dealt.join(hot, F.col("g") == F.col("hot")).withColumnRenamed("g", "bucket"), F.col("c"), "bucket").where("across").select("g", "node", "signs")
     rest = dealt.join(hot, F.col("g") == F.col("hot"), "left_anti").unionByName(split)
     maybe = scratch.keep(rest.repartition("g").sortWithinPartitions("g", "node").mapInArrow(_maybe, "a bigint, b bigint"), "maybe")
