@@ -24,6 +24,7 @@ from stridelake.operators.scratch import Scratch
 SEED = 42
 BLOCK = 2048  # queries that walk a tree together
 SHARD = 100_000  # fingerprints whose trees are built together
+CHUNK = 50_000  # fingerprints of a shard; one with more is searched in pairs of so many
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -142,16 +143,24 @@ def _thinned(kept_i: list, kept_j: list, n: int):
     return [i], [label[i]]
 
 
-def links(fps: DataFrame, radius: int = 3) -> DataFrame:
+def links(fps: DataFrame, scratch: Scratch, radius: int = 3) -> DataFrame:
     """``(a, b)``: enough links to tell the components of distinct fingerprints ``fps(fp)``.
 
-    Exact for every radius below 16.  The result is at most one row for each
+    Exact for every radius below 16.  A shard with more than ``CHUNK`` fingerprints is cut
+    into parts, each pair of which has trees of its own.  The result is at most one row for each
     fingerprint and block.
     """
     blocks = radius + 1
     cuts = [round(64 * k / blocks) for k in range(blocks + 1)]
     keys = F.array(*(F.struct(F.lit(k).alias("block"), F.expr(f"shiftrightunsigned(fp, {cuts[k]}) & {(1 << (cuts[k + 1] - cuts[k])) - 1}L").alias("bits")) for k in range(blocks)))
     dealt = fps.select("fp", F.explode(keys).alias("s")).select((F.col("s.bits") * 16 + F.col("s.block")).alias("shard"), "fp")
+    hot = dealt.groupBy("shard").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("c")).where("c > 1").withColumnRenamed("shard", "hot")
+    hot = scratch.keep(hot, "hot")
+    own = F.pmod(F.xxhash64("fp"), F.col("c")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("c") - 1), lambda o: o != own)  # a part meets itself there, too
+    split = dealt.join(hot, F.col("shard") == F.col("hot")).withColumn("o", F.explode(others))
+    split = split.select(F.xxhash64("shard", F.least("o", own), F.greatest("o", own)).alias("shard"), "fp")
+    dealt = dealt.join(hot, F.col("shard") == F.col("hot"), "left_anti").unionByName(split)
 
     def run(batches):
         def emit(shard, fp):
@@ -186,7 +195,7 @@ def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     scratch = Scratch(docs.sparkSession, "simhash")
     fps = scratch.keep(fingerprints(docs, key, text, words), "fingerprints")
     classes = scratch.keep(fps.groupBy("fp").agg(F.min(key).alias("low")), "classes")
-    parts = connected_components(links(classes.select("fp"), radius), scratch)
+    parts = connected_components(links(classes.select("fp"), scratch, radius), scratch)
     merged = classes.join(parts, F.col("fp") == F.col("id"), "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
     merged = scratch.keep(merged, "merged")
     lows = merged.groupBy("component").agg(F.min("low").alias("component_id"))
