@@ -241,12 +241,13 @@ class Codec:
 _CODECS: dict[tuple, Codec] = {}
 
 
-def _codec(shared) -> Codec:
+def _codec(shared, cache: int = CACHE_ENTRIES) -> Codec:
     """The worker's codec; built once a process from the broadcast ranks."""
     ranks, pattern, key = shared.value
     if key not in _CODECS:
         _CODECS.clear()
         _CODECS[key] = Codec(ranks, pattern)
+    _CODECS[key].limit = cache
     return _CODECS[key]
 
 
@@ -297,17 +298,17 @@ def decode_ids(docs: DataFrame, vocabulary: str, pattern: str, ids: str = "token
     return kept.mapInArrow(run, f"{_ddl(kept)}, `{out}` binary")
 
 
-def round_trip_digests(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def round_trip_digests(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text", cache: int = 2 * CACHE_ENTRIES) -> DataFrame:
     """Encode, decode and digest every row in one pass: ``key, n_tokens, ids_sha256, decoded_sha256``.
 
     Equal to ``encode_text`` followed by ``decode_ids`` without moving the ids
-    and the bytes out of the worker.  Null keys pass through; repeated rows give
+    and the bytes out of the worker, which therefore has room for a larger cache.  Null keys pass through; repeated rows give
     repeated results.
     """
     shared = _shared(docs.sparkSession, vocabulary, pattern)
 
     def run(batches):
-        codec = _codec(shared)
+        codec = _codec(shared, cache)
         for batch in batches:
             n, a, b = [], [], []
             for t in batch.column(1):
