@@ -1,11 +1,11 @@
-"""The ten operators as queries over whole tables, and SQL for those that SQL can express."""
+"""The corpus operators as queries over whole tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stridelake.llm import bpe, langrank, mixing, nbsvm, pii, pstable, simhash_bk, substring_cms, warczip
+from stridelake.llm import bpe, langrank, mixing, nbsvm, pii, pstable, simhash_bk, substring_cms, warczip, whitening, winnowing, word_trie
 from stridelake.session import ship
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -64,13 +64,27 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_cms.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnowing.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = word_trie.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_mixing, op3_bpe, op4_quality, op5_embedding_dedup, op6_nearest, op7_warc, op8_language, op9_simhash, op10_substrings, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_mixing, op3_bpe, op4_quality, op5_embedding_dedup, op6_nearest, op7_warc, op8_language, op9_simhash, op10_substrings, op11_winnowing, op12_resampling, op13_whitening, pipeline)}
 
 _OP2 = f"""
 WITH sizes AS (SELECT source, coalesce(sum(length(text)), 0) AS size FROM documents GROUP BY source),
@@ -136,4 +150,16 @@ best AS (SELECT doc_id, lang, 1 - apart::DOUBLE / (size * 300) AS score, row_num
 SELECT docs.doc_id, docs.held_out, coalesce(best.lang, 'und') AS lang_pred, coalesce(score, 0.0) AS score FROM docs LEFT JOIN best ON best.doc_id = docs.doc_id AND k = 1
 """
 
-SQL = {"op2_mixing": _OP2, "op5_embedding_dedup": _OP5, "op7_warc": _OP7, "op8_language": _OP8, "op10_substrings": _OP10}
+_OP11 = r"""
+WITH seen AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+d AS (SELECT row_number() OVER () AS r, doc_id, ws FROM seen),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+w AS (SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(ws[s:s + least(len(ws), 10) - 1], ' ') AS win FROM (SELECT *, unnest(generate_series(1, len(ws) - least(len(ws), 10) + 1)) AS s FROM b WHERE len(ws) > 0)),
+hit AS (SELECT r, s, n, win FROM (SELECT r, n, s, array_to_string(ws[s:s + n - 1], ' ') AS win FROM (SELECT r, ws, n, unnest(generate_series(1, len(ws) - n + 1)) AS s FROM d, (SELECT DISTINCT n FROM w))) SEMI JOIN w USING (n, win)),
+n AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(generate_series(s, s + n - 1)) AS p FROM hit) GROUP BY r),
+i AS (SELECT r, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT r, item_id FROM hit JOIN w USING (n, win) WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN n USING (r) LEFT JOIN i USING (r)
+"""
+
+SQL = {"op2_mixing": _OP2, "op5_embedding_dedup": _OP5, "op7_warc": _OP7, "op8_language": _OP8, "op10_substrings": _OP10, "op11_winnowing": _OP11}
