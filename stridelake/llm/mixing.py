@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+BLOCK = 10_000  # most copies that one row makes in one task
 RATES_BROADCAST = 8 << 20  # bytes of rates that are broadcast; more are joined by salted keys
 SALT = 64
 
@@ -69,25 +70,48 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, targe
     return sizes.select("src", F.when(F.col("size") > 0, share * F.lit(whole) / F.col("size")).otherwise(F.lit(1.0)).alias("rate"))
 
 
-def poisson_mix(docs: DataFrame, seed: str = "mix", weights: dict[str, float] | None = None, target: float | None = None, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """``docs`` repeated to target weights and globally shuffled, with ``copy`` (from 1) and ``shuffle_key``.
-
-    Rows come out sorted by ``shuffle_key``, a hash of the seed, the key and the copy.  A null key
-    draws by its text instead.  Rows that share a key share a count; an empty table gives an empty
-    result.  Columns named ``copy`` or ``shuffle_key`` are replaced.
-    """
-    docs = docs.drop("copy", "shuffle_key")
+def counted(docs: DataFrame, seed: str = "mix", weights: dict[str, float] | None = None, target: float | None = None, key: str = "doc_id", source: str = "source", text: str = "text") -> tuple[DataFrame, float]:
+    """``docs`` with ``__ident``, ``__rate`` and ``__n``, how often each is repeated, and the largest rate."""
     rates = source_rates(docs, weights, target, source, text).select(F.col("src").alias("__src"), F.col("rate").alias("__rate"))
     ident = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("text:"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
     drawn = docs.withColumn("__ident", ident).withColumn("__u", uniform(F.lit(seed), F.lit("count"), ident))
-    size = rates.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("__src"), F.lit(0)) + 64), F.lit(0)).alias("b")).first()["b"]
-    if size <= RATES_BROADCAST:
+    size = rates.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("__src"), F.lit(0)) + 64), F.lit(0)).alias("b"), F.coalesce(F.max("__rate"), F.lit(0.0)).alias("most")).first()
+    if size["b"] <= RATES_BROADCAST:
         joined = drawn.join(F.broadcast(rates), F.col(source).eqNullSafe(F.col("__src")))
     else:
         salted = rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
         joined = drawn.withColumn("__s", F.pmod(F.xxhash64("__ident"), F.lit(SALT)).cast("int"))
         joined = joined.join(salted, F.col(source).eqNullSafe(F.col("__src")) & (F.col("__s") == F.col("__salt")))
-    count = F.when(F.col("__rate") > 0, poisson_quantile(F.col("__rate"), F.col("__u"))).otherwise(F.lit(0)).cast("int")
-    copies = joined.withColumn("__n", count).where("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    n = F.when(F.col("__rate") > 0, poisson_quantile(F.col("__rate"), F.col("__u"))).otherwise(F.lit(0).cast("bigint"))
+    return joined.select(*docs.columns, "__ident", "__rate", n.alias("__n")), size["most"]
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``copy`` from 1 to ``__n``: large blocks and blocks of copies first, dealt out by their numbers, then the copies."""
+    upto = lambda first, last: F.explode(F.sequence(first, last))
+    wide = BLOCK * BLOCK
+    large = rows.withColumn("__large", upto(F.lit(0).cast("bigint"), F.floor((F.col("__n") - 1) / wide)))
+    low = F.col("__large") * BLOCK
+    small = large.withColumn("__block", upto(low, F.least(low + (BLOCK - 1), F.floor((F.col("__n") - 1) / BLOCK))))
+    dealt = small.repartition("__ident", "__block")
+    first = F.col("__block") * BLOCK + 1
+    return dealt.withColumn("copy", upto(first, F.least(first + (BLOCK - 1), F.col("__n")))).drop("__large", "__block")
+
+
+def poisson_mix(docs: DataFrame, seed: str = "mix", weights: dict[str, float] | None = None, target: float | None = None, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """``docs`` repeated to target weights and globally shuffled, with ``copy`` (from 1) and ``shuffle_key``.
+
+    Rows come out sorted by ``shuffle_key``, a hash of the seed, the key and the copy.  A null key
+    draws by its text instead.  Copies of documents that may have more than ``BLOCK`` are dealt out in
+    blocks before they are made, so that a tiny source at a large target is no single task.  Rows that share a key share a count; an empty table gives an empty
+    result.  Columns named ``copy`` or ``shuffle_key`` are replaced.
+    """
+    docs = docs.drop("copy", "shuffle_key")
+    drawn, most = counted(docs, seed, weights, target, key, source, text)
+    often = F.col("__rate") > float(BLOCK) / 2  # below that no count comes to BLOCK
+    light = drawn.where(~often) if most > BLOCK / 2 else drawn
+    copies = light.where("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__n"))))
+    if most > BLOCK / 2:
+        copies = copies.unionByName(_in_blocks(drawn.where(often & (F.col("__n") > 0))))
     order = F.substring(F.sha2(F.concat_ws("|", F.lit(seed), F.lit("order"), F.col("__ident"), F.col("copy").cast("string")), 256), 1, 16)
     return copies.withColumn("shuffle_key", order).select(*docs.columns, "copy", "shuffle_key").orderBy("shuffle_key")

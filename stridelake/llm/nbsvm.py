@@ -8,8 +8,8 @@ fitted with the hinge loss by dual coordinate descent; a logistic curve fitted o
 were kept aside turns margins into scores.
 
 The fit uses a bounded sample of the labelled rows, those with the smallest hashed keys: at most
-``sample`` rows and ``chars`` characters.  Executors turn them into hashes, of which
-the ``features`` most frequent are looked at; the driver holds hashes and index arrays, never texts.
+``sample`` rows and about ``chars`` characters, of both classes wherever both are labelled.  Executors turn them into hashes,
+all of which are features; the driver holds hashes and index arrays, never texts.
 Scoring covers the whole text of every row.
 """
 
@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame, functions as F
 
 SAMPLE = 4000
 CHARS = 16_000_000
-FEATURES = 200_000
 REMEMBER = 50_000  # words, and 64 times as many characters, whose hashes a task keeps
 _C = np.random.default_rng(20250310).integers(1, 1 << 63, 5, dtype=np.uint64) | np.uint64(1)
 SAME = np.uint64(xxhash.xxh64_intdigest(b"=", 3))  # the shape of a word that repeats the one before
@@ -151,7 +150,7 @@ class Model:
 
     def __init__(self, names: np.ndarray, weight: np.ndarray, ratio2: np.ndarray, bias: float, slope: float, offset: float):
         self.bias, self.slope, self.offset = bias, slope, offset
-        self.bits = np.uint64(max(1, (4 * len(names) - 1).bit_length()) if len(names) else 1)
+        self.bits = np.uint64(max(1, (len(names) - 1).bit_length()) if len(names) else 1)
         slot = names >> (np.uint64(64) - self.bits)
         order = np.argsort(slot, kind="stable")
         self.names, self.weight, self.ratio2 = names[order], weight[order], ratio2[order]
@@ -170,48 +169,78 @@ class Model:
             found.append(at[self.names[at] == hashes])
             at = at + 1
 
-    def score(self, hashes: np.ndarray) -> float:
+    def margin(self, hashes: np.ndarray) -> float:
         at = self.find(hashes)
-        margin = (float(self.weight[at].sum()) + self.bias) / math.sqrt(float(self.ratio2[at].sum()) + 1.0)
-        return 1 / (1 + math.exp(-min(max(self.slope * margin + self.offset, -35.0), 35.0)))
+        return (float(self.weight[at].sum()) + self.bias) / math.sqrt(float(self.ratio2[at].sum()) + 1.0)
+
+    def score(self, hashes: np.ndarray) -> float:
+        return 1 / (1 + math.exp(-min(max(self.slope * self.margin(hashes) + self.offset, -35.0), 35.0)))
 
 
-def fit(sets: list[np.ndarray], labels: list[int], min_docs: int = 3, features: int = FEATURES, c: float = 1.0) -> Model:
-    """Fit on labelled sets of hashes.  Without both classes the score is the smoothed share of label 1."""
+def fit(sets: list[np.ndarray], labels: list[int], c: float = 1.0) -> Model:
+    """Fit on labelled sets of hashes.  Without both classes the score is the smoothed share of label 1.
+
+    Every fourth set is kept aside for the logistic curve, and neither its n-grams nor its label
+    count in the model; all are fitted, and tell the curve, where else a class would be missing.
+    """
     y = np.array(labels, dtype=np.int64)
     none = np.zeros(0)
     if len(set(labels)) < 2:
         p = (y.sum() + 1) / (len(y) + 2)
         return Model(np.zeros(0, np.uint64), none, none, 0.0, 1e-6, math.log(p / (1 - p)))
-    ends = np.cumsum([len(s) for s in sets])
-    names, at, total = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    often = np.flatnonzero(total >= min_docs)
-    often = np.sort(often[np.argsort(-total[often], kind="stable")][:features])  # ties: the smaller hash
-    place = np.full(len(names), -1, np.int32)
-    place[often] = np.arange(len(often), dtype=np.int32)
-    names, known = names[often], [k[k >= 0] for k in np.split(place[at], ends[:-1])]
-    del at, total, place
-    one = np.bincount(np.concatenate([k for k, l in zip(known, labels) if l == 1]), minlength=len(names)) + 1.0
-    zero = np.bincount(np.concatenate([k for k, l in zip(known, labels) if l == 0]), minlength=len(names)) + 1.0
-    ratio = np.log((one / (y == 1).sum()) / (zero / (y == 0).sum()))
+    aside = np.arange(len(y)) % 4 == 3
+    if len(set(y[aside])) < 2 or len(set(y[~aside])) < 2:
+        aside[:] = False
+    part = np.flatnonzero(~aside)
+    own, names = y[part], np.unique(np.concatenate([sets[i] for i in part]))
+    known = [np.searchsorted(names, sets[i]).astype(np.int32) for i in part]
+    one, zero = np.ones(len(names)), np.ones(len(names))
+    for k, l in zip(known, own):
+        (one if l else zero)[k] += 1  # a set has each hash once
+    ratio = np.log((one / own.sum()) / (zero / (len(own) - own.sum())))
+    del one, zero
     wide = np.r_[ratio, 1.0]  # the last is the bias
     rows = []
     for k in known:
-        k = np.r_[k, len(names)].astype(np.int32)
+        k = np.r_[k, np.int32(len(names))]
         v = wide[k]
         rows.append((k, v / math.sqrt(float(v @ v))))
-    sign = np.where(y == 1, 1.0, -1.0)
-    cost = np.where(y == 1, c * len(y) / (2 * (y == 1).sum()), c * len(y) / (2 * (y == 0).sum()))
-    aside = np.arange(len(y)) % 4 == 3
-    if len(set(y[aside])) == 2 and len(set(y[~aside])) == 2:
-        part = np.flatnonzero(~aside)
-        w = dual_descent([rows[i] for i in part], sign[part], len(wide), cost[part])
-        test = np.flatnonzero(aside)
-    else:
-        w = dual_descent(rows, sign, len(wide), cost)
-        test = np.arange(len(y))
-    slope, offset = logistic_fit(np.array([float(w[rows[i][0]] @ rows[i][1]) for i in test]), y[test])
-    return Model(names, w[:-1] * ratio, ratio**2, float(w[-1]), slope, offset)
+    del known
+    cost = np.where(own == 1, c * len(own) / (2 * own.sum()), c * len(own) / (2 * (len(own) - own.sum())))
+    w = dual_descent(rows, np.where(own == 1, 1.0, -1.0), len(wide), cost)
+    model = Model(names, w[:-1] * ratio, ratio**2, float(w[-1]), 1.0, 0.0)
+    test = np.flatnonzero(aside) if aside.any() else part
+    model.slope, model.offset = logistic_fit(np.array([model.margin(sets[i]) for i in test]), y[test])
+    return model
+
+
+def chosen_rows(rows: list[tuple], sample: int, chars: int) -> list[tuple]:
+    """Of ``(label, length, ...)`` in the order of their hashes those to fit on, in the same order.
+
+    A class has a tenth of the rows, if it has so many.  Rows that no longer fit into ``chars``
+    are passed over, and the smaller class comes first into its half; a class whose rows are all
+    larger than that has the shortest of them.
+    """
+    of = {l: [r for r in rows if r[0] == l] for l in (0, 1)}
+    least = {l: min(len(of[l]), max(1, sample // 10)) for l in of}
+    first = rows[:sample]
+    for l in of:
+        if sum(r[0] == l for r in first) < least[l]:
+            first = of[l][: least[l]] + of[1 - l][: max(1, sample - least[l])]
+    keep, left = set(), chars
+    for l in sorted(of, key=lambda l: sum(r[1] for r in first if r[0] == l)):
+        own, room = [r for r in first if r[0] == l], left if keep or not of[1 - l] else chars // 2
+        spent = 0
+        for r in own:
+            if spent + r[1] <= room:
+                keep.add(r)
+                spent += r[1]
+        if own and not any(r in keep for r in own):
+            short = min(of[l], key=lambda r: r[1])
+            keep.add(short)
+            spent = short[1]
+        left -= spent
+    return [r for r in rows if r in keep]
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, train: str, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, chars: int = CHARS) -> tuple[list[np.ndarray], list[int]]:
@@ -219,18 +248,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, train: str, key: str = "
 
     A key labelled more than once counts with its smallest label; null keys and labels
     teach nothing; a key that several rows have gives its first text.  Rows count in the order of
-    their hashed keys, up to ``sample`` rows and until their texts come to ``chars`` characters.
+    their hashed keys, as ``chosen_rows`` says.
     """
     ids = labels.where(f"({train}) and {label} in (0, 1)").groupBy(key).agg(F.min(label).alias("__y"))
     size = docs.groupBy(F.col(key).alias("__k")).agg(F.max(F.coalesce(F.length(text), F.lit(0))).alias("__n"))
-    order = [F.xxhash64(key), F.col(key)]
-    first = ids.join(size, ids[key] == size["__k"]).select(key, "__y", "__n").orderBy(*order).limit(sample).collect()  # SAMPLE narrow rows
-    room = np.cumsum([r["__n"] for r in first]) <= chars
-    first = first[: max(1, int(room.sum()))]
+    both = ids.join(size, ids[key] == size["__k"]).select(key, "__y", "__n").withColumn("__h", F.xxhash64(key))
+    ends = [both.where(F.col("__y") == l).orderBy("__h", key).limit(sample) for l in (0, 1)]
+    rows = sorted(((r["__y"], r["__n"], r["__h"], r[key]) for e in ends for r in e.collect()), key=lambda r: r[2:])  # ``sample`` narrow rows of each class
+    first = chosen_rows(rows, sample, chars)
     if not first:
         return [], []
     spark = docs.sparkSession
-    chosen = spark.createDataFrame([(r[key], i, r["__y"]) for i, r in enumerate(first)], f"__k {dict(labels.dtypes)[key]}, __i int, __y int")
+    chosen = spark.createDataFrame([(r[3], i, r[0]) for i, r in enumerate(first)], f"__k {dict(labels.dtypes)[key]}, __i int, __y int")
     rows = docs.select(F.col(key).alias("__k"), F.col(text).alias("__t")).join(F.broadcast(chosen), "__k").groupBy("__i", "__y").agg(F.min("__t").alias("__t"))
 
     def run(batches):
@@ -252,7 +281,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, train: str, threshold: flo
     ``score`` or ``predicted`` are replaced.
     """
     model = fit(*labelled_sample(docs, labels, train, key, text, label, sample))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES entries at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the n-grams of ``chars`` characters at most, but for a row that has more
     rest = [f for f in docs.schema.fields if f.name not in ("score", "predicted") and (keep_text or f.name != text)]
 
     def run(batches):

@@ -95,7 +95,7 @@ mass AS (SELECT source, j, exp(-rate + j * ln(rate) - lgamma(j + 1)) AS p
 cdf AS (SELECT source, list(c) AS cdf FROM (SELECT source, sum(p) OVER (PARTITION BY source ORDER BY j) AS c FROM mass) GROUP BY source),
 drawn AS (SELECT d.*, ('0x' || substr(sha256('{MIX_SEED}|count|' || doc_id), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u FROM documents d),
 counted AS (SELECT drawn.*, len(list_filter(cdf, lambda c: c <= u)) AS n FROM drawn JOIN cdf ON drawn.source IS NOT DISTINCT FROM cdf.source)
-SELECT doc_id, text, lang, source, n_chars, k::INT AS copy, substr(sha256('{MIX_SEED}|order|' || doc_id || '|' || k), 1, 16) AS shuffle_key
+SELECT doc_id, text, lang, source, n_chars, k::BIGINT AS copy, substr(sha256('{MIX_SEED}|order|' || doc_id || '|' || k), 1, 16) AS shuffle_key
 FROM (SELECT *, unnest(generate_series(1, n)) AS k FROM counted)
 """
 

@@ -5,6 +5,7 @@ import itertools
 import json
 import random
 import re
+import time
 import zipfile
 
 import duckdb
@@ -14,7 +15,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from stridelake.llm import bpe, countmin, langrank, nbsvm, pii, pstable, queries, simhash_wide, warczip
+from stridelake.llm import bpe, countmin, langrank, mixing, nbsvm, pii, pstable, queries, simhash_wide, warczip
 from stridelake.llm.queries import VOCABULARY
 
 
@@ -164,24 +165,116 @@ def test_quality_features_and_weights_against_plain_sets():
         assert len(np.intersect1d(s, u)) == len(plain_grams(t) & plain_grams(v))
     assert nbsvm.shape("x" * 299 + "Y") != nbsvm.shape("x" * 300) and nbsvm.shape("Été1992!!!!") == "Aa0!!"
     y = [int(len(s) > 20) for s in sets]
-    model = nbsvm.fit(sets, y, min_docs=2)
+    model = nbsvm.fit(sets, y)
+    part = [(set(s.tolist()), l) for i, (s, l) in enumerate(zip(sets, y)) if i % 4 != 3]  # every fourth is kept aside
+    assert set(model.names.tolist()) == set().union(*(s for s, _ in part))
     weight, ratio2 = dict(zip(model.names.tolist(), model.weight)), dict(zip(model.names.tolist(), model.ratio2))
     for s, t in zip(sets, texts):
         own = [h for h in s.tolist() if h in weight]
         margin = (sum(weight[h] for h in own) + model.bias) / np.sqrt(sum(ratio2[h] for h in own) + 1)
         assert model.score(make.all(t)) == pytest.approx(1 / (1 + np.exp(-np.clip(model.slope * margin + model.offset, -35, 35))))
-    p, q = (np.array([sum(h in set(s.tolist()) for s, l in zip(sets, y) if l == k) for h in model.names.tolist()]) + 1.0 for k in (1, 0))
-    np.testing.assert_allclose(model.ratio2, np.log((p / sum(y)) / (q / (len(y) - sum(y)))) ** 2)
+    p, q = (np.array([sum(h in s for s, l in part if l == k) for h in model.names.tolist()]) + 1.0 for k in (1, 0))
+    n = sum(l for _, l in part)
+    np.testing.assert_allclose(model.ratio2, np.log((p / n) / (q / (len(part) - n))) ** 2)
 
 
 def test_the_sample_is_bounded_in_rows_and_characters(spark):
     d = spark.createDataFrame([(i, "word " * 10) for i in range(50)] + [(3, "a first text")], "doc_id bigint, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(50)] + [(3, 0), (None, 1)], "doc_id bigint, quality int")
     take = lambda **k: nbsvm.labelled_sample(d, labels, "doc_id <> 7", **k)
-    assert len(take()[0]) == 49 and len(take(sample=20)[0]) == 20 and len(take(chars=500)[0]) == 10 and len(take(chars=1)[0]) == 1
+    assert len(take()[0]) == 49 and len(take(sample=20)[0]) == 20 and len(take(chars=500)[0]) == 10 and sorted(take(chars=1)[1]) == [0, 1]
     assert take(sample=20)[1] == take()[1][:20]
 
 
+def test_giant_labelled_texts_and_rare_classes_leave_both_classes(spark):
+    say = lambda i, n: " ".join(("good", "fine", "well")[(i + k) % 3] if i % 2 else ("bad", "junk", "poor")[(i + k) % 3] for k in range(n))
+    rows = [(i, say(i, 20)) for i in range(240)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(240)], "doc_id bigint, quality int")
+    first = spark.createDataFrame([(i,) for i in range(240)], "doc_id bigint").orderBy(F.xxhash64("doc_id")).first().doc_id
+    d = spark.createDataFrame([(i, "x" * 17_000_000 if i == first else t) for i, t in rows], "doc_id bigint, text string")
+    sets, y = nbsvm.labelled_sample(d, labels, "true")
+    assert len(sets) == 239 and 100 < sum(y) < 140
+    got = nbsvm.score_quality(d.where(f"doc_id <> {first}"), labels, "true").collect()
+    assert all(r.predicted == r.doc_id % 2 for r in got)
+    take = lambda *rows, **k: nbsvm.chosen_rows([(l, n, i) for i, (l, n) in enumerate(rows)], **k)
+    assert take((0, 99), (1, 5), (0, 5), (0, 5), sample=9, chars=12) == [(1, 5, 1), (0, 5, 2)]
+    assert take((0, 99), (0, 98), (1, 97), sample=9, chars=12) == [(0, 98, 1), (1, 97, 2)]
+    many = take(*[(0, 1)] * 500, *[(1, 1)] * 20, sample=100, chars=10**6)
+    assert len(many) == 100 and sum(r[0] for r in many) == 10
+    assert take((1, 3), (1, 50), (1, 3), sample=9, chars=12) == [(1, 3, 0), (1, 3, 2)] and take(sample=9, chars=1) == []
+
+
+def test_dual_descent_finds_the_least_loss():
+    """Against subgradient steps on the primal, from the same data."""
+    rng = np.random.default_rng(8)
+    x, c = rng.normal(size=(60, 5)), rng.uniform(0.2, 2.0, 60)
+    y = np.where(x[:, 0] + 0.7 * rng.normal(size=60) > 0, 1.0, -1.0)
+    w = nbsvm.dual_descent([(np.arange(5), v) for v in x], y, 5, c, rounds=2000, tolerance=1e-9)
+    loss = lambda w: 0.5 * w @ w + (c * np.maximum(0, 1 - y * (x @ w))).sum()
+    v, best = np.zeros(5), np.inf
+    for k in range(1, 40_000):
+        v = v - (v - ((c * y * (y * (x @ v) < 1)) @ x)) / (k + 10)
+        best = min(best, loss(v))
+    assert loss(w) <= best + 1e-6 and loss(w) == pytest.approx(best, rel=2e-3)
+
+
+def test_counts_beyond_an_int_and_copies_in_blocks(spark, monkeypatch):
+    d = spark.createDataFrame([(1, "x", "tiny"), (2, "some longer text", "large")], "doc_id bigint, text string, source string")
+    drawn, most = mixing.counted(d, "s", {"tiny": 1.0, "large": 1.0}, 2e10)
+    n = {r.doc_id: r["__n"] for r in drawn.collect()}
+    assert most == 1e10 and abs(n[1] - 1e10) < 6e5 and abs(n[2] - 1e10 / 16) < 2e5
+    whole = lambda: [tuple(r) for r in mixing.poisson_mix(d, "s", {"tiny": 1.0, "large": 1.0}, 3000.0).collect()]
+    want = whole()
+    monkeypatch.setattr(mixing, "BLOCK", 7)  # large blocks hold 49
+    assert whole() == want and len(want) > 1400 and {r[0] for r in want} == {1, 2}
+
+
+def test_long_texts_take_time_by_their_length(spark):
+    """A megabyte each of what a pattern could read again and again, in no time that grows with its square."""
+    same = {
+        "labels": "a@" + "a." * 500_000 + "com",
+        "dots": "1." * 500_000,
+        "phones": "+1 2 2 2 " * 110_000,
+        "phone digits": " +1 11 1111111111x" * 50_000,
+        "capitals": " Abc Abc" * 125_000,
+        "local part": "b" * 1_000_000 + "@x.org",
+        "hex": "ab" * 500_000,
+        "at signs": "a@" * 500_000,
+    }
+    value = "".join(random.Random(1).choice("abcXYZ019") for _ in range(1_000_000))
+    persons = " ".join(f"Mr. {a.title()}{b}{c}" for a in "bcdfghjklmnpqrstvwxz" for b in ("ar", "el", "in", "os", "ut") for c in ("ab", "ec", "id", "of", "ug"))
+    texts = same | {"value": f"token={value} end", "persons": (persons + " ") * 100 + ". Barab and barab, Zutug's Zebra. password=Correcthorse", "titles": "Mr. Dr. " * 100_000}
+    d = spark.createDataFrame(list(texts.items()), "doc_id string, text string").repartition(4)
+    t = time.time()
+    got = {r.doc_id: r for r in pii.replace_pii(d, "key").collect()}
+    assert time.time() - t < 180  # hours, where anything is quadratic
+    assert all((got[k].text, got[k].n_entities) == (v, 0) for k, v in same.items())
+    new = got["value"].text
+    assert len(new) == len(value) + 10 and new[:6] + new[-4:] == "token= end" and new[6:-4] != value and got["value"].n_entities == 1
+    assert [c.isupper() for c in new[6:-4]] == [c.isupper() for c in value]
+    new = got["persons"].text
+    assert got["persons"].n_entities == 500 * 100 + 3 and "Barab" not in new and " and barab, " in new and "'s Zebra." in new and "Correcthorse" not in new
+    assert got["titles"].n_entities == 0
+
+
+def test_gender_follows_the_form_of_address_and_script_the_name(spark):
+    a, b, c, d, e = replaced(spark, "Mrs. Patricia Jones and Mr. Gregory Jones", "Patricia saw Ms Patricia Jones", "Dr. Παπαδόπουλος, Dr. Patricia Jones", "Prof. Սարգսյան or Господин Вадим Ёлкин", "Frau Zelda Weber-Quint")
+    her, one, him, two = re.fullmatch(r"Mrs\. (\w+) (\w+) and Mr\. (\w+) (\w+)", a).groups()
+    assert one == two != "Jones" and her.endswith("lia") and him.endswith("n") and not one.endswith(("lia", "n"))
+    assert b == f"{her} saw Ms {her} {one}"
+    greek, plain, same = re.fullmatch(r"Dr\. (\w+), Dr\. (\w+) (\w+)", c).groups()
+    assert re.fullmatch(r"[Α-ω]+", greek) and same == one and her == plain + "lia"
+    armenian, given, family = re.fullmatch(r"Prof\. (\w+) or Господин (\w+) (\w+)", d).groups()
+    assert re.fullmatch(r"[Ա-և]+", armenian) and given.endswith("н") and family.endswith("в")
+    assert re.fullmatch(r"Frau [A-Z]\w+lia [A-Z]\w+lia-[A-Z]\w+", e)
+
+
+def test_addresses_keep_their_bounds(spark):
+    mails = {"x@mail.example.com.": 1, "see a@b.com.5x": 1, "x_@b.org": 0, "..a-b+c@ex-ample.co.uk!": 1, "a@-b.org": 0, "a@b-.org": 0, "g" * 65 + "@b.org": 0, "g" * 64 + "@b.org": 1, "a@b.c": 0, "é@straße.de": 1}
+    d = spark.createDataFrame(list(enumerate(mails)), "doc_id int, text string")
+    assert {r.text: r.n_entities for r in d.join(pii.replace_pii(d, "key").select("doc_id", "n_entities"), "doc_id").collect()} == mails
+
+
 def test_tree_sums_of_sketches(spark, monkeypatch):
     monkeypatch.setattr(countmin, "FAN", 2)
     rng = np.random.default_rng(4)
