@@ -24,8 +24,8 @@ def unit(a: Column) -> Column:
 
 
 def angle(a: Column, b: Column) -> Column:
-    """Angle between two vectors in radians; lengths are floored at 1e-8."""
-    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / (F.greatest(norm(a), F.lit(1e-8)) * F.greatest(norm(b), F.lit(1e-8))))))
+    """Angle between two vectors in radians; the product of their lengths is floored at 1e-8."""
+    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / F.greatest(norm(a) * norm(b), F.lit(1e-8)))))
 
 
 def rms_distance(a: Column, b: Column) -> Column:
@@ -57,10 +57,26 @@ def quaternion_multiply(a: Column, b: Column) -> Column:
     return F.array(w, x, y, z)
 
 
+def relative_rotation(a: Column, b: Column) -> Column:
+    """The rotation, in the frame of ``a``, that leads from ``a`` to ``b``; unit quaternions wxyz."""
+    return quaternion_multiply(F.array(a[0], -a[1], -a[2], -a[3]), b)
+
+
+def rotation_vector(q: Column) -> Column:
+    """The logarithm of a unit quaternion wxyz: its axis times its angle, by the shorter way round."""
+
+    def of(q):
+        n = F.sqrt(q[1] * q[1] + q[2] * q[2] + q[3] * q[3])
+        angle = 2 * F.atan2(n, q[0])
+        turn = F.when(angle > F.pi(), angle - 2 * F.pi()).otherwise(angle)
+        return F.transform(F.array(F.when(n > 0, turn / n).otherwise(F.lit(0.0))), lambda k: F.array(q[1] * k, q[2] * k, q[3] * k))[0]
+
+    return F.transform(F.array(q), of)[0]
+
+
 def angular_displacement(a: Column, b: Column) -> Column:
     """Magnitude of the relative rotation from ``a`` to ``b``, unit quaternions wxyz."""
-    inverse = F.array(a[0], -a[1], -a[2], -a[3])
-    r = quaternion_multiply(inverse, b)
+    r = relative_rotation(a, b)
     return 2 * F.atan2(F.sqrt(r[1] * r[1] + r[2] * r[2] + r[3] * r[3]), F.abs(r[0]))
 
 

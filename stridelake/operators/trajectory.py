@@ -7,28 +7,40 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stridelake.functions import intervals, vectors
-from stridelake.operators.metrics import by_frame
+from stridelake.operators.metrics import by_frame, group_quantiles, joined
 
 FLAGS = ["nonfinite", "quaternion", "forward", "ik_position", "ik_rotation", "joint_limit", "root_speed", "dof_speed"]
 STRUCTURAL = 0b111
 
 
-def central_difference(value: str, time: str, seq: str, frame: str) -> Column:
-    """Velocity from both neighbours, one-sided at the ends; null where time doesn't advance."""
+def _neighbours(time: str, seq: str, frame: str):
+    """Values of a column at a frame's neighbours, itself at the ends, and the time between them.
+
+    The query fails where that time isn't positive; it is null for a single frame.
+    """
     w = by_frame(seq, frame)
     ahead = lambda c: F.coalesce(F.lead(c).over(w), F.col(c))
     behind = lambda c: F.coalesce(F.lag(c).over(w), F.col(c))
+    alone = F.lead(time).over(w).isNull() & F.lag(time).over(w).isNull()
     dt = ahead(time) - behind(time)
-    return F.when(dt > 0, (ahead(value) - behind(value)) / dt)
+    late = F.raise_error(F.concat(F.lit("timestamps must be strictly increasing: "), F.col(seq).cast("string"))).cast("double")
+    return ahead, behind, F.when(~alone, F.when(dt > 0, dt).otherwise(late))
+
+
+def central_difference(value: str, time: str, seq: str, frame: str) -> Column:
+    """Velocity from both neighbours, one-sided at the ends; 0 for a single frame; fails where time stands still."""
+    ahead, behind, dt = _neighbours(time, seq, frame)
+    return F.coalesce((ahead(value) - behind(value)) / dt, F.lit(0.0))
 
 
 def angular_velocity(q: str, time: str, seq: str, frame: str) -> Column:
-    """Magnitude of the rotation between the neighbours of a frame over their time apart."""
-    w = by_frame(seq, frame)
-    ahead = lambda c: F.coalesce(F.lead(c).over(w), F.col(c))
-    behind = lambda c: F.coalesce(F.lag(c).over(w), F.col(c))
-    dt = ahead(time) - behind(time)
-    return F.when(dt > 0, vectors.angular_displacement(behind(q), ahead(q)) / dt)
+    """Three components, in the frame of the earlier neighbour's body, of the rotation between the neighbours over their time apart.
+
+    ``q`` is a unit quaternion wxyz.  Zeros for a single frame; fails where time stands still.
+    """
+    ahead, behind, dt = _neighbours(time, seq, frame)
+    turn = vectors.rotation_vector(vectors.relative_rotation(behind(q), ahead(q)))
+    return F.transform(turn, lambda v: F.coalesce(v / dt, F.lit(0.0)))
 
 
 def continuous_quaternions(df: DataFrame, q: str, seq: str, frame: str, out: str = "continuous") -> DataFrame:
@@ -101,16 +113,20 @@ def resampled(df: DataFrame, q: str, seq: str, frame: str, source_fps: float, ta
     return both.select(seq, "target_frame", vectors.slerp(F.col("__a"), F.col("__b"), F.col("__x") - F.col("__lo")).alias(q))
 
 
+def finite(value: str) -> Column:
+    return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), F.col(value).cast("double"))
+
+
 def finite_stats(value: str, name: str) -> list[Column]:
-    """Mean, 95th percentile and maximum of finite values; null when there are none."""
-    v = F.when(~F.isnan(value) & (F.abs(value) != float("inf")), F.col(value).cast("double"))
-    return [F.avg(v).alias(f"{name}_mean"), F.percentile(v, 0.95).alias(f"{name}_p95"), F.max(v).alias(f"{name}_max")]
+    """Mean and maximum of finite values; null when there are none."""
+    v = finite(value)
+    return [F.avg(v).alias(f"{name}_mean"), F.max(v).alias(f"{name}_max")]
 
 
 def quality_report(df: DataFrame, keys: list[str], valid: Column, converged: Column, position_error: str, rotation_error: str, margin: str, root_speed: str, dof_speed: str, minimum: float = 0.98, root_limit: float = 5.0, dof_limit: float = 20.0) -> DataFrame:
     """Ratios, error statistics, smallest finite margin, reasons and status of each group."""
-    finite = F.when(~F.isnan(margin) & (F.abs(margin) != float("inf")), F.col(margin))
-    report = df.groupBy(*keys).agg(F.count("*").alias("frames"), F.avg(valid.cast("int")).alias("valid_ratio"), F.avg(converged.cast("int")).alias("converged_ratio"), *finite_stats(position_error, "position"), *finite_stats(rotation_error, "rotation"), F.min(finite).alias("min_margin"), F.max(root_speed).alias("max_root_speed"), F.max(dof_speed).alias("max_dof_speed"))
+    report = df.groupBy(*keys).agg(F.count("*").alias("frames"), F.avg(valid.cast("int")).alias("valid_ratio"), F.avg(converged.cast("int")).alias("converged_ratio"), *finite_stats(position_error, "position"), *finite_stats(rotation_error, "rotation"), F.min(finite(margin)).alias("min_margin"), F.max(root_speed).alias("max_root_speed"), F.max(dof_speed).alias("max_dof_speed"))
+    report = joined(report, group_quantiles(df, keys, {"position_p95": (finite(position_error), 0.95), "rotation_p95": (finite(rotation_error), 0.95)}), keys)
     reasons = F.array_compact(F.array(F.when(F.col("valid_ratio") < 1, F.lit("invalid_frames")), F.when(F.col("converged_ratio") < minimum, F.lit("ik_not_converged")), F.when(F.col("min_margin") < -1e-4, F.lit("joint_limit")), F.when(F.col("max_root_speed") > root_limit, F.lit("root_speed")), F.when(F.col("max_dof_speed") > dof_limit, F.lit("dof_speed"))))
     return report.withColumn("reasons", reasons).withColumn("status", F.when(F.col("valid_ratio") < 1, "failed").when(F.size("reasons") > 0, "warning").otherwise("passed"))
 

@@ -432,10 +432,11 @@ def q81_joint_speed(spark, sf_dir):
 
 
 @query(f"""WITH {_FRAMES}, g AS (SELECT user_id, frame, value, us / 1e6 AS t FROM f), n AS (SELECT user_id, frame, abs(coalesce(lead(value) OVER w, value) - coalesce(lag(value) OVER w, value)) / 200 AS d, coalesce(lead(t) OVER w, t) - coalesce(lag(t) OVER w, t) AS dt FROM g WINDOW w AS (PARTITION BY user_id ORDER BY frame))
-SELECT user_id, frame, CASE WHEN dt > 0 THEN round(least(d, 2 * pi() - d) / dt, 6) END AS turn FROM n""")
+SELECT user_id, frame, CASE WHEN dt > 0 THEN round(least(d, 2 * pi() - d) / dt, 6) ELSE 0 END AS turn FROM n""")
 def q82_angular_velocity(spark, sf_dir):
     f = frames(spark, sf_dir).withColumns({"q": F.expr(_TURN), "t": F.col("us") / F.lit(1e6)})
-    return f.select("user_id", "frame", R(trajectory.angular_velocity("q", "t", "user_id", "frame")).alias("turn"))
+    v = f.select("user_id", "frame", trajectory.angular_velocity("q", "t", "user_id", "frame").alias("v"))
+    return v.select("user_id", "frame", R(vectors.norm(F.col("v"))).alias("turn"))
 
 
 @query(f"""WITH {_FRAMES}, l AS (SELECT user_id, max(frame) AS last FROM f GROUP BY 1), t AS (SELECT user_id, unnest(generate_series(0, (last * 30 // 20))) AS k FROM l), p AS (SELECT *, k * 20.0::DOUBLE / 30 AS x FROM t),

@@ -510,7 +510,7 @@ def q28_three_tier_decision(spark, sf_dir):
 
 
 @query(f"""WITH {_FRAMES}, g AS (SELECT *, us / 1e6 AS t FROM f), n AS (SELECT user_id, frame, coalesce(lead(value) OVER w, value) - coalesce(lag(value) OVER w, value) AS dv, coalesce(lead(t) OVER w, t) - coalesce(lag(t) OVER w, t) AS dt FROM g WINDOW w AS (PARTITION BY user_id ORDER BY frame))
-SELECT user_id, frame, CASE WHEN dt > 0 THEN round(dv / dt, 6) + 0.0 END AS velocity FROM n""")
+SELECT user_id, frame, CASE WHEN dt > 0 THEN round(dv / dt, 6) + 0.0 ELSE 0 END AS velocity FROM n""")
 def q29_central_difference(spark, sf_dir):
     f = frames(spark, sf_dir).withColumn("t", F.col("us") / F.lit(1e6))
     return f.select("user_id", "frame", (R(trajectory.central_difference("value", "t", "user_id", "frame")) + 0.0).alias("velocity"))
