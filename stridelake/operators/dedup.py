@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from stridelake.functions import vectors
+from stridelake.operators import digests
 from stridelake.operators.graph import connected_components
 from stridelake.operators.scratch import Scratch
 
@@ -42,6 +43,7 @@ def window_dedup(df: DataFrame, scope: str, quality: str, key: str, exact: str,
     execution splits.
     """
     order = F.struct(-F.coalesce(F.col(quality).cast("double"), F.lit(0.0)), F.col(key))
+    df = Scratch(df.sparkSession, "dedup").keep(df, "hashed")  # hashes of whole contents are computed once
     rows = df.where(F.col(near).isNotNull())
     best = lambda by, out: rows.groupBy(*(F.col(c).alias(f"__{c}") for c in by)).agg(F.min_by(F.col(key), order).alias(out))
     match = lambda by: reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by))
@@ -140,8 +142,8 @@ def components(ids: DataFrame, key: str, edges: DataFrame) -> DataFrame:
 
 def cluster_name(df: DataFrame, component: str, key: str) -> DataFrame:
     """``component, cluster_id, cluster_size``: twelve digits of the SHA-1 of the sorted keys, a line each."""
-    ids = F.array_join(F.array_sort(F.collect_list(F.col(key).cast("string"))), "\n")
-    return df.groupBy(component).agg(F.concat(F.lit("cluster_"), F.substring(F.sha1(ids), 1, 12)).alias("cluster_id"), F.count("*").alias("cluster_size"))
+    named = digests.ordered_sha1(df, component, F.col(key).cast("string"))
+    return named.select(component, F.concat(F.lit("cluster_"), F.substring("sha1", 1, 12)).alias("cluster_id"), F.col("rows").alias("cluster_size"))
 
 
 def centrality(df: DataFrame, component: str, key: str, vector: str) -> DataFrame:
@@ -198,6 +200,6 @@ def resolve_duplicates(df: DataFrame, exact: DataFrame, near: DataFrame, key: st
 
 
 def cluster_audit(df: DataFrame, component: str, key: str, subject: str) -> DataFrame:
-    """A row for each cluster with its members in rank order."""
-    member = F.struct("cluster_rank", F.col(key).alias("motion_id"), F.col(subject).alias("subject"), "kept")
-    return df.groupBy(component).agg(F.count("*").alias("cluster_size"), F.count_if("kept").alias("kept_count"), F.array_sort(F.collect_list(member)).alias("members"))
+    """A row for each member with ``cluster_rank`` and ``kept``, beside its cluster's ``cluster_size`` and ``kept_count``."""
+    sizes = df.groupBy(component).agg(F.count("*").alias("cluster_size"), F.count_if("kept").alias("kept_count"))
+    return df.select(component, "cluster_rank", F.col(key).alias("motion_id"), F.col(subject).alias("subject"), "kept").join(sizes, component)

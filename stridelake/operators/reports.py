@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from stridelake.operators import digests
+
 
 def effective_duration(primary: Column, fallback: Column) -> Column:
     """The first of the two that is neither null nor 0, else 0."""
@@ -142,15 +144,12 @@ def compare_sets(left: DataFrame, right: DataFrame, key: str, status: str) -> Da
     return both.groupBy(member.alias("membership"), "left_status", "right_status").agg(F.count("*").alias("n"))
 
 
-def status_digest(df: DataFrame, key: str, status: str) -> DataFrame:
-    """One digest of all (key, status) pairs in order of key.
+def status_digest(df: DataFrame, key: str, status: str, depth: int | None = None) -> DataFrame:
+    """One digest of all (key, status) pairs, the root of a tree over them.
 
-    Digests of ranges of keys are combined, so that no task holds all pairs.
+    It tells any change, as a digest of all pairs in one text would, which only one task could make.
     """
-    part = F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 3)
-    line = F.concat_ws("=", F.col(key).cast("string"), F.coalesce(F.col(status), F.lit("null")))
-    parts = df.groupBy(part.alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("d"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: x["d"]), "\n"), 256).alias("digest"))
+    return digests.tree(df, key, F.sha2(F.coalesce(F.col(status), F.lit("null")), 256), depth).where("level = 0").select("digest")
 
 
 def metric_differences(a: DataFrame, b: DataFrame, key: str, metrics: list[str], status: str) -> DataFrame:
@@ -166,7 +165,20 @@ def job_inventory(items: DataFrame, quality: DataFrame, failures: DataFrame, key
     f = failures.select(F.col(key).alias("__f")).distinct()
     both = items.join(q, F.col(key) == F.col("__q"), "left").join(f, F.col(key) == F.col("__f"), "left")
     status = F.when(F.col("__q").isNotNull() & (F.col("quality_status") == "passed"), "generated").when(F.col("__q").isNotNull(), "generated_with_warnings").when(F.col("__f").isNotNull(), "failed").otherwise("pending")
-    return both.withColumn("job_status", status).drop("__q", "__f", "quality_status")
+    return both.withColumn("job_status", status).drop("__q", "__f")
+
+
+def job_totals(jobs: DataFrame, full: str, half: str, seconds: str, status: str = "job_status", quality: str = "quality_status") -> DataFrame:
+    """``scope, name, n, full_frames, half_frames, seconds``: jobs by status and by quality, and frames and time of what was generated.
+
+    A row for each status and each quality, and one, ``total``, for all; sums are of generated jobs alone, missing numbers count as 0.
+    """
+    made = F.col(status).isin("generated", "generated_with_warnings")
+    total = lambda c, kind: F.coalesce(F.sum(F.when(made, F.col(c))), F.lit(0)).cast(kind)
+    sums = [F.count("*").alias("n"), total(full, "bigint").alias("full_frames"), total(half, "bigint").alias("half_frames"), total(seconds, "double").alias("seconds")]
+    scopes = F.array(*(F.struct(F.lit(s).alias("scope"), n.alias("name")) for s, n in (("status", F.col(status)), ("quality", F.col(quality)), ("total", F.lit("total")))))
+    each = jobs.select("*", F.explode(scopes).alias("__x")).where("__x.name is not null")
+    return each.groupBy(F.col("__x.scope").alias("scope"), F.col("__x.name").alias("name")).agg(*sums)
 
 
 def select_items(manifest: DataFrame, ids: DataFrame | None, key: str, limit: int | None = None, order: str | None = None) -> DataFrame:

@@ -239,6 +239,20 @@ def event_seconds(events: Column, minimum: float = 0.10) -> Column:
     return F.map_from_entries(F.transform(names, lambda c: F.struct(c, total(c))))
 
 
+def event_evidence(events: DataFrame, key: str, category: str, start: str, end: str, minimum: float = 0.10) -> DataFrame:
+    """``key, long, short, seconds``: what ``split_events`` and ``event_seconds`` say, from a row for each event.
+
+    Seconds are summed before the shuffle; what is gathered of a key has a place for each category, not each event.
+    """
+    length = F.col(end) - F.col(start)
+    sums = events.groupBy(key, category).agg(F.sum(F.when(length >= minimum, length)).alias("__s"))
+    own = F.struct(F.col(category).alias("category"), F.col("__s").alias("seconds"))
+    held = sums.groupBy(key).agg(F.array_sort(F.collect_list(own)).alias("__l"))
+    of = lambda keep: F.filter("__l", keep)
+    names = lambda keep: F.transform(of(keep), lambda x: x["category"])
+    return held.select(key, names(lambda x: x["seconds"].isNotNull()).alias("long"), names(lambda x: x["seconds"].isNull()).alias("short"), F.map_from_entries(of(lambda x: x["seconds"].isNotNull())).alias("seconds"))
+
+
 # ---- final decisions: the first stage that doesn't pass a row names its status
 
 PASSED_SEMANTIC = ("semantic_passed", "babel_unmatched", "babel_ambiguous")  # fixed values
@@ -321,6 +335,23 @@ def hands_status(labels: Column, hits: Column, manipulation: list[str], contact:
     return F.when(has(labels, manipulation) | has(hits, reject_phrases), "rejected").when(has(labels, contact) | has(hits, review_phrases), "review").otherwise("core")
 
 
+#: fixed values: what a row is called under the policy for robots without hands
+HANDS = {"rejected": "rejected_manipulation_required", "review": "review_fixed_hand_gesture", "core": "selected_core"}
+
+
+def hands_reasons(labels: Column, hits: Column, manipulation: list[str], contact: list[str], reject_phrases: list[str], review_phrases: list[str]) -> Column:
+    """Why a row isn't core: the sorted labels of the list that decides, then its phrases, each after ``free_text:``; empty for core rows."""
+    found = lambda values, of: F.array_sort(F.array_intersect(values, F.array(*map(F.lit, of)).cast("array<string>")))
+    told = lambda of, phrases: F.concat(found(labels, of), F.transform(found(hits, phrases), lambda p: F.concat(F.lit("free_text:"), p)))
+    status = hands_status(labels, hits, manipulation, contact, reject_phrases, review_phrases)
+    return F.when(status == "rejected", told(manipulation, reject_phrases)).when(status == "review", told(contact, review_phrases)).otherwise(F.array().cast("array<string>"))
+
+
+def decorated(df: DataFrame, policy: str, version: str, status: Column, reasons: Column, source: Column) -> DataFrame:
+    """``df`` with what a policy says of a row: ``{policy}_policy_version``, ``{policy}_status``, ``{policy}_reasons`` and the file's whole path."""
+    return df.withColumns({f"{policy}_policy_version": F.lit(version), f"{policy}_status": status, f"{policy}_reasons": reasons, "source_npz_absolute": source})
+
+
 def keep_in_range(df: DataFrame, seconds: str | None = None, frames: str | None = None, min_sec=None, max_sec=None, min_frames=None, max_frames=None) -> DataFrame:
     """Rows within the limits that are given."""
     for column, low, high in ((seconds, min_sec, max_sec), (frames, min_frames, max_frames)):

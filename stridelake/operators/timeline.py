@@ -54,3 +54,56 @@ def primary_of(rows: DataFrame, seq: str, category: str, seconds: str = "seconds
     """``seq, primary_category, primary_seconds``: the category with the most seconds, ties to the first by name."""
     best = F.min_by(F.struct(category, seconds), F.struct(-F.col(seconds), F.col(category)))
     return rows.groupBy(seq).agg(best.alias("b")).select(seq, F.col(f"b.{category}").alias("primary_category"), F.col(f"b.{seconds}").alias("primary_seconds"))
+
+
+HOT = 100_000  # intervals of a bin that one task looks through
+
+
+def overlapping(left: DataFrame, right: DataFrame, key: str, a: tuple[str, str], b: tuple[str, str], width: float) -> DataFrame:
+    """Pairs of rows of one key whose half-open intervals overlap, each pair once; columns of both sides, which have no other name in common than the key.
+
+    Time is cut into bins of ``width``; a row goes to every bin that it touches, and a pair is kept in the
+    first bin that both touch.  A bin with more than ``HOT`` rows on the right is cut into
+    parts, and the left rows of that bin go to each, so that a busy moment is no single task.
+    Empty intervals and those with a null end overlap nothing.
+    """
+
+    def binned(df, start, end, name):
+        low, high = (F.floor(F.col(c) / F.lit(float(width))) for c in (start, end))
+        last = F.when(F.col(end) > high * F.lit(float(width)), high).otherwise(high - 1)  # the end itself is outside
+        return df.where(F.col(end) > F.col(start)).withColumns({f"__first_{name}": low, "__bin": F.explode(F.sequence(low, F.greatest(low, last)))})
+
+    l, r = binned(left, *a, "l"), binned(right, *b, "r")
+    parts = r.groupBy(key, "__bin").agg(F.count("*").alias("__n")).where(F.col("__n") > HOT).select(key, "__bin", F.ceil(F.col("__n") / HOT).cast("int").alias("__parts"))
+    l = l.join(parts, [key, "__bin"], "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__parts") - 1, F.lit(0))))).drop("__parts")
+    r = r.join(parts, [key, "__bin"], "left").withColumn("__part", F.pmod(F.xxhash64(*b, *(c for c in right.columns if c not in (key, *b))), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
+    both = l.join(r, [key, "__bin", "__part"]).where((F.col(a[0]) < F.col(b[1])) & (F.col(b[0]) < F.col(a[1])) & (F.col("__bin") == F.greatest("__first_l", "__first_r")))
+    return both.drop("__bin", "__part", "__first_l", "__first_r")
+
+
+def segments_of(spans: DataFrame, durations: DataFrame, seq: str, start: str, end: str, duration: str) -> DataFrame:
+    """``seq, seg_start, seg_end``: the duration of each sequence cut at every end of an interval; a duration of 0 has none."""
+    known = durations.where(F.col(duration) > 0)
+    marks = known.select(seq, F.explode(F.array(F.lit(0.0), F.col(duration))).alias("t"))
+    cuts = spans.select(seq, F.explode(F.array(start, end)).alias("t")).join(known.select(seq), seq, "left_semi")
+    w = Window.partitionBy(seq).orderBy("t")
+    cut = marks.union(cuts).distinct().select(seq, F.col("t").alias("seg_start"), F.lead("t").over(w).alias("seg_end"))
+    return cut.where("seg_end is not null")
+
+
+def allocated_by_segments(actions: DataFrame, durations: DataFrame, seq: str, category: str, start: str, end: str, duration: str, unlabeled: str = "unknown", width: float | None = None) -> DataFrame:
+    """What ``allocated_seconds`` says, segment by segment: a range join finds the categories that are active in each.
+
+    ``width`` is that of the join's bins, by default the mean length of an interval or of a
+    segment, whichever is larger, so that there are about twice as many rows in bins as outside.
+    """
+    spans = merged(clipped(actions, durations, seq, start, end, duration), [seq, category], start, end)
+    segments = segments_of(spans, durations, seq, start, end, duration)
+    if width is None:
+        width = max(df.agg(F.avg(F.col(t) - F.col(s)).alias("w")).first()["w"] or 0.0 for df, s, t in ((spans, start, end), (segments, "seg_start", "seg_end"))) or 1.0
+    active = overlapping(segments, spans, seq, ("seg_start", "seg_end"), (start, end), width)
+    n = active.groupBy(seq, "seg_start", "seg_end").agg(F.count("*").alias("n"))
+    length = F.col("seg_end") - F.col("seg_start")
+    own = active.join(n, [seq, "seg_start", "seg_end"]).groupBy(seq, category).agg(F.sum(length / F.col("n")).alias("seconds"))
+    idle = segments.join(n, [seq, "seg_start", "seg_end"], "left_anti").groupBy(seq).agg(F.sum(length).alias("seconds")).select(seq, F.lit(unlabeled).alias(category), "seconds")
+    return own.unionByName(idle).groupBy(seq, category).agg(F.sum("seconds").alias("seconds"))

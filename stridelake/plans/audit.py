@@ -85,11 +85,9 @@ def q48_hash_sample(spark, sf_dir):
 @query("""WITH e AS (SELECT user_id, event_type AS c, value / 1000 AS s FROM events), l AS (SELECT user_id, c, sum(s) FILTER (s >= 0.1) AS long FROM e GROUP BY 1, 2)
 SELECT user_id, coalesce(array_to_string(list(c ORDER BY c) FILTER (long IS NOT NULL), ','), '') AS long, coalesce(array_to_string(list(c ORDER BY c) FILTER (long IS NULL), ','), '') AS short, round(coalesce(sum(long) FILTER (c = 'error'), 0), 6) AS error_seconds FROM l GROUP BY 1""")
 def q49_event_evidence(spark, sf_dir):
-    act = F.struct(F.col("event_type").alias("category"), F.lit(0.0).alias("start"), (F.col("value") / 1000).alias("end"))
-    t = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(act).alias("events"))
-    long, short = rules.split_events(F.col("events"))
-    seconds = rules.event_seconds(F.col("events"))
-    return t.select("user_id", F.array_join(long, ",").alias("long"), F.array_join(short, ",").alias("short"), R(F.coalesce(F.try_element_at(seconds, F.lit("error")), F.lit(0.0))).alias("error_seconds"))
+    e = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("category"), F.lit(0.0).alias("start"), (F.col("value") / 1000).alias("end"))
+    t = rules.event_evidence(e, "user_id", "category", "start", "end")
+    return t.select("user_id", F.array_join("long", ",").alias("long"), F.array_join("short", ",").alias("short"), R(F.coalesce(F.try_element_at("seconds", F.lit("error")), F.lit(0.0))).alias("error_seconds"))
 
 
 _LABELS = "CASE WHEN doc_id % 2 = 0 THEN 'click' ELSE 'view' END"
@@ -288,9 +286,13 @@ def q68_selected_rates(spark, sf_dir):
     return reports.duration_summary(motions(spark, sf_dir), F.col("duration") >= 5, "duration", "fps")[1]
 
 
-@query(f"""WITH {MOTIONS}, s AS (SELECT doc_id::VARCHAR || '=' || {BASIC} AS line, substr(sha256(doc_id::VARCHAR), 1, 3) AS p FROM m), g AS (SELECT p, sha256(string_agg(line, chr(10) ORDER BY line)) AS d FROM s GROUP BY 1) SELECT sha256(string_agg(d, chr(10) ORDER BY p)) AS digest FROM g""")
+def _level(name: str, below: str, digits: int) -> str:
+    return f"{name} AS (SELECT substr(p, 1, {digits}) AS p, sha256(string_agg(line, chr(10) ORDER BY line)) AS d FROM (SELECT p, substr(p, 1, {digits + 1}) || '=' || d AS line FROM {below}) GROUP BY 1)"
+
+
+@query(f"""WITH {MOTIONS}, s AS (SELECT doc_id::VARCHAR || '=' || sha256({BASIC}) AS line, substr(sha256(doc_id::VARCHAR), 1, 2) AS p FROM m), g2 AS (SELECT p, sha256(string_agg(line, chr(10) ORDER BY line)) AS d FROM s GROUP BY 1), {_level('g1', 'g2', 1)}, {_level('g0', 'g1', 0)} SELECT d AS digest FROM g0""")
 def q69_status_digest(spark, sf_dir):
-    return reports.status_digest(base.basic_status(motions(spark, sf_dir)), "doc_id", "status")
+    return reports.status_digest(base.basic_status(motions(spark, sf_dir)), "doc_id", "status", depth=2)
 
 
 _TWO = {"static_fraction": "doc_id * 37 % 101 / 100.0", "lying_fraction": "doc_id * 53 % 97 / 130.0"}
@@ -347,8 +349,9 @@ q AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY (sr > 1)::INT, r
 SELECT source, count(*) AS cluster_size, count(*) FILTER (kept) AS kept_count, array_to_string(list(doc_id ORDER BY r) FILTER (kept), ',') AS kept_ids FROM q GROUP BY 1""")
 def q75_cluster_audit(spark, sf_dir):
     d = dedup.keep_diverse(table(spark, sf_dir, "documents").select("doc_id", "source", "lang"), "source", "lang", [F.asc("doc_id")])
-    a = dedup.cluster_audit(d, "source", "doc_id", "lang")
-    return a.select("source", "cluster_size", "kept_count", F.array_join(F.transform(F.filter("members", lambda m: m["kept"]), lambda m: m["motion_id"].cast("string")), ",").alias("kept_ids"))
+    kept = dedup.cluster_audit(d, "source", "doc_id", "lang").where("kept")  # three of each
+    a = kept.groupBy("source", "cluster_size", "kept_count").agg(F.array_sort(F.collect_list(F.struct("cluster_rank", "motion_id"))).alias("l"))
+    return a.select("source", "cluster_size", "kept_count", F.array_join(F.transform("l", lambda m: m["motion_id"].cast("string")), ",").alias("kept_ids"))
 
 
 @query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), m AS (SELECT vec_id, x, list_transform(range(16), lambda j: (x[j + 1] + x[j + 17] + x[j + 33] + x[j + 49]) / 4) AS c FROM v), z AS (SELECT vec_id, list_transform(range(64), lambda i: x[i + 1] - c[i % 16 + 1]) AS z FROM m)
@@ -567,3 +570,47 @@ def q96_resolve_duplicates(spark, sf_dir):
 @query("""SELECT d.doc_id, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def q97_lookup(spark, sf_dir):
     return matching.lookup(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id", ["quality", "toxic"])
+
+
+# ---- what a user asks of decided records
+
+
+@query(f"""WITH {base._SWEEP}, fb AS (SELECT user_id, arg_min(event_type, event_id) AS fallback FROM events GROUP BY 1), u AS (SELECT user_id, seconds FROM al WHERE category = 'unknown'),
+x AS (SELECT user_id, category, seconds FROM al WHERE category <> 'unknown' UNION ALL SELECT u.user_id, CASE WHEN u.user_id % 5 = 0 THEN 'unknown' ELSE fallback END, seconds FROM u JOIN fb USING (user_id)), g AS (SELECT user_id, category, sum(seconds) AS seconds FROM x GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seconds DESC, category) AS k, sum(seconds) OVER (PARTITION BY user_id) AS total FROM g)
+SELECT user_id, category AS primary_category, round(seconds / duration, 6) AS dominance, round(total / duration, 6) AS labelled FROM r JOIN d USING (user_id) WHERE k = 1""")
+def q102_fill_policy(spark, sf_dir):
+    first = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("fallback"))
+    a = base.allocations(spark, sf_dir).join(first, "user_id").withColumn("fallback", F.when(F.col("user_id") % 5 != 0, F.col("fallback")))
+    a = a.withColumn("alloc", intervals.conserved(intervals.fill_unlabeled(F.col("alloc"), "fill_with_primary_seq_label", F.col("fallback")), F.col("duration")))
+    labelled = F.aggregate(F.map_values(intervals.proportions(F.col("alloc"), F.col("duration"))), F.lit(0.0), lambda s, v: s + v)
+    return a.select("user_id", intervals.primary_category(F.col("alloc")).alias("primary_category"), R(intervals.dominance(F.col("alloc"), F.col("duration"))).alias("dominance"), R(labelled).alias("labelled"))
+
+
+_HANDS = (["promo", "standard"], ["economy"], ["red", "blue"], ["small", "steel"])
+
+
+@query(r"""WITH p AS (SELECT p_partkey, [lower(p_type)] AS ls, ' ' || trim(regexp_replace(regexp_replace(regexp_replace(lower(p_name), '([a-z])([0-9])', '\1 \2', 'g'), '([0-9])([a-z])', '\1 \2', 'g'), '[^a-z0-9]+', ' ', 'g')) || ' ' AS n, p_brand FROM part),
+h AS (SELECT *, list_sort(list_filter(ls, lambda x: list_contains(['promo', 'standard'], x))) AS ml, list_sort(list_filter(ls, lambda x: x = 'economy')) AS cl, list_filter(['blue', 'red'], lambda w: contains(n, ' ' || w || ' ')) AS mp, list_filter(['small', 'steel'], lambda w: contains(n, ' ' || w || ' ')) AS cp FROM p)
+SELECT p_partkey, 'v1' AS g1_no_hands_policy_version, CASE WHEN len(ml) + len(mp) > 0 THEN 'rejected_manipulation_required' WHEN len(cl) + len(cp) > 0 THEN 'review_fixed_hand_gesture' ELSE 'selected_core' END AS g1_no_hands_status,
+array_to_string(CASE WHEN len(ml) + len(mp) > 0 THEN list_concat(ml, list_transform(mp, lambda w: 'free_text:' || w)) ELSE list_concat(cl, list_transform(cp, lambda w: 'free_text:' || w)) END, ',') AS g1_no_hands_reasons, '/data/' || p_brand || '.npz' AS source_npz_absolute FROM h""")
+def q103_decorated_records(spark, sf_dir):
+    labels = F.array(normalize.normalize_label(F.col("p_type")))
+    hits = normalize.phrase_hits(F.array(normalize.free_text(F.col("p_name"))), _HANDS[2] + _HANDS[3])
+    names = F.create_map(*(F.lit(x) for pair in rules.HANDS.items() for x in pair))
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", labels.alias("labels"), hits.alias("hits"))
+    status = names[rules.hands_status(F.col("labels"), F.col("hits"), *_HANDS)]
+    d = rules.decorated(p, "g1_no_hands", "v1", status, rules.hands_reasons(F.col("labels"), F.col("hits"), *_HANDS), F.concat(F.lit("/data/"), "p_brand", F.lit(".npz")))
+    return d.select("p_partkey", "g1_no_hands_policy_version", "g1_no_hands_status", F.array_join("g1_no_hands_reasons", ",").alias("g1_no_hands_reasons"), "source_npz_absolute")
+
+
+@query("""WITH q AS (SELECT l_orderkey, CASE WHEN max(l_discount) >= 0.09 THEN 'warning' ELSE 'passed' END AS quality_status, sum(l_quantity)::BIGINT AS f, count(*) AS h, sum(l_tax) AS t FROM lineitem GROUP BY 1),
+j AS (SELECT q.*, CASE WHEN quality_status = 'passed' THEN 'generated' WHEN quality_status IS NOT NULL THEN 'generated_with_warnings' WHEN o_orderstatus = 'F' THEN 'failed' ELSE 'pending' END AS s FROM orders LEFT JOIN q ON o_orderkey = l_orderkey),
+x AS (SELECT 'status' AS scope, s AS name, * FROM j UNION ALL SELECT 'quality', quality_status, * FROM j WHERE quality_status IS NOT NULL UNION ALL SELECT 'total', 'total', * FROM j)
+SELECT scope, name, count(*) AS n, coalesce(sum(f) FILTER (s LIKE 'generated%'), 0)::BIGINT AS full_frames, coalesce(sum(h) FILTER (s LIKE 'generated%'), 0)::BIGINT AS half_frames, round(coalesce(sum(t) FILTER (s LIKE 'generated%'), 0)::DOUBLE, 4) AS seconds FROM x GROUP BY 1, 2""")
+def q104_job_totals(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey"))
+    q = li.agg(F.when(F.max("l_discount") >= 0.09, "warning").otherwise("passed").alias("quality_status"), F.sum("l_quantity").cast("bigint").alias("full"), F.count("*").alias("half"), F.sum("l_tax").alias("took"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus").join(q.drop("quality_status"), "o_orderkey", "left")
+    jobs = reports.job_inventory(o, q.select("o_orderkey", "quality_status"), o.where("o_orderstatus = 'F'"), "o_orderkey")
+    return reports.job_totals(jobs, "full", "half", "took").withColumn("seconds", R("seconds", 4))

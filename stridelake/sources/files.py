@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from pyspark.sql.pandas.types import from_arrow_type
 
 from stridelake.functions import normalize
-from stridelake.operators import rules
+from stridelake.operators import digests, rules
 
 ALIASES = {
     "pose": ("poses", "body_pose", "pose_body"),
@@ -345,3 +345,8 @@ def file_digests(spark: SparkSession, root: str, pattern: str = "*") -> DataFram
 def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
     both = before.withColumnRenamed("sha256", "was").join(after.withColumnRenamed("sha256", "now"), "path", "full_outer")
     return both.where(~F.col("was").eqNullSafe(F.col("now")))
+
+
+def digest_tree(spark: SparkSession, root: str, depth: int | None = None) -> DataFrame:
+    """``level, node, parent, digest`` of ``digests.tree`` over all files below ``root``; a file's node is its path."""
+    return digests.tree(file_digests(spark, root), "path", F.col("sha256"), depth)
