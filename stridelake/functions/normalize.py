@@ -113,8 +113,14 @@ def map_labels(labels: Column, known: dict[str, str | None]) -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(F.transform(useful, group))))
 
 
-def label_evidence(act: Column, proc: Column, raw: Column) -> Column:
-    """Categories of one label: its act list, else its processed, else its raw form; sorted, distinct."""
-    one = lambda c: F.when(F.trim(c) != "", F.array(normalize_label(c)))
-    acts = F.when(F.size(act) > 0, F.transform(act, normalize_label))
+def label_categories(act: Column, proc: Column, raw: Column) -> Column:
+    """Categories of one label: what isn't empty in its act list, else, without a list, its processed, else its raw form; sorted, distinct."""
+    one = lambda c: F.when(c != "", F.array(normalize_label(c)))
+    acts = F.when(F.size(act) > 0, F.transform(F.filter(act, lambda v: v != ""), normalize_label))
     return F.array_sort(F.array_distinct(F.coalesce(acts, one(proc), one(raw), F.array().cast("array<string>"))))
+
+
+def label_evidence(act: Column, proc: Column, raw: Column) -> Column:
+    """All that one label says: its categories and its processed and raw forms, without empty ones; sorted, distinct."""
+    forms = F.array_compact(F.array(normalize_label(proc), normalize_label(raw)))
+    return F.array_sort(F.array_distinct(F.filter(F.concat(label_categories(act, proc, raw), forms), lambda v: v != "")))

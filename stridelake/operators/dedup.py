@@ -6,10 +6,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from stridelake.functions import vectors
-from stridelake.operators import digests
+from stridelake.operators import digests, ranks
 from stridelake.operators.graph import connected_components
 from stridelake.operators.scratch import Scratch
 
@@ -19,18 +20,19 @@ def near_hash(values: Column, tolerance: float = 1e-4) -> Column:
     return F.sha1(F.to_json(F.transform(values, lambda v: F.rint(v.cast("double") / tolerance).cast("bigint"))))
 
 
-@F.pandas_udf(T.StringType())
-def exact_hash(values: pd.Series) -> pd.Series:
-    """SHA-1 of shape, type and bytes of an array of doubles; null for null."""
+@F.arrow_udf(T.StringType())
+def exact_hash(values: pa.Array) -> pa.Array:
+    """SHA-1 of shape, type and bytes of an array of doubles, read where the batch has them; null for null, a null element is NaN."""
     import hashlib
 
-    def one(v):
-        if v is None:
-            return None
-        a = np.asarray(v, dtype=np.float64)
-        return hashlib.sha1(str(a.shape).encode() + a.dtype.str.encode() + a.tobytes()).hexdigest()
-
-    return values.map(one)
+    flat = values.flatten().fill_null(float("nan")).to_numpy(zero_copy_only=False).astype("<f8", copy=False)
+    ends = np.cumsum(values.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    raw, out, at = memoryview(np.ascontiguousarray(flat)).cast("B"), [], 0
+    for end, known in zip(ends.tolist(), values.is_valid().to_pylist()):
+        head = f"({end - at},)<f8".encode()
+        out.append(hashlib.sha1(head + raw[8 * at : 8 * end]).hexdigest() if known else None)
+        at = end
+    return pa.array(out, pa.string())
 
 
 def window_dedup(df: DataFrame, scope: str, quality: str, key: str, exact: str, near: str) -> DataFrame:
@@ -155,11 +157,16 @@ def centrality(df: DataFrame, component: str, key: str, vector: str) -> DataFram
 
 
 def keep_diverse(df: DataFrame, component: str, subject: str, rank: list, keep: int = 3) -> DataFrame:
-    """Add ``cluster_rank`` and ``kept``: best of each subject first, then the rest, ``keep`` in all."""
-    ranked = df.withColumn("cluster_rank", F.row_number().over(Window.partitionBy(component).orderBy(*rank)))
-    ranked = ranked.withColumn("__s", F.row_number().over(Window.partitionBy(component, subject).orderBy("cluster_rank")))
-    order = F.row_number().over(Window.partitionBy(component).orderBy((F.col("__s") > 1).cast("int"), "cluster_rank"))
-    return ranked.withColumn("kept", order <= keep).drop("__s")
+    """Add ``cluster_rank`` and ``kept``: best of each subject first, then the rest, ``keep`` in all.
+
+    ``rank`` orders all members of a cluster.  A subject's best is an aggregate, and ranks of a large cluster are counted in parts.
+    """
+    ranked = ranks.ranked(df, [component], rank, "cluster_rank")
+    best = ranked.groupBy(F.col(component).alias("__c"), F.col(subject).alias("__s")).agg(F.min("cluster_rank").alias("__best"))
+    ranked = ranked.join(best, F.col(component).eqNullSafe(F.col("__c")) & F.col(subject).eqNullSafe(F.col("__s")))
+    later = (F.col("cluster_rank") > F.col("__best")).cast("int")
+    ordered = ranks.ranked(ranked.drop("__c", "__s").withColumn("__later", later), [component], [F.asc("__later"), F.asc("cluster_rank")], "__order")
+    return ordered.withColumn("kept", F.col("__order") <= keep).drop("__best", "__later", "__order")
 
 
 def resolve_exact(df: DataFrame, edges: DataFrame, key: str, quality: str) -> DataFrame:

@@ -12,6 +12,7 @@ from stridelake.functions import intervals, normalize, vectors
 from stridelake.operators import dedup, matching, metrics, plugins, reports, rules, trajectory
 from stridelake.plans import catalogue as base
 from stridelake.plans.catalogue import BASIC, MOTIONS, R, _CASCADE, _FRAMES, _M, _TIERS, frames, motions, query, table
+from stridelake.sources import files
 
 # ---- labels, identities, selections
 
@@ -55,12 +56,14 @@ def q45_identity(spark, sf_dir):
     return p.select("p_partkey", normalize.motion_id(F.col("p_type"), F.col("p_brand"), F.col("p_name"), F.col("path")).alias("motion_id"), normalize.motion_stem(F.col("path")).alias("stem"), rules.safe_relative(outside).alias("safe"))
 
 
-@query("""SELECT p_partkey, array_to_string(list_sort(list_distinct(CASE WHEN p_partkey % 3 = 0 THEN [lower(p_type), lower(p_brand)] WHEN p_partkey % 3 = 1 THEN [lower(p_name)] ELSE [lower(p_brand)] END)), ',') AS labels FROM part""")
+@query("""SELECT p_partkey, array_to_string(list_sort(list_distinct(CASE WHEN p_partkey % 3 = 0 THEN [lower(p_type), lower(p_brand)] WHEN p_partkey % 3 = 1 THEN [lower(p_name)] ELSE [lower(p_brand)] END)), ',') AS labels,
+array_to_string(list_sort(list_distinct(list_concat(CASE WHEN p_partkey % 3 = 0 THEN [lower(p_type)] WHEN p_partkey % 3 = 1 THEN [lower(p_name)] ELSE [] END, [lower(p_brand)]))), ',') AS evidence FROM part""")
 def q46_label_evidence(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     act = F.when(F.col("p_partkey") % 3 == 0, F.array("p_type", "p_brand"))
-    proc = F.when(F.col("p_partkey") % 3 == 1, F.col("p_name")).otherwise(F.lit(" "))
-    return p.select("p_partkey", F.array_join(normalize.label_evidence(act, proc, F.col("p_brand")), ",").alias("labels"))
+    proc = F.when(F.col("p_partkey") % 3 == 1, F.col("p_name")).otherwise(F.lit(""))
+    said = {"labels": normalize.label_categories(act, proc, F.col("p_brand")), "evidence": normalize.label_evidence(act, proc, F.col("p_brand"))}
+    return p.select("p_partkey", *(F.array_join(c, ",").alias(n) for n, c in said.items()))
 
 
 TAXONOMY = normalize.taxonomy({"romance": ["fr", "ES"], "germanic": ["de", "src1"], "source": ["src2", "src3"], "meta": ["src4", "src5"]}, ["Meta"])
@@ -105,7 +108,8 @@ def q50_policy_evidence(spark, sf_dir):
     return d.select("doc_id", policy.status(F.col("hits"), split, evidence).alias("status"), own.alias("reject_seconds"))
 
 
-@query("SELECT tier, n::INT AS labels FROM (VALUES ('R', 1), ('C', 1), ('A', 2), ('M', 1)) t(tier, n)")
+@query("""WITH p(tier, label) AS (VALUES ('R', 'error'), ('C', 'click'), ('A', 'purchase'), ('A', 'signup'), ('M', 'view')), o AS (SELECT event_type AS label, count(*) AS n FROM events GROUP BY 1)
+SELECT tier, count(o.label)::INT AS labels FROM o FULL JOIN p ON p.label = o.label GROUP BY 1 HAVING count(*) FILTER (o.label IS NULL OR p.label IS NULL) = 0""")
 def q51_validate_policy(spark, sf_dir):
     policy = rules.Policy({"R": ["error"], "C": ["click"], "A": ["purchase", "signup"], "M": ["view"]})
     return rules.validate_policy(table(spark, sf_dir, "events").select(F.col("event_type").alias("label")), policy)
@@ -528,9 +532,16 @@ def q92_robot_schema(spark, sf_dir):
     return s.select("robot", "nq", "nv", "dof", F.array_join("dof_names", ",").alias("names"), R(F.array_min(F.transform("limits", lambda l: l["low"]))).alias("low"))
 
 
-@query("SELECT robot, base FROM (VALUES ('unitree_g1', 'pelvis'), ('booster_t1', 'Waist'), ('stanford_toddy', 'waist_link'), ('fourier_n1', 'base_link'), ('engineai_pm01', 'LINK_BASE'), ('hightorque_hi', 'base_link')) t(robot, base)")
+_ROBOT = "CASE o_custkey % 7 WHEN 0 THEN 'unitree_g1' WHEN 1 THEN 'booster_t1' WHEN 2 THEN 'stanford_toddy' WHEN 3 THEN 'fourier_n1' WHEN 4 THEN 'engineai_pm01' WHEN 5 THEN 'hightorque_hi' ELSE 'unknown' END"
+
+
+@query(f"""WITH r(robot, base) AS (VALUES ('unitree_g1', 'pelvis'), ('booster_t1', 'Waist'), ('stanford_toddy', 'waist_link'), ('fourier_n1', 'base_link'), ('engineai_pm01', 'LINK_BASE'), ('hightorque_hi', 'base_link')), o AS (SELECT *, {_ROBOT} AS robot FROM orders)
+SELECT o.robot, base, o_orderstatus AS status, count(*) AS jobs, round(sum(o_totalprice), 2) AS value FROM o LEFT JOIN r ON r.robot = o.robot GROUP BY 1, 2, 3""")
 def q93_robots(spark, sf_dir):
-    return plugins.robots(spark)
+    """Jobs by robot, the body that carries its root, and status; robots that aren't known have no body."""
+    o = table(spark, sf_dir, "orders").select(F.expr(_ROBOT).alias("robot"), F.col("o_orderstatus").alias("status"), "o_totalprice")
+    jobs = o.groupBy("robot", "status").agg(F.count("*").alias("jobs"), F.round(F.sum("o_totalprice"), 2).alias("value"))
+    return matching.lookup(jobs, plugins.robots(spark), "robot", ["base"]).select("robot", "base", "status", "jobs", "value")
 
 
 @query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings) SELECT vec_id, round(cos(x[1] + x[2] + x[3]), 6) AS w, round(sin(x[1] + x[3]), 6) AS other FROM v""")
@@ -614,3 +625,24 @@ def q104_job_totals(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus").join(q.drop("quality_status"), "o_orderkey", "left")
     jobs = reports.job_inventory(o, q.select("o_orderkey", "quality_status"), o.where("o_orderstatus = 'F'"), "o_orderkey")
     return reports.job_totals(jobs, "full", "half", "took").withColumn("seconds", R("seconds", 4))
+
+
+#: A JSON text for each event, one in fifty cut off; both engines make it alike and read it back.
+_ENTRY = """concat('{"', event_id, '": {"feat_p": "', event_type, '/', user_id, '", "dur": ', CASE WHEN event_id % 6 = 0 THEN 'null' WHEN event_id % 6 = 1 THEN '"long"' ELSE concat(event_id % 100, '.5') END, ', "extra": ', props,
+', "seq_ann": {"labels": [{"raw_label": " Raw  ', event_type, '", "act_cat": ', CASE WHEN event_id % 3 = 0 THEN concat('["', event_type, '", "Big  Step", ""]') ELSE 'null' END, '}]}',
+CASE WHEN event_id % 5 = 0 THEN '' ELSE concat(', "frame_ann": {"labels": [{"raw_label": "", "proc_label": ', CASE WHEN event_id % 2 = 0 THEN concat('"Do ', event_type, '"') ELSE 'null' END, ', "start_t": ', event_id % 10, ', "end_t": ', CASE WHEN event_id % 4 = 1 THEN 'null' ELSE '11.25' END, '}]}') END, CASE WHEN event_id % 50 = 0 THEN '' ELSE '}}' END)"""
+_SAID = r"trim(regexp_replace(lower({0}), '\s+', ' ', 'g'))"
+
+
+@query(f"""WITH t AS (SELECT event_id, user_id % 3 AS split, {_ENTRY} AS value FROM events), v AS (SELECT split, value, unnest(json_keys(value)) AS ann_id FROM t WHERE json_valid(value)), e AS (SELECT ann_id, split, json_extract(value, '$."' || ann_id || '"') AS e FROM v),
+f AS (SELECT *, e->>'$.seq_ann.labels[0].raw_label' AS sr, (e->'$.seq_ann.labels[0].act_cat[*]') AS sa, e->>'$.frame_ann.labels[0].proc_label' AS fp, e->>'$.frame_ann.labels[0].end_t' AS ft FROM e),
+w AS (SELECT *, list_filter(list_concat(list_transform(sa, lambda a: {_SAID.format("a->>'$'")}), [{_SAID.format('sr')}, {_SAID.format('fp')}]), lambda x: x IS NOT NULL AND x <> '') AS said FROM f)
+SELECT ann_id, 'part' || split AS split, e->>'$.feat_p' AS feat_p, coalesce(TRY_CAST(e->>'$.dur' AS DOUBLE), 0) AS duration, array_to_string(list_sort(list_distinct(said)), ',') AS evidence, (fp IS NOT NULL AND ft IS NOT NULL)::INT AS useful, FALSE AS malformed FROM w
+UNION ALL SELECT event_id::VARCHAR, 'part' || split, NULL, NULL, NULL, NULL, TRUE FROM t WHERE NOT json_valid(value)""")
+def q105_annotation_entries(spark, sf_dir):
+    t = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("part"), F.col("user_id") % 3).alias("split"), F.expr(_ENTRY).alias("value"))
+    e = files.annotation_entries(t)
+    useful = F.size(files.useful_frame_labels(F.col("frame_labels")))
+    rows = e.select("ann_id", "split", "feat_p", "duration", F.array_join(files.all_evidence(F.col("seq_labels"), F.col("frame_labels")), ",").alias("evidence"), useful.alias("useful"), F.lit(False).alias("malformed"))
+    none = [F.lit(None).cast(k).alias(n) for n, k in (("feat_p", "string"), ("duration", "double"), ("evidence", "string"), ("useful", "int"))]
+    return rows.unionByName(files.malformed(t).select(F.col("event_id").cast("string").alias("ann_id"), "split", *none, F.lit(True).alias("malformed")))

@@ -26,8 +26,6 @@ ALIASES = {
     "betas": ("betas",),
     "gender": ("gender",),
 }
-LABEL = "struct<raw_label:string,proc_label:string,act_cat:array<string>,start_t:double,end_t:double>"
-ANNOTATIONS = f"map<string,struct<feat_p:string,dur:double,seq_ann:struct<labels:array<{LABEL}>>,frame_ann:struct<labels:array<{LABEL}>>>>"
 #: What ``read_archives`` says of an archive, in order.
 HEADER = {
     "path": pa.string(), "has_pose": pa.bool_(), "has_translation": pa.bool_(), "has_fps": pa.bool_(), "has_betas": pa.bool_(), "has_gender": pa.bool_(),
@@ -171,17 +169,46 @@ def strict(headers: DataFrame) -> DataFrame:
     return headers.where(F.when(bad, F.raise_error(F.concat(F.lit("bad archive: "), "path")).cast("boolean")).otherwise(F.lit(True)))
 
 
+_LABEL = "raw_label:string,proc_label:string,act_cat:array<string>"
+
+
+def annotation_entries(texts: DataFrame, value: str = "value", split: str = "split") -> DataFrame:
+    """``ann_id, split, feat_p, duration, seq_labels, frame_labels`` of rows that hold a JSON object of entries each.
+
+    A text is parsed once; fields are typed paths into it.  What isn't of its path's type is null, lists
+    are empty then, and so is a missing duration 0.  Texts that aren't JSON have no rows: ``malformed`` has them.
+    """
+    of = lambda path, kind: F.try_variant_get("e", path, kind)
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    seq, frame = f"array<struct<{_LABEL}>>", f"array<struct<{_LABEL},start_t:double,end_t:double>>"
+    rows = texts.select(split, F.try_parse_json(value).alias("__v")).where("__v is not null")
+    rows = rows.select(split, F.explode(F.try_variant_get("__v", "$", "map<string,variant>")).alias("ann_id", "e"))
+    return rows.select(
+        "ann_id", split, F.coalesce(of("$.feat_p", "string"), F.lit("")).alias("feat_p"), F.coalesce(of("$.dur", "double"), F.lit(0.0)).alias("duration"),
+        empty(of("$.seq_ann.labels", seq), seq).alias("seq_labels"), empty(of("$.frame_ann.labels", frame), frame).alias("frame_labels"),
+    )
+
+
+def malformed(texts: DataFrame, value: str = "value") -> DataFrame:
+    """Rows whose text isn't JSON, or isn't an object of entries."""
+    return texts.where(F.col(value).isNotNull() & F.try_variant_get(F.try_parse_json(value), "$", "map<string,variant>").isNull())
+
+
+def all_evidence(seq_labels: Column, frame_labels: Column) -> Column:
+    """Sorted evidence of all labels of an entry."""
+    of = lambda l: normalize.label_evidence(l["act_cat"], l["proc_label"], l["raw_label"])
+    return F.array_sort(F.array_distinct(F.flatten(F.concat(F.transform(seq_labels, of), F.transform(frame_labels, of)))))
+
+
 def read_annotations(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``ann_id, split, feat_p, duration, seq_labels, frame_labels``; the split is the file's stem."""
-    raw = spark.read.text(paths, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.[^./]*$", 1).alias("split"), F.from_json("value", ANNOTATIONS).alias("m"))
-    rows = raw.select("split", F.explode(F.map_entries("m")).alias("e"))
-    out = rows.select(F.col("e.key").alias("ann_id"), "split", F.col("e.value.feat_p").alias("feat_p"), F.col("e.value.dur").alias("duration"), F.coalesce("e.value.seq_ann.labels", F.array()).alias("seq_labels"), F.coalesce("e.value.frame_ann.labels", F.array()).alias("frame_labels"))
-    return out.orderBy("split", F.lower("feat_p"), "ann_id")
+    """``annotation_entries`` of files, which are one JSON object each; the split is the file's stem."""
+    raw = spark.read.text(paths, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.[^./]*$", 1).alias("split"), "value")
+    return annotation_entries(raw).orderBy("split", F.lower("feat_p"), "ann_id")
 
 
 def useful_frame_labels(labels: Column) -> Column:
     """Labels with both times that name a category."""
-    named = lambda l: F.size(normalize.label_evidence(l["act_cat"], l["proc_label"], l["raw_label"])) > 0
+    named = lambda l: F.size(normalize.label_categories(l["act_cat"], l["proc_label"], l["raw_label"])) > 0
     return F.filter(labels, lambda l: l["start_t"].isNotNull() & l["end_t"].isNotNull() & named(l))
 
 
@@ -322,19 +349,52 @@ def delete_below(spark: SparkSession, root: str, path: str) -> None:
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Write beside ``path``, then swap: a reader sees the old table or the new one."""
+    """Write a new version below ``path`` and name it in ``path/_current``, which is replaced in one step.
+
+    A reader by ``read_table`` sees the version before or the new one, whole.  Of the versions
+    before only the last one stays, for those who read it still.
+    """
     spark = df.sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    new, old = (jvm.org.apache.hadoop.fs.Path(f"{path}.{s}") for s in ("new", "old"))
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(conf)
-    fs.delete(new, True)
-    df.write.parquet(f"{path}.new")
-    if fs.exists(at):
-        fs.delete(old, True)
-        fs.rename(at, old)
-    fs.rename(new, at)
-    fs.delete(old, True)
+    at = lambda name: jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+    store = at("").getFileSystem(conf)
+    before = _current(spark, path)
+    version = f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{version}")
+    note = at(f"_{version}")
+    out = store.create(note, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    kinds = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    kinds[0] = rename
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(store.makeQualified(note).toUri(), conf).rename(store.makeQualified(note), store.makeQualified(at("_current")), kinds)
+    for f in store.listStatus(at("")):
+        name = f.getPath().getName()
+        if name.startswith("v-") and name not in (version, before):
+            store.delete(f.getPath(), True)
+
+
+def _current(spark: SparkSession, path: str) -> str | None:
+    """The version that ``path/_current`` names; None without one."""
+    jvm = spark._jvm
+    note = jvm.org.apache.hadoop.fs.Path(f"{path}/_current")
+    store = note.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(note):
+        return None
+    stream = store.open(note)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The table that ``replace_table`` wrote last."""
+    version = _current(spark, path)
+    if version is None:
+        raise FileNotFoundError(f"{path} has no version")
+    return spark.read.parquet(f"{path}/{version}")
 
 
 def file_digests(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:

@@ -1,5 +1,6 @@
 """Percentiles by group, rotation vectors, and frames and metrics made from joint rows."""
 
+import hashlib
 import math
 import random
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stridelake.functions import vectors
-from stridelake.operators import joints, metrics, trajectory
+from stridelake.operators import dedup, joints, metrics, ranks, trajectory
 from stridelake.operators.scratch import Scratch
 
 
@@ -114,3 +115,28 @@ def test_frames_of_joint_rows_against_numpy(spark):
     few = joints.descriptors(joints.joint_frames(d, d.where("j > 0"), "s", "f", "j", ("x", "y", "z"), ("a", "b", "c"), Scratch(spark, "test")), "s", "f", 3).collect()
     for r in few:
         assert np.allclose(r.pose, turn[r.s][[0, 2, 5]].ravel()) and np.allclose(r.root, (at[r.s][[0, 2, 5], 0] - at[r.s][0, 0]).ravel())
+
+
+@pytest.mark.parametrize("large", [1_000_000, 10])
+def test_ranks_and_keepers_of_large_groups(spark, monkeypatch, large):
+    monkeypatch.setattr(ranks, "LARGE", large)
+    rnd = random.Random(9)
+    rows = [(g, k, rnd.randrange(5), rnd.choice("xyz")) for g, n in (("a", 90), ("b", 3), (None, 20)) for k in range(n)]
+    d = spark.createDataFrame(rows, "g string, k int, v int, s string")
+    got = {(r.g, r.k): (r.r, r.kept) for r in dedup.keep_diverse(ranks.ranked(d, ["g"], [F.desc("v"), F.asc("k")], "r"), "g", "s", [F.desc("v"), F.asc("k")], 4).collect()}
+    for g in ("a", "b", None):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], r[1]))
+        assert [got[g, r[1]][0] for r in own] == list(range(1, len(own) + 1))
+        first = [next(r for r in own if r[3] == s) for s in {r[3] for r in own}]
+        want = sorted(first, key=own.index)[:4]
+        want += [r for r in own if r not in want and r not in first][: 4 - len(want)]
+        assert {k for (h, k), (_, kept) in got.items() if h == g and kept} == {r[1] for r in want}
+
+
+def test_hashes_of_arrays_tell_length_and_order(spark):
+    d = spark.createDataFrame([(1, [1.0, 2.0]), (2, [2.0, 1.0]), (3, [1.0]), (4, [2.0]), (5, []), (6, None), (7, [1.0, None]), (8, [1.0, 2.0])], "k int, v array<double>").coalesce(1)
+    got = {r.k: r.h for r in d.select("k", dedup.exact_hash("v").alias("h")).collect()}
+    for k, v in {1: [1.0, 2.0], 3: [1.0], 5: [], 7: [1.0, float("nan")]}.items():
+        a = np.array(v, np.float64)
+        assert got[k] == hashlib.sha1(str(a.shape).encode() + a.dtype.str.encode() + a.tobytes()).hexdigest()
+    assert got[6] is None and got[8] == got[1] and len(set(got.values())) == 7

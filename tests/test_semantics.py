@@ -197,7 +197,12 @@ def test_sinks_refuse_to_overwrite(spark, tmp_path):
     assert files.read_jsonl(spark, str(tmp_path / "j"), "id int, n string").count() == 1
     files.replace_table(d, str(tmp_path / "t"))
     files.replace_table(d.union(d), str(tmp_path / "t"))
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+    old = files.read_table(spark, str(tmp_path / "t"))
+    assert old.count() == 2
+    files.replace_table(d, str(tmp_path / "t"))
+    assert (files.read_table(spark, str(tmp_path / "t")).count(), old.count()) == (1, 2)  # who has begun to read goes on
+    with pytest.raises(FileNotFoundError):
+        files.read_table(spark, str(tmp_path / "none"))
 
 
 def test_named_bundles_and_manifests(spark, tmp_path):
