@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stridelake.llm import streams
 from stridelake.operators.graph import connected_components
@@ -188,6 +188,28 @@ def _compared(threshold: float):
     return run
 
 
+def _name(seed: int, label: Column, plain: Column) -> Column:
+    return F.xxhash64(label, plain) if seed == 0 else F.xxhash64(F.lit(seed), label, plain)
+
+
+def _classes(given: DataFrame, kind: str, scratch: Scratch, seeds: int = 64) -> tuple[DataFrame, DataFrame]:
+    """``id, x, label, node`` of all rows and ``node, rep, n`` of the classes of equal labels and vectors.
+
+    Members of a class are compared with each other; where unequal ones share a name, all
+    are named anew.  Only rows of classes with several members travel for that.
+    """
+    plain = F.transform("x", lambda v: v.cast("double") + F.lit(0.0))  # -0.0 is 0.0
+    whole = F.col("label").cast("bigint") if kind in ("tinyint", "smallint", "int", "bigint") else F.xxhash64("label")
+    for seed in range(seeds):
+        rows = given.select("id", "x", whole.alias("label"), _name(seed, F.col("label"), plain).alias("node"))
+        classes = scratch.keep(rows.groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "classes")
+        own = given.select(F.struct("label", plain.alias("x")).alias("v"), _name(seed, F.col("label"), plain).alias("node"))
+        several = own.join(classes.where("n > 1").select("node"), "node", "left_semi")
+        if several.groupBy("node").agg(F.min("v").alias("low"), F.max("v").alias("high")).where("low <> high").isEmpty():
+            return rows, classes
+    raise RuntimeError(f"unequal vectors still share names after {seeds} seeds")
+
+
 def cosine_links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.98, k: int = 10, width: float = 1.5, tables: int = 24) -> DataFrame:
     """``key, n_links, component_id, kept`` for every row.
 
@@ -197,8 +219,8 @@ def cosine_links(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     is then the key itself and ``kept`` holds (null and false for a null key).  Vectors of
     different lengths never link.  Rows that repeat a key are rows of their own.
 
-    Equal vectors (64 bits of hash over label and numbers) are one class, so that copies are
-    counted, not paired.  A class travels as its name and 64 signs of projections to its bucket in
+    Equal vectors of one label are one class, so that copies are counted, not paired; a class is named by
+    64 bits of hash, and names are changed until no two unequal vectors share one.  A class travels as its name and 64 signs of projections to its bucket in
     each table; those that share a bucket and most signs are joined to clusters by forests, and only
     members of clusters travel as vectors, once, or once a pair of chunks where a cluster or a
     bucket has more than ``CHUNK``.  There all pairs are compared; none leaves its task.  A pair
@@ -208,9 +230,7 @@ def cosine_links(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     scratch = Scratch(spark, "cosine")
     given = vectors.select(F.col(key).alias("id"), F.col(label).alias("label"), F.col(vector).alias("x"))
     ok = _usable("x") & F.col("label").isNotNull() & F.col("id").isNotNull()
-    plain = F.transform("x", lambda v: v.cast("double") + F.lit(0.0))  # -0.0 is 0.0
-    rows = given.where(ok).select("id", "x", F.xxhash64("label").alias("label"), F.xxhash64("label", plain).alias("node"))
-    classes = scratch.keep(rows.groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "classes")
+    rows, classes = _classes(given.where(ok), dict(vectors.dtypes)[label], scratch)
     dealt = scratch.keep(rows.select("node", "label", "x").mapInArrow(_buckets(tables, k, width), "g bigint, node bigint, signs bigint"), "buckets")
     hot = dealt.groupBy("g").agg(F.ceil(F.count("*") / CHUNK).alias("c")).where("c > 1").withColumnRenamed("g", "hot")
     hot = scratch.keep(hot, "hot")

@@ -325,6 +325,21 @@ def test_links_equal_the_sql(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(want) and sum(r[1] for r in want) > 50
 
 
+def test_unequal_vectors_that_share_a_name_are_named_anew(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.standard_normal((12, 8)), 3, axis=0)
+    d = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, label int")
+    want = sorted(map(tuple, pstable.cosine_links(d).collect()))
+    real, asked = pstable._name, []
+
+    def few(seed, label, plain):
+        asked.append(seed)
+        return real(seed, label, plain) if seed > 1 else F.pmod(real(seed, label, plain), F.lit(3))
+
+    monkeypatch.setattr(pstable, "_name", few)
+    assert sorted(map(tuple, pstable.cosine_links(d).collect())) == want and max(asked) == 2 and max(r[1] for r in want) == 1
+
+
 def test_links_of_groups_larger_than_a_chunk(spark, monkeypatch):
     rng = np.random.default_rng(9)
     x = rng.standard_normal((5, 12))
