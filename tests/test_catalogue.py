@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from stridelake.plans import audit, bodies, catalogue, runs  # noqa: F401  the others add to the catalogue
+from stridelake.plans import audit, bodies, catalogue, runs, stored  # noqa: F401  the others add to the catalogue
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables here")
