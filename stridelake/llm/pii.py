@@ -241,8 +241,10 @@ def _name(key: str, t: Column, kind: Column, attempt_of) -> Column:
 def _mentions(found: Column) -> Column:
     """``t, kind`` of the names, as they stand and in capitals, of the persons among a text's entities, sorted."""
     persons = F.filter(found, lambda e: e.rlike(rf"^(?:{ADDRESS})\.? "))
-    capitals = lambda names: F.transform(names, lambda x: F.struct(F.upper(x["t"]).alias("t"), x["kind"].alias("kind")))
-    return _let(F.flatten(F.transform(persons, _tokens)), lambda names: F.array_sort(F.array_distinct(F.concat(names, capitals(names)))))
+    line = lambda t, kind: F.concat(t, F.lit("|"), kind)  # noqa: E731  names have no such sign; lines, unlike structs, are told apart by hashes
+    lines = lambda names: F.concat(F.transform(names, lambda x: line(x["t"], x["kind"])), F.transform(names, lambda x: line(F.upper(x["t"]), x["kind"])))
+    apart = lambda l: F.struct(F.substring_index(l, "|", 1).alias("t"), F.substring_index(l, "|", -1).alias("kind"))
+    return F.array_sort(F.transform(F.array_distinct(_let(F.flatten(F.transform(persons, _tokens)), lines)), apart))
 
 
 def _look_up(names: Column, t: Column) -> Column:
@@ -341,7 +343,7 @@ def replace_pii(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     named = F.size("__names") > 0  # few texts, which are matched again with their own names
     found = found.withColumn("__e", F.when(named, F.regexp_extract_all(F.col(text), _with_mentions(F.col("__names")), 0)).otherwise(F.col("__f")))
     entries = F.transform("__f", lambda e: F.struct(e.alias("t"), F.lit("entity").alias("kind")))
-    found = found.withColumn("__table", F.when(F.size("__names") > NAMES, F.array_sort(F.array_distinct(F.concat("__names", entries)))).otherwise(F.col("__names")))
+    found = found.withColumn("__table", F.when(F.size("__names") > NAMES, F.array_sort(F.concat("__names", entries))).otherwise(F.col("__names")))
     few = later.limit(EXCEPTIONS + 1).collect()
     if len(few) <= EXCEPTIONS:
         table = F.from_json(F.lit(json.dumps({r.k: r.attempt for r in few})), "map<string,int>") if few else None

@@ -78,7 +78,7 @@ def item_windows(items: DataFrame, key: str, text: str, size: int) -> DataFrame:
     n = lambda w: F.least(F.size(w), F.lit(size))
     each = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - n(w) + 1), lambda i: F.struct(n(w).alias("len"), F.array_join(F.slice(w, i, n(w)), " ").alias("win")))
     rows = items.select(F.col(key).cast("string").alias("item"), ws.alias("w")).where(F.size("w") > 0)
-    return rows.select("item", F.explode(F.array_distinct(each(F.col("w")))).alias("x")).select("item", "x.*")
+    return rows.select("item", F.explode(each(F.col("w"))).alias("x")).select("item", "x.*")
 
 
 def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", size: int = SIZE, gram: int = GRAM) -> DataFrame:
