@@ -5,8 +5,8 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from stridelake.functions import vectors
@@ -61,40 +61,87 @@ def projection(dim: int, width: int = 32, seed: int = 0) -> np.ndarray:
     return np.random.RandomState(seed).normal(0.0, 1.0 / np.sqrt(dim), (dim, width)).astype(np.float32)
 
 
+BLOCKS = 16  # blocks that rows are dealt into, as long as a block has ``block`` to ``MOST`` rows: a row travels once for each
+MOST = 65_536  # rows of a block
+CELLS = 1 << 22  # scores that a task holds
+STRIDE = 32  # scores of which the first look takes only the largest
+
+
+def _nearest(u: np.ndarray, v: np.ndarray, i: np.ndarray, j: np.ndarray, k: int, same: bool):
+    """Places in ``u`` and ``v`` and scores of each row's ``k`` largest products of unit vectors, ties to the smaller ``j``, which rises.
+
+    Single precision tells which can be among them: rows at or above the ``k``-th largest of the
+    maxima of strides, less what rounding adds.  Those are scored in double precision, each pair alike wherever it stands.
+    """
+    u32, v32, slack = u.astype(np.float32), v.astype(np.float32), np.float32((u.shape[1] + 8) * 2.4e-7)
+    wide = -(-len(v) // STRIDE)
+    step = max(1, CELLS // (wide * STRIDE))
+    for at in range(0, len(u), step):
+        n = min(step, len(u) - at)
+        s = np.full((n, wide * STRIDE), -np.inf, np.float32)
+        s[:, : len(v)] = u32[at : at + n] @ v32.T
+        if same:
+            s[:, : len(v)][i[at : at + n][:, None] == j[None, :]] = -np.inf
+        s = s.reshape(n, STRIDE, wide)
+        high = s.max(axis=1)
+        least = (np.partition(high, wide - k, axis=1)[:, wide - k] if wide > k else np.full(n, -np.inf, np.float32)) - slack
+        row, cell = np.nonzero((high >= least[:, None]) & (high > -np.inf))
+        cuts = np.r_[np.arange(0, len(row), CELLS // STRIDE), len(row)]
+        found = []
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            near = s[row[lo:hi], :, cell[lo:hi]]
+            x, y = np.nonzero((near >= least[row[lo:hi], None]) & (near > -np.inf))
+            a, b = row[lo:hi][x] + at, y * wide + cell[lo:hi][x]
+            exact = np.concatenate([np.einsum("ij,ij->i", u[a[c : c + 65536]], v[b[c : c + 65536]]) for c in range(0, len(a), 65536)] or [np.zeros(0)])
+            order = np.lexsort((b, -exact, a))
+            first = np.r_[True, a[order][1:] != a[order][:-1]] if len(order) else np.zeros(0, bool)
+            starts = np.flatnonzero(first)
+            order = order[np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)])) < k]
+            found.append((a[order], b[order], exact[order]))
+        yield from found
+
+
+def dealt(rows: DataFrame, blocks: int) -> DataFrame:
+    """``id, x`` once for each block that a row's own meets, ``p, q``; ``first`` on the side of ``p``."""
+    each = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return each.select("id", "x", (F.col("own") <= F.col("other")).alias("first"), F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+
+
 def knn_candidates(df: DataFrame, key: str, vector: str, k: int = 20, width: int | None = 32, seed: int = 0, block: int = 4096) -> DataFrame:
     """``a < b`` pairs where either is among the other's ``k`` nearest by cosine, after a seeded projection.
 
-    Rows are dealt into blocks; every pair of blocks is one task, which keeps ``k`` rows for
-    each row; ties go to the smaller key.  ``width=None`` searches the vectors themselves.
-    Null or zero vectors have no neighbours.
+    Rows are dealt into blocks; every two blocks are one task, which compares them both ways and keeps ``k`` rows
+    for each row; ties go to the smaller key.  ``width=None`` searches the vectors themselves.
+    Null or zero vectors have no neighbours.  All pairs are compared, in matrix products: the time
+    grows with the square of the rows, a task's memory doesn't.
     """
     usable = F.col(vector).isNotNull() & (F.aggregate(vector, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")) > 0)
     rows = df.where(usable).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("x"))
-    blocks = max(1, -(-rows.count() // block))
-    dealt = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    asks = dealt.select("id", "x", F.lit(True).alias("ask"), F.col("own").alias("p"), other.alias("q"))
-    has = dealt.select("id", "x", F.lit(False).alias("ask"), other.alias("p"), F.col("own").alias("q"))
-
-    def near(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("id", kind="stable")
-        a, b = group[group.ask], group[~group.ask]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"a": [], "b": [], "s": []})
-        m = None if width is None else projection(len(a.x.iloc[0]), width, seed)
-        prep = lambda s: (lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12))(np.stack(s.to_numpy()) if m is None else np.stack(s.to_numpy()) @ m)
-        u, v, i, j = prep(a.x), prep(b.x), a.id.to_numpy(), b.id.to_numpy()
-        out = []
-        for at in range(0, len(u), 256):
-            s = u[at : at + 256] @ v.T
-            s[i[at : at + 256][:, None] == j[None, :]] = -np.inf
-            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            out.append(pd.DataFrame({"a": np.repeat(i[at : at + 256], top.shape[1]), "b": j[top].ravel(), "s": np.take_along_axis(s, top, 1).ravel()}))
-        out = pd.concat(out)
-        return out[np.isfinite(out.s)]
+    n = rows.count()
+    blocks = max(1, -(-n // MOST), min(BLOCKS, -(-n // block)))  # more than BLOCKS beyond a million rows
+    met = dealt(rows, blocks)
+
+    def near(group: pa.Table) -> pa.Table:
+        same = group.column("p")[0].as_py() == group.column("q")[0].as_py()
+        group = group.sort_by("id")
+        sides = []
+        for first in (True, False):
+            part = group.filter(pa.compute.equal(group.column("first"), first)).combine_chunks()
+            if not part.num_rows:
+                continue
+            x = part.column("x").combine_chunks()
+            x = x.flatten().fill_null(float("nan")).to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+            v = x if width is None else np.einsum("ij,jk->ik", x, projection(x.shape[1], width, seed))
+            v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+            known = np.isfinite(v).all(axis=1)
+            sides.append((np.ascontiguousarray(v[known]), part.column("id").to_numpy()[known]))
+        pairs = [(sides[0], sides[0])] if same else [tuple(sides), tuple(sides[::-1])] if len(sides) == 2 else []
+        out = [(i[a], j[b], s) for (u, i), (v, j) in pairs if len(u) and len(v) for a, b, s in _nearest(u, v, i, j, k, same)]
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [[], [], []]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (group.schema.field("id").type, group.schema.field("id").type, pa.float64()))], names=["a", "b", "s"])
 
     kind = dict(rows.dtypes)["id"]
-    found = asks.union(has).groupBy("p", "q").applyInPandas(near, f"a {kind}, b {kind}, s double")
+    found = met.groupBy("p", "q").applyInArrow(near, f"a {kind}, b {kind}, s double")
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("s"), "b"))).where(F.col("r") <= k)
     return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
