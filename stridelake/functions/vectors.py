@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from stridelake.functions.intervals import let
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -19,8 +21,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda v: v.cast("double") / n))
+    scaled = lambda x, n: F.when(n > 0, F.transform(x, lambda v: v.cast("double") / n))
+    return let(a, lambda x: let(norm(x), lambda n: scaled(x, n)))
 
 
 def angle(a: Column, b: Column) -> Column:
@@ -108,8 +110,9 @@ def spread_indices(n: Column, points: int) -> Column:
 
 def root_descriptor(positions: Column, points: int = 32) -> Column:
     """``points`` positions spread evenly over a sequence of positions, less the first, as one flat array."""
-    picked = F.transform(spread_indices(F.size(positions), points), lambda k: F.get(positions, k.cast("int")))
-    return F.flatten(F.transform(picked, lambda p: F.zip_with(p, F.get(picked, F.lit(0)), lambda a, b: a - b)))
+    picked = let(positions, lambda x: F.transform(spread_indices(F.size(x), points), lambda k: F.get(x, k.cast("int"))))
+    less = lambda x, first: F.flatten(F.transform(x, lambda p: F.zip_with(p, first, lambda a, b: a - b)))
+    return let(picked, lambda x: let(F.get(x, F.lit(0)), lambda first: less(x, first)))
 
 
 def rotate(q: Column, v: Column) -> Column:

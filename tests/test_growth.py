@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from stridelake.functions import vectors
 from stridelake.operators import dedup
 
 
@@ -24,3 +26,8 @@ def test_blocks_of_the_search_are_few_and_ties_go_to_the_smaller_key(spark, monk
         s[a] = -np.inf
         want |= {(3 * min(a, b), 3 * max(a, b)) for b in np.lexsort((np.arange(300), -s))[:6].tolist()}
     assert got == want
+
+
+def test_shared_values_of_descriptors_are_bound_once(spark):
+    assert str(vectors.root_descriptor(F.col("marker"))).count("marker") == 1
+    assert str(vectors.unit(F.col("marker"))).count("marker") == 1
