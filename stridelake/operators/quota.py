@@ -10,7 +10,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stridelake.functions import intervals
@@ -143,36 +144,83 @@ class _State:
             u[1] += n
 
 
-def select_once(rows: list[dict], budget: Budget, order: str, base_sec: float, base_count: float) -> tuple[dict, _State]:
-    """Category minima first, smallest first; then everything by score.  ``{id: (selected, pass, reason)}``."""
-    state, out = _State(budget, base_sec, base_count, order), {}
-    ranked = sorted(rows, key=lambda r: (-r["score"], r["id"]))
+class Rows:
+    """Candidates as columns of numbers, about 100 bytes each; a row's dictionary is built while it is looked at."""
+
+    def __init__(self, parts: list[dict]):
+        """``parts`` are columns by name: arrays, and ``size, category, seconds`` for what is allocated."""
+        self.c = {n: np.concatenate([p.pop(n) for p in parts]) for n in list(parts[0])}
+        self.ends = np.cumsum(self.c.pop("size"), dtype=np.int64)
+        self.ids, self.same = np.unique(self.c.pop("id"), return_inverse=True)  # ``same`` are places in ``ids``, in their order
+
+    def __getitem__(self, k: int) -> dict:
+        a, b = (int(self.ends[k - 1]) if k else 0), int(self.ends[k])
+        row = {n: self.c[n][k] for n in ("source", "subject", "primary")} | {n: float(self.c[n][k]) for n in ("duration", "dominance")}
+        return row | {"alloc": dict(zip(self.c["category"][a:b], self.c["seconds"][a:b].tolist()))}
+
+    def by_score(self) -> np.ndarray:
+        return np.lexsort((self.same, -self.c["score"]))
+
+    def by_seconds(self, name: str) -> np.ndarray:
+        """Those with more than nothing in a category, most first."""
+        at = np.flatnonzero((self.c["category"] == name) & (self.c["seconds"] > 0))
+        owner = np.searchsorted(self.ends, at, "right")
+        return owner[np.lexsort((self.same[owner], -self.c["score"][owner], -self.c["seconds"][at]))]
+
+
+def columns_of(rows: list[dict]) -> dict:
+    """The columns of ``Rows`` from dictionaries; equal names are one object."""
+    known: dict = {}
+    one = lambda values: np.array([known.setdefault(v, v) for v in values] + [None], object)[:-1]
+    out = {n: np.array([r[n] for r in rows], float) for n in ("score", "duration", "dominance")}
+    out |= {n: one(r[n] for r in rows) for n in ("source", "subject", "primary")}
+    out |= {"id": np.array([r["id"] for r in rows]), "size": np.array([len(r["alloc"]) for r in rows], np.int32)}
+    pairs = [p for r in rows for p in r["alloc"].items()]
+    return out | {"category": one(c for c, _ in pairs), "seconds": np.array([s for _, s in pairs], float)}
+
+
+def select_once(rows: Rows, budget: Budget, order: str, base_sec: float, base_count: float) -> tuple[np.ndarray, list, _State]:
+    """Category minima first, smallest first; then everything by score.  A number for each id, and what numbers mean: ``(selected, pass, reason)``."""
+    state, out, means = _State(budget, base_sec, base_count, order), np.full(len(rows.ids), -1, np.int16), {}
+    code = lambda *what: means.setdefault(what, len(means))
     for name, limit in sorted(((c, l) for c, l in budget.categories.items() if l.min_sec > 0), key=lambda x: (x[1].min_sec, x[0])):
-        for r in sorted(rows, key=lambda r: (-r["alloc"].get(name, 0.0), -r["score"], r["id"])):
+        for k in rows.by_seconds(name):
             if state.used.get(("category", name), (0.0, 0))[0] >= limit.min_sec:
                 break
-            if r["id"] not in out and r["alloc"].get(name, 0.0) > 0 and state.refusal(r) is None:
-                state.accept(r)
-                out[r["id"]] = (True, f"minimum_{name}", None)
-    for r in ranked:
-        if r["id"] not in out:
+            if out[rows.same[k]] < 0:
+                r = rows[k]
+                if state.refusal(r) is None:
+                    state.accept(r)
+                    out[rows.same[k]] = code(True, f"minimum_{name}", None)
+    for k in rows.by_score():
+        if out[rows.same[k]] < 0:
+            r = rows[k]
             reason = state.refusal(r)
             if reason is None:
                 state.accept(r)
-            out[r["id"]] = (reason is None, "score" if reason is None else None, reason)
-    return out, state
+            out[rows.same[k]] = code(reason is None, "score" if reason is None else None, reason)
+    return out, list(means), state
 
 
 def select(rows: list[dict], budget: Budget, order: str = "category_first", rounds: int = 64) -> dict:
+    """``{id: (selected, pass, reason)}`` of rows as dictionaries; see ``selected``."""
+    if not rows:
+        return {}
+    both = Rows([columns_of(rows)])
+    out, means = selected(both, budget, order, rounds)
+    return {k: means[c] for k, c in zip(both.ids.tolist(), out.tolist())}
+
+
+def selected(rows: Rows, budget: Budget, order: str, rounds: int = 64) -> tuple[np.ndarray, list]:
     """The selection; source and subject ratios refer to the totals achieved (a fixed point, shrinking bases)."""
     if order == "global_first":
-        return select_once(rows, budget, order, budget.max_sec, budget.max_count)[0]
+        return select_once(rows, budget, order, budget.max_sec, budget.max_count)[:2]
     base = (budget.max_sec, float(budget.max_count))
     for _ in range(rounds):
-        out, state = select_once(rows, budget, order, *base)
+        out, means, state = select_once(rows, budget, order, *base)
         after = (min(base[0], state.sec), min(base[1], float(state.n)))
         if abs(after[0] - base[0]) <= 1e-9 and after[1] == base[1]:
-            return out
+            return out, means
         base = after
     raise RuntimeError(f"the ratio bases did not settle within {rounds} rounds")
 
@@ -182,14 +230,22 @@ def apply_quota(df: DataFrame, budget: Budget, order: str = "category_first", ke
     kind = dict(df.dtypes)[key]
     narrow = df.select(*(F.col(c).alias(n) for c, n in ((key, "id"), (score, "score"), (alloc, "alloc"), (duration, "duration"), (source, "source"), (subject, "subject"), (primary, "primary"), (dominance, "dominance"))))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.to_dict("records")
-        for r in rows:
-            r["alloc"] = dict(r["alloc"] or {})
-        out = select(rows, budget, order)
-        return pd.DataFrame([(k, *v) for k, v in out.items()], columns=["id", "quota_selected", "quota_pass", "quota_reason"])
-
-    return narrow.withColumn("__all", F.lit(True)).groupBy("__all").applyInPandas(run, f"id {kind}, quota_selected boolean, quota_pass string, quota_reason string").withColumnRenamed("id", key)
+    def run(batches):
+        parts, whole = [], None
+        for batch in batches:
+            whole = batch.schema.field("id").type
+            if batch.num_rows:
+                parts.append(columns_of([r | {"alloc": dict(r["alloc"] or {})} for r in batch.to_pylist()]))
+        if not parts:
+            return
+        rows = Rows(parts)
+        out, means = selected(rows, budget, order)
+        for at in range(0, len(out), 10_000):
+            found = [means[c] for c in out[at : at + 10_000]]
+            cols = [pa.array([f[n] for f in found], t) for n, t in enumerate((pa.bool_(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([pa.array(rows.ids[at : at + 10_000]).cast(whole), *cols], names=["id", "quota_selected", "quota_pass", "quota_reason"])
+
+    return narrow.repartition(1).mapInArrow(run, f"id {kind}, quota_selected boolean, quota_pass string, quota_reason string").withColumnRenamed("id", key)
 
 
 def quota_report(selected: DataFrame, alloc: str, duration: str, source: str) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from stridelake.functions import vectors
-from stridelake.operators import dedup
+from stridelake.operators import dedup, quota
 
 
 def test_blocks_of_the_search_are_few_and_ties_go_to_the_smaller_key(spark, monkeypatch):
@@ -31,3 +31,12 @@ def test_blocks_of_the_search_are_few_and_ties_go_to_the_smaller_key(spark, monk
 def test_shared_values_of_descriptors_are_bound_once(spark):
     assert str(vectors.root_descriptor(F.col("marker"))).count("marker") == 1
     assert str(vectors.unit(F.col("marker"))).count("marker") == 1
+
+
+def test_candidates_of_the_quota_are_columns_of_numbers():
+    rows = [{"id": k % 900, "score": k % 7 / 2, "duration": 3.0, "source": f"s{k % 3}", "subject": f"p{k % 50}", "primary": "a", "dominance": 0.9, "alloc": {"a": 2.0, "b": 1.0}} for k in range(1000)]
+    held = quota.Rows([quota.columns_of(rows)])
+    assert sum(c.nbytes for c in held.c.values()) + held.ends.nbytes + held.same.nbytes <= 110 * len(rows)
+    assert held[5] == {k: v for k, v in rows[5].items() if k not in ("id", "score")}
+    out = quota.select(rows, quota.Budget(max_sec=30.0, tolerance=0.0), "global_first")
+    assert len(out) == 900 and sum(v[0] for v in out.values()) == 10
