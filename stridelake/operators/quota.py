@@ -151,7 +151,12 @@ class Rows:
         """``parts`` are columns by name: arrays, and ``size, category, seconds`` for what is allocated."""
         self.c = {n: np.concatenate([p.pop(n) for p in parts]) for n in list(parts[0])}
         self.ends = np.cumsum(self.c.pop("size"), dtype=np.int64)
-        self.ids, self.same = np.unique(self.c.pop("id"), return_inverse=True)  # ``same`` are places in ``ids``, in their order
+        ids = self.c.pop("id")
+        null = np.equal(ids, None) if ids.dtype == object else np.zeros(len(ids), bool)
+        names, places = np.unique(ids[~null], return_inverse=True)
+        self.same = np.full(len(ids), len(names))  # places in ``ids``, in their order, a null last
+        self.same[~null] = places
+        self.ids = np.array([*names.tolist(), None], object) if null.any() else names
 
     def __getitem__(self, k: int) -> dict:
         a, b = (int(self.ends[k - 1]) if k else 0), int(self.ends[k])

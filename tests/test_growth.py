@@ -40,3 +40,5 @@ def test_candidates_of_the_quota_are_columns_of_numbers():
     assert held[5] == {k: v for k, v in rows[5].items() if k not in ("id", "score")}
     out = quota.select(rows, quota.Budget(max_sec=30.0, tolerance=0.0), "global_first")
     assert len(out) == 900 and sum(v[0] for v in out.values()) == 10
+    out = quota.select([*rows, {**rows[0], "id": None}], quota.Budget(max_sec=30.0, tolerance=0.0), "global_first")
+    assert len(out) == 901 and out[None] == (False, None, "global_duration")
