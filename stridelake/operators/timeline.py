@@ -9,6 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 
+ROWS = 250_000  # actions of a task
+
+
+def dealt(rows: DataFrame, seq: str, n: int) -> DataFrame:
+    """``rows``, of ``n`` actions, dealt by sequence to as many tasks as it takes for each to have about ``ROWS`` actions."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // ROWS)), seq)
+
+
 def clipped(actions: DataFrame, durations: DataFrame, seq: str, start: str, end: str, duration: str) -> DataFrame:
     """Actions cut to [0, duration]; what is empty after the cut goes."""
     both = actions.join(durations.select(seq, duration), seq)
@@ -25,29 +33,40 @@ def merged(actions: DataFrame, keys: list[str], start: str, end: str) -> DataFra
     return marked.groupBy(*keys, "__g").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__g")
 
 
+def _fresh(actions: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """Of each interval the part that no earlier one covers: disjoint intervals with the same union, which may touch."""
+    w = Window.partitionBy(*keys).orderBy(start, end)
+    high = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    cut = actions.select(*keys, F.greatest(F.col(start), high).alias(start), end)  # greatest passes a null over
+    return cut.where(F.col(end) > F.col(start))
+
+
 def union_seconds(actions: DataFrame, seq: str, start: str, end: str) -> DataFrame:
     """``seq, seconds``: the length of the union of each sequence's intervals; sequences without any have no row."""
     return merged(actions, [seq], start, end).groupBy(seq).agg(F.sum(F.col(end) - F.col(start)).alias("seconds"))
 
 
-def allocated_seconds(actions: DataFrame, durations: DataFrame, seq: str, category: str, start: str, end: str, duration: str, unlabeled: str = "unknown") -> DataFrame:
+def allocated_seconds(actions: DataFrame, durations: DataFrame, seq: str, category: str, start: str, end: str, duration: str, unlabeled: str = "unknown", rows: int | None = None) -> DataFrame:
     """``seq, category, seconds``: each moment of the duration shared equally by the categories that are active then.
 
     A moment without any goes to ``unlabeled``.  Of the sweep only a running share is kept: the
     share of time since the start, summed over 1 / active categories, is read at both ends of an
     interval, and their difference is the interval's part.  Sequences with a duration of 0 have no rows.
+    ``rows`` says how many actions there are, which are counted if it isn't given.
     """
-    spans = merged(clipped(actions, durations, seq, start, end, duration), [seq, category], start, end)
-    mark = lambda t, d: spans.select(seq, F.col(category), F.col(t).alias("t"), F.lit(d).alias("d"))
+    if rows is None:
+        rows = actions.count()
+    spans = _fresh(clipped(actions, durations, seq, start, end, duration), [seq, category], start, end)
+    own = F.explode(F.array(F.struct(F.col(start).alias("t"), F.lit(1).alias("d")), F.struct(F.col(end).alias("t"), F.lit(-1).alias("d"))))
     ends = durations.where(F.col(duration) > 0).select(seq, F.lit(None).cast("string").alias(category), F.explode(F.array(F.lit(0.0), F.col(duration))).alias("t"), F.lit(0).alias("d"))
-    marks = mark(start, 1).unionByName(mark(end, -1)).unionByName(ends)
+    marks = dealt(spans.select(seq, category, own.alias("x")).select(seq, category, "x.*").unionByName(ends), seq, rows)
     w = Window.partitionBy(seq).orderBy("t", "d", category)
     swept = marks.withColumn("n", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("step", F.lead("t").over(w) - F.col("t"))
     swept = swept.withColumns({"share": F.when(F.col("n") > 0, F.col("step") / F.col("n")).otherwise(F.lit(0.0)), "idle": F.when(F.col("n") == 0, F.col("step"))})
     swept = swept.withColumn("before", F.coalesce(F.sum("share").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    labelled = swept.where("d <> 0").groupBy(seq, category).agg(F.sum(-F.col("d") * F.col("before")).alias("seconds"))
-    rest = swept.groupBy(seq).agg(F.sum("idle").alias("seconds")).where("seconds > 0").select(seq, F.lit(unlabeled).alias(category), "seconds")
-    return labelled.unionByName(rest).groupBy(seq, category).agg(F.sum("seconds").alias("seconds"))
+    part = lambda c, v: F.struct(c.alias(category), v.alias("seconds"))
+    told = F.array(F.when(F.col("d") != 0, part(F.col(category), -F.col("d") * F.col("before"))), F.when(F.col("idle") > 0, part(F.lit(unlabeled), F.col("idle"))))
+    return swept.select(seq, F.explode(F.array_compact(told)).alias("x")).select(seq, "x.*").groupBy(seq, category).agg(F.sum("seconds").alias("seconds"))
 
 
 def primary_of(rows: DataFrame, seq: str, category: str, seconds: str = "seconds") -> DataFrame:

@@ -591,7 +591,7 @@ x AS (SELECT user_id, category, seconds FROM al WHERE category <> 'unknown' UNIO
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seconds DESC, category) AS k, sum(seconds) OVER (PARTITION BY user_id) AS total FROM g)
 SELECT user_id, category AS primary_category, round(seconds / duration, 6) AS dominance, round(total / duration, 6) AS labelled FROM r JOIN d USING (user_id) WHERE k = 1""")
 def q102_fill_policy(spark, sf_dir):
-    first = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("fallback"))
+    first = base.user_events(spark, sf_dir)[0].groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("fallback"))
     a = base.allocations(spark, sf_dir).join(first, "user_id").withColumn("fallback", F.when(F.col("user_id") % 5 != 0, F.col("fallback")))
     a = a.withColumn("alloc", intervals.conserved(intervals.fill_unlabeled(F.col("alloc"), "fill_with_primary_seq_label", F.col("fallback")), F.col("duration")))
     labelled = F.aggregate(F.map_values(intervals.proportions(F.col("alloc"), F.col("duration"))), F.lit(0.0), lambda s, v: s + v)

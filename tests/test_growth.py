@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from stridelake.functions import vectors
-from stridelake.operators import dedup, quota
+from stridelake.functions import intervals, vectors
+from stridelake.operators import dedup, quota, timeline
 
 
 def test_blocks_of_the_search_are_few_and_ties_go_to_the_smaller_key(spark, monkeypatch):
@@ -42,3 +42,17 @@ def test_candidates_of_the_quota_are_columns_of_numbers():
     assert len(out) == 900 and sum(v[0] for v in out.values()) == 10
     out = quota.select([*rows, {**rows[0], "id": None}], quota.Budget(max_sec=30.0, tolerance=0.0), "global_first")
     assert len(out) == 901 and out[None] == (False, None, "global_duration")
+
+
+def test_a_task_of_the_sweep_holds_so_many_actions_however_many_there_are(spark, monkeypatch):
+    monkeypatch.setattr(timeline, "ROWS", 50)
+    rows = [(k % 40, "abc"[k % 3], float(k % 17), k % 17 + 1.5 + k % 5) for k in range(1200)]
+    acts = spark.createDataFrame(rows, "id long, category string, start double, end double")
+    durations = spark.createDataFrame([(k, 12.0 + k % 9) for k in range(41)], "id long, duration double")
+    s = timeline.allocated_seconds(acts, durations, "id", "category", "start", "end", "duration")
+    assert s.rdd.getNumPartitions() >= 24
+    whole = F.array_sort(F.collect_list(F.struct("category", "start", "end")))
+    lists = durations.join(acts.groupBy("id").agg(whole.alias("a")), "id", "left").withColumn("a", F.coalesce("a", F.array().cast("array<struct<category:string,start:double,end:double>>")))
+    want = lists.select("id", F.explode(intervals.allocated(intervals.segments(intervals.clip(F.col("a"), F.col("duration")), F.col("duration"))))).where("value > 0")
+    plain = lambda df: {(r[0], r[1]): round(r[2], 9) for r in df.collect()}
+    assert plain(s) == plain(want) and plain(s)[40, "unknown"] == 16.0
