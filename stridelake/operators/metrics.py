@@ -165,9 +165,12 @@ def _at_ranks(values: DataFrame, by: list[str], shares: dict[str, float], inside
 def _quantiles(values: DataFrame, by: list[str], shares: dict[str, float], scratch: Scratch) -> DataFrame:
     """Exact percentiles of ``v``, which counts ``n`` times, by ``by``; no task holds a group and none orders more than ``LARGE`` rows of one.
 
-    Groups of up to ``LARGE`` rows are ordered by a window, which spills.  Larger ones are dealt to bins at
+    Where a group has more, equal values are counted first, before any is written or sent.  Groups of up to
+    ``LARGE`` rows are ordered by a window, which spills.  Larger ones are dealt to bins at
     approximate quantiles, the bins' counts tell which of them hold wanted ranks, and only those are ordered.
     """
+    if not values.groupBy(*by).agg(F.count("*").alias("__rows")).where(F.col("__rows") > LARGE).isEmpty():
+        values = values.groupBy(*by, "v").agg(F.sum("n").alias("n"))
     values = scratch.keep(values, "values")
     sizes = values.groupBy(*by).agg(F.count("*").alias("__rows"))
     large = scratch.keep(sizes.where(F.col("__rows") > LARGE).drop("__rows"), "large")
