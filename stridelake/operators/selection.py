@@ -27,7 +27,8 @@ class Run:
     def __init__(self, spark: SparkSession, label: str = "run", frozen: tuple[str, ...] = ()):
         self.spark, self.scratch = spark, Scratch(spark, label)
         self.observed: list[tuple[str, Observation]] = []
-        self.frozen = {path: self.scratch.keep(files.digest_tree(spark, path), "before") for path in frozen}
+        self.frozen = frozen
+        self.before = self.scratch.keep(files.digest_tree(spark, list(frozen)), "before") if frozen else None  # one tree for all
 
     def stage(self, name: str, rows: DataFrame, counters: dict[str, Column] | None = None) -> DataFrame:
         """``rows``, written and read back.  ``counters`` are aggregates that the writing tasks add up on their way."""
@@ -43,11 +44,12 @@ class Run:
 
     def finish(self) -> None:
         """RuntimeError if a frozen input isn't what it was."""
-        for path, before in self.frozen.items():
-            depth = before.agg(F.max("level").alias("d")).first()["d"] - 1
-            changed = [r["name"] for r in digests.differences(before, files.digest_tree(self.spark, path, depth), depth).limit(20).collect()]
-            if changed:
-                raise RuntimeError(f"inputs changed during the run: {', '.join(sorted(changed))}")
+        if self.before is None:
+            return
+        depth = self.before.agg(F.max("level").alias("d")).first()["d"] - 1
+        changed = [r["name"] for r in digests.differences(self.before, files.digest_tree(self.spark, list(self.frozen), depth), depth).limit(20).collect()]
+        if changed:
+            raise RuntimeError(f"inputs changed during the run: {', '.join(sorted(changed))}")
 
 
 @dataclass

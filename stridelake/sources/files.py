@@ -18,6 +18,7 @@ from pyspark.sql.pandas.types import from_arrow_type
 
 from stridelake.functions import normalize
 from stridelake.operators import digests, rules
+from stridelake.operators.scratch import Scratch
 
 ALIASES = {
     "pose": ("poses", "body_pose", "pose_body"),
@@ -40,9 +41,13 @@ DDL = ", ".join(f"{n} {from_arrow_type(k).simpleString()}" for n, k in HEADER.it
 SAMPLES, TOLERANCE = 32, 1e-4  # frames and step of the near hash
 
 
+def _binary(spark: SparkSession, root: str | list[str], pattern: str = "*", recursive: bool = True) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(root)
+
+
 def discover(spark: SparkSession, root: str, pattern: str = "*", exclude: tuple[str, ...] = (), recursive: bool = True, content: bool = False) -> DataFrame:
     """``path, length`` of matching files, sorted by path; contents are read only if asked for."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(root)
+    files = _binary(spark, root, pattern, recursive)
     for x in exclude:
         files = files.where(~F.col("path").rlike(fnmatch.translate(f"*{x}")))
     return files.select("path", "length", *(["content"] if content else [])).orderBy("path")
@@ -397,9 +402,12 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{version}")
 
 
-def file_digests(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """``path, sha256`` of every file: taken before and after a run, the two must be equal."""
-    return discover(spark, root, pattern, content=True).select("path", F.sha2("content", 256).alias("sha256"))
+def file_digests(spark: SparkSession, root: str | list[str], pattern: str = "*") -> DataFrame:
+    """``path, sha256`` of every file: taken before and after a run, the two must be equal.
+
+    In no order, since a content that is sorted travels; here none leaves the task that reads it.
+    """
+    return _binary(spark, root, pattern).select("path", F.sha2("content", 256).alias("sha256"))
 
 
 def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -407,6 +415,10 @@ def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.where(~F.col("was").eqNullSafe(F.col("now")))
 
 
-def digest_tree(spark: SparkSession, root: str, depth: int | None = None) -> DataFrame:
-    """``level, node, parent, digest`` of ``digests.tree`` over all files below ``root``; a file's node is its path."""
-    return digests.tree(file_digests(spark, root), "path", F.col("sha256"), depth)
+def digest_tree(spark: SparkSession, root: str | list[str], depth: int | None = None) -> DataFrame:
+    """``level, node, parent, digest`` of ``digests.tree`` over all files below ``root``; a file's node is its path.
+
+    Files are read at once and once only: the tree's levels are made of digests that are written first.
+    """
+    own = Scratch(spark, "digests").keep(file_digests(spark, root), "files")
+    return digests.tree(own, "path", F.col("sha256"), depth)
