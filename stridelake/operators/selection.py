@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 from stridelake.functions import intervals
 from stridelake.operators import dedup, digests, joints, matching, metrics, quota, rules, timeline
 from stridelake.operators.scratch import Scratch
+from stridelake.session import shuffled_joins
 from stridelake.sources import files
 
 
@@ -46,6 +47,10 @@ class Run:
         """RuntimeError if a frozen input isn't what it was."""
         if self.before is None:
             return
+        with shuffled_joins(self.spark):
+            self._compare()
+
+    def _compare(self) -> None:
         depth = self.before.agg(F.max("level").alias("d")).first()["d"] - 1
         changed = [r["name"] for r in digests.differences(self.before, files.digest_tree(self.spark, list(self.frozen), depth), depth).limit(20).collect()]
         if changed:
@@ -190,7 +195,13 @@ def select(run: Run, given: Inputs, rule: Rules) -> DataFrame:
     """A row for each motion with the status of every stage, ``final_status`` and, under the policy, ``policy_status``, both with reasons.
 
     A null or repeated ``motion_id`` fails the run.  A motion without joints has no metrics, so that no metric's condition holds.
+    All tables here grow with the input, so that joins shuffle them.
     """
+    with shuffled_joins(run.spark):
+        return _select(run, given, rule)
+
+
+def _select(run: Run, given: Inputs, rule: Rules) -> DataFrame:
     motions = run.stage("motions", rules.assert_unique(given.motions, "motion_id"))
     given = Inputs(motions, given.annotations, given.actions, given.joints)
     match = matched(run, given)

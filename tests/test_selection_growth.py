@@ -5,7 +5,10 @@ from __future__ import annotations
 import pytest
 
 from stridelake.operators import selection
+from stridelake.operators.scratch import Scratch
+from stridelake.session import shuffled_joins
 from stridelake.sources import files
+from tests.test_selection import RULES, given
 
 
 def test_frozen_files_are_read_once_each_and_contents_stay_where_they_are(spark, tmp_path):
@@ -23,3 +26,25 @@ def test_frozen_files_are_read_once_each_and_contents_stay_where_they_are(spark,
     (tmp_path / "in0" / "f4.txt").unlink()
     with pytest.raises(RuntimeError, match="in0/f4.txt.*in1/f3.txt"):
         run.finish()
+
+
+def test_a_selection_sends_no_side_of_a_join_through_the_driver(spark, monkeypatch):
+    keep, plans = Scratch.keep, {}
+
+    def seen(self, df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return keep(self, df, name)
+
+    monkeypatch.setattr(Scratch, "keep", seen)
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    motions = [(i, 10 - i, False) for i in range(1, 4)]
+    inputs = given(spark, motions, [(i, i, "train") for i in range(1, 4)], [(i, "walk", 0.0, 4.0) for i in range(1, 4)], {i: (False, 0.02, i) for i in range(1, 4)})
+    selection.select(selection.Run(spark, "test"), inputs, RULES)
+    assert {"match", "frames", "metrics", "dedup", "policy"} <= set(plans) and "Join" in plans["match"]
+    assert not [name for name, plan in plans.items() if "Broadcast" in plan]
+    assert spark.conf.get(limit) == before
+    with pytest.raises(ValueError), shuffled_joins(spark):
+        assert spark.conf.get(limit) == "-1"
+        raise ValueError
+    assert spark.conf.get(limit) == before and spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) is None
